@@ -218,3 +218,206 @@ def q_group_describe_education(spark, sf_dir):
 @register("group_describe_experience", _group_sql("experience"))
 def q_group_describe_experience(spark, sf_dir):
     return stats.group_describe(silver(spark, sf_dir), "experience")
+
+
+# ---------------------------------------------------------------------------
+# Q: data-quality audit, D: clean-up previews and key-aligned deletes
+# ---------------------------------------------------------------------------
+from hirelens.operators import quality  # noqa: E402
+
+FX_INTERN = dict(keywords=["widget", "gear"], negations=["red"])
+FX_NONTECH = dict(tech=["red"], nontech=["widget", "gear", "bolt"])
+FX_NONTECH_KEYWORD = "STANDARD"
+FX_OUTLIER = 50.0
+
+
+def bronze(spark, sf_dir):
+    return tables.bronze(spark, sf_dir)
+
+
+_LABELLED = """
+, labelled AS (SELECT 'job' AS tbl, source, job_key, city FROM silver
+               UNION ALL SELECT 'raw_job' AS tbl, source, job_key, city FROM bronze)"""
+
+
+@register("hc_counts", _LABELLED + """
+SELECT count_if(tbl = 'job') AS job_rows, count_if(tbl = 'raw_job') AS raw_job_rows,
+       count_if(tbl = 'job') = count_if(tbl = 'raw_job') AS consistent FROM labelled""")
+def q_hc_counts(spark, sf_dir):
+    return quality.hc_counts(silver(spark, sf_dir), bronze(spark, sf_dir))
+
+
+@register("hc_duplicates", _LABELLED + """
+, per_key AS (SELECT tbl, source, job_key, count(*) AS c FROM labelled GROUP BY tbl, source, job_key)
+SELECT tbl, count_if(c > 1) AS dup_groups FROM per_key GROUP BY tbl""")
+def q_hc_duplicates(spark, sf_dir):
+    return quality.hc_duplicates(silver(spark, sf_dir), bronze(spark, sf_dir))
+
+
+@register("hc_sources", _LABELLED + """
+SELECT tbl, source, count(*) AS n FROM labelled GROUP BY tbl, source""")
+def q_hc_sources(spark, sf_dir):
+    return quality.hc_sources(silver(spark, sf_dir), bronze(spark, sf_dir))
+
+
+@register("hc_offlist", _LABELLED + f"""
+SELECT tbl, city, count(*) AS n FROM labelled WHERE city IS NULL OR city NOT IN {CITY_IN}
+GROUP BY tbl, city""")
+def q_hc_offlist(spark, sf_dir):
+    return quality.hc_offlist(silver(spark, sf_dir), bronze(spark, sf_dir), FX_CITIES)
+
+
+_NULL_CHECKS = [
+    ("salary_avg_null", "salary_avg IS NULL"), ("salary_avg_le_0", "salary_avg <= 0"),
+    ("city_blank", "city IS NULL OR city = ''"),
+    ("experience_blank", "experience IS NULL OR experience = ''"),
+    ("education_blank", "education IS NULL OR education = ''"),
+    ("title_blank", "title IS NULL OR title = ''"),
+    ("keyword_blank", "keyword IS NULL OR keyword = ''")]
+
+
+@register("hc_nulls", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS check_name, count_if({c}) AS n FROM silver" for n, c in _NULL_CHECKS))
+def q_hc_nulls(spark, sf_dir):
+    return quality.hc_nulls(silver(spark, sf_dir))
+
+
+@register("hc_salary", f"""
+SELECT count_if(salary_avg > {FX_OUTLIER}) AS gt_threshold,
+       count_if(salary_avg < 1 AND salary_avg > 0) AS lt1,
+       count_if(salary_min > salary_max) AS min_gt_max,
+       min(salary_avg) AS min_avg, max(salary_avg) AS max_avg,
+       {O.mean6('salary_avg_c')} AS mean_avg
+FROM silver WHERE salary_avg IS NOT NULL""")
+def q_hc_salary(spark, sf_dir):
+    return quality.hc_salary(silver(spark, sf_dir), FX_OUTLIER)
+
+
+def _nz_sql(c):
+    return f"coalesce(CASE WHEN {c} <> '' THEN {c} END, '(空)')"
+
+
+@register("hc_cities", f"""
+SELECT {_nz_sql('city')} AS city, count(*) AS n FROM silver GROUP BY 1""")
+def q_hc_cities(spark, sf_dir):
+    return quality.hc_cities(silver(spark, sf_dir))
+
+
+@register("hc_keywords", f"""
+SELECT {_nz_sql('keyword')} AS keyword, count(*) AS n FROM silver GROUP BY 1""")
+def q_hc_keywords(spark, sf_dir):
+    return quality.hc_keywords(silver(spark, sf_dir))
+
+
+@register("hc_experience", f"""
+SELECT {_nz_sql('experience')} AS experience, count(*) AS n,
+       {O.mean6('salary_avg_c')} AS avg_salary FROM silver GROUP BY 1""")
+def q_hc_experience(spark, sf_dir):
+    return quality.hc_experience(silver(spark, sf_dir))
+
+
+def _contains_any(col, words):
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+_INTERN_F = f"""
+, f AS (SELECT *, coalesce(title <> '' AND NOT {_contains_any('title', FX_INTERN['negations'])}
+                           AND {_contains_any('title', FX_INTERN['keywords'])}, false) AS flag
+        FROM silver WHERE source = 'site_a')"""
+
+
+def _delete_summary_sql(doomed_rel: str) -> str:
+    return f"""
+, doomed AS ({doomed_rel})
+, marks AS (
+  SELECT 'job' AS tbl, d.job_key IS NOT NULL AS gone FROM silver s
+    LEFT JOIN doomed d ON s.source = d.source AND s.job_key = d.job_key
+  UNION ALL
+  SELECT 'raw_job' AS tbl, d.job_key IS NOT NULL AS gone FROM bronze b
+    LEFT JOIN doomed d ON b.source = d.source AND b.job_key = d.job_key)
+SELECT tbl, count_if(gone) AS deleted, count_if(NOT gone) AS kept FROM marks GROUP BY tbl"""
+
+
+@register("clean_intern_report", _INTERN_F + """
+SELECT count(*) AS total, count_if(flag) AS flagged, count_if(NOT flag) AS kept,
+       coalesce(round(median(salary_avg), 6), 0.0) AS median_before,
+       coalesce(round(median(CASE WHEN NOT flag THEN salary_avg END), 6), 0.0) AS median_after
+FROM f""")
+def q_clean_intern_report(spark, sf_dir):
+    return quality.clean_intern_report(silver(spark, sf_dir), "site_a", **FX_INTERN)
+
+
+@register("clean_intern_keep", _INTERN_F + _delete_summary_sql(
+    "SELECT source, job_key FROM f WHERE flag"))
+def q_clean_intern_keep(spark, sf_dir):
+    s, b = silver(spark, sf_dir), bronze(spark, sf_dir)
+    return quality.delete_summary(s, b, quality.doomed_intern(s, "site_a", **FX_INTERN))
+
+
+def _wl_sql(col):
+    return f"coalesce({O.ustrip(col)} IN {CITY_IN}, false)"
+
+
+@register("clean_offlist_report", f"""
+SELECT source, coalesce(CASE WHEN {O.ustrip('city')} <> '' THEN {O.ustrip('city')} END, '<空>') AS city,
+       count(*) AS n
+FROM silver WHERE NOT {_wl_sql('city')} GROUP BY 1, 2""")
+def q_clean_offlist_report(spark, sf_dir):
+    return quality.clean_offlist_report(silver(spark, sf_dir), FX_CITIES)
+
+
+@register("clean_offlist_keep", f"""
+SELECT 'job' AS tbl, count(*) AS kept FROM silver WHERE {_wl_sql('city')}
+UNION ALL SELECT 'raw_job' AS tbl, count(*) AS kept FROM bronze WHERE {_wl_sql('city')}""")
+def q_clean_offlist_keep(spark, sf_dir):
+    s, b = quality.clean_offlist_keep(silver(spark, sf_dir), bronze(spark, sf_dir), FX_CITIES)
+    return (s.select(F.lit("job").alias("tbl")).unionByName(b.select(F.lit("raw_job").alias("tbl")))
+            .groupBy("tbl").agg(F.count(F.lit(1)).alias("kept")))
+
+
+_NONTECH_F = f"""
+, f AS (SELECT *, coalesce(title <> '' AND NOT {_contains_any('title', FX_NONTECH['tech'])}
+                           AND {_contains_any('title', FX_NONTECH['nontech'])}, false) AS flag
+        FROM silver WHERE keyword = '{FX_NONTECH_KEYWORD}')"""
+
+
+@register("clean_nontech_report", _NONTECH_F + f"""
+SELECT count(*) AS total, count_if(flag) AS n_delete,
+       coalesce({O.mean6('CASE WHEN flag THEN salary_avg_c END')}, 0.0) AS avg_delete,
+       count_if(NOT flag) AS n_keep,
+       coalesce({O.mean6('CASE WHEN NOT flag THEN salary_avg_c END')}, 0.0) AS avg_keep
+FROM f""")
+def q_clean_nontech_report(spark, sf_dir):
+    return quality.clean_nontech_report(silver(spark, sf_dir), FX_NONTECH_KEYWORD, **FX_NONTECH)
+
+
+@register("clean_nontech_keep", _NONTECH_F + _delete_summary_sql(
+    "SELECT source, job_key FROM f WHERE flag"))
+def q_clean_nontech_keep(spark, sf_dir):
+    s, b = silver(spark, sf_dir), bronze(spark, sf_dir)
+    return quality.delete_summary(s, b, quality.doomed_nontech(s, FX_NONTECH_KEYWORD, **FX_NONTECH))
+
+
+@register("nontech_dump", _NONTECH_F + """
+SELECT format('[{}] {}  ({}K)  {}', city, title,
+              coalesce(CAST(salary_avg AS VARCHAR), 'None'), salary_text) AS value
+FROM f WHERE flag""")
+def q_nontech_dump(spark, sf_dir):
+    return quality.nontech_dump(silver(spark, sf_dir), FX_NONTECH_KEYWORD, **FX_NONTECH)
+
+
+@register("clean_outlier_report", f"""
+, hits AS (SELECT source, job_key, city, title, salary_text, salary_avg FROM silver
+           WHERE salary_avg > {FX_OUTLIER}),
+  b AS (SELECT source, job_key, count(*) AS raw_hits FROM bronze GROUP BY source, job_key)
+SELECT h.*, coalesce(b.raw_hits, 0) AS raw_hits FROM hits h
+LEFT JOIN b ON h.source = b.source AND h.job_key = b.job_key""")
+def q_clean_outlier_report(spark, sf_dir):
+    return quality.clean_outlier_report(silver(spark, sf_dir), bronze(spark, sf_dir), FX_OUTLIER)
+
+
+@register("clean_outlier_keep", _delete_summary_sql(
+    f"SELECT source, job_key FROM silver WHERE salary_avg > {FX_OUTLIER}"))
+def q_clean_outlier_keep(spark, sf_dir):
+    s, b = silver(spark, sf_dir), bronze(spark, sf_dir)
+    return quality.delete_summary(s, b, quality.doomed_outlier(s, FX_OUTLIER))
