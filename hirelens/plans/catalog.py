@@ -421,3 +421,166 @@ def q_clean_outlier_report(spark, sf_dir):
 def q_clean_outlier_keep(spark, sf_dir):
     s, b = silver(spark, sf_dir), bronze(spark, sf_dir)
     return quality.delete_summary(s, b, quality.doomed_outlier(s, FX_OUTLIER))
+
+
+# ---------------------------------------------------------------------------
+# N: statistical inference
+# ---------------------------------------------------------------------------
+from hirelens.operators import inference  # noqa: E402
+
+
+def _grp_rows_sql(col: str) -> str:
+    t = O.ustrip(col)
+    return f"""
+, grp_rows AS (SELECT {t} AS grp, salary_avg FROM silver
+               WHERE salary_avg IS NOT NULL AND {t} IS NOT NULL AND {t} <> ''
+                 AND {t} NOT IN ('None', '不限'))"""
+
+
+def _anova_sql(col: str) -> str:
+    return _grp_rows_sql(col) + f"""
+, g AS (SELECT grp, count(*) AS n, avg(salary_avg) AS mean, var_samp(salary_avg) AS var
+        FROM grp_rows GROUP BY grp HAVING count(*) >= 30),
+  gm AS (SELECT *, sum(n * mean) OVER () / sum(n) OVER () AS grand FROM g),
+  a AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n_total,
+               sum(n * (mean - grand) * (mean - grand)) AS ssb, sum((n - 1) * var) AS ssw FROM gm)
+SELECT '{col}' AS factor, k, coalesce(n_total, 0) AS n_total,
+  round(CASE WHEN k >= 2 AND n_total > k AND ssw > 0
+             THEN (ssb / (k - 1)) / (ssw / (n_total - k)) END, 6) AS f_stat,
+  round(CASE WHEN k >= 2 THEN CASE WHEN ssb + ssw > 0 THEN ssb / (ssb + ssw) ELSE 0.0 END END, 6)
+    AS eta_sq
+FROM a"""
+
+
+for _col in ("city", "education", "experience"):
+    def _mk(col):
+        def fn(spark, sf_dir):
+            return inference.anova(silver(spark, sf_dir), col)
+        return fn
+    register(f"anova_{_col}", _anova_sql(_col))(_mk(_col))
+
+
+def _posthoc_sql(col: str, pairs) -> str:
+    if pairs is None:
+        p = """p AS (SELECT (SELECT grp FROM g WHERE n >= 30 ORDER BY median DESC, grp DESC LIMIT 1) AS a,
+                    (SELECT grp FROM g WHERE n >= 30 ORDER BY median ASC, grp ASC LIMIT 1) AS b),
+  p2 AS (SELECT * FROM p WHERE a IS NOT NULL)"""
+    else:
+        vals = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+        p = f"p2 AS (SELECT * FROM (VALUES {vals}) t(a, b))"
+    ok = "(n_a IS NOT NULL AND n_b IS NOT NULL AND n_a >= 30 AND n_b >= 30)"
+    se2 = "(var_a / n_a + var_b / n_b)"
+    sp = "sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2))"
+    return _grp_rows_sql(col) + f"""
+, g AS (SELECT grp, count(*) AS n, avg(salary_avg) AS mean, var_samp(salary_avg) AS var,
+               median(salary_avg) AS median FROM grp_rows GROUP BY grp),
+  {p},
+  j AS (SELECT p2.a, p2.b, ga.n AS n_a, gb.n AS n_b, ga.mean AS mean_a, gb.mean AS mean_b,
+               ga.var AS var_a, gb.var AS var_b, ga.median AS median_a, gb.median AS median_b
+        FROM p2 LEFT JOIN g ga ON p2.a = ga.grp LEFT JOIN g gb ON p2.b = gb.grp)
+SELECT '{col}' AS factor, a AS group_a, b AS group_b,
+  CASE WHEN {ok} THEN 'ok' ELSE 'skipped' END AS status,
+  CASE WHEN {ok} THEN n_a END AS n_a, CASE WHEN {ok} THEN n_b END AS n_b,
+  CASE WHEN {ok} THEN round(median_a, 6) END AS median_a,
+  CASE WHEN {ok} THEN round(median_b, 6) END AS median_b,
+  round(CASE WHEN {ok} AND {se2} > 0 THEN (mean_a - mean_b) / sqrt({se2}) END, 6) AS t_stat,
+  round(CASE WHEN {ok} AND {se2} > 0 THEN {se2} * {se2} /
+        ((var_a / n_a) * (var_a / n_a) / (n_a - 1) + (var_b / n_b) * (var_b / n_b) / (n_b - 1)) END, 6) AS df,
+  round(CASE WHEN {ok} THEN CASE WHEN n_a >= 2 AND n_b >= 2 AND {sp} > 0
+        THEN (mean_a - mean_b) / {sp} ELSE 0.0 END END, 6) AS cohens_d
+FROM j"""
+
+
+_POSTHOC = {"city": None, "education": dims.EDU_PAIRS, "experience": dims.EXP_PAIRS}
+for _col, _pairs in _POSTHOC.items():
+    def _mk(col, pairs):
+        def fn(spark, sf_dir):
+            return inference.posthoc_pairs(silver(spark, sf_dir), col, pairs)
+        return fn
+    register(f"posthoc_{_col}", _posthoc_sql(_col, _pairs))(_mk(_col, _pairs))
+
+
+def _case_map(x: str, mapping: dict) -> str:
+    return "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in mapping.items()) + " END"
+
+
+def _rank_sql(x: str) -> str:
+    return f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0"
+
+
+def _pearson_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN var_samp({a}) > 0 AND var_samp({b}) > 0 "
+            f"THEN covar_samp({a}, {b}) / sqrt(var_samp({a}) * var_samp({b})) ELSE 0.0 END")
+
+
+def _spearman_matrix_sql() -> str:
+    f = inference.FACTORS
+    pairs = [(a, b) for i, a in enumerate(f) for b in f[i + 1:]]
+    cells = []
+    for a in f:
+        for b in f:
+            if a == b:
+                v = "1.0"
+            else:
+                k = f"{a}__{b}" if (a, b) in pairs else f"{b}__{a}"
+                v = f"CASE WHEN n >= 2 THEN {k} ELSE 0.0 END"
+            cells.append(f"SELECT '{a}' AS factor_x, '{b}' AS factor_y, round({v}, 6) AS rho, "
+                         f"n AS n_samples FROM s")
+    return f"""
+, base AS (SELECT {_case_map('education', dims.EDU_RANK)} AS education,
+                  {_case_map('experience', dims.EXP_RANK)} AS experience,
+                  len({O.stored_tags_sql()}) AS skill_count, salary_avg AS salary
+           FROM silver WHERE salary_avg IS NOT NULL),
+  rows_ AS (SELECT * FROM base WHERE education IS NOT NULL AND experience IS NOT NULL),
+  r AS (SELECT {", ".join(f"{_rank_sql(x)} AS r_{x}" for x in f)} FROM rows_),
+  s AS (SELECT count(*) AS n, {", ".join(f"{_pearson_sql('r_' + a, 'r_' + b)} AS {a}__{b}" for a, b in pairs)} FROM r),
+  cells AS ({" UNION ALL ".join(cells)})
+SELECT cells.*, (SELECT count(*) FROM base WHERE education IS NULL OR experience IS NULL) AS n_dropped
+FROM cells"""
+
+
+@register("spearman_matrix", _spearman_matrix_sql())
+def q_spearman_matrix(spark, sf_dir):
+    return inference.spearman_matrix(silver(spark, sf_dir))
+
+
+_EXP_IDX = {k: i for i, k in enumerate(dims.EXP_ORDER)}
+
+
+@register("spearman_exp_salary", f"""
+, rows_ AS (SELECT {_case_map(O.ustrip('experience'), _EXP_IDX)} AS x, salary_avg AS y FROM silver
+            WHERE salary_avg IS NOT NULL AND {O.ustrip('experience')} IN {O.in_list(dims.EXP_ORDER)}),
+  r AS (SELECT {_rank_sql('x')} AS rx, {_rank_sql('y')} AS ry FROM rows_),
+  a AS (SELECT count(*) AS n, {_pearson_sql('rx', 'ry')} AS rho FROM r)
+SELECT n, CASE WHEN n >= 30 THEN round(rho, 6) END AS rho,
+  CASE WHEN n >= 30 THEN CASE WHEN rho > 0 THEN '递增' ELSE '递减' END END AS direction,
+  CASE WHEN n >= 30 THEN CASE WHEN abs(rho) >= 0.5 THEN '强' WHEN abs(rho) >= 0.3 THEN '中' ELSE '弱' END END
+    AS strength
+FROM a""")
+def q_spearman_exp_salary(spark, sf_dir):
+    return inference.spearman_exp_salary(silver(spark, sf_dir))
+
+
+@register("anova_pvalues")
+def q_anova_pvalues(spark, sf_dir):
+    s = silver(spark, sf_dir)
+    out = None
+    for col in ("city", "education", "experience"):
+        r = inference.anova_report(s, col)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("posthoc_pvalues")
+def q_posthoc_pvalues(spark, sf_dir):
+    s = silver(spark, sf_dir)
+    out = None
+    for col, pairs in _POSTHOC.items():
+        r = inference.posthoc_report(s, col, pairs)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("spearman_pvalue")
+def q_spearman_pvalue(spark, sf_dir):
+    return inference.spearman_report(silver(spark, sf_dir))
