@@ -584,3 +584,73 @@ def q_posthoc_pvalues(spark, sf_dir):
 @register("spearman_pvalue")
 def q_spearman_pvalue(spark, sf_dir):
     return inference.spearman_report(silver(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# G: skill graph
+# ---------------------------------------------------------------------------
+from hirelens.operators import skills  # noqa: E402
+
+
+def _jobs(spark, sf_dir):
+    return skills.postings_skills(silver(spark, sf_dir))
+
+
+_NORM = ("CASE lower(v) " + " ".join(
+    "WHEN '{}' THEN '{}'".format(k.replace("'", "''"), w.replace("'", "''"))
+    for k, w in dims.TAG_ALIASES.items()) + " ELSE v END")
+
+_JOBS_SQL = f"""
+, jobs AS (SELECT list_distinct(list_transform({O.stored_tags_sql()}, lambda v: {_NORM})) AS skills,
+                  salary_avg
+           FROM silver WHERE tags IS NOT NULL),
+  jobs2 AS (SELECT * FROM jobs WHERE len(skills) > 0),
+  sk AS (SELECT unnest(skills) AS skill, salary_avg FROM jobs2),
+  counts AS (SELECT skill, count(*) AS n FROM sk GROUP BY skill),
+  top25 AS (SELECT skill FROM counts ORDER BY n DESC, skill ASC LIMIT 25)"""
+
+_EDGES_SQL = _JOBS_SQL + """,
+  jr AS (SELECT row_number() OVER () AS rid, skills FROM jobs2),
+  u AS (SELECT rid, unnest(skills) AS v FROM jr),
+  t AS (SELECT rid, v FROM u WHERE v IN (SELECT skill FROM top25)),
+  pairs AS (SELECT a.v AS source, b.v AS target FROM t a JOIN t b ON a.rid = b.rid AND a.v < b.v),
+  edges AS (SELECT source, target, count(*) AS weight FROM pairs GROUP BY source, target
+            HAVING count(*) >= 8)"""
+
+
+@register("skill_nodes", _JOBS_SQL + """
+SELECT skill, n FROM counts ORDER BY n DESC, skill ASC LIMIT 25""")
+def q_skill_nodes(spark, sf_dir):
+    return skills.skill_nodes(_jobs(spark, sf_dir), 25)
+
+
+@register("skill_edges", _EDGES_SQL + """
+SELECT * FROM edges""")
+def q_skill_edges(spark, sf_dir):
+    return skills.skill_edges(_jobs(spark, sf_dir), 25, 8)
+
+
+@register("skill_edges_top", _EDGES_SQL + """
+SELECT * FROM edges ORDER BY weight DESC, source ASC, target ASC LIMIT 15""")
+def q_skill_edges_top(spark, sf_dir):
+    return skills.skill_edges_top(_jobs(spark, sf_dir), 15, 25, 8)
+
+
+@register("skill_premium", _JOBS_SQL + """,
+  paid AS (SELECT * FROM sk WHERE salary_avg IS NOT NULL),
+  overall AS (SELECT coalesce(median(salary_avg), 0.0) AS m
+              FROM jobs2 WHERE salary_avg IS NOT NULL),
+  per AS (SELECT skill, count(*) AS n, median(salary_avg) AS med FROM paid GROUP BY skill
+          HAVING count(*) >= 20)
+SELECT skill, n, round(med, 6) AS median_salary,
+       round(CASE WHEN o.m <> 0 THEN (med - o.m) / o.m * 100 ELSE 0.0 END, 6) AS premium_pct,
+       round(o.m, 6) AS overall_median
+FROM per, overall o ORDER BY premium_pct DESC, skill ASC LIMIT 20""")
+def q_skill_premium(spark, sf_dir):
+    return skills.skill_premium(_jobs(spark, sf_dir), 20, 20)
+
+
+@register("skill_freq", _JOBS_SQL + """
+SELECT skill, n FROM counts ORDER BY n DESC, skill ASC LIMIT 80""")
+def q_skill_freq(spark, sf_dir):
+    return skills.skill_freq(_jobs(spark, sf_dir), 80)
