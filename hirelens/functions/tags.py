@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirelens import dims
-from hirelens.functions.text import ustrip
+from hirelens.functions.text import rx_escape, ustrip
 
 # Separators: the fixed punctuation set plus any Unicode blank.
-TAG_SPLIT = "(?U)[" + re.escape(dims.TAG_SEPARATORS) + r"\s]+"
+TAG_SPLIT = "(?U)[" + dims.TAG_SEPARATORS.replace("|", "\\|") + r"\s]+"
 
 
 def tag_array(text: Column) -> Column:
@@ -40,9 +40,9 @@ def _alias_pattern(aliases: list[str]) -> str:
     parts = []
     for a in aliases:
         if a.isascii() and a.isalpha():
-            parts.append(r"(?<![a-z])" + re.escape(a) + r"(?![a-z])")
+            parts.append(r"(?<![a-z])" + rx_escape(a) + r"(?![a-z])")
         else:
-            parts.append(re.escape(a))
+            parts.append(rx_escape(a))
     return "|".join(parts)
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_RX_SPECIAL = set("\\^$.|?*+()[]{}")
+
+
+def rx_escape(word: str) -> str:
+    """Escape regex metacharacters only (valid in both Java regex and RE2)."""
+    return "".join("\\" + ch if ch in _RX_SPECIAL else ch for ch in word)
+
+
 def ustrip(c: Column) -> Column:
     """Strip leading/trailing Unicode blanks (tabs, U+3000, NBSP ...).
 
@@ -24,7 +30,7 @@ def any_substring(c: Column, words: list[str]) -> Column:
     """True when ``c`` contains any of ``words`` (case-sensitive, literal)."""
     if not words:
         return F.lit(False)
-    return c.rlike("|".join(re.escape(w) for w in words))
+    return c.rlike("|".join(rx_escape(w) for w in words))
 
 
 def lit_array(values: list[str]) -> Column:
@@ -34,5 +40,5 @@ def lit_array(values: list[str]) -> Column:
 def word_hit(blob: Column, alias: str) -> Column:
     """Alias hit: pure ASCII letters need a non-letter on both sides."""
     if alias.isascii() and alias.isalpha():
-        return blob.rlike(r"(?<![a-z])" + re.escape(alias) + r"(?![a-z])")
+        return blob.rlike(r"(?<![a-z])" + rx_escape(alias) + r"(?![a-z])")
     return F.instr(blob, alias) > 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hirelens.functions.flags import make_job_key
 from hirelens.functions.levels import clean_education, clean_experience
-from hirelens.functions.salary import SALARY_COLS, parse_salary, with_salary
+from hirelens.functions.salary import SALARY_COLS, with_salary
 from hirelens.functions.tags import extract_skills, split_tags
 
 KEYS = ["source", "job_key"]
@@ -100,10 +100,12 @@ def ingest_batch(raw: DataFrame, bronze: DataFrame, silver: DataFrame,
     return b_new, s_new
 
 
-def insert_if_absent_counts(raw: DataFrame, bronze: DataFrame, silver: DataFrame,
-                            order=("ord1", "ord2")) -> DataFrame:
-    """One row: batch size after dedupe, new bronze rows, new silver rows."""
-    batch = dedupe_first(with_defaults(raw), KEYS, order).select(*KEYS)
+def insert_if_absent_counts(raw: DataFrame, bronze: DataFrame, silver: DataFrame) -> DataFrame:
+    """One row: distinct keys in the batch, how many are new to bronze and to silver.
+
+    Each existence check is one left join on the key (no per-row lookups).
+    """
+    batch = with_defaults(raw).select(*KEYS).distinct()
     b_keys = bronze.select(*KEYS).withColumn("__in_b", F.lit(1))
     s_keys = silver.select(*KEYS).withColumn("__in_s", F.lit(1))
     j = batch.join(b_keys, KEYS, "left").join(s_keys, KEYS, "left")
@@ -138,12 +140,12 @@ def recleaned(silver: DataFrame, bronze: DataFrame) -> DataFrame:
 def reclean_hist(silver: DataFrame, bronze: DataFrame) -> DataFrame:
     """Experience histogram before vs after re-clean (full outer join of two counts)."""
     j = recleaned(silver, bronze)
-    before = j.groupBy(F.col("experience").alias("tier")).agg(F.count(F.lit(1)).alias("before"))
-    after = j.groupBy(F.col("new_experience").alias("tier")).agg(F.count(F.lit(1)).alias("after"))
+    before = j.groupBy(F.col("experience").alias("tier")).agg(F.count(F.lit(1)).alias("n_before"))
+    after = j.groupBy(F.col("new_experience").alias("tier")).agg(F.count(F.lit(1)).alias("n_after"))
     out = before.join(after, before.tier.eqNullSafe(after.tier), "full")
     return out.select(F.coalesce(before.tier, after.tier).alias("tier"),
-                      F.coalesce(F.col("before"), F.lit(0)).alias("before"),
-                      F.coalesce(F.col("after"), F.lit(0)).alias("after"))
+                      F.coalesce(F.col("n_before"), F.lit(0)).alias("n_before"),
+                      F.coalesce(F.col("n_after"), F.lit(0)).alias("n_after"))
 
 
 def reclean_apply(silver: DataFrame, bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,16 +162,22 @@ def reclean_apply(silver: DataFrame, bronze: DataFrame) -> tuple[DataFrame, Data
 
 
 def resalary_diff(silver: DataFrame) -> DataFrame:
-    """Recompute C1 over silver salary_text; rows changed and cleared."""
-    p = silver.select("salary_min", "salary_max", "salary_avg",
-                      parse_salary(F.col("salary_text")).alias("p"))
-    same = (F.col("salary_min").eqNullSafe(F.col("p.salary_min"))
-            & F.col("salary_max").eqNullSafe(F.col("p.salary_max"))
-            & F.col("salary_avg").eqNullSafe(F.col("p.salary_avg")))
-    return p.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.count_if(~same).alias("changed"),
-                 F.count_if(F.col("p.salary_avg").isNull() & F.col("salary_avg").isNotNull())
-                 .alias("cleared"))
+    """Recompute C1 over silver salary_text; rows changed and cleared.
+
+    The recomputation uses the staged projections of ``with_salary`` so each regex
+    runs once per row and the generated code stays small.
+    """
+    old = silver.select("salary_text", *[F.col(c).alias(f"old_{c}") for c in SALARY_COLS])
+    p = with_salary(old, "salary_text")
+    same = F.lit(True)
+    for c in SALARY_COLS:
+        same = same & F.col(f"old_{c}").eqNullSafe(F.col(c))
+    flags = p.select(same.alias("same"),
+                     (F.col("salary_avg").isNull() & F.col("old_salary_avg").isNotNull())
+                     .alias("cleared"))
+    return flags.agg(F.count(F.lit(1)).alias("n_rows"),
+                     F.count_if(~F.col("same")).alias("changed"),
+                     F.count_if(F.col("cleared")).alias("cleared"))
 
 
 def backfill_bronze(silver: DataFrame, bronze: DataFrame) -> DataFrame:

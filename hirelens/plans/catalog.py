@@ -654,3 +654,228 @@ def q_skill_premium(spark, sf_dir):
 SELECT skill, n FROM counts ORDER BY n DESC, skill ASC LIMIT 80""")
 def q_skill_freq(spark, sf_dir):
     return skills.skill_freq(_jobs(spark, sf_dir), 80)
+
+
+# ---------------------------------------------------------------------------
+# C: cleaning functions over the real tables; I: ingest maintenance
+# ---------------------------------------------------------------------------
+from hirelens.functions.flags import make_job_key  # noqa: E402
+from hirelens.functions.levels import clean_education, clean_experience  # noqa: E402
+from hirelens.functions.salary import parse_salary  # noqa: E402
+from hirelens.functions.tags import extract_skills, normalize_tag, skill_count, split_tags  # noqa: E402
+from hirelens.operators import extract, ingest  # noqa: E402
+from hirelens.sources import sinks  # noqa: E402
+
+# dictionary for tagging the multilingual documents table (canonical, aliases)
+FX_DICT = [("English", ["the", "and"]), ("German", ["und", "der"]),
+           ("French", ["les", "et"]), ("Spanish", ["los", "el"]), ("Symbols", ["&", "c++"])]
+
+
+@register("parse_salary", """
+, texts AS (SELECT DISTINCT salary_text FROM bronze)
+, """ + O.salary_ctes("texts", "pt").strip() + """
+SELECT salary_text, salary_min_c / 100.0 AS salary_min, salary_max_c / 100.0 AS salary_max,
+       salary_avg_c / 100.0 AS salary_avg FROM pt""")
+def q_parse_salary(spark, sf_dir):
+    t = bronze(spark, sf_dir).select("salary_text").distinct()
+    p = t.select("salary_text", parse_salary(F.col("salary_text")).alias("p"))
+    return p.select("salary_text", *[F.col(f"p.{c}").cast("double").alias(c)
+                                     for c in ("salary_min", "salary_max", "salary_avg")])
+
+
+@register("clean_education", f"""
+SELECT DISTINCT education AS education_text, {O.education_sql('education')} AS education FROM bronze""")
+def q_clean_education(spark, sf_dir):
+    t = bronze(spark, sf_dir).select(F.col("education").alias("education_text")).distinct()
+    return t.select("education_text", clean_education(F.col("education_text")).alias("education"))
+
+
+@register("clean_experience", f"""
+SELECT DISTINCT experience AS experience_text, {O.experience_sql('experience')} AS experience
+FROM bronze""")
+def q_clean_experience(spark, sf_dir):
+    t = bronze(spark, sf_dir).select(F.col("experience").alias("experience_text")).distinct()
+    return t.select("experience_text", clean_experience(F.col("experience_text")).alias("experience"))
+
+
+@register("split_tags", f"""
+SELECT DISTINCT tags AS tags_text, {O.tags_sql('tags')} AS tags FROM bronze""")
+def q_split_tags(spark, sf_dir):
+    t = bronze(spark, sf_dir).select(F.col("tags").alias("tags_text")).distinct()
+    return t.select("tags_text", split_tags(F.col("tags_text")).alias("tags"))
+
+
+@register("extract_skills", f"""
+SELECT doc_id, {O.skills_sql("lower(coalesce(text, ''))", FX_DICT)} AS skills FROM documents""")
+def q_extract_skills(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", extract_skills(F.col("text"), dictionary=FX_DICT).alias("skills"))
+
+
+@register("make_job_key", """
+, k AS (SELECT source, job_key,
+          CASE WHEN source = 'site_b' AND job_key <> '' THEN job_key
+               ELSE 'h' || md5(concat_ws('|', coalesce(title, 'None'), coalesce(company, 'None'),
+                                          coalesce(city, 'None'))) END AS key0
+        FROM bronze)
+SELECT source, job_key, CASE WHEN length(key0) > 128 THEN 'h' || md5(key0) ELSE key0 END AS derived_key
+FROM k""")
+def q_make_job_key(spark, sf_dir):
+    b = bronze(spark, sf_dir)
+    official = F.when(F.col("source") == "site_b", F.col("job_key"))
+    return b.select("source", "job_key",
+                    make_job_key(official, F.lit(None).cast("string"), F.col("title"),
+                                 F.col("company"), F.col("city")).alias("derived_key"))
+
+
+_TAG_NORM_SQL = "CASE lower(tag) " + " ".join(
+    "WHEN '{}' THEN '{}'".format(k.replace("'", "''"), w.replace("'", "''"))
+    for k, w in dims.TAG_ALIASES.items()) + " ELSE tag END"
+
+
+@register("normalize_tag", f"""
+, t AS (SELECT DISTINCT unnest({O.stored_tags_sql()}) AS tag FROM silver)
+SELECT tag, {_TAG_NORM_SQL} AS normalized FROM t""")
+def q_normalize_tag(spark, sf_dir):
+    t = stats.exploded_tags(silver(spark, sf_dir)).distinct()
+    return t.select("tag", normalize_tag(F.col("tag")).alias("normalized"))
+
+
+@register("skill_count", f"""
+SELECT len({O.stored_tags_sql()}) AS skill_count, count(*) AS n FROM silver GROUP BY 1""")
+def q_skill_count(spark, sf_dir):
+    return (silver(spark, sf_dir).groupBy(skill_count(F.col("tags")).alias("skill_count"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+FX_PAGE_INTERN = dict(keywords=["The", "Le"], url_mark="spam-farm")
+_PAGE_TITLE_SQL = O.unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+
+
+@register("flag_intern", f"""
+SELECT page_id, coalesce(contains({_PAGE_TITLE_SQL}, 'The') OR contains({_PAGE_TITLE_SQL}, 'Le'), false)
+       OR coalesce(contains(url, 'spam-farm'), false) AS flagged
+FROM pages""")
+def q_flag_intern(spark, sf_dir):
+    p = extract.page_summary(tables.table(spark, sf_dir, "pages")).join(
+        tables.table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    return p.select("page_id", extract.flag_intern(F.col("title"), F.col("url"),
+                                                   **FX_PAGE_INTERN).alias("flagged"))
+
+
+@register("page_cards", f"""
+SELECT page_id, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang,
+       {_PAGE_TITLE_SQL} AS title,
+       len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links,
+       {O.url_job_id_sql('url')} AS job_id
+FROM pages""")
+def q_page_cards(spark, sf_dir):
+    return extract.page_summary(tables.table(spark, sf_dir, "pages"))
+
+
+@register("url_job_id", f"""
+SELECT page_id, url, {O.url_job_id_sql('url')} AS job_id FROM pages""")
+def q_url_job_id(spark, sf_dir):
+    from hirelens.functions.flags import url_job_id
+    p = tables.table(spark, sf_dir, "pages")
+    return p.select("page_id", "url", url_job_id(F.col("url")).alias("job_id"))
+
+
+@register("area_to_city", f"""
+, a AS (SELECT n.n_nationkey, concat(n.n_name, '-', r.r_name) AS area, n.n_name AS search_city
+        FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)
+SELECT n_nationkey, area,
+       coalesce(nullif({O.ustrip("split_part(area, '-', 1)")}, ''), search_city) AS city FROM a""")
+def q_area_to_city(spark, sf_dir):
+    areas = extract.nation_areas(tables.table(spark, sf_dir, "nation"),
+                                 tables.table(spark, sf_dir, "region"))
+    return extract.area_cities(areas, "-")
+
+
+@register("worklist_remaining", """
+, pr AS (SELECT city, keyword, ord1 FROM postings_raw),
+  c AS (SELECT DISTINCT city FROM pr WHERE city IS NOT NULL),
+  k AS (SELECT DISTINCT keyword FROM pr WHERE keyword IS NOT NULL),
+  done AS (SELECT DISTINCT city, keyword FROM pr WHERE ord1 < 5 AND keyword IS NOT NULL)
+SELECT c.city, k.keyword FROM c CROSS JOIN k
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.city = c.city AND d.keyword = k.keyword)""")
+def q_worklist_remaining(spark, sf_dir):
+    raw = tables.postings_raw(spark, sf_dir).select("city", "keyword", "ord1")
+    return extract.worklist_remaining(raw, F.col("ord1") < 5)
+
+
+@register("export_rows", """
+SELECT source, keyword, title, company, city, education, experience, salary_text,
+       salary_min, salary_max, salary_avg, tags FROM silver""")
+def q_export_rows(spark, sf_dir):
+    return sinks.export_frame(silver(spark, sf_dir))
+
+
+_CUT = f"TIMESTAMP '{tables.SNAPSHOT_CUTOFF} 00:00:00'"
+
+
+@register("insert_if_absent", f"""
+, batch AS (SELECT DISTINCT source, job_key FROM postings_raw),
+  b AS (SELECT source, job_key, 1 AS hit FROM bronze WHERE crawled_at < {_CUT}),
+  s AS (SELECT source, job_key, 1 AS hit FROM silver WHERE crawled_at < {_CUT})
+SELECT count(*) AS batch_rows, count_if(b.hit IS NULL) AS new_bronze, count_if(s.hit IS NULL) AS new_silver
+FROM batch LEFT JOIN b ON batch.source = b.source AND batch.job_key = b.job_key
+LEFT JOIN s ON batch.source = s.source AND batch.job_key = s.job_key""")
+def q_insert_if_absent(spark, sf_dir):
+    return ingest.insert_if_absent_counts(tables.postings_raw(spark, sf_dir),
+                                          tables.bronze_snapshot(spark, sf_dir),
+                                          tables.silver_snapshot(spark, sf_dir))
+
+
+_RECLEAN = f"""
+, j AS (SELECT s.experience, s.education, s.tags, b.experience AS raw_experience,
+               b.education AS raw_education, b.title AS raw_title
+        FROM silver s JOIN bronze b ON s.source = b.source AND s.job_key = b.job_key),
+  r AS (SELECT *, {O.experience_sql('raw_experience')} AS new_experience,
+               {O.education_sql('raw_education')} AS new_education,
+               {O.skills_sql("lower(coalesce(nullif(raw_title, ''), ''))", dims.SKILL_DICT)} AS new_tags
+        FROM j)"""
+
+
+@register("reclean_diff", _RECLEAN + """
+SELECT count(*) AS n_rows,
+       count_if(experience IS DISTINCT FROM new_experience) AS experience_changed,
+       count_if(education IS DISTINCT FROM new_education) AS education_changed,
+       count_if(coalesce(tags, '') <> new_tags) AS tags_changed
+FROM r""")
+def q_reclean_diff(spark, sf_dir):
+    return ingest.reclean_diff(silver(spark, sf_dir), bronze(spark, sf_dir))
+
+
+@register("reclean_hist", _RECLEAN + """,
+  bf AS (SELECT experience AS tier, count(*) AS n_before FROM r GROUP BY 1),
+  af AS (SELECT new_experience AS tier, count(*) AS n_after FROM r GROUP BY 1)
+SELECT coalesce(bf.tier, af.tier) AS tier, coalesce(bf.n_before, 0) AS n_before,
+       coalesce(af.n_after, 0) AS n_after
+FROM bf FULL JOIN af ON bf.tier IS NOT DISTINCT FROM af.tier""")
+def q_reclean_hist(spark, sf_dir):
+    return ingest.reclean_hist(silver(spark, sf_dir), bronze(spark, sf_dir))
+
+
+@register("resalary_diff", """
+, sv AS (SELECT salary_text, salary_min_c AS old_min, salary_max_c AS old_max,
+                salary_avg_c AS old_avg FROM silver)
+, """ + O.salary_ctes("sv", "rs").strip() + """
+SELECT count(*) AS n_rows,
+       count_if(old_min IS DISTINCT FROM salary_min_c OR old_max IS DISTINCT FROM salary_max_c
+                OR old_avg IS DISTINCT FROM salary_avg_c) AS changed,
+       count_if(salary_avg_c IS NULL AND old_avg IS NOT NULL) AS cleared
+FROM rs""")
+def q_resalary_diff(spark, sf_dir):
+    return ingest.resalary_diff(silver(spark, sf_dir))
+
+
+@register("backfill_bronze", f"""
+SELECT s.source, s.job_key, s.title, s.salary_text, s.city, s.experience, s.education, s.tags,
+       s.keyword, s.crawled_at
+FROM silver s WHERE NOT EXISTS (
+  SELECT 1 FROM bronze b WHERE b.crawled_at < {_CUT} AND b.source = s.source AND b.job_key = s.job_key)""")
+def q_backfill_bronze(spark, sf_dir):
+    rows = ingest.backfill_bronze(silver(spark, sf_dir), tables.bronze_snapshot(spark, sf_dir))
+    return rows.select("source", "job_key", "title", "salary_text", "city", "experience",
+                       "education", "tags", "keyword", "crawled_at")

@@ -194,3 +194,31 @@ def stored_tags_sql(x: str = "tags") -> str:
 
 def in_list(values: list[str]) -> str:
     return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def skills_sql(blob: str, dictionary) -> str:
+    """Dictionary tagging without look-around: (^|[^a-z])alias([^a-z]|$) for ASCII words."""
+    from hirelens.functions.text import rx_escape
+    items = []
+    for canon, aliases in dictionary:
+        pats = []
+        for a in aliases:
+            if a.isascii() and a.isalpha():
+                pats.append(f"(^|[^a-z]){rx_escape(a)}([^a-z]|$)")
+            else:
+                pats.append(rx_escape(a))
+        pat = "|".join(pats).replace("'", "''")
+        items.append(f"CASE WHEN regexp_matches({blob}, '{pat}') THEN '{canon}' END")
+    return f"array_to_string(list_filter([{', '.join(items)}], lambda v: v IS NOT NULL), ',')"
+
+
+def unescape_sql(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def url_job_id_sql(url: str) -> str:
+    m = f"regexp_extract({url}, '/(?:lpt)?job/([0-9]+)', 1)"
+    return (f"CASE WHEN {url} IS NULL OR {url} = '' THEN '' WHEN {m} <> '' THEN {m} "
+            f"ELSE split_part({url}, '?', 1) END")
