@@ -879,3 +879,87 @@ def q_backfill_bronze(spark, sf_dir):
     rows = ingest.backfill_bronze(silver(spark, sf_dir), tables.bronze_snapshot(spark, sf_dir))
     return rows.select("source", "job_key", "title", "salary_text", "city", "experience",
                        "education", "tags", "keyword", "crawled_at")
+
+
+# ---------------------------------------------------------------------------
+# M: salary models (training is iterative -> rows-only checks, except M1/M2)
+# ---------------------------------------------------------------------------
+from hirelens.operators import ml  # noqa: E402
+from hirelens.session import work_root  # noqa: E402
+
+# Registered runs use smaller forests/boosting than the library defaults
+# (ModelSizes(): 200 trees depth 12, 200 boosting rounds) to keep the check short.
+FX_SIZES = ml.ModelSizes(rf_trees=10, rf_depth=6, gbt_iter=10, gbt_depth=3, seed=42)
+_TRAINED: dict = {}
+
+_ML_FRAME_SQL = f"""
+, frame AS (SELECT coalesce(source, 'unknown') AS source, job_key, city, education, experience,
+                   keyword, len({O.stored_tags_sql()}) AS skill_count, salary_avg
+            FROM silver WHERE salary_avg IS NOT NULL AND city IS NOT NULL
+              AND education IS NOT NULL AND experience IS NOT NULL AND keyword IS NOT NULL)"""
+
+
+@register("ml_frame", _ML_FRAME_SQL + "\nSELECT * FROM frame")
+def q_ml_frame(spark, sf_dir):
+    return ml.ml_frame(silver(spark, sf_dir))
+
+
+@register("ml_weights", _ML_FRAME_SQL + """
+, c AS (SELECT experience, count(*) AS n FROM frame GROUP BY experience)
+SELECT experience, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c""")
+def q_ml_weights(spark, sf_dir):
+    return ml.class_weights(ml.ml_frame(silver(spark, sf_dir)))
+
+
+@register("ml_split")
+def q_ml_split(spark, sf_dir):
+    s = ml.stratified_split(ml.ml_frame(silver(spark, sf_dir)))
+    return s.groupBy("experience", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _trained(spark, sf_dir):
+    key = (sf_dir, id(spark))
+    if key not in _TRAINED:
+        work_root(spark)
+        frame = ml.ml_frame(silver(spark, sf_dir))
+        ml.require_rows(frame)
+        _TRAINED[key] = ml.train_and_select(frame, FX_SIZES)
+    return _TRAINED[key]
+
+
+@register("ml_scores")
+def q_ml_scores(spark, sf_dir):
+    res, _ = _trained(spark, sf_dir)
+    rows = [(s["model"], float(s["cv_r2"]), float(s["test_r2"]), float(s["test_mae"]),
+             s["model"] == res.best) for s in res.scores]
+    return spark.createDataFrame(rows, "model string, cv_r2 double, test_r2 double, "
+                                       "test_mae double, best boolean")
+
+
+@register("ml_importance")
+def q_ml_importance(spark, sf_dir):
+    res, test = _trained(spark, sf_dir)
+    return ml.permutation_importance(res.model, test, repeats=10, seed=42)
+
+
+@register("ml_score_batch")
+def q_ml_score_batch(spark, sf_dir):
+    res, test = _trained(spark, sf_dir)
+    frame = ml.ml_frame(silver(spark, sf_dir))
+    options = stats.feature_options(frame, FX_CITIES)
+    requests = test.select("city", "education", "experience", "keyword")
+    return ml.score_batch(res.model, requests, options, default_source="site_b")
+
+
+@register("feature_options", _ML_FRAME_SQL + f"""
+, opts AS (
+  SELECT DISTINCT 'city' AS feature, city AS value FROM frame WHERE city IN {CITY_IN}
+  UNION SELECT DISTINCT 'education', education FROM frame
+  UNION SELECT DISTINCT 'experience', experience FROM frame
+  UNION SELECT DISTINCT 'keyword', keyword FROM frame
+  UNION SELECT DISTINCT 'source', source FROM frame)
+SELECT feature, value,
+       CASE WHEN feature = 'city' THEN CAST(replace(value, 'NATION_', '') AS INTEGER) END AS city_ord
+FROM opts""")
+def q_feature_options(spark, sf_dir):
+    return stats.feature_options(ml.ml_frame(silver(spark, sf_dir)), FX_CITIES)
