@@ -74,15 +74,82 @@ def parse_salary(text: Column) -> Column:
     return _salary_struct(t, nums, units)
 
 
+# Integer-cent arithmetic: a number is read as decimal(12,4) and carried as
+# ten-thousandths in a long; each rounding is an exact half-up integer division
+# (2a + b) div 2b. Identical to the oracle SQL and free of BigDecimal.
+_CENTS = {
+    # day rate: x * 21.75 / 1000 K  -> cents = x_u * 2175 / 10^7
+    1: "(2 * {x} * 2175 + 10000000) div 20000000",
+    # year: x / 12 K -> cents = y_u / 1200
+    2: "(2 * {y} + 1200) div 2400",
+    # month: x * months / 12 K -> cents = y_u * months / 1200
+    0: "(2 * {y} * __months + 1200) div 2400",
+}
+
+
 def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
-    """Add salary_min/max/avg via staged projections so each regex runs once per row."""
-    staged = df.withColumn("__t", compact(F.col(text_col)))
-    staged = staged.withColumn("__d", F.regexp_replace(F.col("__t"), MONTHS_SUFFIX, ""))
-    staged = staged.withColumns({
-        "__nums": F.regexp_extract_all(F.col("__d"), F.lit(NUM_UNIT), F.lit(1)),
-        "__units": F.regexp_extract_all(F.col("__d"), F.lit(NUM_UNIT), F.lit(2)),
+    """Add salary_min/max/avg (decimal(12,2)) through staged projections.
+
+    Every intermediate is a column used more than once by the next stage, so
+    Catalyst keeps the stages apart instead of inlining (and re-evaluating) the
+    regex extraction inside every CASE branch.
+    """
+    t, d = F.col("__t"), F.col("__d")
+    st = df.withColumn("__t", compact(F.col(text_col)))
+    st = st.withColumn("__d", F.regexp_replace(t, MONTHS_SUFFIX, ""))
+    st = st.withColumns({
+        "__nums": F.regexp_extract_all(d, F.lit(NUM_UNIT), F.lit(1)),
+        "__units": F.regexp_extract_all(d, F.lit(NUM_UNIT), F.lit(2)),
+        "__months": F.coalesce(F.regexp_extract(t, MONTHS_SUFFIX, 1).try_cast("int"), F.lit(12)),
+        # 0 = month, 1 = day, 2 = year
+        "__period": F.when(t.contains("/天") | t.contains("/日"), F.lit(1))
+                     .when(t.contains("/年"), F.lit(2)).otherwise(F.lit(0)),
+        "__fill": F.when(t.contains("万") | t.contains("w") | t.contains("W"), F.lit("万"))
+                   .when(t.contains("K") | t.contains("k") | t.contains("千"), F.lit("K"))
+                   .otherwise(F.lit("")),
+        "__open": t.contains("以上") | t.contains("+"),
+    })
+    nums, units = F.col("__nums"), F.col("__units")
+
+    def units_of(c: Column) -> Column:
+        return (c.try_cast("decimal(12,4)") * F.lit(10000)).cast("bigint")
+
+    st = st.withColumns({
+        "__n": F.size(nums),
+        "__x0": units_of(F.get(nums, 0)), "__x1": units_of(F.get(nums, 1)),
+        "__u0": F.coalesce(F.when(F.get(units, 0) != "", F.get(units, 0)), F.col("__fill")),
+        "__u1": F.coalesce(F.when(F.get(units, 1) != "", F.get(units, 1)), F.col("__fill")),
+    })
+    st = st.withColumns({
+        f"__y{i}": F.when(F.col(f"__u{i}").isin("万", "w", "W"), F.col(f"__x{i}") * 10)
+                    .otherwise(F.col(f"__x{i}")) for i in (0, 1)})
+
+    def cents(i: int) -> Column:
+        x, y = f"__x{i}", f"__y{i}"
+        return (F.when(F.col("__period") == 1, F.expr(_CENTS[1].format(x=x)))
+                .when(F.col("__period") == 2, F.expr(_CENTS[2].format(y=y)))
+                .otherwise(F.expr(_CENTS[0].format(y=y))))
+
+    st = st.withColumn("__c0", cents(0))
+    st = st.withColumn("__c1", F.when(F.col("__n") == 1, F.col("__c0")).otherwise(cents(1)))
+    c0, c1, n = F.col("__c0"), F.col("__c1"), F.col("__n")
+    limit = F.lit(1_000_000_000_000)          # decimal(12,2) holds < 10^10 K
+    st = st.withColumns({
+        "__ok": (n > 0) & c0.isNotNull() & c1.isNotNull() & (c0 < limit) & (c1 < limit),
+        "__oe": (n == 1) & F.col("__open"),
+        "__s": c0 + c1,
+    })
+    ok, oe = F.col("__ok"), F.col("__oe")
+    q = F.expr("__s div 2")
+    avg_c = q + F.when((F.col("__s") % 2 == 1) & (q % 2 == 1), F.lit(1)).otherwise(F.lit(0))
+
+    def dec(c: Column) -> Column:
+        return (c.cast("decimal(12,0)") * F.lit(0.01).cast("decimal(2,2)")).cast(OUT_TYPE)
+
+    null_dec = F.lit(None).cast(OUT_TYPE)
+    out = st.withColumns({
+        "salary_min": F.when(ok, dec(c0)).otherwise(null_dec),
+        "salary_max": F.when(ok & ~oe, dec(c1)).otherwise(null_dec),
+        "salary_avg": F.when(ok & oe, dec(c0)).when(ok, dec(avg_c)).otherwise(null_dec),
     })
-    staged = staged.withColumn(
-        "__s", _salary_struct(F.col("__t"), F.col("__nums"), F.col("__units")))
-    return (staged.withColumns({c: F.col(f"__s.{c}") for c in SALARY_COLS})
-            .drop("__t", "__d", "__nums", "__units", "__s"))
+    return out.drop(*[c for c in out.columns if c.startswith("__")])

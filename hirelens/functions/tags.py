@@ -8,16 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirelens import dims
-from hirelens.functions.text import rx_escape, ustrip
+from hirelens.functions.text import WS_CLASS, rx_escape, ustrip
 
 # Separators: the fixed punctuation set plus any Unicode blank.
-TAG_SPLIT = "(?U)[" + dims.TAG_SEPARATORS.replace("|", "\\|") + r"\s]+"
+TAG_SPLIT = "[" + dims.TAG_SEPARATORS.replace("|", "\\|") + WS_CLASS + "]+"
 
 
 def tag_array(text: Column) -> Column:
-    """Split a raw tag text into non-blank parts (array<string>, never null)."""
-    parts = F.split(ustrip(F.coalesce(text, F.lit(""))), TAG_SPLIT)
-    return F.filter(F.transform(parts, lambda x: ustrip(x)), lambda x: x != "")
+    """Split a raw tag text into non-blank parts (array<string>, never null).
+
+    Parts cannot contain a blank (blanks are separators), so dropping empty
+    strings is all the per-part clean-up needed: no lambda.
+    """
+    return F.array_remove(F.split(ustrip(F.coalesce(text, F.lit(""))), TAG_SPLIT), "")
 
 
 def split_tags(text: Column) -> Column:

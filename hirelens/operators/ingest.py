@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions.flags import make_job_key
-from hirelens.functions.levels import clean_education, clean_experience
+from hirelens.functions.levels import clean_education, clean_experience, with_levels
 from hirelens.functions.salary import SALARY_COLS, with_salary
 from hirelens.functions.tags import extract_skills, split_tags
 
@@ -72,12 +72,10 @@ def bronze_from_raw(raw: DataFrame) -> DataFrame:
 
 def silver_from_bronze(bronze: DataFrame) -> DataFrame:
     """The single cleaning projection (C1-C4) from bronze text columns."""
-    df = with_salary(bronze, "salary_text")
+    df = with_levels(with_salary(bronze, "salary_text"))
     return df.select(
         "source", "job_key", "title", "keyword", "salary_text", "city", "company",
-        "company_size", "industry", *SALARY_COLS,
-        clean_experience(F.col("experience")).alias("experience"),
-        clean_education(F.col("education")).alias("education"),
+        "company_size", "industry", *SALARY_COLS, "experience", "education",
         split_tags(F.col("tags")).alias("tags"),
         "crawled_at")
 

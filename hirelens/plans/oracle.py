@@ -16,7 +16,8 @@ MONTHS_STRIP = r"[·xX*,，/、][0-9]{1,2}薪"
 
 
 def ustrip(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    from hirelens.functions.text import WS_CHARS
+    return f"trim({x}, '{WS_CHARS}')"
 
 
 def mean6(cents: str) -> str:
@@ -83,9 +84,9 @@ def salary_ctes(src: str, prefix: str = "sal") -> str:
 
     def cents(i: str) -> str:
         x, y = f"_x{i}", f"_y{i}"
-        return (f"CASE _period WHEN 'day' THEN (2 * {x} * 2175 + 1000000000) // 2000000000 "
-                f"WHEN 'year' THEN (2 * {y} + 120000) // 240000 "
-                f"ELSE (2 * {y} * _months + 120000) // 240000 END")
+        return (f"CASE _period WHEN 'day' THEN (2 * {x} * 2175 + 10000000) // 20000000 "
+                f"WHEN 'year' THEN (2 * {y} + 1200) // 2400 "
+                f"ELSE (2 * {y} * _months + 1200) // 2400 END")
 
     return f"""
 {T}_a AS (SELECT *, replace({ustrip('salary_text')}, ' ', '') AS _t FROM {src}),
@@ -102,8 +103,8 @@ def salary_ctes(src: str, prefix: str = "sal") -> str:
   FROM {T}_b),
 {T}_d AS (
   SELECT *, len(_nums) AS _n,
-    CAST(TRY_CAST(_nums[1] AS DECIMAL(18,6)) * 1000000 AS HUGEINT) AS _x0,
-    CAST(TRY_CAST(_nums[2] AS DECIMAL(18,6)) * 1000000 AS HUGEINT) AS _x1,
+    CAST(TRY_CAST(_nums[1] AS DECIMAL(12,4)) * 10000 AS HUGEINT) AS _x0,
+    CAST(TRY_CAST(_nums[2] AS DECIMAL(12,4)) * 10000 AS HUGEINT) AS _x1,
     coalesce(nullif(_units[1], ''), _fill) AS _u0,
     coalesce(nullif(_units[2], ''), _fill) AS _u1
   FROM {T}_c),
@@ -160,9 +161,10 @@ def education_sql(x: str) -> str:
 
 
 def tags_sql(x: str) -> str:
-    sep = "[,，、;；/|" + WS[1:-1] + "]+"
+    from hirelens.functions.text import WS_CLASS
+    sep = "[,，、;；/|" + WS_CLASS + "]+"
     parts = f"string_split_regex({ustrip(f'coalesce({x}, {chr(39)}{chr(39)})')}, '{sep}')"
-    clean = f"list_filter(list_transform({parts}, lambda v: {ustrip('v')}), lambda v: v <> '')"
+    clean = f"list_filter({parts}, lambda v: v <> '')"
     return f"array_to_string({clean}, ',')"
 
 

@@ -122,13 +122,16 @@ def _input_tag(sf_dir: str) -> str:
 
 
 _CACHE: dict[tuple, str] = {}
+# Optional run tag: when set (e.g. by the benchmark), tables are rebuilt under a
+# fresh name instead of reusing an earlier build with the same inputs and code.
+RUN_TAG = ""
 
 
 def _stored(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
     key = (kind, os.path.abspath(sf_dir))
     path = _CACHE.get(key)
     if path is None:
-        path = work_path(spark, f"{kind}-{_input_tag(sf_dir)}-{_code_version()}")
+        path = work_path(spark, f"{kind}-{_input_tag(sf_dir)}-{_code_version()}{RUN_TAG}")
         if not path_exists(spark, path + "/_SUCCESS"):
             (build().write.mode("overwrite")
              .option("maxRecordsPerFile", 5_000_000)
