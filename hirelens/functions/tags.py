@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,21 +37,28 @@ def skill_count(tags: Column) -> Column:
     return F.size(stored_tags(tags))
 
 
-def _alias_pattern(aliases: list[str]) -> str:
-    parts = []
-    for a in aliases:
-        if a.isascii() and a.isalpha():
-            parts.append(r"(?<![a-z])" + rx_escape(a) + r"(?![a-z])")
-        else:
-            parts.append(rx_escape(a))
-    return "|".join(parts)
+def _alias_hit(blob: Column, alias: str) -> Column:
+    """ASCII-letter aliases need a non-letter on both sides, others are substrings.
+
+    The native substring test runs first; the look-around regex only runs for rows
+    that contain the alias at all (``&`` short-circuits), same result, far fewer scans.
+    """
+    found = F.instr(blob, alias) > 0
+    if alias.isascii() and alias.isalpha():
+        return found & blob.rlike(r"(?<![a-z])" + rx_escape(alias) + r"(?![a-z])")
+    return found
 
 
 def skill_hits(blob: Column, dictionary: list[tuple[str, list[str]]] | None = None) -> Column:
     """Array of canonical names whose aliases hit the lower-cased ``blob``, dictionary order."""
     dictionary = dictionary or dims.SKILL_DICT
-    hits = [F.when(blob.rlike(_alias_pattern(aliases)), F.lit(canon))
-            for canon, aliases in dictionary]
+    hits = []
+    for canon, aliases in dictionary:
+        cond = None
+        for a in aliases:
+            h = _alias_hit(blob, a)
+            cond = h if cond is None else (cond | h)
+        hits.append(F.when(cond, F.lit(canon)))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
