@@ -305,3 +305,41 @@ def score_batch(model: PipelineModel, requests: DataFrame, options: DataFrame,
     bad = v.where(F.col("reason").isNotNull())
     return pred.unionByName(bad.withColumn("predicted_salary", F.lit(None).cast("double")),
                             allowMissingColumns=True)
+
+
+# M9 / M11 -----------------------------------------------------------------------
+def train(frame: DataFrame, model_dir: str, cities: list[str], sizes: ModelSizes | None = None,
+          seed: int = 42) -> dict:
+    """Full training job: guard, select by CV, importance on the held-out split
+    (before the refit), options, refit on all rows, save model + report (S14)."""
+    from hirelens.operators.stats import feature_options
+    from hirelens.sources.sinks import write_report
+    spark = frame.sparkSession
+    n = require_rows(frame)
+    res, test = train_and_select(frame, sizes, seed=seed)
+    imp = permutation_importance(res.model, test, seed=seed)
+    importance = sorted(([r.label, round(r.importance, 4)] for r in imp.collect()),
+                        key=lambda x: -x[1])
+    opts = feature_options(frame, cities).orderBy("feature", "city_ord", "value")
+    options: dict[str, list] = {}
+    for r in opts.collect():                 # bounded: distinct values of 5 categoricals
+        options.setdefault(r.feature, []).append(r.value)
+    final = refit_best(frame, res.best, sizes, seed)
+    final.write().overwrite().save(f"{model_dir}/model")
+    report = {"n_samples": n, "best_model": res.best,
+              "scores": [{k: (round(v, 4) if isinstance(v, float) else v) for k, v in s.items()}
+                         for s in res.scores],
+              "feature_options": options, "feature_importance": importance}
+    write_report(spark, report, f"{model_dir}/report")
+    return report
+
+
+def load_model(model_dir: str) -> PipelineModel:
+    return PipelineModel.load(f"{model_dir}/model")
+
+
+def model_report(spark, model_dir: str) -> dict:
+    """The saved report, or ``{"trained": False}`` when nothing was trained."""
+    from hirelens.sources.sinks import read_report
+    r = read_report(spark, f"{model_dir}/report")
+    return r if r is not None else {"trained": False}
