@@ -103,17 +103,25 @@ def posthoc_report(silver: DataFrame, col: str, pairs=None, min_n: int = dims.MI
 
 # Spearman ---------------------------------------------------------------------
 
-def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Attach the average (tie-aware, 1-based) rank of ``col``.
-
-    Counts per distinct value -> running sum over the ordered distinct values ->
-    join back. Only the distinct-value table is ordered in one window, never the rows.
-    """
+def rank_table(df: DataFrame, col: str, out: str) -> DataFrame:
+    """(value, average 1-based rank) for ``col``: counts per distinct value, then a
+    running sum over the ordered distinct values -- never a window over the rows."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(
+    return counts.select(
         col, (F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2.0).alias(out))
-    return df.join(ranks, col, "inner")
+
+
+def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Attach ``r_<col>`` for every column; all rank tables come from the same input."""
+    out = df
+    for c in cols:
+        out = out.join(rank_table(df, c, f"r_{c}"), c, "inner")
+    return out
+
+
+def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+    return df.join(rank_table(df, col, out), col, "inner")
 
 
 def _pearson(x: str, y: str):
@@ -140,9 +148,7 @@ def spearman_matrix(silver: DataFrame) -> DataFrame:
     """
     base = spearman_frame(silver)
     known = F.col("education").isNotNull() & F.col("experience").isNotNull()
-    rows = base.where(known)
-    for f in FACTORS:
-        rows = average_rank(rows, f, f"r_{f}")
+    rows = with_ranks(base.where(known), FACTORS)
     pairs = [(a, b) for i, a in enumerate(FACTORS) for b in FACTORS[i + 1:]]
     stats = rows.agg(F.count(F.lit(1)).alias("n"),
                      *[_pearson(f"r_{a}", f"r_{b}").alias(f"{a}__{b}") for a, b in pairs])
@@ -168,7 +174,7 @@ def spearman_exp_salary(silver: DataFrame, min_n: int = dims.MIN_GROUP_N) -> Dat
     rows = (silver.where(F.col("salary_avg").isNotNull() & lab.isin(dims.EXP_ORDER))
             .select(order_index(lab, dims.EXP_ORDER).alias("x"),
                     F.col("salary_avg").cast("double").alias("y")))
-    rows = average_rank(average_rank(rows, "x", "rx"), "y", "ry")
+    rows = with_ranks(rows, ["x", "y"]).withColumnRenamed("r_x", "rx").withColumnRenamed("r_y", "ry")
     a = rows.agg(F.count(F.lit(1)).alias("n"), _pearson("rx", "ry").alias("rho"))
     rho = F.when(F.col("n") >= min_n, F.round(F.col("rho"), 6))
     return a.select("n", rho.alias("rho"),
