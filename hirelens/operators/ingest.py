@@ -186,3 +186,23 @@ def backfill_bronze(silver: DataFrame, bronze: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("area"),
         "experience", "education", "company", "company_size", "industry", "tags", "keyword",
         F.lit(None).cast("string").alias("detail_url"), "crawled_at")
+
+
+def resalary_samples(silver: DataFrame, n: int = 15) -> DataFrame:
+    """I7 preview: up to ``n`` changed rows, salary text with old -> new average."""
+    old = silver.select(*KEYS, "salary_text", *[F.col(c).alias(f"old_{c}") for c in SALARY_COLS])
+    p = with_salary(old, "salary_text")
+    changed = ~(F.col("old_salary_min").eqNullSafe(F.col("salary_min"))
+                & F.col("old_salary_max").eqNullSafe(F.col("salary_max"))
+                & F.col("old_salary_avg").eqNullSafe(F.col("salary_avg")))
+    return (p.where(changed).select(*KEYS, "salary_text", "old_salary_avg", "salary_avg")
+            .orderBy(*KEYS).limit(n))
+
+
+def commit_batch(rows: DataFrame, table_path: str, batch_id: int) -> None:
+    """All-or-nothing append of one batch as its own ``batch_id=N`` partition.
+
+    The output committer publishes the files only when the whole write job
+    succeeds; a retried batch overwrites its own partition, never duplicates it.
+    """
+    rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")

@@ -210,3 +210,27 @@ def clean_outlier_report(silver: DataFrame, bronze: DataFrame, threshold: float
 
 def doomed_outlier(silver: DataFrame, threshold: float = 200.0) -> DataFrame:
     return silver.where(F.col("salary_avg") > threshold).select(*KEYS)
+
+
+# D5 / S15 -----------------------------------------------------------------------
+def run_cleanup(silver: DataFrame, bronze: DataFrame, doomed: DataFrame, apply: bool = False,
+                silver_out: str | None = None, bronze_out: str | None = None) -> DataFrame:
+    """Preview/apply switch shared by the clean-up jobs.
+
+    Preview (default) only returns the deleted/kept counts. ``apply=True`` also
+    writes the two new snapshots (``table LEFT ANTI JOIN doomed``) to the given
+    folders; readers switch to them afterwards, the old snapshot stays intact.
+    """
+    summary = delete_summary(silver, bronze, doomed)
+    if apply:
+        if not (silver_out and bronze_out):
+            raise ValueError("apply=True needs silver_out and bronze_out")
+        s_new, b_new = apply_delete(silver, bronze, doomed)
+        s_new.write.mode("overwrite").partitionBy("source").parquet(silver_out)
+        b_new.write.mode("overwrite").partitionBy("source").parquet(bronze_out)
+    return summary
+
+
+def preview_sample(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows of a preview in a fixed order (deterministic sample)."""
+    return df.orderBy(*(order or KEYS)).limit(n)

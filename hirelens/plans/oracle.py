@@ -137,7 +137,8 @@ def salary_ctes(src: str, prefix: str = "sal") -> str:
 def experience_sql(x: str) -> str:
     t = ustrip(x)
     nums = f"list_transform(regexp_extract_all({t}, '[0-9]+'), lambda v: TRY_CAST(v AS BIGINT))"
-    any_kw = " OR ".join(f"contains({t}, '{k}')" for k in ["应届", "在校", "经验不限", "无需经验", "不限"])
+    from hirelens.dims import EXPERIENCE_ANY_KWS
+    any_kw = " OR ".join(f"contains({t}, '{k}')" for k in EXPERIENCE_ANY_KWS)
     first = f"({nums})[1]"
     years = f"CASE WHEN len({nums}) > 1 THEN list_min({nums}) ELSE {first} END"
     return f"""(CASE WHEN {x} IS NULL OR {x} = '' THEN NULL
@@ -152,9 +153,7 @@ def experience_sql(x: str) -> str:
 
 
 def education_sql(x: str) -> str:
-    rules = [("博士", "博士"), ("EMBA", "硕士"), ("MBA", "硕士"), ("硕士", "硕士"),
-             ("研究生", "硕士"), ("本科", "本科"), ("大专", "大专"), ("专科", "大专"),
-             ("高中", "高中及以下"), ("中专", "高中及以下"), ("初中", "高中及以下")]
+    from hirelens.dims import EDUCATION_RULES as rules
     t = ustrip(x)
     whens = " ".join(f"WHEN contains({t}, '{k}') THEN '{v}'" for k, v in rules)
     return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN NULL {whens} ELSE '不限' END)"

@@ -25,3 +25,23 @@ def test_seed_ingest(spark):
     # running the same batch against what it produced adds nothing
     b2, s2 = ingest.ingest_batch(kept, b_new, s_new, order=())
     assert b2.count() == 0 and s2.count() == 0
+
+
+def test_cleanup_apply_and_commit(spark):
+    import os
+    from hirelens.operators import quality
+    from hirelens.session import scratch_dir
+    d = scratch_dir()
+    cards = seed_cards(spark)
+    b = ingest.bronze_from_raw(ingest.dedupe_first(ingest.keyed(cards), order=()))
+    s = ingest.silver_from_bronze(b)
+    doomed = quality.doomed_outlier(s, 30.0)
+    summary = {r.tbl: (r.deleted, r.kept) for r in
+               quality.run_cleanup(s, b, doomed, apply=True, silver_out=os.path.join(d, "s"),
+                                   bronze_out=os.path.join(d, "b")).collect()}
+    assert summary["job"] == summary["raw_job"]
+    assert spark.read.parquet(os.path.join(d, "s")).count() == summary["job"][1]
+    ingest.commit_batch(s, os.path.join(d, "t"), 0)
+    ingest.commit_batch(s, os.path.join(d, "t"), 0)      # retry: same partition, no duplicates
+    assert spark.read.parquet(os.path.join(d, "t")).count() == s.count()
+    assert ingest.resalary_samples(s).count() == 0
