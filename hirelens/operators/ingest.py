@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hirelens.functions.flags import make_job_key
 from hirelens.functions.levels import clean_education, clean_experience, with_levels
 from hirelens.functions.salary import SALARY_COLS, with_salary
-from hirelens.functions.tags import extract_skills, split_tags
+from hirelens.functions.tags import split_tags, with_skills
 
 KEYS = ["source", "job_key"]
 
@@ -125,14 +125,16 @@ def reclean_diff(silver: DataFrame, bronze: DataFrame) -> DataFrame:
 
 
 def recleaned(silver: DataFrame, bronze: DataFrame) -> DataFrame:
+    """silver JOIN bronze on the key, with experience/education re-derived from the
+    bronze texts and tags re-extracted from the title (staged projections)."""
     b = bronze.select(*KEYS, F.col("experience").alias("raw_experience"),
                       F.col("education").alias("raw_education"),
                       F.col("title").alias("raw_title"))
     j = silver.select(*KEYS, "experience", "education", "tags").join(b, KEYS, "inner")
+    j = with_levels(j, "raw_experience", "raw_education", "new_experience", "new_education")
+    j = with_skills(j, ["raw_title"], "new_tags")
     return j.select(*KEYS, "experience", "education", "tags",
-                    clean_experience(F.col("raw_experience")).alias("new_experience"),
-                    clean_education(F.col("raw_education")).alias("new_education"),
-                    extract_skills(F.col("raw_title")).alias("new_tags"))
+                    "new_experience", "new_education", "new_tags")
 
 
 def reclean_hist(silver: DataFrame, bronze: DataFrame) -> DataFrame:

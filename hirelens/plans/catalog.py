@@ -662,7 +662,7 @@ def q_skill_freq(spark, sf_dir):
 from hirelens.functions.flags import make_job_key  # noqa: E402
 from hirelens.functions.levels import clean_education, clean_experience  # noqa: E402
 from hirelens.functions.salary import parse_salary  # noqa: E402
-from hirelens.functions.tags import extract_skills, normalize_tag, skill_count, split_tags  # noqa: E402
+from hirelens.functions.tags import normalize_tag, skill_count, split_tags, with_skills  # noqa: E402
 from hirelens.operators import extract, ingest  # noqa: E402
 from hirelens.sources import sinks  # noqa: E402
 
@@ -708,8 +708,8 @@ def q_split_tags(spark, sf_dir):
 @register("extract_skills", f"""
 SELECT doc_id, {O.skills_sql("lower(coalesce(text, ''))", FX_DICT)} AS skills FROM documents""")
 def q_extract_skills(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", extract_skills(F.col("text"), dictionary=FX_DICT).alias("skills"))
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_skills(docs, ["text"], "skills", FX_DICT).select("doc_id", "skills")
 
 
 @register("make_job_key", """
