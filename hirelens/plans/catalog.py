@@ -661,7 +661,7 @@ def q_skill_freq(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from hirelens.functions.flags import make_job_key  # noqa: E402
 from hirelens.functions.levels import clean_education, clean_experience  # noqa: E402
-from hirelens.functions.salary import parse_salary  # noqa: E402
+from hirelens.functions.salary import with_salary  # noqa: E402
 from hirelens.functions.tags import normalize_tag, skill_count, split_tags, with_skills  # noqa: E402
 from hirelens.operators import extract, ingest  # noqa: E402
 from hirelens.sources import sinks  # noqa: E402
@@ -678,9 +678,8 @@ SELECT salary_text, salary_min_c / 100.0 AS salary_min, salary_max_c / 100.0 AS
        salary_avg_c / 100.0 AS salary_avg FROM pt""")
 def q_parse_salary(spark, sf_dir):
     t = bronze(spark, sf_dir).select("salary_text").distinct()
-    p = t.select("salary_text", parse_salary(F.col("salary_text")).alias("p"))
-    return p.select("salary_text", *[F.col(f"p.{c}").cast("double").alias(c)
-                                     for c in ("salary_min", "salary_max", "salary_avg")])
+    return with_salary(t).select("salary_text", *[F.col(c).cast("double").alias(c)
+                                                  for c in ("salary_min", "salary_max", "salary_avg")])
 
 
 @register("clean_education", f"""
