@@ -28,7 +28,15 @@ def r6(c):
     return F.round(c, 6)
 
 
+# None = exact medians (default; buffers value->count maps, bounded by distinct
+# salaries). An integer switches every median here to percentile_approx with that
+# accuracy, for deployments where distinct values per group become unbounded.
+MEDIAN_ACCURACY: int | None = None
+
+
 def med(c: str = "salary_avg"):
+    if MEDIAN_ACCURACY is not None:
+        return F.round(F.percentile_approx(sal(c), 0.5, MEDIAN_ACCURACY).cast("double"), 6)
     return F.round(F.median(sal(c)), 6)
 
 

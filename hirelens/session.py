@@ -13,6 +13,11 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # AQE coalesces the configured shuffle partitions down to ~256 MB each, so the
+    # same code serves 60k rows locally and 100 TB on a cluster (set
+    # spark.sql.shuffle.partitions high there, e.g. 4x the total cores or more).
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -75,3 +75,15 @@ def test_importance_shares(spark):
     vals = [r.importance for r in imp.collect()]
     assert all(v >= 0 for v in vals)
     assert abs(sum(vals) - 1.0) < 1e-9 or sum(vals) == 0.0
+
+
+def test_approx_median_switch(spark):
+    s = tables.silver(spark, SF_SMALL)
+    exact = {r.city: r.median_salary for r in stats.salary_by_city(s, [f"NATION_{i}" for i in range(25)], 25, 1).collect()}
+    stats.MEDIAN_ACCURACY = 10000
+    try:
+        approx = {r.city: r.median_salary for r in stats.salary_by_city(s, [f"NATION_{i}" for i in range(25)], 25, 1).collect()}
+    finally:
+        stats.MEDIAN_ACCURACY = None
+    assert set(exact) == set(approx)
+    assert all(abs(exact[c] - approx[c]) <= 5.0 for c in exact)
