@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions.tags import skill_set
+from hirelens.functions.text import WS_CLASS
 
 
 def postings_skills(silver: DataFrame, aliases: dict | None = None) -> DataFrame:
-    """G1: (skills: distinct normalised set, salary_avg) for postings with >= 1 skill."""
-    return (silver.where(F.col("tags").isNotNull())
-            .select(skill_set(F.col("tags"), aliases).alias("skills"), "salary_avg")
-            .where(F.size("skills") > 0))
+    """G1: (skills: distinct normalised set, salary_avg) for postings with >= 1 skill.
+
+    "At least one skill" is tested on the raw text (some character that is neither
+    a comma nor a blank): equivalent to a non-empty set, and unlike a filter on the
+    derived array it does not make Catalyst evaluate the normalisation twice.
+    """
+    has_tag = F.col("tags").rlike("[^," + WS_CLASS + "]")
+    return (silver.where(F.col("tags").isNotNull() & has_tag)
+            .select(skill_set(F.col("tags"), aliases).alias("skills"), "salary_avg"))
 
 
 def skill_counts(jobs: DataFrame) -> DataFrame:
