@@ -67,8 +67,10 @@ def _pairs_for(silver: DataFrame, col: str, pairs, min_n: int) -> DataFrame:
         p = spark.createDataFrame(pairs, "a string, b string")
     ga = g.select(*[F.col(c).alias(f"{c}_a") for c in g.columns])
     gb = g.select(*[F.col(c).alias(f"{c}_b") for c in g.columns])
-    return (p.join(F.broadcast(ga), p.a == ga.grp_a, "left")
-            .join(F.broadcast(gb), p.b == gb.grp_b, "left"))
+    # group statistics: one row per group, but the number of groups is data-driven,
+    # so the join strategy is left to AQE (it broadcasts when the measured side is small)
+    return (p.join(ga, p.a == ga.grp_a, "left")
+            .join(gb, p.b == gb.grp_b, "left"))
 
 
 def posthoc_pairs(silver: DataFrame, col: str, pairs=None,

@@ -96,6 +96,8 @@ def stratified_split(frame: DataFrame, strata: str = "experience", test_frac: fl
                       F.when(F.col("__before") + F.col("__c") <= F.col("__k"), F.lit(-1))
                       .when(F.col("__before") >= F.col("__k"), F.lit(0))
                       .otherwise(F.col("__k") - F.col("__before")).alias("__take"))
+    # the plan has one row per (stratum, bucket): bounded by strata x ``buckets``
+    # (experience tiers: <= 7 x 65536 rows), independent of the row count
     tagged = rows.join(F.broadcast(plan), [strata, "__b"], "inner")
     boundary = tagged.where(F.col("__take") > 0)
     rk = F.row_number().over(Window.partitionBy(strata, "__b").orderBy("__h", *KEYS))
@@ -283,7 +285,7 @@ def validate_requests(requests: DataFrame, options: DataFrame) -> DataFrame:
     for c in ("city", "education", "experience", "keyword"):
         opt = options.where(F.col("feature") == c).select(F.col("value").alias(c),
                                                           F.lit(True).alias(f"__ok_{c}"))
-        req = req.join(F.broadcast(opt), c, "left")
+        req = req.join(opt, c, "left")          # option lists are data-driven: AQE decides
         blank = F.col(c).isNull() | (F.trim(F.col(c)) == "")
         reason = (F.when(reason.isNotNull(), reason)
                   .when(blank, F.lit(f"{c} is blank"))

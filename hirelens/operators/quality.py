@@ -155,7 +155,9 @@ def delete_summary(silver: DataFrame, bronze: DataFrame, doomed: DataFrame) -> D
 def clean_offlist_report(silver: DataFrame, cities: list[str]) -> DataFrame:
     """Off-whitelist rows per (source, city); blank city shown as <空>."""
     off = silver.where(~in_whitelist(F.col("city"), cities))
-    label = F.coalesce(F.when(ustrip(F.col("city")) != "", ustrip(F.col("city"))), F.lit("<空>"))
+    # (city or "<空>").strip(): only null/empty become <空>; blanks strip to ""
+    c = F.col("city")
+    label = F.when(c.isNull() | (c == ""), F.lit("<空>")).otherwise(ustrip(c))
     return off.groupBy("source", label.alias("city")).agg(F.count(F.lit(1)).alias("n"))
 
 

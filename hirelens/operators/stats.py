@@ -195,6 +195,7 @@ def salary_histogram(silver: DataFrame, bin_width: int = 5, cap: int = 50) -> Da
     label = F.when(F.col("bin") == n_bins, F.lit(f"{cap}K+")).otherwise(
         F.concat((F.col("bin") * bin_width).cast("string"), F.lit("-"),
                  ((F.col("bin") + 1) * bin_width).cast("string"), F.lit("K")))
+    # counts has at most n_bins + 1 rows (one per bin)
     return (bins.join(F.broadcast(counts), "bin", "left")
             .select("bin", label.alias("label"), F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 

@@ -359,7 +359,7 @@ def _wl_sql(col):
 
 
 @register("clean_offlist_report", f"""
-SELECT source, coalesce(CASE WHEN {O.ustrip('city')} <> '' THEN {O.ustrip('city')} END, '<空>') AS city,
+SELECT source, CASE WHEN city IS NULL OR city = '' THEN '<空>' ELSE {O.ustrip('city')} END AS city,
        count(*) AS n
 FROM silver WHERE NOT {_wl_sql('city')} GROUP BY 1, 2""")
 def q_clean_offlist_report(spark, sf_dir):
