@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,21 +123,23 @@ def _input_tag(sf_dir: str) -> str:
 
 
 _CACHE: dict[tuple, str] = {}
+_LOCK = threading.RLock()       # one build per table even if queries run in parallel threads
 # Optional run tag: when set (e.g. by the benchmark), tables are rebuilt under a
 # fresh name instead of reusing an earlier build with the same inputs and code.
 RUN_TAG = ""
 
 
 def _stored(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
-    key = (kind, os.path.abspath(sf_dir))
-    path = _CACHE.get(key)
-    if path is None:
-        path = work_path(spark, f"{kind}-{_input_tag(sf_dir)}-{_code_version()}{RUN_TAG}")
-        if not path_exists(spark, path + "/_SUCCESS"):
-            (build().write.mode("overwrite")
-             .option("maxRecordsPerFile", 5_000_000)
-             .partitionBy("source").parquet(path))
-        _CACHE[key] = path
+    key = (kind, os.path.abspath(sf_dir), RUN_TAG)
+    with _LOCK:
+        path = _CACHE.get(key)
+        if path is None:
+            path = work_path(spark, f"{kind}-{_input_tag(sf_dir)}-{_code_version()}{RUN_TAG}")
+            if not path_exists(spark, path + "/_SUCCESS"):
+                (build().write.mode("overwrite")
+                 .option("maxRecordsPerFile", 5_000_000)
+                 .partitionBy("source").parquet(path))
+            _CACHE[key] = path
     return spark.read.parquet(path)
 
 
