@@ -161,23 +161,30 @@ def reclean_apply(silver: DataFrame, bronze: DataFrame) -> tuple[DataFrame, Data
     return s, b
 
 
-def resalary_diff(silver: DataFrame) -> DataFrame:
-    """Recompute C1 over silver salary_text; rows changed and cleared.
+def _reparsed(silver: DataFrame) -> DataFrame:
+    """Silver keys with stored (old_*) and recomputed salaries.
 
-    The recomputation uses the staged projections of ``with_salary`` so each regex
-    runs once per row and the generated code stays small.
+    Each distinct salary text is parsed once and joined back null-safely: far
+    fewer parses than rows, and filters on the comparison stay above the join.
     """
-    old = silver.select("salary_text", *[F.col(c).alias(f"old_{c}") for c in SALARY_COLS])
-    p = with_salary(old, "salary_text")
+    texts = silver.select("salary_text").distinct()
+    parsed = with_salary(texts, "salary_text").select(
+        F.col("salary_text").alias("__text"), *SALARY_COLS)
+    old = silver.select(*KEYS, "salary_text", *[F.col(c).alias(f"old_{c}") for c in SALARY_COLS])
+    j = old.join(parsed, old.salary_text.eqNullSafe(parsed["__text"]), "left").drop("__text")
     same = F.lit(True)
     for c in SALARY_COLS:
         same = same & F.col(f"old_{c}").eqNullSafe(F.col(c))
-    flags = p.select(same.alias("same"),
-                     (F.col("salary_avg").isNull() & F.col("old_salary_avg").isNotNull())
-                     .alias("cleared"))
-    return flags.agg(F.count(F.lit(1)).alias("n_rows"),
-                     F.count_if(~F.col("same")).alias("changed"),
-                     F.count_if(F.col("cleared")).alias("cleared"))
+    return j.withColumn("__same", same)
+
+
+def resalary_diff(silver: DataFrame) -> DataFrame:
+    """Recompute C1 over silver salary_text; rows changed and cleared."""
+    j = _reparsed(silver)
+    return j.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.count_if(~F.col("__same")).alias("changed"),
+                 F.count_if(F.col("salary_avg").isNull() & F.col("old_salary_avg").isNotNull())
+                 .alias("cleared"))
 
 
 def backfill_bronze(silver: DataFrame, bronze: DataFrame) -> DataFrame:
@@ -192,12 +199,8 @@ def backfill_bronze(silver: DataFrame, bronze: DataFrame) -> DataFrame:
 
 def resalary_samples(silver: DataFrame, n: int = 15) -> DataFrame:
     """I7 preview: up to ``n`` changed rows, salary text with old -> new average."""
-    old = silver.select(*KEYS, "salary_text", *[F.col(c).alias(f"old_{c}") for c in SALARY_COLS])
-    p = with_salary(old, "salary_text")
-    changed = ~(F.col("old_salary_min").eqNullSafe(F.col("salary_min"))
-                & F.col("old_salary_max").eqNullSafe(F.col("salary_max"))
-                & F.col("old_salary_avg").eqNullSafe(F.col("salary_avg")))
-    return (p.where(changed).select(*KEYS, "salary_text", "old_salary_avg", "salary_avg")
+    j = _reparsed(silver)
+    return (j.where(~F.col("__same")).select(*KEYS, "salary_text", "old_salary_avg", "salary_avg")
             .orderBy(*KEYS).limit(n))
 
 
