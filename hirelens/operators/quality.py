@@ -36,8 +36,13 @@ def hc_counts(silver: DataFrame, bronze: DataFrame) -> DataFrame:
 
 # Q2 ---------------------------------------------------------------------------
 def hc_duplicates(silver: DataFrame, bronze: DataFrame) -> DataFrame:
-    per_key = (_labelled(silver, bronze).groupBy("tbl", *KEYS).agg(F.count(F.lit(1)).alias("c")))
-    return per_key.groupBy("tbl").agg(F.count_if(F.col("c") > 1).alias("dup_groups"))
+    """Duplicate key groups per table: each table is aggregated on its own key
+    (co-partitioned with its buckets, no shuffle) before the one-row results meet."""
+    def dup(t: DataFrame, name: str) -> DataFrame:
+        per_key = t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("c"))
+        return per_key.agg(F.count_if(F.col("c") > 1).alias("dup_groups")).select(
+            F.lit(name).alias("tbl"), "dup_groups")
+    return dup(silver, "job").unionByName(dup(bronze, "raw_job"))
 
 
 # Q3 ---------------------------------------------------------------------------
