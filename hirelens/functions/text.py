@@ -32,23 +32,8 @@ def ustrip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(c == "", F.lit(None)).otherwise(c)
-
-
 def any_substring(c: Column, words: list[str]) -> Column:
     """True when ``c`` contains any of ``words`` (case-sensitive, literal)."""
     if not words:
         return F.lit(False)
     return c.rlike("|".join(rx_escape(w) for w in words))
-
-
-def lit_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def word_hit(blob: Column, alias: str) -> Column:
-    """Alias hit: pure ASCII letters need a non-letter on both sides."""
-    if alias.isascii() and alias.isalpha():
-        return blob.rlike(r"(?<![a-z])" + rx_escape(alias) + r"(?![a-z])")
-    return F.instr(blob, alias) > 0
