@@ -30,9 +30,19 @@ def compact(text: Column) -> Column:
     return F.replace(ustrip(text), F.lit(" "), F.lit(""))
 
 
+def _months(t: Column) -> Column:
+    """Months of pay from a ``·N薪`` suffix, default 12.
+
+    The cast only runs on a non-empty match: casting the empty no-match string
+    goes through Spark's exception path and costs microseconds per row.
+    """
+    m = F.regexp_extract(t, MONTHS_SUFFIX, 1)
+    return F.coalesce(F.when(m != "", m.try_cast("int")), F.lit(12))
+
+
 def _salary_struct(t: Column, nums: Column, units: Column) -> Column:
     n = F.size(nums)
-    months = F.coalesce(F.regexp_extract(t, MONTHS_SUFFIX, 1).try_cast("int"), F.lit(12))
+    months = _months(t)
     is_day = t.contains("/天") | t.contains("/日")
     is_year = ~is_day & t.contains("/年")
     is_month = ~is_day & ~is_year
@@ -100,7 +110,7 @@ def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
     st = st.withColumns({
         "__nums": F.regexp_extract_all(d, F.lit(NUM_UNIT), F.lit(1)),
         "__units": F.regexp_extract_all(d, F.lit(NUM_UNIT), F.lit(2)),
-        "__months": F.coalesce(F.regexp_extract(t, MONTHS_SUFFIX, 1).try_cast("int"), F.lit(12)),
+        "__months": _months(t),
         # 0 = month, 1 = day, 2 = year
         "__period": F.when(t.contains("/天") | t.contains("/日"), F.lit(1))
                      .when(t.contains("/年"), F.lit(2)).otherwise(F.lit(0)),
