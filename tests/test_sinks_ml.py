@@ -29,3 +29,28 @@ def test_train_job_persists_model_and_report(spark):
     assert ml.model_report(spark, d)["n_samples"] == rep["n_samples"]
     m = ml.load_model(d)
     assert m.transform(frame.limit(5)).count() == 5
+
+
+def test_json_text_sinks_and_display_round(spark):
+    from pyspark.sql import functions as F
+    d = scratch_dir()
+    df = spark.createDataFrame([("a", 1.23456, 2.5), ("b", 0.04999, 7.25)], "k string, x double, y double")
+    sinks.write_json(df, os.path.join(d, "j"))
+    back = {r.k: r.x for r in spark.read.json(os.path.join(d, "j")).collect()}
+    assert back == {"a": 1.23456, "b": 0.04999}
+    sinks.write_text(df.select(F.concat_ws("|", "k", "x").alias("value")), os.path.join(d, "t"))
+    assert sorted(r.value for r in spark.read.text(os.path.join(d, "t")).collect()) == \
+        ["a|1.23456", "b|0.04999"]
+    shown = {r.k: (r.x, r.y) for r in sinks.display_round(df, {"x": 1, "y": 1}).collect()}
+    assert shown == {"a": (1.2, 2.5), "b": (0.0, 7.3)}
+
+
+def test_experience_tiers_source_filter(spark):
+    from hirelens.operators import stats
+    s = tables.silver(spark, SF_SMALL)
+    all_rows = {r.tier: r.n for r in stats.experience_tiers(s).collect()}
+    a = {r.tier: r.n for r in stats.experience_tiers(s, "site_a").collect()}
+    b = {r.tier: r.n for r in stats.experience_tiers(s, "site_b").collect()}
+    assert {t: a.get(t, 0) + b.get(t, 0) for t in all_rows} == all_rows
+    pct = sum(r.pct for r in stats.experience_tiers(s, "site_a").collect())
+    assert abs(pct - 100.0) < 1e-4
