@@ -178,6 +178,8 @@ def train_and_select(frame: DataFrame, sizes: ModelSizes | None = None, k: int =
     Returns the result (best = highest mean CV R^2, first wins ties; its model is a
     PipelineModel over raw columns) and the raw test split.
     """
+    from hirelens.session import work_root
+    work_root(frame.sparkSession)            # reliable checkpoints go to the shared folder
     sizes = sizes or ModelSizes(seed=seed)
     data = fold_ids(stratified_split(with_weights(frame), seed=seed), k, seed)
     data = data.checkpoint(eager=True)       # cut lineage: many fits reuse this frame

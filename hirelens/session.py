@@ -45,17 +45,18 @@ def work_root(spark: SparkSession) -> str:
     """Shared folder for materialised tables and checkpoints.
 
     Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    tests) a private folder is created and registered as the checkpoint dir.
+    tests) a private folder is created and registered as the SparkContext's
+    checkpoint dir (``spark.checkpoint.dir`` itself cannot change at run time).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
+        root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="hirelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        sc.setCheckpointDir(root)
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
