@@ -483,11 +483,11 @@ SELECT '{col}' AS factor, a AS group_a, b AS group_b,
   CASE WHEN {ok} THEN n_a END AS n_a, CASE WHEN {ok} THEN n_b END AS n_b,
   CASE WHEN {ok} THEN round(median_a, 6) END AS median_a,
   CASE WHEN {ok} THEN round(median_b, 6) END AS median_b,
-  round(CASE WHEN {ok} AND {se2} > 0 THEN (mean_a - mean_b) / sqrt({se2}) END, 6) AS t_stat,
+  round(CASE WHEN {ok} AND {se2} > 0 THEN (mean_a - mean_b) / sqrt({se2}) END, 6) + 0.0 AS t_stat,
   round(CASE WHEN {ok} AND {se2} > 0 THEN {se2} * {se2} /
         ((var_a / n_a) * (var_a / n_a) / (n_a - 1) + (var_b / n_b) * (var_b / n_b) / (n_b - 1)) END, 6) AS df,
   round(CASE WHEN {ok} THEN CASE WHEN n_a >= 2 AND n_b >= 2 AND {sp} > 0
-        THEN (mean_a - mean_b) / {sp} ELSE 0.0 END END, 6) AS cohens_d
+        THEN (mean_a - mean_b) / {sp} ELSE 0.0 END END, 6) + 0.0 AS cohens_d
 FROM j"""
 
 
@@ -524,7 +524,7 @@ def _spearman_matrix_sql() -> str:
             else:
                 k = f"{a}__{b}" if (a, b) in pairs else f"{b}__{a}"
                 v = f"CASE WHEN n >= 2 THEN {k} ELSE 0.0 END"
-            cells.append(f"SELECT '{a}' AS factor_x, '{b}' AS factor_y, round({v}, 6) AS rho, "
+            cells.append(f"SELECT '{a}' AS factor_x, '{b}' AS factor_y, round({v}, 6) + 0.0 AS rho, "
                          f"n AS n_samples FROM s")
     return f"""
 , base AS (SELECT {_case_map('education', dims.EDU_RANK)} AS education,
@@ -552,7 +552,7 @@ _EXP_IDX = {k: i for i, k in enumerate(dims.EXP_ORDER)}
             WHERE salary_avg IS NOT NULL AND {O.ustrip('experience')} IN {O.in_list(dims.EXP_ORDER)}),
   r AS (SELECT {_rank_sql('x')} AS rx, {_rank_sql('y')} AS ry FROM rows_),
   a AS (SELECT count(*) AS n, {_pearson_sql('rx', 'ry')} AS rho FROM r)
-SELECT n, CASE WHEN n >= 30 THEN round(rho, 6) END AS rho,
+SELECT n, CASE WHEN n >= 30 THEN round(rho, 6) + 0.0 END AS rho,
   CASE WHEN n >= 30 THEN CASE WHEN rho > 0 THEN '递增' ELSE '递减' END END AS direction,
   CASE WHEN n >= 30 THEN CASE WHEN abs(rho) >= 0.5 THEN '强' WHEN abs(rho) >= 0.3 THEN '中' ELSE '弱' END END
     AS strength
@@ -643,7 +643,7 @@ def q_skill_edges_top(spark, sf_dir):
   per AS (SELECT skill, count(*) AS n, median(salary_avg) AS med FROM paid GROUP BY skill
           HAVING count(*) >= 20)
 SELECT skill, n, round(med, 6) AS median_salary,
-       round(CASE WHEN o.m <> 0 THEN (med - o.m) / o.m * 100 ELSE 0.0 END, 6) AS premium_pct,
+       round(CASE WHEN o.m <> 0 THEN (med - o.m) / o.m * 100 ELSE 0.0 END, 6) + 0.0 AS premium_pct,
        round(o.m, 6) AS overall_median
 FROM per, overall o ORDER BY premium_pct DESC, skill ASC LIMIT 20""")
 def q_skill_premium(spark, sf_dir):
