@@ -43,7 +43,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 ENDINGS_1 = "stmd"
 ENDINGS_2 = ("re", "ve", "ll")
 
-CACHE_ENTRIES = 400_000     # distinct slices kept per Python worker; then the cache starts anew
+CACHE_ENTRIES = 300_000     # distinct slices kept per Python worker; then the cache starts anew
 CACHED_CHARS = 64           # longer slices are merged without being cached
 
 
@@ -127,6 +127,8 @@ def token_starts(cls: np.ndarray, block: int = 64) -> np.ndarray:
 
 def slices(texts: list[str]) -> Iterator[list[str]]:
     """Per text its slices, each of which is merged separately."""
+    if not texts:
+        return
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1

@@ -105,10 +105,10 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_arrow(_keyed(docs, id_col, text_col), run, schema)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     text = F.col(text_col)
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"),
-                       text.alias("_text"))
+                       text.alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
 
 
 def repeats(table: DataFrame) -> DataFrame:
@@ -131,30 +131,31 @@ def runs(spans: list[tuple[int, int, int]], min_words: int) -> list[tuple[int, i
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, text, removed_spans, removed_words): every row of ``docs`` without its repeats.
+          min_words: int = MIN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``docs`` without its repeats: id, text, removed_spans, removed_words.
 
     ``removed_spans`` are byte spans [start, stop) of the UTF-8 text with their words.
+    The columns named in ``keep`` follow as k0, k1, ...
     """
     table = staged(chunk_table(docs, id_col, text_col), "chunks")
-    cut = repeats(table).groupBy(F.col("id").alias("_rid"), F.col("th").alias("_rth")).agg(
+    cuts = repeats(table).groupBy(F.col("id").alias("_rid"), F.col("th").alias("_rth")).agg(
         F.collect_list(F.struct("start", "stop", "words")).alias("_spans"))
-    cut = staged(cut.where(F.aggregate("_spans", F.lit(0), lambda s, x: s + x["words"]) >= min_words), "cut")
+    cuts = staged(cuts.where(F.aggregate("_spans", F.lit(0), lambda s, x: s + x["words"]) >= min_words), "cuts")
     same = F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth"))
-    joined = _keyed(docs, id_col, text_col).join(cut, same, "left").select("_id", "_text", "_spans")
+    joined = _keyed(docs, id_col, text_col, keep).join(cuts, same, "left").drop("_th", "_rid", "_rth")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()),
                          T.StructField("words", T.LongType())])
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())]))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(text_col, T.StringType()),
-                           T.StructField("removed_spans", T.ArrayType(span)), T.StructField("removed_words", T.LongType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()),
+                           T.StructField("removed_spans", T.ArrayType(span)), T.StructField("removed_words", T.LongType()),
+                           *[T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]])
 
     def run(it):
         for batch in batches(it, "_text"):
-            texts = batch.column(1)
-            spans = batch.column(2)
-            out = texts.to_pylist()
+            out = batch.column(1).to_pylist()
+            spans = batch.column(batch.num_columns - 1).to_pylist()
             found: list[list[dict]] = [[] for _ in out]
-            for i, s in enumerate(spans.to_pylist()):
+            for i, s in enumerate(spans):
                 hits = runs([(x["start"], x["stop"], x["words"]) for x in s], min_words) if s else []
                 if hits:
                     data, at, parts = out[i].encode("utf-8"), 0, []
@@ -165,6 +166,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     found[i] = [{"start": a, "stop": b, "words": w} for a, b, w in hits]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out, pa.string()), pa.array(found, arrow_span),
-                 pa.array([sum(x["words"] for x in f) for f in found], pa.int64())], names=schema.names)
+                 pa.array([sum(x["words"] for x in f) for f in found], pa.int64()), *batch.columns[2:-1]],
+                names=schema.names)
 
     return map_arrow(joined, run, schema)
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
+        min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` with the shortened texts and, where there is one, their new length."""
+    own = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    got = dedup(docs, id_col, text_col, min_words, own)
+    back = {c: F.col(f"k{i}") for i, c in enumerate(own)} | {id_col: F.col("id"), text_col: F.col("text")}
+    if chars_col in own:
+        n = F.length("text").cast(docs.schema[chars_col].dataType)
+        back[chars_col] = F.when(F.size("removed_spans") > 0, n).otherwise(back[chars_col])
+    return got.select(*[back[c].alias(c) for c in docs.columns])
