@@ -61,27 +61,31 @@ def paths(messages: DataFrame, branches: int = 1, max_rounds: int = 40) -> DataF
                              "left")
                   .select("tree", "node", F.col("knode").alias("up"), F.lit(1).cast("long").alias("depth"),
                           "score"), "up-0")
-    jumps = [base]
-    while jumps[-1].where("up IS NOT NULL").limit(1).count():
+    # a round carries on only those nodes that have not come to their root yet
+    done = base.where("up IS NULL")
+    jumps = [base.where("up IS NOT NULL")]
+    left = jumps[0].count()
+    while left:
         if len(jumps) > max_rounds:
             raise RuntimeError(f"paths longer than 2^{max_rounds}")
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
+        a, b = jumps[-1].alias("a"), jumps[-1].union(done).alias("b")
         same = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))
-        step = a.join(b, same, "left").select(
-            "a.tree", "a.node", F.col("b.up").alias("up"),
-            (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
-            (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"))
-        jumps.append(staged(step, f"up-{len(jumps)}"))
-        if len(jumps) > 2 and jumps[-1].where("up IS NOT NULL").limit(1).count() and not _moved(jumps[-2], jumps[-1]):
-            break                                       # only cycles still point up
-    total = jumps[-1].where("up IS NULL")
+        step = staged(a.join(b, same).select(
+            "a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"),
+            (F.col("a.score") + F.col("b.score")).alias("score")), f"up-{len(jumps)}")
+        done = done.union(step.where("up IS NULL"))
+        jumps.append(step.where("up IS NOT NULL"))
+        before, left = left, jumps[-1].count()
+        if left == before:                              # only cycles still point up
+            break
+    total = done
     inner = base.where("up IS NOT NULL").select(F.col("tree").alias("ptree"), F.col("up").alias("pnode")).distinct()
     leaves = total.join(inner, F.col("tree").eqNullSafe(F.col("ptree")) & (F.col("node") == F.col("pnode")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
     listed = staged(leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
                     .select("tree", F.col("node").alias("leaf"), "rank", "node", "depth"), "paths")
-    for table in reversed(jumps[:-1]):
-        up = table.where("up IS NOT NULL").select(F.col("tree").alias("utree"), F.col("node").alias("unode"),
+    for table in reversed(jumps):
+        up = table.select(F.col("tree").alias("utree"), F.col("node").alias("unode"),
                                                   "up", F.col("depth").alias("by"))
         more = listed.join(up, F.col("tree").eqNullSafe(F.col("utree")) & (F.col("node") == F.col("unode"))).select(
             "tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - F.col("by")).alias("depth"))
@@ -91,11 +95,6 @@ def paths(messages: DataFrame, branches: int = 1, max_rounds: int = 40) -> DataF
     return listed
 
 
-def _moved(before: DataFrame, after: DataFrame) -> bool:
-    """Whether any node that still pointed up has come to a root since."""
-    return before.where("up IS NOT NULL").count() != after.where("up IS NOT NULL").count()
-
-
 def format_paths(messages: DataFrame, branches: int = 1, learned: str = "assistant") -> DataFrame:
     """(tree, leaf, rank, formatted, loss_spans), one row per chosen path.
 
