@@ -29,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.llm.common import batches, map_arrow
+from hirelens.llm.common import batches, map_arrow, staged
 
 BITS = 18
 SAMPLE_SIZE = 12_000
 MIN_DOCS = 4                    # a feature seen in fewer sample documents has weight 0
+SCREEN = 3.0                    # standard errors by which a feature's shares must differ
 BEGINNINGS = (4, 5, 6)          # lengths of the word beginnings that are features
 CACHE_ENTRIES = 200_000         # word scores kept per Python worker
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
@@ -86,40 +87,20 @@ class Model:
         return float(min(1.0, max(0.0, doc))), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)]
 
 
-def fit(texts: list[str], labels: list[int], weights: np.ndarray, epochs: int = 150,
-        rate: float = 0.15, ridge: float = 2e-4) -> Model:
-    """Noisy-or model by full-batch Adam; ``weights`` are the documents' loss weights."""
-    y = np.array(labels, bool)
+def fit(labels: np.ndarray, weights: np.ndarray, sentences: np.ndarray, lengths: np.ndarray,
+        features: np.ndarray, epochs: int = 150, rate: float = 0.15, ridge: float = 2e-5) -> Model:
+    """Noisy-or model by full-batch Adam.
+
+    Document i has ``sentences[i]`` sentences and the loss weight ``weights[i]``; sentence j
+    has ``lengths[j]`` of the ``features``, in order.
+    """
+    y = labels.astype(bool)
     if not len(y) or y.all() or not y.any():
         return Model(np.zeros(1 << BITS, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
-    feats, sent_of, doc_of, seen = [], [], [], np.zeros(1 << BITS, np.int32)
-    known: dict[str, list[int]] = {}
-    for d, text in enumerate(texts):
-        mine = []
-        for m in SENTENCE.finditer(text):
-            words = WORD.findall(m[0].lower())
-            if words:
-                row: list[int] = []
-                for w in words:
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = word_features(w)
-                    row += got
-                feats.append(np.array(row, np.int32))
-                sent_of.append(len(row))
-                doc_of.append(d)
-                mine.append(feats[-1])
-        if mine:
-            seen[np.unique(np.concatenate(mine))] += 1
-    known.clear()
-    index = np.full(1 << BITS, -1, np.int32)
-    used = np.flatnonzero(seen >= MIN_DOCS)
-    index[used] = np.arange(len(used))
-    rows = np.repeat(np.arange(len(sent_of), dtype=np.int32), sent_of)
-    cols = index[np.concatenate(feats)] if feats else np.zeros(0, np.int32)
-    rows, cols = rows[cols >= 0], cols[cols >= 0]
-    doc_of = np.array(doc_of, np.int32)
-    n_sent, n_docs = len(sent_of), len(texts)
+    used, cols = np.unique(features, return_inverse=True)
+    n_docs, n_sent = len(y), len(lengths)
+    doc_of = np.repeat(np.arange(n_docs), sentences)
+    rows = np.repeat(np.arange(n_sent), lengths)
     w, b = np.zeros(len(used)), -6.0
     mom, var = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     weights = weights / weights.sum()
@@ -129,7 +110,7 @@ def fit(texts: list[str], labels: list[int], weights: np.ndarray, epochs: int =
         none = np.bincount(doc_of, np.log1p(-p), n_docs)            # log P(no sentence is toxic)
         doc = np.clip(-np.expm1(none), 1e-12, 1)
         g = np.where(y[doc_of], -p * np.exp(none)[doc_of] / doc[doc_of], p) * weights[doc_of]
-        grad = np.append(np.bincount(cols, g[rows], len(used)) + ridge * w / 10, g.sum())
+        grad = np.append(np.bincount(cols, g[rows], len(used)) + ridge * w, g.sum())
         mom = 0.9 * mom + 0.1 * grad
         var = 0.99 * var + 0.01 * grad * grad
         move = rate * (mom / (1 - 0.9 ** step)) / (np.sqrt(var / (1 - 0.99 ** step)) + 1e-9)
@@ -139,24 +120,83 @@ def fit(texts: list[str], labels: list[int], weights: np.ndarray, epochs: int =
     return Model(full, float(b))
 
 
+def _sentence_features(text: str) -> list[np.ndarray]:
+    """Features of every sentence that has a word."""
+    found = (WORD.findall(m[0].lower()) for m in SENTENCE.finditer(text))
+    return [np.array([f for w in words for f in word_features(w)], np.int32) for words in found if words]
+
+
+def _document_counts(it):
+    """(y, feature, docs) of the documents of each batch."""
+    for batch in batches(it, "_text"):
+        seen = np.zeros((2, 1 << BITS), np.int32)
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = _sentence_features(text or "")
+            if rows:
+                seen[y, np.unique(np.concatenate(rows))] += 1
+        y, f = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(f.astype(np.int32)),
+                                          pa.array(seen[y, f].astype(np.int64))], names=["y", "feature", "docs"])
+
+
+def _selected(wanted):
+    """(id, y, lengths, features) of every document, with the ``wanted`` features only."""
+    def run(it):
+        keep = wanted.value
+        for batch in batches(it, "_text"):
+            lengths, feats = [], []
+            for text in batch.column(1).to_pylist():
+                rows = [r[keep[r]] for r in _sentence_features(text or "")]
+                lengths.append(np.array([len(r) for r in rows], "<i4").tobytes())
+                feats.append(b"".join(r.astype("<i4").tobytes() for r in rows))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(lengths, pa.binary()),
+                                              pa.array(feats, pa.binary())], names=["id", "y", "lengths", "features"])
+    return run
+
+
+def screen(docs_with: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Features whose share of documents differs clearly (SCREEN standard errors) between the kinds."""
+    share = docs_with / np.maximum(1, kinds)[:, None]
+    pooled = docs_with.sum(axis=0) / max(1, kinds.sum())
+    error = np.sqrt(pooled * (1 - pooled) * (1 / np.maximum(1, kinds)).sum()) + 1e-12
+    return (docs_with.sum(axis=0) >= MIN_DOCS) & (np.abs(share[1] - share[0]) >= SCREEN * error)
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "toxic", sample_size: int = SAMPLE_SIZE) -> Model:
-    """Model from at most ``sample_size`` rows that have a label and fulfil ``usable`` (over the id)."""
+    """Model from at most ``sample_size`` rows that have a label and fulfil ``usable`` (over the id).
+
+    The features of the sample are found on the executors; the driver receives document
+    counts of the hashed features and, per document, the screened features only.
+    """
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .where(F.lit(True) if usable is None else usable)
              .groupBy(F.col(id_col).alias("_id")).agg((F.max(F.col(label_col)) > 0).cast("int").alias("_y")))
     order = [F.xxhash64("_id"), "_id"]
     n = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    sides = [known.where(F.col("_y") == y).orderBy(*order).limit(sample_size // 2 if y else sample_size // 2)
-             for y in (0, 1)]
-    ids = sides[0].union(sides[1])
+    sides = [known.where(F.col("_y") == y).orderBy(*order).limit(sample_size // 2) for y in (0, 1)]
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = picked.join(ids, "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).orderBy("_id")
-    table = rows.toArrow()
-    texts = [t or "" for t in table.column("_text").to_pylist()]
-    y = np.array(table.column("_y").to_pylist(), int)
-    share = np.array([n.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)], float)
-    return fit(texts, y.tolist(), share[y] if len(y) else np.ones(0))
+    sample = staged(picked.join(sides[0].union(sides[1]), "_id").groupBy("_id", "_y").agg(
+        F.min("_text").alias("_text")).select("_y", "_text", "_id"), "labelled")
+    counts = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("feature", T.IntegerType()),
+                           T.StructField("docs", T.LongType())])
+    table = (map_arrow(sample, _document_counts, counts).groupBy("y", "feature").agg(F.sum("docs").alias("docs"))
+             .toArrow())
+    docs_with = np.zeros((2, 1 << BITS))
+    docs_with[table["y"].to_numpy(), table["feature"].to_numpy()] = table["docs"].to_numpy()
+    kinds = np.zeros(2)
+    for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect():
+        kinds[r["_y"]] = r["n"]
+    wanted = docs.sparkSession.sparkContext.broadcast(screen(docs_with, kinds))
+    fields = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()),
+                           T.StructField("lengths", T.BinaryType()), T.StructField("features", T.BinaryType())])
+    rows = map_arrow(sample, _selected(wanted), fields).orderBy("id").select("y", "lengths", "features").toArrow()
+    y = rows["y"].to_numpy().astype(int)
+    lengths = [np.frombuffer(x or b"", "<i4") for x in rows["lengths"].to_pylist()]
+    flat = np.frombuffer(b"".join(rows["features"].to_pylist()), "<i4")
+    share = np.array([n.get(k, 0) for k in (0, 1)]) / np.maximum(1, kinds)
+    return fit(y, share[y] if len(y) else np.ones(0), np.array([len(x) for x in lengths], np.int64),
+               np.concatenate([np.zeros(0, np.int32), *lengths]).astype(np.int64), flat)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
