@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 ENDINGS_1 = "stmd"
 ENDINGS_2 = ("re", "ve", "ll")
 
-CACHE_ENTRIES = 300_000     # distinct slices kept per Python worker; then the cache starts anew
+CACHE_ENTRIES = 200_000     # distinct slices kept per Python worker; then the cache starts anew
 CACHED_CHARS = 64           # longer slices are merged without being cached
 
 
@@ -160,7 +161,7 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             held[self.places[rank]:self.places[rank] + len(token)] = np.frombuffer(token, np.uint8)
         self.held = held
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Join the adjacent pair of lowest rank, leftmost first, until none has a rank."""
@@ -216,15 +217,14 @@ class Vocabulary:
         for pieces in slices(texts):
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
-            ids: list[int] = []
-            for p in pieces:
-                got = cache.get(p)
+            ids = list(map(cache.get, pieces))
+            for i, got in enumerate(ids):
                 if got is None:
-                    got = merge(p.encode("utf-8", "replace"))
+                    p = pieces[i]
+                    ids[i] = got = array("I", merge(p.encode("utf-8", "replace"))).tobytes()
                     if len(p) <= CACHED_CHARS:
                         cache[p] = got
-                ids += got
-            yield np.array(ids, "<u4")
+            yield np.frombuffer(b"".join(ids), np.uint32)
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """First byte of every id's token in the text."""
@@ -259,7 +259,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id",
             texts = [t or "" for t in batch.column(1).to_pylist()]
             got = list(voc.encode(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g.tobytes() for g in got], pa.binary()),
+                [batch.column(0), pa.array([g.astype("<u4").tobytes() for g in got], pa.binary()),
                  pa.array([voc.offsets(g).tobytes() for g in got], pa.binary())],
                 names=[id_col, "ids", "offsets"])
 

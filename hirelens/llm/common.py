@@ -67,6 +67,8 @@ def batches(it: Iterator[pa.RecordBatch], text: str | None = None,
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch, col, sizes
+        pa.default_memory_pool().release_unused()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],

@@ -36,7 +36,7 @@ SAMPLE_SIZE = 12_000
 MIN_DOCS = 4                    # a feature seen in fewer sample documents has weight 0
 SCREEN = 3.0                    # standard errors by which a feature's shares must differ
 BEGINNINGS = (4, 5, 6)          # lengths of the word beginnings that are features
-CACHE_ENTRIES = 200_000         # word scores kept per Python worker
+CACHE_ENTRIES = 100_000         # word scores kept per Python worker
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
 
