@@ -43,7 +43,7 @@ from hirelens.llm.common import batches, map_arrow, staged
 from hirelens.session import work_path
 
 #: Entries of the two caches of a Python worker; a full cache starts anew.
-PIECES = 400_000
+PIECES = 300_000
 WORDS = 250_000
 
 
@@ -71,7 +71,10 @@ class Encoder:
     def _piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
-            letters = p.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+            if p.isascii() and p[1:].isalpha() and p[0] == " ":
+                letters = self.letters[0x20] + p[1:]    # printable ASCII stands for itself
+            else:
+                letters = p.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
             got = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
             if len(p) <= bpe.CACHED_CHARS:
                 if len(self.pieces) > PIECES:
@@ -82,17 +85,23 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [b"".join(map(self._piece, pieces)) for pieces in bpe.slices(texts)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Cache the ids of words after a space."""
-        known, piece, rest = self.words, self._piece, []
+    def _learn(self, words: set[str]) -> set[str]:
+        """Cache the ids of words after a space; returns those that must not be cut off.
+
+        A piece next to more white space belongs to it: its text is encoded as a whole.
+        """
+        known, piece, rest, unsafe = self.words, self._piece, [], set()
         for p in words:
             if p.isalpha():                             # letters only are one piece with their space
                 known[p] = piece(f" {p}")
+            elif not p or p[0].isspace() or p[-1].isspace():
+                unsafe.add(p)
             elif p[-1] in ".,|" and p[:-1].isalpha():
                 known[p] = piece(f" {p[:-1]}") + piece(p[-1])
             else:
                 rest.append(p)
         known.update(zip(rest, self._whole([f" {p}" for p in rest])))
+        return unsafe
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = self.words
@@ -103,9 +112,7 @@ class Encoder:
         for parts in cut:
             new.update(parts[1:])
         new.difference_update(words)
-        # a piece next to more white space cannot be cut off: its whole text is encoded at once
-        unsafe = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        self._learn(list(new - unsafe))
+        unsafe = self._learn(new)
         whole = [i for i, parts in enumerate(cut)
                  if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()
                                         or (unsafe and not unsafe.isdisjoint(parts[1:])))]
@@ -228,7 +235,9 @@ def read_back(spark: SparkSession, folder: str, manifest: DataFrame, tokenizer_p
                 local = idx - idx[0]
                 for i in range(0, len(docs), 4096):
                     cuts = local[i:i + 4097].tolist()
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
+                    wide = memoryview(np.asarray(ids[cuts[0]:cuts[-1]]).astype("<u4")).cast("B")
+                    at = [4 * (c - cuts[0]) for c in cuts]
+                    crc = [zlib.crc32(wide[a:b]) for a, b in zip(at, at[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [docs.slice(i, 4096), pa.array(idx[i:i + 4097][:-1]), pa.array(np.diff(idx[i:i + 4097])),
                          pa.array(crc, pa.int64())], names=schema.names)
