@@ -141,15 +141,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
            **params) -> DataFrame:
-    """The mixed rows of ``docs`` themselves, each as often as the mix takes it."""
+    """The mixed rows of ``docs`` themselves, each as often as the mix takes it.
+
+    Of rows equal in id, source and text one stands for all, as often as all are taken.
+    """
     names = {c.lower() for c in docs.columns}
     th, n = "mix_text_hash", "mix_copies"
     while th in names or n in names:
         th, n = th + "_", n + "_"
     got = mix(docs, id_col, text_col, source_col, **params).where("copies > 0")
     got = got.groupBy(F.col(id_col).alias("_mid"), F.col("src").alias("_msrc"), F.col("th").alias("_mth")).agg(
-        F.max("copies").alias(n))
-    keyed = docs.withColumn(th, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+        F.sum("copies").alias(n))
+    keyed = docs.withColumn(th, F.md5(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates(
+        [id_col, source_col, th])
     same = (keyed[id_col].eqNullSafe(F.col("_mid")) & keyed[source_col].eqNullSafe(F.col("_msrc"))
             & (F.col(th) == F.col("_mth")))
     return (keyed.join(got, same).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))

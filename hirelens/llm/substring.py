@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     table = staged(chunk_table(docs, id_col, text_col), "chunks")
     cuts = repeats(table).groupBy(F.col("id").alias("_rid"), F.col("th").alias("_rth")).agg(
-        F.collect_list(F.struct("start", "stop", "words")).alias("_spans"))
+        F.collect_set(F.struct("start", "stop", "words")).alias("_spans"))
     cuts = staged(cuts.where(F.aggregate("_spans", F.lit(0), lambda s, x: s + x["words"]) >= min_words), "cuts")
     same = F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth"))
     joined = _keyed(docs, id_col, text_col, keep).join(cuts, same, "left").drop("_th", "_rid", "_rth")
