@@ -25,13 +25,16 @@ from hirelens import dims
 def _tables(spark, a) -> tuple[DataFrame, DataFrame]:
     from hirelens.sources import tables
     if a.silver:
-        return spark.read.parquet(a.silver), spark.read.parquet(a.bronze or a.silver)
+        if not a.bronze:
+            raise SystemExit("--silver needs --bronze: the raw table cannot be derived from silver")
+        return spark.read.parquet(a.silver), spark.read.parquet(a.bronze)
     return tables.silver(spark, a.sf_dir), tables.bronze(spark, a.sf_dir)
 
 
-def _show(title: str, df: DataFrame, n: int = 50) -> None:
+def _show(title: str, df: DataFrame) -> None:
+    """Print every row of a report (one row per group, or a sample of its own length)."""
     print(f"== {title}")
-    df.show(n, truncate=False)
+    df.show(max(1, df.count()), truncate=False)
 
 
 def _cities(a) -> list[str]:
@@ -110,13 +113,20 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "clean-offlist":
         _show("off-list rows by source/city", quality.clean_offlist_report(silver, _cities(a))
               .orderBy(F.col("n").desc()))
-        doomed = silver.where(~quality.in_whitelist(F.col("city"), _cities(a))).select(*quality.KEYS)
-        _cleanup(spark, a, doomed, silver, bronze)
+        # the predicate holds for each table by itself: raw rows need no silver row
+        kept = quality.clean_offlist_keep(silver, bronze, _cities(a))
+        for name, old, new in zip(("silver", "bronze"), (silver, bronze), kept):
+            total, left = old.count(), new.count()
+            print(f"{name}: {total - left} off-list, {left} kept" + (" (applied)" if a.apply else " (preview)"))
+            if a.apply:
+                new.write.mode("overwrite").partitionBy("source").parquet(f"{a.out}/{name}")
     elif a.cmd == "clean-nontech":
         words = a.words.split(",") if a.words else None
         _show("preview", quality.clean_nontech_report(silver, a.keyword, nontech=words))
         _show("sample", quality.preview_sample(quality.nontech_dump(silver, a.keyword, nontech=words),
                                                40, "value"))
+        if a.out:
+            quality.nontech_dump(silver, a.keyword, nontech=words).write.mode("overwrite").text(f"{a.out}/nontech")
         _cleanup(spark, a, quality.doomed_nontech(silver, a.keyword, nontech=words), silver, bronze)
     elif a.cmd == "clean-outlier":
         _show("rows above threshold", quality.clean_outlier_report(silver, bronze, a.threshold))

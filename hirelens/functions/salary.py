@@ -1,7 +1,7 @@
 """C1 parse_salary as native Column expressions (no Python UDF).
 
 Result columns ``salary_min, salary_max, salary_avg`` in K CNY / month,
-``decimal(12,2)``. Arithmetic is decimal so results are exact and identical
+``decimal(20,2)``. Arithmetic is decimal so results are exact and identical
 to the SQL oracle; the average of the two bounds is rounded half-even on
 cents (``bround``), the other roundings half-up (``round``).
 
@@ -20,8 +20,8 @@ from hirelens.functions.text import ustrip
 
 NUM_UNIT = r"(\d+\.?\d*)\s*([Kk千万wW]?)"
 MONTHS_SUFFIX = r"[·xX*,，/、](\d{1,2})薪"
-NUM_TYPE = "decimal(18,6)"
-OUT_TYPE = "decimal(12,2)"
+NUM_TYPE = "decimal(28,8)"
+OUT_TYPE = "decimal(20,2)"
 SALARY_COLS = ("salary_min", "salary_max", "salary_avg")
 
 
@@ -40,53 +40,9 @@ def _months(t: Column) -> Column:
     return F.coalesce(F.when(m != "", m.try_cast("int")), F.lit(12))
 
 
-def _salary_struct(t: Column, nums: Column, units: Column) -> Column:
-    n = F.size(nums)
-    months = _months(t)
-    is_day = t.contains("/天") | t.contains("/日")
-    is_year = ~is_day & t.contains("/年")
-    is_month = ~is_day & ~is_year
-    fill = (F.when(t.contains("万") | t.contains("w") | t.contains("W"), F.lit("万"))
-            .when(t.contains("K") | t.contains("k") | t.contains("千"), F.lit("K"))
-            .otherwise(F.lit("")))
-    day_rate = F.lit(WORK_DAYS_PER_MONTH).cast("decimal(6,2)")
-
-    def value(i: int) -> Column:
-        num = F.get(nums, i).try_cast(NUM_TYPE)
-        unit = F.get(units, i)
-        u = F.when(unit != "", unit).otherwise(fill)
-        scaled = F.when(u.isin("万", "w", "W"), num * F.lit(10)).otherwise(num)
-        return (F.when(is_day, F.round(num * day_rate / F.lit(1000), 2))
-                .when(is_year, F.round(scaled / F.lit(12), 2))
-                .otherwise(scaled))
-
-    v0 = value(0)
-    v1 = F.when(n == 1, v0).otherwise(value(1))
-    lo = F.when(is_month, F.round(v0 * months / F.lit(12), 2)).otherwise(v0).try_cast(OUT_TYPE)
-    hi = F.when(is_month, F.round(v1 * months / F.lit(12), 2)).otherwise(v1).try_cast(OUT_TYPE)
-    avg = F.bround((lo + hi) / F.lit(2), 2).try_cast(OUT_TYPE)
-    open_ended = (n == 1) & (t.contains("以上") | t.contains("+"))
-    ok = (n > 0) & lo.isNotNull() & hi.isNotNull()
-    null_dec = F.lit(None).cast(OUT_TYPE)
-    return F.struct(
-        F.when(ok, lo).otherwise(null_dec).alias("salary_min"),
-        F.when(ok & ~open_ended, hi).otherwise(null_dec).alias("salary_max"),
-        F.when(ok & open_ended, lo).when(ok, avg).otherwise(null_dec).alias("salary_avg"),
-    )
-
-
-def parse_salary(text: Column) -> Column:
-    """struct<salary_min, salary_max, salary_avg> for one salary text column."""
-    t = compact(text)
-    digits = F.regexp_replace(t, MONTHS_SUFFIX, "")
-    nums = F.regexp_extract_all(digits, F.lit(NUM_UNIT), F.lit(1))
-    units = F.regexp_extract_all(digits, F.lit(NUM_UNIT), F.lit(2))
-    return _salary_struct(t, nums, units)
-
-
-# Integer-cent arithmetic: a number is read as decimal(12,4) and carried as
-# ten-thousandths in a long; each rounding is an exact half-up integer division
-# (2a + b) div 2b. Identical to the oracle SQL and free of BigDecimal.
+# Integer-cent arithmetic: a usual number (at most 8 characters, 4 decimals) is carried
+# as ten-thousandths in a long; each rounding is an exact half-up integer division
+# (2a + b) div 2b, free of BigDecimal. Any other number goes the same way in wide decimals.
 _CENTS = {
     # day rate: x * 21.75 / 1000 K  -> cents = x_u * 2175 / 10^7
     1: "(2 * {x} * 2175 + 10000000) div 20000000",
@@ -97,6 +53,21 @@ _CENTS = {
 }
 
 
+_USUAL = "length({n}) <= 8 AND (instr({n}, '.') = 0 OR length({n}) - instr({n}, '.') <= 4)"
+_ROUNDED = "round({x} * {u} * {m} / cast(12 as decimal(2,0)), 2) * 100"
+
+
+def _wide_cents(i: int) -> Column:
+    """Cents of number ``i`` in decimal arithmetic; NULL beyond what a long holds."""
+    x = f"try_cast(get(__nums, {i}) as {NUM_TYPE})"
+    u = f"cast(if(__u{i} in ('万', 'w', 'W'), 10, 1) as decimal(2,0))"
+    one = "cast(1 as decimal(2,0))"
+    day = f"round({x} * cast({WORK_DAYS_PER_MONTH} / 10 as decimal(4,3)), 0)"
+    year = _ROUNDED.format(x=x, u=u, m=one)
+    month = _ROUNDED.format(x=x, u=u, m="cast(__months as decimal(2,0))")
+    return F.expr(f"try_cast(CASE __period WHEN 1 THEN {day} WHEN 2 THEN {year} ELSE {month} END as bigint)")
+
+
 def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
     """Add salary_min/max/avg (decimal(12,2)) through staged projections.
 
@@ -121,12 +92,13 @@ def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
     })
     nums, units = F.col("__nums"), F.col("__units")
 
-    def units_of(c: Column) -> Column:
-        return (c.try_cast("decimal(12,4)") * F.lit(10000)).cast("bigint")
+    def units_of(i: int) -> Column:
+        c, n = F.get(nums, i), f"get(__nums, {i})"
+        return F.when(F.expr(_USUAL.format(n=n)), (c.try_cast("decimal(12,4)") * F.lit(10000)).cast("bigint"))
 
     st = st.withColumns({
         "__n": F.size(nums),
-        "__x0": units_of(F.get(nums, 0)), "__x1": units_of(F.get(nums, 1)),
+        "__x0": units_of(0), "__x1": units_of(1),
         "__u0": F.coalesce(F.when(F.get(units, 0) != "", F.get(units, 0)), F.col("__fill")),
         "__u1": F.coalesce(F.when(F.get(units, 1) != "", F.get(units, 1)), F.col("__fill")),
     })
@@ -136,14 +108,15 @@ def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
 
     def cents(i: int) -> Column:
         x, y = f"__x{i}", f"__y{i}"
-        return (F.when(F.col("__period") == 1, F.expr(_CENTS[1].format(x=x)))
-                .when(F.col("__period") == 2, F.expr(_CENTS[2].format(y=y)))
-                .otherwise(F.expr(_CENTS[0].format(y=y))))
+        usual = (F.when(F.col("__period") == 1, F.expr(_CENTS[1].format(x=x)))
+                 .when(F.col("__period") == 2, F.expr(_CENTS[2].format(y=y)))
+                 .otherwise(F.expr(_CENTS[0].format(y=y))))
+        return F.when(F.col(x).isNotNull(), usual).otherwise(_wide_cents(i))
 
     st = st.withColumn("__c0", cents(0))
     st = st.withColumn("__c1", F.when(F.col("__n") == 1, F.col("__c0")).otherwise(cents(1)))
     c0, c1, n = F.col("__c0"), F.col("__c1"), F.col("__n")
-    limit = F.lit(1_000_000_000_000)          # decimal(12,2) holds < 10^10 K
+    limit = F.lit(4_000_000_000_000_000_000)  # so that the sum of both bounds fits a long
     st = st.withColumns({
         "__ok": (n > 0) & c0.isNotNull() & c1.isNotNull() & (c0 < limit) & (c1 < limit),
         "__oe": (n == 1) & F.col("__open"),
@@ -154,7 +127,7 @@ def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
     avg_c = q + F.when((F.col("__s") % 2 == 1) & (q % 2 == 1), F.lit(1)).otherwise(F.lit(0))
 
     def dec(c: Column) -> Column:
-        return (c.cast("decimal(12,0)") * F.lit(0.01).cast("decimal(2,2)")).cast(OUT_TYPE)
+        return (c.cast("decimal(19,0)") * F.lit(0.01).cast("decimal(2,2)")).cast(OUT_TYPE)
 
     null_dec = F.lit(None).cast(OUT_TYPE)
     out = st.withColumns({

@@ -51,7 +51,10 @@ def dedupe_first(raw: DataFrame, keys=KEYS, order=("ord1", "ord2")) -> DataFrame
     map-side partial step, so a key holding a large share of the rows is collapsed
     before the shuffle (unlike ``row_number`` over a window, which ships every copy).
     """
-    order = [c for c in order if c in raw.columns]
+    missing = [c for c in order if c not in raw.columns]
+    if missing:
+        raise ValueError(f"no order columns {missing}: which row came first is not known")
+    order = list(order)
     others = [c for c in raw.columns if c not in keys and c not in order]
     packed = F.min(F.struct(*order, *others)).alias("__first")
     out = raw.groupBy(*keys).agg(packed).select(*keys, "__first.*")

@@ -54,8 +54,7 @@ def with_weights(frame: DataFrame, col: str = "experience") -> DataFrame:
     everything = Window.partitionBy()
     w = counts.select(col, (F.sum("__n").over(everything)
                             / (F.count(F.lit(1)).over(everything) * F.col("__n"))).alias("weight"))
-    # one row per class: a bounded table, broadcast back onto the rows
-    return frame.join(F.broadcast(w), col, "inner")
+    return frame.join(w, col, "inner")
 
 
 # M3 ---------------------------------------------------------------------------
@@ -96,9 +95,7 @@ def stratified_split(frame: DataFrame, strata: str = "experience", test_frac: fl
                       F.when(F.col("__before") + F.col("__c") <= F.col("__k"), F.lit(-1))
                       .when(F.col("__before") >= F.col("__k"), F.lit(0))
                       .otherwise(F.col("__k") - F.col("__before")).alias("__take"))
-    # the plan has one row per (stratum, bucket): bounded by strata x ``buckets``
-    # (experience tiers: <= 7 x 65536 rows), independent of the row count
-    tagged = rows.join(F.broadcast(plan), [strata, "__b"], "inner")
+    tagged = rows.join(plan, [strata, "__b"], "inner")
     boundary = tagged.where(F.col("__take") > 0)
     rk = F.row_number().over(Window.partitionBy(strata, "__b").orderBy("__h", *KEYS))
     chosen = (boundary.withColumn("__r", rk).where(F.col("__r") <= F.col("__take"))

@@ -28,15 +28,8 @@ def r6(c):
     return F.round(c, 6)
 
 
-# None = exact medians (default; buffers value->count maps, bounded by distinct
-# salaries). An integer switches every median here to percentile_approx with that
-# accuracy, for deployments where distinct values per group become unbounded.
-MEDIAN_ACCURACY: int | None = None
-
-
 def med(c: str = "salary_avg"):
-    if MEDIAN_ACCURACY is not None:
-        return F.round(F.percentile_approx(sal(c), 0.5, MEDIAN_ACCURACY).cast("double"), 6)
+    """Exact median; its buffer holds a count per distinct salary, which has two decimals."""
     return F.round(F.median(sal(c)), 6)
 
 
@@ -159,11 +152,17 @@ def education_by_source(silver: DataFrame) -> DataFrame:
 
 # A12 --------------------------------------------------------------------------
 def salary_by_source_keyword(silver: DataFrame, keywords: list[str]) -> DataFrame:
-    """Long form of the source x keyword mean-salary matrix; missing cells have no row."""
+    """Long form of the source x keyword mean-salary matrix; an empty cell has a NULL mean and n 0."""
     base = silver.where(F.col("salary_avg").isNotNull() & F.col("source").isNotNull()
                         & F.col("keyword").isNotNull())
-    return (base.groupBy("source", "keyword")
-            .agg(mean("salary_avg").alias("avg_salary"), F.count(F.lit(1)).alias("n"))
+    cells = base.groupBy("source", "keyword").agg(mean("salary_avg").alias("avg_salary"),
+                                                  F.count(F.lit(1)).alias("n"))
+    # every configured keyword that is seen at all, for every source, and the seen cells
+    wanted = F.explode(F.array(*[F.lit(k) for k in keywords]))
+    known = cells.select("keyword").distinct()
+    grid = (cells.select("source").distinct().withColumn("keyword", wanted).join(known, "keyword", "left_semi")
+            .select("source", "keyword").union(cells.select("source", "keyword")).distinct())
+    return (grid.join(cells, ["source", "keyword"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
             .withColumn("kw_ord", order_index(F.col("keyword"), keywords)))
 
 
@@ -174,8 +173,7 @@ def city_geo(silver: DataFrame, dim_city: DataFrame, min_samples: int = 5) -> Da
            .agg(F.count(F.lit(1)).alias("n"), med().alias("median_salary"))
            .where(F.col("n") >= min_samples))
     coords = dim_city.select(F.col("name").alias("city"), "lon", "lat")
-    # the city dimension is a bounded list (one row per configured city)
-    return agg.join(F.broadcast(coords), "city", "inner").select(
+    return agg.join(coords, "city", "inner").select(
         "city", "n", "median_salary", "lon", "lat")
 
 

@@ -134,10 +134,14 @@ _KW_ORD = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(FX_KEYWORDS))
 
 
 @register("salary_by_source_keyword", f"""
-SELECT source, keyword, {O.mean6('salary_avg_c')} AS avg_salary, count(*) AS n,
-       CASE keyword {_KW_ORD} ELSE {len(FX_KEYWORDS)} END AS kw_ord
-FROM silver WHERE salary_avg IS NOT NULL AND source IS NOT NULL AND keyword IS NOT NULL
-GROUP BY source, keyword""")
+, cells AS (SELECT source, keyword, {O.mean6('salary_avg_c')} AS avg_salary, count(*) AS n
+  FROM silver WHERE salary_avg IS NOT NULL AND source IS NOT NULL AND keyword IS NOT NULL
+  GROUP BY source, keyword)
+SELECT s.source, k.keyword, c.avg_salary, coalesce(c.n, 0) AS n,
+       CASE k.keyword {_KW_ORD} ELSE {len(FX_KEYWORDS)} END AS kw_ord
+FROM (SELECT DISTINCT source FROM cells) s CROSS JOIN (SELECT DISTINCT keyword FROM cells) k
+LEFT JOIN cells c ON c.source = s.source AND c.keyword = k.keyword
+WHERE c.source IS NOT NULL OR k.keyword IN ({", ".join(f"'{k}'" for k in FX_KEYWORDS)})""")
 def q_salary_by_source_keyword(spark, sf_dir):
     return stats.salary_by_source_keyword(silver(spark, sf_dir), FX_KEYWORDS)
 

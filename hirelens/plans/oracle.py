@@ -84,9 +84,9 @@ def salary_ctes(src: str, prefix: str = "sal") -> str:
 
     def cents(i: str) -> str:
         x, y = f"_x{i}", f"_y{i}"
-        return (f"CASE _period WHEN 'day' THEN (2 * {x} * 2175 + 10000000) // 20000000 "
-                f"WHEN 'year' THEN (2 * {y} + 1200) // 2400 "
-                f"ELSE (2 * {y} * _months + 1200) // 2400 END")
+        return (f"CASE _period WHEN 'day' THEN (2 * {x} * 2175 + 100000000000) // 200000000000 "
+                f"WHEN 'year' THEN (2 * {y} + 12000000) // 24000000 "
+                f"ELSE (2 * {y} * _months + 12000000) // 24000000 END")
 
     return f"""
 {T}_a AS (SELECT *, replace({ustrip('salary_text')}, ' ', '') AS _t FROM {src}),
@@ -103,8 +103,8 @@ def salary_ctes(src: str, prefix: str = "sal") -> str:
   FROM {T}_b),
 {T}_d AS (
   SELECT *, len(_nums) AS _n,
-    CAST(TRY_CAST(_nums[1] AS DECIMAL(12,4)) * 10000 AS HUGEINT) AS _x0,
-    CAST(TRY_CAST(_nums[2] AS DECIMAL(12,4)) * 10000 AS HUGEINT) AS _x1,
+    CAST(TRY_CAST(_nums[1] AS DECIMAL(28,8)) * 100000000 AS HUGEINT) AS _x0,
+    CAST(TRY_CAST(_nums[2] AS DECIMAL(28,8)) * 100000000 AS HUGEINT) AS _x1,
     coalesce(nullif(_units[1], ''), _fill) AS _u0,
     coalesce(nullif(_units[2], ''), _fill) AS _u1
   FROM {T}_c),
@@ -120,7 +120,7 @@ def salary_ctes(src: str, prefix: str = "sal") -> str:
   FROM {T}_e),
 {T}_g AS (
   SELECT *, (_n > 0 AND _c0 IS NOT NULL AND _c1 IS NOT NULL
-             AND _c0 < 1000000000000 AND _c1 < 1000000000000) AS _ok,
+             AND _c0 < 4000000000000000000 AND _c1 < 4000000000000000000) AS _ok,
     (_c0 + _c1) // 2 AS _q
   FROM {T}_f),
 {T} AS (

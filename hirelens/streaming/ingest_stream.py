@@ -37,14 +37,13 @@ def event_cards(events: DataFrame) -> DataFrame:
 
 def land_events(spark: SparkSession, sf_dir: str, landing: str, parts: int = 5) -> None:
     """Split ``events`` into ``parts`` time-ordered landing files (arrival simulation)."""
-    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    week = F.floor((F.dayofmonth("ts") - 1) / 7)
-    span = ev.select(F.min(week), F.max(week)).first()
-    lo, hi = int(span[0] or 0), int(span[1] or 0)
-    step = max(1, -(-(hi - lo + 1) // parts))
-    for start in range(lo, hi + 1, step):
-        (ev.where((week >= start) & (week < start + step)).coalesce(1)
-         .write.mode("append").parquet(landing))
+    ev = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    # one scan; the ranges of ts (null first) become files written, and so read, in order
+    ordered = ev.repartitionByRange(parts, F.col("ts").asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    shared = ordered.persist()
+    for part in range(parts):
+        shared.where(F.col("part") == part).drop("part").write.mode("append").parquet(landing)
+    shared.unpersist()
 
 
 def upsert_batch(table_path: str):

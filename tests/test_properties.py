@@ -77,13 +77,13 @@ def test_importance_shares(spark):
     assert abs(sum(vals) - 1.0) < 1e-9 or sum(vals) == 0.0
 
 
-def test_approx_median_switch(spark):
-    s = tables.silver(spark, SF_SMALL)
-    exact = {r.city: r.median_salary for r in stats.salary_by_city(s, [f"NATION_{i}" for i in range(25)], 25, 1).collect()}
-    stats.MEDIAN_ACCURACY = 10000
-    try:
-        approx = {r.city: r.median_salary for r in stats.salary_by_city(s, [f"NATION_{i}" for i in range(25)], 25, 1).collect()}
-    finally:
-        stats.MEDIAN_ACCURACY = None
-    assert set(exact) == set(approx)
-    assert all(abs(exact[c] - approx[c]) <= 5.0 for c in exact)
+def test_matrix_has_its_empty_cells(spark):
+    s = spark.createDataFrame([("a", "k1", 1.0), ("b", "k2", 2.0)], "source string, keyword string, salary_avg double")
+    got = {(r.source, r.keyword): (r.avg_salary, r.n) for r in stats.salary_by_source_keyword(s, ["k1", "k2"]).collect()}
+    assert got == {("a", "k1"): (1.0, 1), ("a", "k2"): (None, 0), ("b", "k1"): (None, 0), ("b", "k2"): (2.0, 1)}
+
+
+def test_first_write_needs_its_order(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        ingest.dedupe_first(spark.createDataFrame([("a", "1", "x")], "source string, job_key string, title string"))

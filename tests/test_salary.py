@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from hirelens.functions.salary import parse_salary, with_salary
+from hirelens.functions.salary import with_salary
 
 D = Decimal
 
@@ -47,19 +47,21 @@ def _norm(v):
     return None if v is None else v.normalize()
 
 
-@pytest.mark.parametrize("fn", ["column", "staged"])
-def test_reference_cases(spark, fn):
+def test_reference_cases(spark):
     df = spark.createDataFrame([(t,) for t, _ in CASES], "salary_text string")
-    if fn == "column":
-        out = df.select("salary_text", parse_salary(F.col("salary_text")).alias("p")).select(
-            "salary_text", "p.*")
-    else:
-        out = with_salary(df).select("salary_text", "salary_min", "salary_max", "salary_avg")
+    out = with_salary(df).select("salary_text", "salary_min", "salary_max", "salary_avg")
     got = {r[0]: tuple(_norm(x) for x in r[1:]) for r in out.collect()}
     for text, exp in CASES:
         assert got[text] == tuple(_norm(x) for x in exp), text
 
 
+def test_large_and_finely_divided_numbers(spark):
+    want = {"123456789K": 123456789.0, "100000000元/天": 2175000.0, "99999999999元/年": 8333333333.25, "1.23495K": 1.23}
+    df = spark.createDataFrame([(t,) for t in want], "salary_text string")
+    got = {r.salary_text: float(r.salary_avg) for r in with_salary(df).collect()}
+    assert got == want
+
+
 def test_bounds_property(spark):
     from hirelens.sources.tables import silver
     from conftest import SF_SMALL

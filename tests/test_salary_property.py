@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hirelens.functions.salary import parse_salary, with_salary
+from hirelens.functions.salary import with_salary
 from hirelens.plans import oracle as O
 
 number = st.one_of(
@@ -29,15 +29,12 @@ def salary_text(draw):
 
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(salary_text(), min_size=300, max_size=300))
-def test_three_way_agreement(spark, texts):
-    texts = list(dict.fromkeys(texts))
+def test_agreement_with_sql(spark, texts):
+    texts = list(dict.fromkeys([*texts, "123456789K", "100000000元/天", "1.23495K", "7.0000500-99999999999.123456元/年"]))
     df = spark.createDataFrame([(t,) for t in texts], "salary_text string")
     staged = {r[0]: tuple(None if v is None else float(v) for v in r[1:])
               for r in with_salary(df).select("salary_text", "salary_min", "salary_max",
                                                "salary_avg").collect()}
-    col = {r[0]: tuple(None if v is None else float(v) for v in r[1:])
-           for r in df.select("salary_text", parse_salary(F.col("salary_text")).alias("p"))
-           .select("salary_text", "p.*").collect()}
     con = duckdb.connect()
     con.execute("CREATE TABLE src(salary_text VARCHAR)")
     con.executemany("INSERT INTO src VALUES (?)", [(t,) for t in texts])
@@ -46,4 +43,4 @@ def test_three_way_agreement(spark, texts):
     duck = {r[0]: tuple(None if v is None else float(v) for v in r[1:])
             for r in con.execute(sql).fetchall()}
     for t in texts:
-        assert staged[t] == col[t] == duck[t], t
+        assert staged[t] == duck[t], t
