@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hirelens.operators.ingest import KEYS, dedupe_first, silver_from_raw
 from hirelens.session import path_exists, work_path
@@ -52,7 +53,9 @@ def upsert_batch(table_path: str):
         fresh = dedupe_first(batch, KEYS, ("ord1", "ord2"))
         rows = silver_from_raw(fresh)
         if path_exists(spark, table_path):
-            seen = (spark.read.parquet(table_path).where(F.col("batch_id") < batch_id)
+            # with a schema: a batch that died while writing left a folder without a data file
+            stored = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.IntegerType())])
+            seen = (spark.read.schema(stored).parquet(table_path).where(F.col("batch_id") < batch_id)
                     .select(*KEYS))
             rows = rows.join(seen, KEYS, "left_anti")
         rows.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")

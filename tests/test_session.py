@@ -4,11 +4,11 @@ from hirelens.session import work_root
 
 
 class _Conf:
-    def __init__(self, value):
-        self.value = value
+    def __init__(self, value, master=None):
+        self.value, self.master = value, master
 
     def get(self, key, default=None):
-        return self.value if key == "spark.checkpoint.dir" else default
+        return {"spark.checkpoint.dir": self.value, "spark.master": self.master}.get(key) or default
 
     def set(self, key, value):                      # Spark rejects this for core configs
         raise AssertionError("must not set spark.checkpoint.dir at run time")
@@ -26,8 +26,8 @@ class _Ctx:
 
 
 class _Spark:
-    def __init__(self, value):
-        self.conf, self.sparkContext = _Conf(value), _Ctx()
+    def __init__(self, value, master=None):
+        self.conf, self.sparkContext = _Conf(value, master), _Ctx()
 
 
 def test_uses_cluster_folder():
@@ -41,3 +41,11 @@ def test_private_folder_only_when_unset():
     root = work_root(s)
     assert root and s.sparkContext.dir == root
     assert work_root(s) == root                     # stable afterwards
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            work_root(_Spark(None, master))
+    assert work_root(_Spark(None, "local[8]"))

@@ -24,3 +24,24 @@ def test_upsert_is_idempotent(spark):
     out = {(r.source, r.job_key): (float(r.salary_avg), r.batch_id)
            for r in spark.read.parquet(table).collect()}
     assert out == {("view", "7"): (1.5, 0), ("click", "8"): (4.0, 1)}
+
+
+def test_replay_of_a_first_batch_that_died(spark):
+    import datetime as dt
+    table = os.path.join(scratch_dir(), "t")
+    os.makedirs(os.path.join(table, "batch_id=0", "_temporary"))
+    ingest_stream.upsert_batch(table)(_events(spark, [(1, dt.datetime(2024, 1, 1), 7, "view", 1.5, None)]), 0)
+    assert spark.read.parquet(table).count() == 1
+
+
+def test_landing_over_two_months_in_order(spark):
+    import datetime as dt
+    base = scratch_dir()
+    rows = [(i, dt.datetime(2024, 1, 25) + dt.timedelta(days=i) if i else None, 7, "view", float(i), None) for i in range(20)]
+    spark.createDataFrame(rows, ingest_stream.EVENT_SCHEMA).write.parquet(os.path.join(base, "events.parquet"))
+    landing = os.path.join(base, "landing")
+    ingest_stream.land_events(spark, base, landing, parts=4)
+    files = sorted((os.path.getmtime(os.path.join(landing, f)), f) for f in os.listdir(landing) if f.endswith(".parquet"))
+    ids = [sorted(r.event_id for r in spark.read.parquet(os.path.join(landing, f)).collect()) for _, f in files]
+    flat = [x for part in ids for x in part]
+    assert sorted(flat) == list(range(20)) and flat[0] == 0 and flat == sorted(flat)
