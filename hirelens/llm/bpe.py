@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -46,6 +47,7 @@ ENDINGS_2 = ("re", "ve", "ll")
 
 CACHE_ENTRIES = 200_000     # distinct slices kept per Python worker; then the cache starts anew
 CACHED_CHARS = 64           # longer slices are merged without being cached
+DECODED_IDS = 1 << 16       # ids decoded by one gather, whatever the length of the text
 
 
 @functools.cache
@@ -105,7 +107,7 @@ def token_starts(cls: np.ndarray, block: int = 64) -> np.ndarray:
     nxt, start = _automaton()
     n = len(cls)
     n_blocks = -(-n // block)
-    padded = np.full(n_blocks * block, RESET, np.intp)
+    padded = np.full(n_blocks * block, RESET, np.uint8)
     padded[:n] = cls
     rows = np.ascontiguousarray(padded.reshape(n_blocks, block).T) * N_STATES
     fns = np.tile(np.arange(N_STATES), (n_blocks, 1))
@@ -232,13 +234,15 @@ class Vocabulary:
         return np.concatenate([[0], ends[:-1]])[:len(ids)].astype("<u8")
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
-        """The bytes of the ids, each put at its offset: one gather, no loop."""
-        if not len(ids):
-            return b""
-        lengths = self.lengths[ids]
-        where = np.repeat(self.places[ids] - offsets.astype(np.int64), lengths)
-        where += np.arange(len(where))
-        return self.held[where].tobytes()
+        """The bytes of the ids, each put at its offset: one gather per DECODED_IDS ids."""
+        out = []
+        for i in range(0, len(ids), DECODED_IDS):
+            some = ids[i:i + DECODED_IDS]
+            at = offsets[i:i + DECODED_IDS].astype(np.int64)
+            where = np.repeat(self.places[some] - (at - at[0]), self.lengths[some])
+            where += np.arange(len(where))
+            out.append(self.held[where].tobytes())
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=4)
@@ -288,10 +292,27 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to."""
-    got = decode(encode(docs, ranks_path, id_col, text_col), ranks_path, id_col)
-    return got.select(
-        id_col,
-        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to.
+
+    Both directions run in one pass, so a task needs one Python worker and neither the ids
+    nor the decoded bytes leave it.
+    """
+    id_type = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids_sha256", T.StringType()),
+                           T.StructField("decoded_sha256", T.StringType())])
+
+    def run(it):
+        voc = vocabulary(ranks_path)
+        for batch in batches(it, "_text"):
+            counts, ids_sha, decoded_sha = [], [], []
+            for ids in voc.encode([t or "" for t in batch.column(1).to_pylist()]):
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                decoded_sha.append(hashlib.sha256(voc.decode(ids, voc.offsets(ids))).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
+                 pa.array(decoded_sha, pa.string())],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_arrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, schema)
