@@ -105,30 +105,40 @@ def posthoc_report(silver: DataFrame, col: str, pairs=None, min_n: int = dims.MI
 
 # Spearman ---------------------------------------------------------------------
 
-def rank_table(df: DataFrame, col: str, out: str) -> DataFrame:
-    """(value, average 1-based rank) for ``col``: counts per distinct value, then a
-    running sum over the ordered distinct values -- never a window over the rows."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
+def rank_table(cells: DataFrame, col: str, out: str) -> DataFrame:
+    """(value, average 1-based rank) for ``col`` of rows counted in ``__n``: counts per distinct
+    value, then a running sum over the ordered distinct values -- never a window over the rows."""
+    counts = cells.groupBy(col).agg(F.sum("__n").alias("__c"))
     w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
         col, (F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2.0).alias(out))
 
 
 def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Attach ``r_<col>`` for every column; all rank tables come from the same input."""
-    out = df
+    """Distinct combinations of ``cols`` with their row count ``__n`` and ``r_<col>`` of every column.
+
+    Rows are collapsed by one aggregate that combines map-side; ranks are joined to the
+    combinations, so a value that most rows share is one key of few rows.
+    """
+    cells = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    out = cells
     for c in cols:
-        out = out.join(rank_table(df, c, f"r_{c}"), c, "inner")
+        out = out.join(rank_table(cells, c, f"r_{c}"), c, "inner")
     return out
 
 
-def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    return df.join(rank_table(df, col, out), col, "inner")
+def _pearson(x: str, y: str):
+    """Correlation of two columns of average ranks, each row counted ``__n`` times.
 
+    The mean of average ranks is (n + 1) / 2; 0 when a column is constant.
+    """
+    n = F.sum("__n").cast("double")
+    centre = n * (n + 1) * (n + 1) / 4.0
 
-def _pearson(x: str, y: str):
-    vx, vy = F.var_samp(x), F.var_samp(y)
-    return F.when((vx > 0) & (vy > 0), F.covar_samp(x, y) / F.sqrt(vx * vy)).otherwise(F.lit(0.0))
+    def moment(a, b):
+        return F.sum(F.col("__n") * F.col(a) * F.col(b)) - centre
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, moment(x, y) / F.sqrt(moment(x, x) * moment(y, y))).otherwise(F.lit(0.0))
 
 
 FACTORS = ["education", "experience", "skill_count", "salary"]
@@ -152,7 +162,7 @@ def spearman_matrix(silver: DataFrame) -> DataFrame:
     known = F.col("education").isNotNull() & F.col("experience").isNotNull()
     rows = with_ranks(base.where(known), FACTORS)
     pairs = [(a, b) for i, a in enumerate(FACTORS) for b in FACTORS[i + 1:]]
-    stats = rows.agg(F.count(F.lit(1)).alias("n"),
+    stats = rows.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"),
                      *[_pearson(f"r_{a}", f"r_{b}").alias(f"{a}__{b}") for a, b in pairs])
     dropped = base.where(~known).agg(F.count(F.lit(1)).alias("n_dropped"))
     cells = []
@@ -176,8 +186,8 @@ def spearman_exp_salary(silver: DataFrame, min_n: int = dims.MIN_GROUP_N) -> Dat
     rows = (silver.where(F.col("salary_avg").isNotNull() & lab.isin(dims.EXP_ORDER))
             .select(order_index(lab, dims.EXP_ORDER).alias("x"),
                     F.col("salary_avg").cast("double").alias("y")))
-    rows = with_ranks(rows, ["x", "y"]).withColumnRenamed("r_x", "rx").withColumnRenamed("r_y", "ry")
-    a = rows.agg(F.count(F.lit(1)).alias("n"), _pearson("rx", "ry").alias("rho"))
+    a = with_ranks(rows, ["x", "y"]).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"),
+                                         _pearson("r_x", "r_y").alias("rho"))
     rho = F.when(F.col("n") >= min_n, F.round(F.col("rho"), 6))
     return a.select("n", rho.alias("rho"),
                     F.when(F.col("n") >= min_n, rho_direction(F.col("rho"))).alias("direction"),
