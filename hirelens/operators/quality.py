@@ -141,19 +141,12 @@ def apply_delete(silver: DataFrame, bronze: DataFrame, doomed: DataFrame) -> tup
 
 
 def delete_summary(silver: DataFrame, bronze: DataFrame, doomed: DataFrame) -> DataFrame:
-    """Rows deleted/kept for both tables, straight from the semi and anti joins."""
-    parts = []
-    for name, t in (("job", silver), ("raw_job", bronze)):
-        k = t.select(*KEYS)
-        parts.append(k.join(doomed, KEYS, "left_semi").select(F.lit(name).alias("tbl"),
-                                                              F.lit(1).alias("gone")))
-        parts.append(k.join(doomed, KEYS, "left_anti").select(F.lit(name).alias("tbl"),
-                                                              F.lit(0).alias("gone")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("tbl").agg(F.count_if(F.col("gone") == 1).alias("deleted"),
-                                F.count_if(F.col("gone") == 0).alias("kept"))
+    """Rows deleted/kept for both tables: one left join of each with the distinct doomed keys."""
+    gone = doomed.select(*KEYS).distinct().withColumn("gone", F.lit(1))
+    parts = [t.select(*KEYS).join(gone, KEYS, "left").select(F.lit(name).alias("tbl"), "gone")
+             for name, t in (("job", silver), ("raw_job", bronze))]
+    return parts[0].unionByName(parts[1]).groupBy("tbl").agg(
+        F.count("gone").alias("deleted"), F.count_if(F.col("gone").isNull()).alias("kept"))
 
 
 # D2 ---------------------------------------------------------------------------
