@@ -246,15 +246,11 @@ def group_describe(silver: DataFrame, col: str, min_n: int = dims.MIN_GROUP_N) -
 # A19 --------------------------------------------------------------------------
 def feature_options(frame: DataFrame, cities: list[str]) -> DataFrame:
     """Distinct options per categorical feature: cities in whitelist order, others sorted."""
-    parts = []
-    for c in dims.CAT_FEATURES:
-        d = frame.select(F.lit(c).alias("feature"), F.col(c).alias("value")).where(
-            F.col("value").isNotNull()).distinct()
-        if c == "city":
-            d = d.where(F.col("value").isin(cities))
-        parts.append(d)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # one scan: a row gives one (feature, value) pair per categorical column
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
+                      for c in dims.CAT_FEATURES])
+    out = (frame.select(F.explode(pairs).alias("p")).select("p.feature", "p.value")
+           .where(F.col("value").isNotNull()
+                  & ((F.col("feature") != "city") | F.col("value").isin(cities))).distinct())
     return out.withColumn(
         "city_ord", F.when(F.col("feature") == "city", order_index(F.col("value"), cities)))

@@ -760,10 +760,9 @@ SELECT page_id, coalesce(contains({_PAGE_TITLE_SQL}, 'The') OR contains({_PAGE_T
        OR coalesce(contains(url, 'spam-farm'), false) AS flagged
 FROM pages""")
 def q_flag_intern(spark, sf_dir):
-    p = extract.page_summary(tables.table(spark, sf_dir, "pages")).join(
-        tables.table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
-    return p.select("page_id", extract.flag_intern(F.col("title"), F.col("url"),
-                                                   **FX_PAGE_INTERN).alias("flagged"))
+    pages = tables.table(spark, sf_dir, "pages")
+    return pages.select("page_id", extract.flag_intern(extract.page_title(F.col("html")), F.col("url"),
+                                                       **FX_PAGE_INTERN).alias("flagged"))
 
 
 @register("page_cards", f"""
