@@ -913,7 +913,11 @@ def q_ml_weights(spark, sf_dir):
     return ml.class_weights(ml.ml_frame(silver(spark, sf_dir)))
 
 
-@register("ml_split")
+@register("ml_split", _ML_FRAME_SQL + """
+, c AS (SELECT experience, count(*) AS n FROM frame GROUP BY experience),
+  k AS (SELECT experience, n, CAST(floor(n * 0.2 + 0.5) AS BIGINT) AS k FROM c)
+SELECT experience, true AS is_test, k AS n FROM k WHERE k > 0
+UNION ALL SELECT experience, false, n - k FROM k WHERE n > k""")
 def q_ml_split(spark, sf_dir):
     s = ml.stratified_split(ml.ml_frame(silver(spark, sf_dir)))
     return s.groupBy("experience", "is_test").agg(F.count(F.lit(1)).alias("n"))
@@ -992,3 +996,6 @@ def q_ingest_stream(spark, sf_dir):
     return t.select("source", "job_key", "title", "keyword", "salary_text",
                     *[F.col(c).cast("double").alias(c) for c in ("salary_min", "salary_max", "salary_avg")],
                     "crawled_at")
+
+
+from hirelens.plans import derived  # noqa: E402, F401  (registers its queries)
