@@ -75,34 +75,27 @@ def stratified_split(frame: DataFrame, strata: str = "experience", test_frac: fl
     """Add ``is_test``: exactly round(test_frac * n_k) rows of each stratum, chosen by
     the smallest seeded key hashes.
 
-    The cut is located from (stratum, hash-bucket) counts (a table bounded by
-    strata x buckets); only the rows of the single boundary bucket of each stratum
-    are ranked individually.
+    The last chosen row of each stratum is located from (stratum, hash-bucket) counts
+    (a table bounded by strata x buckets); only the rows of that one bucket are ranked.
+    Every row then compares itself with the cut of its stratum: no join on the keys.
     """
-    h = _hash(seed)
-    rows = frame.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
+    rows = frame.withColumn("__h", _hash(seed))
+    rows = rows.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
     # order inside a stratum: (bucket, hash, keys) -- bucket first so cuts are bucket ranges
     counts = rows.groupBy(strata, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    per = Window.partitionBy(strata).orderBy("__b")
-    cum = counts.select(
-        strata, "__b", "__c",
-        F.coalesce(F.sum("__c").over(per.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__before"),
-        F.sum("__c").over(Window.partitionBy(strata)).alias("__nk"))
-    cum = cum.withColumn("__k", F.floor(F.col("__nk") * F.lit(test_frac) + F.lit(0.5)))
-    # per bucket: all test, none, or the first (k - before) rows of the boundary bucket
-    plan = cum.select(strata, "__b",
-                      F.when(F.col("__before") + F.col("__c") <= F.col("__k"), F.lit(-1))
-                      .when(F.col("__before") >= F.col("__k"), F.lit(0))
-                      .otherwise(F.col("__k") - F.col("__before")).alias("__take"))
-    tagged = rows.join(plan, [strata, "__b"], "inner")
-    boundary = tagged.where(F.col("__take") > 0)
-    rk = F.row_number().over(Window.partitionBy(strata, "__b").orderBy("__h", *KEYS))
-    chosen = (boundary.withColumn("__r", rk).where(F.col("__r") <= F.col("__take"))
-              .select(*KEYS, F.lit(True).alias("__pick")))
-    out = tagged.join(chosen, KEYS, "left")
-    is_test = (F.col("__take") == -1) | F.coalesce(F.col("__pick"), F.lit(False))
-    return out.withColumn("is_test", is_test).drop("__h", "__b", "__take", "__pick")
+    stratum = Window.partitionBy(strata)
+    upto = F.sum("__c").over(stratum.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    cum = counts.select(strata, "__b", (upto - F.col("__c")).alias("__before"), upto.alias("__upto"),
+                        F.floor(F.sum("__c").over(stratum) * F.lit(test_frac) + F.lit(0.5)).alias("__k"))
+    last = cum.where((F.col("__before") < F.col("__k")) & (F.col("__k") <= F.col("__upto"))).select(
+        strata, "__b", (F.col("__k") - F.col("__before")).alias("__take"))
+    rank = F.row_number().over(stratum.orderBy("__h", *KEYS))
+    place = ["__b", "__h", *KEYS]
+    cuts = (rows.join(last, [strata, "__b"]).withColumn("__r", rank)
+            .where(F.col("__r") == F.col("__take"))
+            .select(strata, F.struct(*place).alias("__cut")))
+    chosen = F.coalesce(F.struct(*place) <= F.col("__cut"), F.lit(False))
+    return rows.join(cuts, strata, "left").select(*frame.columns, chosen.alias("is_test"))
 
 
 def fold_ids(frame: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
@@ -215,22 +208,27 @@ def refit_best(frame: DataFrame, best: str, sizes: ModelSizes | None = None,
 FEATURES = dims.CAT_FEATURES + dims.NUM_FEATURES
 
 
-def permuted(test: DataFrame, col: str, seed: int, blocks: int = 1) -> DataFrame:
-    """``test`` with ``col`` permuted inside random hash blocks.
+def permuted(test: DataFrame, col: str, seed: int, buckets: int = 1 << 12) -> DataFrame:
+    """``test`` with ``col`` rotated by one row in a seeded random order of all rows.
 
-    Rows of a block are put in a seeded random order and the column is rotated
-    by one position (a random cyclic permutation): one window, no join. ``blocks``
-    bounds the rows any single task has to order.
+    The order is that of an unsigned 64-bit key hash. Its leading bits deal the rows
+    into ``buckets`` (a power of two) that are ordered side by side; the first row of a
+    bucket takes the last value of the bucket before, from a table of one row per
+    bucket. The permutation is the same for every number of buckets and rows per task.
     """
-    keys = [F.col(c) for c in KEYS]
-    blk = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(blocks))
-    base = test.withColumn("__blk", blk).withColumn("__o", F.xxhash64(*keys, F.lit(seed * 7919 + 1)))
+    bits = buckets.bit_length() - 1
+    base = test.withColumn("__o", F.xxhash64(*[F.col(c) for c in KEYS], F.lit(seed * 7919 + 1)))
+    base = base.withColumn("__blk", F.shiftrightunsigned("__o", 64 - bits))
     w = Window.partitionBy("__blk").orderBy("__o", *KEYS)
-    # value of the last row in the block order: a whole-partition frame (linear, not
-    # the per-row "to the end" frame, which Spark evaluates quadratically)
-    wrap = F.max_by(col, F.struct("__o", *KEYS)).over(Window.partitionBy("__blk"))
-    return (base.withColumn(col, F.coalesce(F.lag(col, 1).over(w), wrap))
-            .drop("__blk", "__o"))
+    ends = base.groupBy("__blk").agg(F.max_by(col, F.struct("__o", *KEYS)).alias("__end"))
+    chain = Window.orderBy("__blk")          # at most ``buckets`` rows
+    before = F.when(F.row_number().over(chain) == 1,
+                    F.max_by("__end", "__blk").over(Window.partitionBy()))
+    ends = ends.select("__blk", before.otherwise(F.lag("__end").over(chain)).alias("__prev"))
+    turned = (base.withColumn("__lag", F.lag(col, 1).over(w))
+              .withColumn("__first", F.row_number().over(w) == 1).join(ends, "__blk"))
+    return (turned.withColumn(col, F.when(F.col("__first"), F.col("__prev")).otherwise(F.col("__lag")))
+            .select(*test.columns))
 
 
 def _r2_by(pred: DataFrame, by: str) -> dict:
@@ -245,7 +243,7 @@ def _r2_by(pred: DataFrame, by: str) -> dict:
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = 10,
-                           seed: int = 42, block_rows: int = 50_000) -> DataFrame:
+                           seed: int = 42) -> DataFrame:
     """Mean R^2 drop per raw feature, clipped at 0 and normalised to shares.
 
     All repeats of one feature are scored in one job (a union tagged by repeat,
@@ -253,12 +251,11 @@ def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int =
     """
     spark = test.sparkSession
     base_r2 = _score(model.transform(test))[0]
-    blocks = max(1, test.count() // block_rows)
     rows = []
     for i, f in enumerate(FEATURES):
         reps = None
         for r in range(repeats):
-            one = permuted(test, f, seed + 100 * i + r, blocks).withColumn("__rep", F.lit(r))
+            one = permuted(test, f, seed + 100 * i + r).withColumn("__rep", F.lit(r))
             reps = one if reps is None else reps.unionByName(one)
         r2 = _r2_by(model.transform(reps), "__rep")
         drops = [base_r2 - r2[r] for r in range(repeats)]
