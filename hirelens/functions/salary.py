@@ -73,7 +73,9 @@ def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
 
     Every intermediate is a column used more than once by the next stage, so
     Catalyst keeps the stages apart instead of inlining (and re-evaluating) the
-    regex extraction inside every CASE branch.
+    regex extraction inside every CASE branch. A filter on the results would be pushed
+    through all stages and multiply at each; the row id test, true for every row, keeps
+    it above them. Filter on other columns before the call, so that the scan gets them.
     """
     t, d = F.col("__t"), F.col("__d")
     st = df.withColumn("__t", compact(F.col(text_col)))
@@ -118,7 +120,7 @@ def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
     c0, c1, n = F.col("__c0"), F.col("__c1"), F.col("__n")
     limit = F.lit(4_000_000_000_000_000_000)  # so that the sum of both bounds fits a long
     st = st.withColumns({
-        "__ok": (n > 0) & c0.isNotNull() & c1.isNotNull() & (c0 < limit) & (c1 < limit),
+        "__ok": (F.monotonically_increasing_id() >= 0) & (n > 0) & c0.isNotNull() & c1.isNotNull() & (c0 < limit) & (c1 < limit),
         "__oe": (n == 1) & F.col("__open"),
         "__s": c0 + c1,
     })

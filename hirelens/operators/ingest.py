@@ -97,7 +97,7 @@ def ingest_batch(raw: DataFrame, bronze: DataFrame, silver: DataFrame,
     batch = dedupe_first(keyed(raw) if "url" in raw.columns else with_defaults(raw),
                          KEYS, order)
     b_new = bronze_from_raw(batch).join(bronze.select(*KEYS), KEYS, "left_anti")
-    s_new = silver_from_raw(batch).join(silver.select(*KEYS), KEYS, "left_anti")
+    s_new = silver_from_raw(batch.join(silver.select(*KEYS), KEYS, "left_anti"))
     return b_new, s_new
 
 

@@ -10,9 +10,8 @@ lost executors never recompute the cleaning.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,35 +103,53 @@ def postings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _code_version() -> str:
-    """Hash of the modules that define bronze/silver; stale tables are never reused."""
-    root = Path(__file__).resolve().parents[1]
+    """Hash of the modules that define bronze/silver; stale tables are never reused. The
+    sources are read through the package's loader, so it may lie in a zip."""
     h = hashlib.sha1()
     for rel in ("sources/tables.py", "operators/ingest.py", "functions/salary.py",
                 "functions/levels.py", "functions/tags.py", "functions/text.py", "dims.py"):
-        h.update((root / rel).read_bytes())
+        h.update(files("hirelens").joinpath(rel).read_bytes())
     return h.hexdigest()[:12]
 
 
-def _input_tag(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    for name in ("lineitem", "orders", "customer", "nation", "region", "part"):
-        p = Path(sf_dir) / f"{name}.parquet"
-        if p.exists():
-            st = p.stat()
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-    return h.hexdigest()[:12]
+INPUTS = ("lineitem", "orders", "customer", "nation", "region", "part")
+#: Input bytes per bucket: a bucket of the stored tables is about one task's work.
+BUCKET_BYTES = 128 << 20
+
+
+def _input_files(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
+    """(table, bytes, modification time) of every input file, through the Hadoop FileSystem,
+    so that any scheme works."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in INPUTS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        listed = path.getFileSystem(conf).listFiles(path, True)
+        while listed.hasNext():
+            f = listed.next()
+            found.append((name, f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def _input_tag(sf_dir: str, inputs: list[tuple[str, int, int]]) -> str:
+    return hashlib.sha1(f"{sf_dir.rstrip('/')}:{inputs}".encode()).hexdigest()[:12]
 
 
-_CACHE: dict[tuple, str] = {}
+_BUILT: set[str] = set()         # folders known to be complete
 _LOCK = threading.RLock()       # one build per table even if queries run in parallel threads
 # Optional run tag: when set (e.g. by the benchmark), tables are rebuilt under a
 # fresh name instead of reusing an earlier build with the same inputs and code.
 RUN_TAG = ""
 
 
-def buckets(spark: SparkSession) -> int:
-    """Bucket count of the stored tables (``spark.hirelens.buckets``; thousands on a cluster)."""
-    return int(spark.conf.get("spark.hirelens.buckets", "16"))
+def buckets(spark: SparkSession, inputs: list[tuple[str, int, int]]) -> int:
+    """Bucket count of the stored tables: ``spark.hirelens.buckets`` or, where unset, the
+    power of two (16 at least) that gives a bucket about BUCKET_BYTES of input."""
+    given = spark.conf.get("spark.hirelens.buckets", None)
+    if given:
+        return int(given)
+    need = -(-sum(size for _, size, _ in inputs) // BUCKET_BYTES)
+    return max(16, 1 << max(0, need - 1).bit_length())
 
 
 def _table_name(path: str) -> str:
@@ -158,26 +175,35 @@ def _stored(spark: SparkSession, sf_dir: str, kind: str, build,
     The table is registered in the session catalog over the shared folder, and
     re-registered from the folder by a new session.
     """
-    n = buckets(spark)
-    key = (kind, os.path.abspath(sf_dir), RUN_TAG, n)
+    inputs = _input_files(spark, sf_dir)
+    n = buckets(spark, inputs)
+    path = work_path(spark, f"{kind}-{_input_tag(sf_dir, inputs)}-{_code_version()}-b{n}{RUN_TAG}")
+    name = _table_name(path)
     with _LOCK:
-        path = _CACHE.get(key)
-        if path is None:
-            path = work_path(spark, f"{kind}-{_input_tag(sf_dir)}-{_code_version()}-b{n}{RUN_TAG}")
-            name = _table_name(path)
+        if path not in _BUILT:
             if not path_exists(spark, path + "/_SUCCESS"):
-                df = build()
-                if not prepartitioned:
-                    df = df.repartition(n, "source", "job_key")
-                (df.write.mode("overwrite").format("parquet").bucketBy(n, "source", "job_key")
-                 .option("path", path).saveAsTable(name))
-            _CACHE[key] = path
-        name = _table_name(path)
+                _build(spark, build, prepartitioned, name, path, n)
+            _BUILT.add(path)
         if not spark.catalog.tableExists(name):   # built earlier, or by another session
             _register(spark, name, path, n)
     return spark.table(name)
 
 
+def _build(spark: SparkSession, build, prepartitioned: bool, name: str, path: str, n: int) -> None:
+    """Write the table; a prepartitioned one is read bucket by bucket, so the automatic
+    choice of a plain scan is off while it is written (the caller holds the lock)."""
+    conf = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    old = spark.conf.get(conf, "true")
+    if prepartitioned:
+        spark.conf.set(conf, "false")
+    try:
+        df = build() if prepartitioned else build().repartition(n, "source", "job_key")
+        (df.write.mode("overwrite").format("parquet").bucketBy(n, "source", "job_key")
+         .option("path", path).saveAsTable(name))
+    finally:
+        spark.conf.set(conf, old)
+
+
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored bronze table: raw postings, deduplicated on (source, job_key)."""
     from hirelens.operators.ingest import bronze_from_raw, dedupe_first
@@ -194,17 +220,7 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from hirelens.operators.ingest import silver_from_bronze
     b = bronze(spark, sf_dir)
-
-    def build():
-        return silver_from_bronze(b)
-
-    conf = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-    old = spark.conf.get(conf, "true")
-    spark.conf.set(conf, "false")
-    try:
-        return _stored(spark, sf_dir, "silver", build, prepartitioned=True)
-    finally:
-        spark.conf.set(conf, old)
+    return _stored(spark, sf_dir, "silver", lambda: silver_from_bronze(b), prepartitioned=True)
 
 
 def bronze_snapshot(spark: SparkSession, sf_dir: str, cutoff: str = SNAPSHOT_CUTOFF) -> DataFrame:
