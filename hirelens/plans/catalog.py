@@ -976,14 +976,14 @@ def q_feature_options(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from hirelens.streaming import ingest_stream  # noqa: E402
 
-_EV = """
+_EV_ROWS = """
 , ev AS (SELECT event_type AS source, CAST(user_id AS VARCHAR) AS job_key,
                 concat('user-', CAST(user_id AS VARCHAR)) AS title,
                 json_extract_string(props, '$.k') AS keyword,
                 concat(CAST(value AS VARCHAR), 'K') AS salary_text, ts AS crawled_at
          FROM events
-         QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1)
-, """ + O.salary_ctes("ev", "evs").strip() + """
+         QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1)"""
+_EV = _EV_ROWS + "\n, " + O.salary_ctes("ev", "evs").strip() + """
 SELECT source, job_key, title, keyword, salary_text, salary_min_c / 100.0 AS salary_min,
        salary_max_c / 100.0 AS salary_max, salary_avg_c / 100.0 AS salary_avg, crawled_at
 FROM evs"""
@@ -992,10 +992,18 @@ FROM evs"""
 @register("ingest_stream", _EV)
 def q_ingest_stream(spark, sf_dir):
     work_root(spark)
-    t = ingest_stream.ingest_events(spark, sf_dir)
+    t = ingest_stream.ingest_events(spark, sf_dir)["job"]
     return t.select("source", "job_key", "title", "keyword", "salary_text",
                     *[F.col(c).cast("double").alias(c) for c in ("salary_min", "salary_max", "salary_avg")],
                     "crawled_at")
 
 
+@register("ingest_stream_raw", _EV_ROWS + """
+SELECT source, job_key, title, keyword, salary_text, crawled_at FROM ev""")
+def q_ingest_stream_raw(spark, sf_dir):
+    work_root(spark)
+    t = ingest_stream.ingest_events(spark, sf_dir)["raw_job"]
+    return t.select("source", "job_key", "title", "keyword", "salary_text", "crawled_at")
+
+
 from hirelens.plans import derived  # noqa: E402, F401  (registers its queries)

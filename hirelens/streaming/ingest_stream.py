@@ -1,8 +1,8 @@
 """Incremental ingest as Structured Streaming.
 
-Landing files are read with ``readStream``; every micro-batch is cleaned (I3),
-deduplicated inside the batch (I1) and inserted only for keys the table does
-not hold yet (I2), through ``foreachBatch``.
+Landing files are read with ``readStream``; every micro-batch gets its keys (C7), is
+deduplicated inside the batch (I1) and inserted, raw and cleaned (I3), only for keys
+the table in question does not hold yet (I2), through ``foreachBatch``.
 
 Exactly-once: batch ``N`` writes its rows to ``<table>/batch_id=N`` with
 overwrite and only compares against batches ``< N``, so a replayed batch
@@ -17,13 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.operators.ingest import KEYS, dedupe_first, silver_from_raw
+from hirelens.operators.ingest import KEYS, bronze_from_raw, dedupe_first, keyed, silver_from_bronze
 from hirelens.session import path_exists, work_path
 
 EVENT_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
                 "value double, props string")
 
 
+#: Table -> projection of new bronze rows into it.
+TARGETS = {"raw_job": lambda rows: rows, "job": silver_from_bronze}
+
+
 def event_cards(events: DataFrame) -> DataFrame:
     """Events as raw cards: key (event_type, user_id), first write = earliest (ts, event_id)."""
     return events.select(
@@ -47,34 +51,38 @@ def land_events(spark: SparkSession, sf_dir: str, landing: str, parts: int = 5)
     shared.unpersist()
 
 
-def upsert_batch(table_path: str):
+def upsert_batch(base: str):
+    """Writer of one micro-batch into the two tables ``raw_job`` and ``job`` below ``base``,
+    each with its own existence check: a key one of them lacks is still written there."""
+    keys = T.StructType([T.StructField(k, T.StringType()) for k in KEYS] + [T.StructField("batch_id", T.IntegerType())])
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = dedupe_first(batch, KEYS, ("ord1", "ord2"))
-        rows = silver_from_raw(fresh)
-        if path_exists(spark, table_path):
-            # with a schema: a batch that died while writing left a folder without a data file
-            stored = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.IntegerType())])
-            seen = (spark.read.schema(stored).parquet(table_path).where(F.col("batch_id") < batch_id)
-                    .select(*KEYS))
-            rows = rows.join(seen, KEYS, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        fresh = bronze_from_raw(dedupe_first(keyed(batch), KEYS, ("ord1", "ord2"))).persist()
+        for name, clean in TARGETS.items():
+            path, rows = f"{base}/{name}", fresh
+            if path_exists(spark, path):
+                # with a schema: a batch that died while writing left a folder without a data file
+                seen = spark.read.schema(keys).parquet(path).where(F.col("batch_id") < batch_id).select(*KEYS)
+                rows = rows.join(seen, KEYS, "left_anti")
+            clean(rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        fresh.unpersist()
     return run
 
 
-def run_ingest_stream(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
-                      files_per_batch: int = 1) -> DataFrame:
+def run_ingest_stream(spark: SparkSession, landing: str, base: str, checkpoint: str,
+                      files_per_batch: int = 1) -> dict[str, DataFrame]:
     stream = (spark.readStream.schema(EVENT_SCHEMA)
               .option("maxFilesPerTrigger", files_per_batch).parquet(landing))
-    q = (event_cards(stream).writeStream.foreachBatch(upsert_batch(table_path))
+    q = (event_cards(stream).writeStream.foreachBatch(upsert_batch(base))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(table_path)
+    return {name: spark.read.parquet(f"{base}/{name}") for name in TARGETS}
 
 
-def ingest_events(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
-    """Land the events, stream them into a fresh table, return the table."""
+def ingest_events(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> dict[str, DataFrame]:
+    """Land the events, stream them into fresh tables, return the tables by name."""
     run_id = run_id or uuid.uuid4().hex[:10]
     base = work_path(spark, f"stream-{run_id}")
     land_events(spark, sf_dir, f"{base}/landing")
-    return run_ingest_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint")
+    return run_ingest_stream(spark, f"{base}/landing", f"{base}/tables", f"{base}/checkpoint")

@@ -22,16 +22,36 @@ def test_upsert_is_idempotent(spark):
     up(b1, 1)
     up(b1, 1)                              # replay after a failure
     out = {(r.source, r.job_key): (float(r.salary_avg), r.batch_id)
-           for r in spark.read.parquet(table).collect()}
-    assert out == {("view", "7"): (1.5, 0), ("click", "8"): (4.0, 1)}
+           for r in spark.read.parquet(f"{table}/job").collect()}
+    raw = {(r.source, r.job_key): (float(r.salary_text[:-1]), r.batch_id)
+           for r in spark.read.parquet(f"{table}/raw_job").collect()}
+    assert out == raw == {("view", "7"): (1.5, 0), ("click", "8"): (4.0, 1)}
 
 
 def test_replay_of_a_first_batch_that_died(spark):
     import datetime as dt
     table = os.path.join(scratch_dir(), "t")
-    os.makedirs(os.path.join(table, "batch_id=0", "_temporary"))
+    for name in ingest_stream.TARGETS:
+        os.makedirs(os.path.join(table, name, "batch_id=0", "_temporary"))
     ingest_stream.upsert_batch(table)(_events(spark, [(1, dt.datetime(2024, 1, 1), 7, "view", 1.5, None)]), 0)
-    assert spark.read.parquet(table).count() == 1
+    assert all(spark.read.parquet(f"{table}/{name}").count() == 1 for name in ingest_stream.TARGETS)
+
+
+def test_replay_of_a_batch_that_died_between_the_tables(spark):
+    import datetime as dt
+    import shutil
+    table = os.path.join(scratch_dir(), "t")
+    up = ingest_stream.upsert_batch(table)
+    t0 = dt.datetime(2024, 1, 1)
+    up(_events(spark, [(1, t0, 7, "view", 1.5, None)]), 0)
+    b1 = _events(spark, [(2, t0, None, "view", 2.5, None), (3, t0, 7, "view", 3.5, None)])
+    up(b1, 1)
+    shutil.rmtree(os.path.join(table, "job", "batch_id=1"))
+    up(b1, 1)
+    for name in ingest_stream.TARGETS:
+        rows = spark.read.parquet(f"{table}/{name}").collect()
+        # an event without a user has the key derived from its card
+        assert sorted(r.job_key[0] for r in rows) == ["7", "h"] and {r.batch_id for r in rows} == {0, 1}
 
 
 def test_landing_over_two_months_in_order(spark):
