@@ -24,6 +24,9 @@ from hirelens import dims
 
 def _tables(spark, a) -> tuple[DataFrame, DataFrame]:
     from hirelens.sources import tables
+    if a.snapshot:
+        from hirelens.sources.sinks import read_snapshot
+        return read_snapshot(spark, a.snapshot)
     if a.silver:
         if not a.bronze:
             raise SystemExit("--silver needs --bronze: the raw table cannot be derived from silver")
@@ -43,16 +46,14 @@ def _cities(a) -> list[str]:
 
 def _cleanup(spark, a, doomed: DataFrame, silver, bronze) -> None:
     from hirelens.operators import quality
-    out = a.out if a.apply else None
-    summary = quality.run_cleanup(silver, bronze, doomed, apply=a.apply,
-                                  silver_out=out and f"{out}/silver",
-                                  bronze_out=out and f"{out}/bronze")
+    summary = quality.run_cleanup(silver, bronze, doomed, apply=a.apply, out=a.out)
     _show("deleted / kept" + (" (applied)" if a.apply else " (preview)"), summary)
 
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="hirelens")
     ap.add_argument("--sf-dir", help="driver tables folder (builds bronze/silver)")
+    ap.add_argument("--snapshot", help="folder that an earlier --apply wrote (both tables)")
     ap.add_argument("--silver", help="stored silver Parquet folder")
     ap.add_argument("--bronze", help="stored bronze Parquet folder")
     ap.add_argument("--master", default=None)
@@ -81,8 +82,8 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("export-csv")
     p.add_argument("--out", required=True)
     a = ap.parse_args(argv)
-    if not (a.sf_dir or a.silver):
-        ap.error("give --sf-dir or --silver/--bronze")
+    if not (a.sf_dir or a.silver or a.snapshot):
+        ap.error("give --sf-dir, --snapshot or --silver/--bronze")
     if getattr(a, "apply", False) and not a.out:
         ap.error("--apply needs --out")
 
@@ -91,6 +92,7 @@ def main(argv: list[str] | None = None) -> int:
     work_root(spark)
     silver, bronze = _tables(spark, a)
     from hirelens.operators import ingest, inference, quality, skills, stats
+    from hirelens.sources.sinks import write_snapshot
 
     if a.cmd == "health-check":
         _show("row counts", quality.hc_counts(silver, bronze))
@@ -118,8 +120,8 @@ def main(argv: list[str] | None = None) -> int:
         for name, old, new in zip(("silver", "bronze"), (silver, bronze), kept):
             total, left = old.count(), new.count()
             print(f"{name}: {total - left} off-list, {left} kept" + (" (applied)" if a.apply else " (preview)"))
-            if a.apply:
-                new.write.mode("overwrite").partitionBy("source").parquet(f"{a.out}/{name}")
+        if a.apply:
+            write_snapshot(a.out, *kept)
     elif a.cmd == "clean-nontech":
         words = a.words.split(",") if a.words else None
         _show("preview", quality.clean_nontech_report(silver, a.keyword, nontech=words))
@@ -135,22 +137,18 @@ def main(argv: list[str] | None = None) -> int:
         _show("fields that would change", ingest.reclean_diff(silver, bronze))
         _show("experience before / after", ingest.reclean_hist(silver, bronze))
         if a.apply:
-            s_new, b_new = ingest.reclean_apply(silver, bronze)
-            s_new.write.mode("overwrite").partitionBy("source").parquet(f"{a.out}/silver")
-            b_new.write.mode("overwrite").partitionBy("source").parquet(f"{a.out}/bronze")
+            write_snapshot(a.out, *ingest.reclean_apply(silver, bronze))
     elif a.cmd == "fix-salary":
         _show("salary re-parse", ingest.resalary_diff(silver))
         _show("sample", ingest.resalary_samples(silver))
         if a.apply:
             from hirelens.functions.salary import SALARY_COLS, with_salary
-            fixed = with_salary(silver.drop(*SALARY_COLS), "salary_text")
-            fixed.write.mode("overwrite").partitionBy("source").parquet(f"{a.out}/silver")
+            write_snapshot(a.out, with_salary(silver.drop(*SALARY_COLS), "salary_text"), bronze)
     elif a.cmd == "backfill":
         rows = ingest.backfill_bronze(silver, bronze)
         _show("rows to add to bronze", rows.groupBy("source").count())
         if a.apply:
-            bronze.unionByName(rows).write.mode("overwrite").partitionBy("source") \
-                .parquet(f"{a.out}/bronze")
+            write_snapshot(a.out, silver, bronze.unionByName(rows))
     elif a.cmd == "experience-tiers":
         _show("experience tiers", stats.experience_tiers(silver, a.source).orderBy("tier_ord"))
     elif a.cmd == "inference":

@@ -223,22 +223,3 @@ def dim_city(spark: SparkSession, cities: list[str] | None = None) -> DataFrame:
         T.StructField("lat", T.DoubleType(), True),
     ])
     return spark.createDataFrame(rows, schema)
-
-
-def dim_alias(spark: SparkSession) -> DataFrame:
-    rows = sorted(TAG_ALIASES.items())
-    return spark.createDataFrame(rows, "alias_lower string, canonical string")
-
-
-def dim_skill(spark: SparkSession) -> DataFrame:
-    rows = []
-    for i, (canon, aliases) in enumerate(SKILL_DICT):
-        for a in aliases:
-            rows.append((canon, a, a.isascii() and a.isalpha(), i))
-    return spark.createDataFrame(rows, "canonical string, alias string, word_boundary boolean, ord int")
-
-
-def dim_level(spark: SparkSession) -> DataFrame:
-    rows = [("education", k, v) for k, v in EDU_RANK.items()]
-    rows += [("experience", k, v) for k, v in EXP_RANK.items()]
-    return spark.createDataFrame(rows, "kind string, label string, rank int")

@@ -15,6 +15,7 @@ from hirelens.functions.flags import in_whitelist, intern_title_flag, nontech_fl
 from hirelens.functions.levels import blank_label
 from hirelens.operators.stats import mean, med
 from hirelens.functions.text import ustrip
+from hirelens.sources.sinks import write_snapshot
 
 KEYS = ["source", "job_key"]
 
@@ -214,20 +215,18 @@ def doomed_outlier(silver: DataFrame, threshold: float = 200.0) -> DataFrame:
 
 # D5 / S15 -----------------------------------------------------------------------
 def run_cleanup(silver: DataFrame, bronze: DataFrame, doomed: DataFrame, apply: bool = False,
-                silver_out: str | None = None, bronze_out: str | None = None) -> DataFrame:
+                out: str | None = None) -> DataFrame:
     """Preview/apply switch shared by the clean-up jobs.
 
     Preview (default) only returns the deleted/kept counts. ``apply=True`` also
-    writes the two new snapshots (``table LEFT ANTI JOIN doomed``) to the given
-    folders; readers switch to them afterwards, the old snapshot stays intact.
+    writes both tables without the doomed keys as one snapshot below ``out``;
+    readers switch to it afterwards, the old one stays intact.
     """
     summary = delete_summary(silver, bronze, doomed)
     if apply:
-        if not (silver_out and bronze_out):
-            raise ValueError("apply=True needs silver_out and bronze_out")
-        s_new, b_new = apply_delete(silver, bronze, doomed)
-        s_new.write.mode("overwrite").partitionBy("source").parquet(silver_out)
-        b_new.write.mode("overwrite").partitionBy("source").parquet(bronze_out)
+        if not out:
+            raise ValueError("apply=True needs out")
+        write_snapshot(out, *apply_delete(silver, bronze, doomed))
     return summary
 
 

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens import dims
+from hirelens.session import path_exists
 
 
 def export_frame(silver: DataFrame) -> DataFrame:
@@ -50,7 +51,6 @@ def write_report(spark, report: dict, path: str) -> None:
 
 def read_report(spark, path: str) -> dict | None:
     """The saved report, or None when no model has been trained."""
-    from hirelens.session import path_exists
     if not path_exists(spark, path):
         return None
     row = spark.read.text(path).first()
@@ -61,3 +61,26 @@ def display_round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """C17: presentation rounding (1/2/4 dp) applied only when showing results."""
     return df.select(*[F.round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c)
                        for c in df.columns])
+
+
+# I5 / D5 ------------------------------------------------------------------------
+COMPLETE = "_COMPLETE"
+
+
+def write_snapshot(out: str, silver: DataFrame, bronze: DataFrame) -> None:
+    """Both tables below ``out``, all or nothing: a mark is written last, a folder without it
+    is no snapshot (a rerun writes it again), and one with it is never changed."""
+    spark = silver.sparkSession
+    if path_exists(spark, f"{out}/{COMPLETE}"):
+        raise FileExistsError(f"{out} holds a complete snapshot; give a new folder")
+    for name, table in (("silver", silver), ("bronze", bronze)):
+        table.write.mode("overwrite").partitionBy("source").parquet(f"{out}/{name}")
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{COMPLETE}")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark).close()
+
+
+def read_snapshot(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(silver, bronze) of a complete snapshot; ValueError for a folder without the mark."""
+    if not path_exists(spark, f"{out}/{COMPLETE}"):
+        raise ValueError(f"{out} holds no complete snapshot")
+    return spark.read.parquet(f"{out}/silver"), spark.read.parquet(f"{out}/bronze")

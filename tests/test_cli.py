@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from conftest import SF_SMALL
 from hirelens import cli
 from hirelens.session import scratch_dir
@@ -17,3 +19,26 @@ def test_cli_outlier_apply_and_health(spark, capsys):
                      "health-check"]) == 0
     text = capsys.readouterr().out
     assert "duplicate key groups" in text and "null / blank checks" in text
+
+
+def test_cli_offlist_drops_raw_rows_without_a_silver_row(spark):
+    base = scratch_dir()
+    silver, bronze, out = (os.path.join(base, n) for n in ("s", "b", "out"))
+    schema = "source string, job_key string, city string, salary_avg double"
+    spark.createDataFrame([("a", "1", "X", 1.0), ("a", "2", "Y", 2.0)], schema).write.parquet(silver)
+    spark.createDataFrame([("a", "1", "X", 1.0), ("a", "2", "Y", 2.0), ("a", "3", "Y", 0.0)], schema).write.parquet(bronze)
+    tables = ["--silver", silver, "--bronze", bronze, "--cities", "X"]
+    assert cli.main([*tables, "clean-offlist"]) == 0 and not os.path.exists(out)
+    assert cli.main([*tables, "clean-offlist", "--apply", "--out", out]) == 0
+    from hirelens.sources.sinks import COMPLETE, read_snapshot
+    assert [[r.job_key for r in t.collect()] for t in read_snapshot(spark, out)] == [["1"], ["1"]]
+    with pytest.raises(FileExistsError):
+        cli.main([*tables, "clean-offlist", "--apply", "--out", out])
+    os.remove(os.path.join(out, COMPLETE))      # as after a job that died
+    with pytest.raises(ValueError):
+        cli.main(["--snapshot", out, "health-check"])
+
+
+def test_cli_needs_bronze_beside_silver(spark):
+    with pytest.raises(SystemExit):
+        cli.main(["--silver", "s", "health-check"])

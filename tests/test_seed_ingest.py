@@ -37,10 +37,10 @@ def test_cleanup_apply_and_commit(spark):
     s = ingest.silver_from_bronze(b)
     doomed = quality.doomed_outlier(s, 30.0)
     summary = {r.tbl: (r.deleted, r.kept) for r in
-               quality.run_cleanup(s, b, doomed, apply=True, silver_out=os.path.join(d, "s"),
-                                   bronze_out=os.path.join(d, "b")).collect()}
+               quality.run_cleanup(s, b, doomed, apply=True, out=d).collect()}
     assert summary["job"] == summary["raw_job"]
-    assert spark.read.parquet(os.path.join(d, "s")).count() == summary["job"][1]
+    assert spark.read.parquet(os.path.join(d, "silver")).count() == summary["job"][1]
+    assert spark.read.parquet(os.path.join(d, "bronze")).count() == summary["raw_job"][1]
     ingest.commit_batch(s, os.path.join(d, "t"), 0)
     ingest.commit_batch(s, os.path.join(d, "t"), 0)      # retry: same partition, no duplicates
     assert spark.read.parquet(os.path.join(d, "t")).count() == s.count()
