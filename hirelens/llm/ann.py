@@ -5,10 +5,12 @@ Vectors equal in every component are one entry that remembers its smallest ids,
 searched in memory along a neighbour graph by best-first steps, all vectors of a
 batch side by side. A vector goes to the list of its nearest centroid and, near a
 boundary, to further ones: those at most ``1 + REPLICATE`` times as far, unless they lie
-closer to a centroid already chosen than to the vector, at most MAX_COPIES. A list
+closer to a centroid already chosen than to the vector, at most MAX_COPIES; for this it is
+compared with every centroid. A list
 longer than LIST_ROWS is split evenly by hash into parts that are always searched
 together, so all parts stay balanced whatever the data. A query searches the lists whose
-centroid is at most ``1 + PROBE`` times as far as its nearest one.
+centroid is at most ``1 + PROBE`` times as far as its nearest one, however many: its beam of
+BEAM centroids doubles until the last one lies farther.
 
 Lists and the queries that want them meet where the list lies: the list's vectors come
 first, then the queries in batches, and every batch leaves its best matches only.
@@ -39,7 +41,7 @@ REPLICATE = 0.10
 PROBE = 0.22
 LIST_ROWS = 2048            # vectors in a part of a list
 GRAPH_DEGREE = 24
-BEAM = 192
+BEAM = 192                  # centroids a query's search begins with
 
 
 @dataclass
@@ -73,7 +75,19 @@ class Centroids:
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
             near = np.argpartition(-s, max(0, degree - 1), axis=1)[:, :max(1, degree)] if k > 1 else np.zeros((len(s), 1), int)
             graph[i:i + 1024] = near
-        return cls(c, graph, rng.choice(k, min(k, 32), replace=False))
+        entries = list(rng.choice(k, min(k, 32), replace=False))
+        seen = np.zeros(k, bool)
+        new = np.array(entries)
+        while True:                                     # a part of the graph no entry leads to gets its own
+            while len(new):
+                seen[new] = True
+                new = np.unique(graph[new])
+                new = new[~seen[new]]
+            if seen.all():
+                break
+            new = np.flatnonzero(~seen)[:1]
+            entries.append(new[0])
+        return cls(c, graph, np.array(entries))
 
     def search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``most`` nearest centroids of every row and their similarity, best first."""
@@ -107,6 +121,42 @@ class Centroids:
         order = np.argsort(-s, axis=1, kind="stable")
         return held[rows, order], s[rows, order]
 
+    def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of every centroid at most ``1 + ratio`` times as far as the row's nearest."""
+        found, rows, beam = [], np.arange(len(x)), BEAM
+        while len(rows):
+            at, sim = self.search(x[rows], beam)
+            ok = _near(sim, ratio)
+            done = ~ok[:, -1] & ~np.isneginf(sim[:, -1]) | (at.shape[1] == len(self.points))
+            r, c = np.nonzero(ok & done[:, None])
+            found.append((rows[r], at[r, c]))
+            rows, beam = rows[~done], beam * 2
+        row, at = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(row, kind="stable")
+        return row[order], at[order]
+
+    def homes(self, x: np.ndarray, ratio: float, copies: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of the lists that hold each row: its nearest and those near a boundary."""
+        s = x @ self.points.T
+        best = s.max(axis=1, keepdims=True)
+        most = int(_near(s, ratio, best).sum(axis=1).max())
+        at = np.argpartition(-s, most - 1, axis=1)[:, :most]
+        sim = np.take_along_axis(s, at, axis=1)
+        order = np.argsort(-sim, axis=1, kind="stable")
+        at, sim = np.take_along_axis(at, order, axis=1), np.take_along_axis(sim, order, axis=1)
+        d, ok = _distance(sim), _near(sim, ratio)
+        chosen = np.full((len(x), copies), -1)
+        chosen[:, 0] = at[:, 0]
+        n = np.ones(len(x), np.int64)
+        for j in range(1, most):                        # skip a list that a nearer chosen one stands for
+            r = np.flatnonzero(ok[:, j] & (n < copies))
+            between = _distance(np.einsum("ikd,id->ik", self.points[chosen[r]], self.points[at[r, j]]))
+            r = r[~((between < d[r, j, None]) & (chosen[r] >= 0)).any(axis=1)]
+            chosen[r, n[r]] = at[r, j]
+            n[r] += 1
+        row, col = np.nonzero(chosen >= 0)
+        return row, chosen[row, col]
+
 
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -118,6 +168,11 @@ def _distance(sim: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * sim))
 
 
+def _near(sim: np.ndarray, ratio: float, best: np.ndarray | None = None) -> np.ndarray:
+    """Which are at most ``1 + ratio`` times as far as the best, by default the first."""
+    return _distance(sim) <= (1 + ratio) * _distance(sim[:, :1] if best is None else best) + 1e-12
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector can take part: finite throughout and not zero."""
     # a null, NaN or infinite component makes the product with zero differ from zero
@@ -154,8 +209,8 @@ def fit(distinct: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Centroids:
     return Centroids.fit(x, k)
 
 
-def _lists(vectors: DataFrame, model, ratio: float, most: int | None, spread: bool) -> DataFrame:
-    """(list, k1, k2, vector) of every list a vector belongs to or, as a query, searches."""
+def _lists(vectors: DataFrame, model, ratio: float, copies: int | None = None) -> DataFrame:
+    """(list, k1, k2, vector) of the lists (up to ``copies``) a vector belongs to or, as a query, searches."""
     schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("k1", T.LongType()),
                            T.StructField("k2", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
@@ -165,16 +220,9 @@ def _lists(vectors: DataFrame, model, ratio: float, most: int | None, spread: bo
             for i in range(0, big.num_rows, 256):
                 batch = big.slice(i, 256)
                 x = _unit(batch.column(2))
-                at, sim = m.search(x, most or BEAM)
-                d = _distance(sim)
-                ok = d <= (1 + ratio) * d[:, :1] + 1e-12
-                if spread:                              # skip a list that a nearer chosen one stands for
-                    for j in range(1, at.shape[1]):
-                        between = _distance(np.einsum("ikd,id->ik", m.points[at[:, :j]], m.points[at[:, j]]))
-                        ok[:, j] &= ~((between < d[:, j:j + 1]) & ok[:, :j]).any(axis=1)
-                row, col = np.nonzero(ok)
+                row, at = m.within(x, ratio) if copies is None else m.homes(x, ratio, copies)
                 taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(at[row, col].astype(np.int32)), *taken.columns],
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *taken.columns],
                                                  names=schema.names)
 
     return map_arrow(vectors.select("k1", "k2", "vector"), run, schema)
@@ -236,13 +284,13 @@ def neighbours(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     if not distinct.limit(1).count():
         return spark.createDataFrame([], schema)
     model = spark.sparkContext.broadcast(fit(distinct))
-    stored = staged(_lists(distinct, model, replicate, MAX_COPIES, True), "postings")
+    stored = staged(_lists(distinct, model, replicate, MAX_COPIES), "postings")
     sizes = staged(stored.groupBy("list").agg(F.count("*").alias("n"))
                    .select("list", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("parts")), "list-sizes")
     side = lambda df, n, part: df.join(sizes, "list").select(
         "list", part.alias("part"), F.lit(n).alias("side"), "k1", "k2", "vector")
     base = side(stored, 0, F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).cast("int"))
-    asks = side(_lists(asked, model, probe, None, False), 1, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asks = side(_lists(asked, model, probe), 1, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = (base.union(asks).repartition("list", "part")
              .sortWithinPartitions("list", "part", "side"))
     found = T.StructType([T.StructField(c, T.LongType()) for c in ("q1", "q2", "k1", "k2")]

@@ -145,6 +145,25 @@ def test_graph_search_finds_the_best(spark):
     assert (at[:, 0] == best).mean() > 0.97 and (np.diff(sim, axis=1) <= 1e-6).all()
 
 
+def test_no_list_in_reach_is_lost_among_many_centroids():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 1, 24)) + rng.normal(size=(300, 32, 24))
+    x = x.reshape(-1, 24) / np.linalg.norm(x.reshape(-1, 24), axis=1, keepdims=True)
+    c = ann.Centroids.fit(x, 1500, rounds=3)
+    far = np.sqrt(np.maximum(0, 2 - 2 * x[:300] @ c.points.T))
+    reach = far <= (1 + 0.8) * far.min(axis=1, keepdims=True)
+    assert reach.sum(axis=1).max() > ann.BEAM
+    row, at = c.within(x[:300], 0.8)
+    got = np.zeros_like(reach)
+    got[row, at] = True
+    assert (reach & got).sum() > 0.999 * reach.sum() and (got & ~reach).sum() < 0.001 * reach.sum()
+    row, at = c.homes(x[:300], ann.REPLICATE, ann.MAX_COPIES)
+    first = np.unique(row, return_index=True)[1]
+    assert (at[first] == far.argmin(axis=1)).all() and np.bincount(row).max() <= ann.MAX_COPIES
+    stray = [(r, b) for r, b in zip(row, at) if far[r, b] > (1 + ann.REPLICATE) * far[r].min() + 1e-9]
+    assert not stray and len(set(zip(row, at))) == len(row)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
