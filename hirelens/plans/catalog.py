@@ -889,9 +889,6 @@ def q_backfill_bronze(spark, sf_dir):
 from hirelens.operators import ml  # noqa: E402
 from hirelens.session import work_root  # noqa: E402
 
-# Registered runs use smaller forests/boosting than the library defaults
-# (ModelSizes(): 200 trees depth 12, 200 boosting rounds) to keep the check short.
-FX_SIZES = ml.ModelSizes(rf_trees=10, rf_depth=6, gbt_iter=10, gbt_depth=3, seed=42)
 _TRAINED: dict = {}
 
 _ML_FRAME_SQL = f"""
@@ -929,7 +926,7 @@ def _trained(spark, sf_dir):
         work_root(spark)
         frame = ml.ml_frame(silver(spark, sf_dir))
         ml.require_rows(frame)
-        _TRAINED[key] = ml.train_and_select(frame, FX_SIZES)
+        _TRAINED[key] = ml.train_and_select(frame, ml.ModelSizes())
     return _TRAINED[key]
 
 

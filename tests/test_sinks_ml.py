@@ -54,3 +54,13 @@ def test_experience_tiers_source_filter(spark):
     assert {t: a.get(t, 0) + b.get(t, 0) for t in all_rows} == all_rows
     pct = sum(r.pct for r in stats.experience_tiers(s, "site_a").collect())
     assert abs(pct - 100.0) < 1e-4
+
+
+def test_registered_models_have_full_size(spark, monkeypatch):
+    from hirelens.plans import catalog
+    asked = []
+    monkeypatch.setattr(catalog, "_TRAINED", {})
+    monkeypatch.setattr(catalog.ml, "train_and_select", lambda frame, sizes=None, **kw: asked.append(sizes))
+    catalog._trained(spark, SF_SMALL)
+    s = asked[0] or ml.ModelSizes()
+    assert (s.rf_trees, s.rf_depth, s.gbt_iter, s.gbt_depth) == (200, 12, 200, 3)
