@@ -24,12 +24,11 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or toxicity is below TOXIC; learned from rows that are not held out.
 
-    Rows that share an id go together, as soon as one of them is toxic.
+    Every row goes or stays by its own text, also where rows share an id or have none.
     """
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), usable=~toxicity.held_out())
-    bad = staged(toxicity.score(docs, model).where(F.col("score") >= TOXIC)
-                 .select(F.col("doc_id").alias("bad_id")).distinct(), "toxic")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    scored = toxicity.score(docs, model, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return scored.where(F.col("score") < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

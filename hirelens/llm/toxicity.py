@@ -14,7 +14,7 @@ Defined cases: a null or empty text has no sentence and scores 0; a document wit
 several labels counts as toxic if one says so; null labels and labels of a null id
 teach nothing; repeated rows score alike; with no labelled document of one of the
 two kinds all scores are the share of the other (0 without any label). Only the id
-and text columns are read and returned.
+and text columns are read, and others returned if they are to be kept.
 """
 
 from __future__ import annotations
@@ -199,13 +199,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
                np.concatenate([np.zeros(0, np.int32), *lengths]).astype(np.int64), flat)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, offending): ``offending`` are the spans (code points) of toxic sentences."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+          keep: list[str] | None = None) -> DataFrame:
+    """(id, score, offending): ``offending`` are the spans (code points) of toxic sentences.
+
+    With ``keep``, also the row's text and those columns.
+    """
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                          T.StructField("score", T.DoubleType())])
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
                            T.StructField("score", T.DoubleType()),
                            T.StructField("offending", T.ArrayType(span))])
+    kept = [] if keep is None else [text_col, *keep]
+    for c in kept:
+        schema.add(T.StructField(c, docs.schema[c].dataType))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -215,10 +222,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             got = [m.score(t or "") for t in batch.column(1).to_pylist()]
             spans = [[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in got]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array(spans, arrow_span)],
-                names=[id_col, "score", "offending"])
+                [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array(spans, arrow_span),
+                 *(batch.columns[1:] if kept else [])],
+                names=schema.names)
 
-    return map_arrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, schema)
+    others = [F.col(c) for c in kept[1:]]
+    return map_arrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *others), run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -171,3 +171,18 @@ def test_pipeline_stages(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 3 * docs.count()
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_toxic_rows_go_alone(spark, monkeypatch):
+    import corpus_pipeline
+    from hirelens.llm import toxicity
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -6.0)
+    model.weights[toxicity.word_features("vile")] = 9.0
+    monkeypatch.setattr(corpus_pipeline.toxicity, "train", lambda *a, **b: model)
+    rows = [(None, "vile thing", "s", 10), (None, "kind thing", "s", 10), (None, None, "s", 0), (7, "vile thing", "t", 10),
+            (7, "calm thing", "t", 10), (8, "calm thing", None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = corpus_pipeline.drop_toxic(spark, d.select("n_chars", "text", "source", "doc_id"), SF)
+    assert out.columns == ["n_chars", "text", "source", "doc_id"]
+    got = sorted((tuple(r) for r in out.select(*d.columns).collect()), key=str)
+    assert got == sorted((r for r in rows if r[1] is None or "vile" not in r[1]), key=str)
