@@ -7,7 +7,11 @@ unclosed elements do no harm. Elements that are not shown (head matter, scripts,
 styles, templates, ``hidden``, ``display:none``, ``visibility:hidden``) leave nothing. The
 renderer emits all other text: white space collapses except in ``pre``, blocks
 start lines, paragraphs and headings stand apart by an empty line, list items are
-indented under bullets or numbers, and the cells of a table are aligned in columns.
+indented under bullets or numbers, and the cells of a table are aligned in columns. A cell
+is rendered like a page of its own, and its lines stand beside those of its neighbours. A
+table of one column, or one with a table, heading or section inside, arranges the page: its
+cells follow each other as blocks. In an aligned table, captions and what stands outside
+cells come before the rows, as in a browser.
 
 Both walk with a stack of their own, so nesting depth is not limited by recursion.
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,6 +67,9 @@ for _tags, _ended, _scope in (
 END_P = (SPACED | LINES) - frozenset("body html td th tr tbody thead tfoot caption option optgroup select".split())
 P_SCOPE = frozenset("td th caption button table object".split())
 HEAD_ONLY = frozenset("meta link title style script base noscript template head".split())
+#: What makes a table one that arranges blocks.
+LAYOUT = frozenset("table h1 h2 h3 h4 h5 h6 article section main nav header footer aside blockquote figure fieldset "
+                   "hr".split())
 WIDEST_PAD = 40             # a cell wider than this does not widen its column
 
 
@@ -231,32 +239,28 @@ class Page:
         return "".join(self.parts).strip("\n")
 
 
-def flat_text(node: Node) -> str:
-    """All shown text of a cell in one line."""
-    out: list[str] = []
-    stack: list = [node]
+def is_layout(table: Node) -> bool:
+    """Whether a table holds a table, heading or section and so arranges blocks rather than cells."""
+    stack = list(reversed(table.kids))
     while stack:
         x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not x.unseen:
-            if x.tag in BLOCKS or x.tag == "br":
-                out.append(" ")
-                stack.append(" ")
+        if not isinstance(x, str) and not x.unseen:
+            if x.tag in LAYOUT:
+                return True
             stack += reversed(x.kids)
-    return BLANKS.sub(" ", "".join(out)).strip(" ")
+    return False
 
 
-def table_lines(table: Node) -> tuple[list[str], list[list[str]]]:
-    """Captions (and text outside cells) and the rows of a table; a spanning cell fills its columns."""
-    loose: list[str] = []
-    rows: list[list[str]] = []
+def table_parts(table: Node) -> tuple[list, list[list[Node | None]]]:
+    """Captions (and what is outside cells) and the cells of every row; None where one spans."""
+    loose: list = []
+    rows: list[list[Node | None]] = []
     stack: list[tuple] = [(k, None) for k in reversed(table.kids)]
     while stack:
         x, row = stack.pop()
         if isinstance(x, str):
             if x.strip():
-                loose.append(BLANKS.sub(" ", x).strip(" "))
+                loose.append(x)
         elif x.unseen or x.tag in ("col", "colgroup"):
             continue
         elif x.tag in ("td", "th"):
@@ -264,8 +268,8 @@ def table_lines(table: Node) -> tuple[list[str], list[list[str]]]:
                 row = []
                 rows.append(row)
             span = attribute(x.attrs, "colspan") if "colspan" in x.attrs.lower() else None
-            row.append(flat_text(x))
-            row += [""] * (min(int(span), 100) - 1 if span and span.isascii() and span.isdigit() and int(span) else 0)
+            row.append(x)
+            row += [None] * (min(int(span), 100) - 1 if span and span.isascii() and span.isdigit() and int(span) else 0)
         elif x.tag == "tr":
             row = []
             rows.append(row)
@@ -273,29 +277,29 @@ def table_lines(table: Node) -> tuple[list[str], list[list[str]]]:
         elif x.tag in ("tbody", "thead", "tfoot", "form"):
             stack += [(k, row) for k in reversed(x.kids)]
         else:
-            text = flat_text(x)
-            if text:
-                loose.append(text)
-    return loose, [r for r in rows if any(r)]
+            loose.append(x)
+    return loose, [r for r in rows if r]
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
+def aligned(rows: list[list[list[str]]]) -> list[str]:
+    """Lines of rows whose cells are lists of lines."""
     for row in rows:
-        while not row[-1]:
+        while row and not row[-1]:
             row.pop()
+    rows = [row for row in rows if row]
     widths = [0] * max(map(len, rows), default=0)
     for row in rows:
         for i, cell in enumerate(row):
-            if widths[i] < len(cell) <= WIDEST_PAD:
-                widths[i] = len(cell)
-    return [" | ".join(c.ljust(w) for c, w in zip(row, widths)).rstrip(" ") for row in rows]
+            widths[i] = max(widths[i], *(len(line) for line in cell if len(line) <= WIDEST_PAD), 0)
+    return [" | ".join(line.ljust(w) for line, w in zip(lines, widths)).rstrip(" ")
+            for row in rows for lines in zip_longest(*row, fillvalue="")]
 
 
-def render(root: Node) -> str:
+def render(roots: list, pre: int = 0) -> str:
+    """Text of elements and strings in a row; ``pre`` if they stand in preformatted text."""
     out = Page()
-    pre = 0
     counters: list[int | None] = []
-    stack: list = [(root, False)]
+    stack: list = [(k, False) for k in reversed(roots)]
     while stack:
         x, leaving = stack.pop()
         if isinstance(x, str):
@@ -332,13 +336,18 @@ def render(root: Node) -> str:
             continue
         if tag in BLOCKS:
             out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and counters) else 1)
-        if tag == "table":
-            loose, rows = table_lines(x)
-            for line in [*loose, *aligned(rows)]:
-                out.block(1)
-                out.lines(line)
-            out.block(2)
-            continue
+        if tag == "table" and not is_layout(x):
+            loose, rows = table_parts(x)
+            if max(map(len, rows), default=0) > 1:      # no cell holds a table: no deeper call
+                for line in render(loose, pre).split("\n") if loose else ():
+                    out.block(1)
+                    out.lines(line)
+                texts = [[render(c.kids, pre) if c else "" for c in row] for row in rows]
+                for line in aligned([[t.split("\n") if t else [] for t in row] for row in texts]):
+                    out.block(1)
+                    out.lines(line)
+                out.block(2)
+                continue
         if tag in ("ul", "ol", "menu", "dir"):
             start = attribute(x.attrs, "start") if tag == "ol" and "start" in x.attrs.lower() else None
             counters.append(None if tag != "ol" else int(start) if start and re.fullmatch(r"-?\d{1,9}", start) else 1)
@@ -362,7 +371,7 @@ def render(root: Node) -> str:
 
 
 def page_text(page: str) -> str:
-    return render(build(page))
+    return render([build(page)])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",

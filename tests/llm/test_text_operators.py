@@ -189,6 +189,19 @@ def test_html_layout(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td><h1>T</h1><p>one<p>two<ul><li>a<li>b</ul></td></tr></table>", "T\n\none\n\ntwo\n\n- a\n- b"),
+    ("<table><tr><td>menu<td><h2>T</h2><table><tr><td>x<td>1<tr><td>yy<td>2</table><pre>p\n  q</pre></table>",
+     "menu\n\nT\n\nx  | 1\nyy | 2\n\np\n  q"),
+    ("<table><tr><td>k<td>a<br>b<tr><td>l<td><ol><li>x<li>y</ol></table>", "k | a\n  | b\nl | 1. x\n  | 2. y"),
+    ("<table><caption>c <b>d</b></caption><tr><td><pre>m\n n</pre><td><img alt=pic></table>", "c d\nm  | pic\n n |"),
+    ("<table><tr><td><p>one<p>two</table>", "one\n\ntwo"),
+    ("<table><tr><td>a<td><p>one<p>two<td>z<tr><td>b</table>", "a | one | z\n  |     |\n  | two |\nb"),
+])
+def test_html_cells_keep_their_blocks(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_html_rows_and_hostile_markup(spark):
     d = spark.createDataFrame([(1, None, "t"), (2, "<p>x", "t"), (2, "<p>x", "t")], "page_id long, html string, text string")
     assert [r.text for r in html_text.extract(d).collect()] == [None, "x", "x"]
