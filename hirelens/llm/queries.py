@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hirelens.llm import (
-    ann, bpe, chat, html_text, mixing, quality, simhash, substring, token_files, toxicity)
+    ann, bpe, chat, html_text, merkle, minhash, mixing, quality, simhash, substring, token_files,
+    toxicity)
 from hirelens.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,8 +87,25 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    """Proof of every document in its language's tree, folded with what a tampered copy says."""
+    told = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    got = merkle.manifest(read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                          "doc_id", "lang", changed={"n_chars": told})
+    got = got.withColumn("folded_root", merkle.fold(F.col("altered"), F.col("steps")))
+    return got.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof_text(F.col("steps"))).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_minhash_near_dedup(spark, sf_dir):
+    """Group of every document by shingle sets that share 85 % of their union."""
+    return minhash.near_groups(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash_near_dedup, op3_toxicity, op4_chat_formatting, op5_bpe,
-    op6_quality_rules, op7_ann, op8_token_files, op9_source_mixing, op10_html_extraction)}
+    op6_quality_rules, op7_ann, op8_token_files, op9_source_mixing, op10_html_extraction,
+    op12_merkle_manifest, op13_minhash_near_dedup)}
 
-ORACLE_SQL = {"op4_chat_formatting": chat.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op4_chat_formatting": chat.ORACLE, "op9_source_mixing": mixing.ORACLE,
+              "op12_merkle_manifest": merkle.ORACLE, "op13_minhash_near_dedup": minhash.ORACLE}
