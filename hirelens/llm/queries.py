@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelens.llm import (
     ann, bpe, chat, html_text, merkle, minhash, mixing, quality, simhash, substring, token_files,
-    toxicity)
+    toxicity, whitening)
 from hirelens.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -87,6 +87,11 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    """Every vector on the eight leading components of all vectors, in units of their spread."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), most=8)
+
+
 def op12_merkle_manifest(spark, sf_dir):
     """Proof of every document in its language's tree, folded with what a tampered copy says."""
     told = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
@@ -105,7 +110,7 @@ def op13_minhash_near_dedup(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash_near_dedup, op3_toxicity, op4_chat_formatting, op5_bpe,
     op6_quality_rules, op7_ann, op8_token_files, op9_source_mixing, op10_html_extraction,
-    op12_merkle_manifest, op13_minhash_near_dedup)}
+    op11_embedding_whitening, op12_merkle_manifest, op13_minhash_near_dedup)}
 
 ORACLE_SQL = {"op4_chat_formatting": chat.ORACLE, "op9_source_mixing": mixing.ORACLE,
               "op12_merkle_manifest": merkle.ORACLE, "op13_minhash_near_dedup": minhash.ORACLE}
