@@ -1,23 +1,33 @@
 """Salary regression with Spark ML.
 
-* weights, split and folds are computed from small per-class / per-bucket
-  tables joined back (broadcast), never with a window over a whole class;
+* class weights and split cuts come from small per-class / per-bucket tables; rows are
+  compared with them, never windowed over a whole class, and whether such a table is
+  broadcast is left to adaptive execution;
 * the split is exact per stratum and deterministic: rows are ordered by a
   seeded key hash inside their stratum, found through hash-bucket counts;
-* permutation importance shuffles a column inside random hash blocks, so no
-  task ever sorts the whole test set.
+* rows equal in all features are one weighted **cell** (weight, mean and squared deviation of the
+  label). Least squares and squared-loss boosting depend on nothing else, so
+  they are fitted on cells, whose number is bounded by the combinations of the categories; forests draw
+  their bootstrap from the rows. A fitted model predicts every cell once, and scores and
+  importances are sums over cells;
+* the fits (folds x models) are independent jobs over stored tables and run side by side;
+* permutation importance rotates a column by one row in a seeded random order of all
+  test rows, found side by side in hash ranges.
 """
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from hirelens import dims
 from hirelens.functions.tags import skill_count
@@ -104,6 +114,9 @@ def fold_ids(frame: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 # M5 / M6 ----------------------------------------------------------------------
+FEATURES = dims.CAT_FEATURES + dims.NUM_FEATURES
+
+
 def feature_stages():
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep")
            for c in dims.CAT_FEATURES]
@@ -122,32 +135,71 @@ class ModelSizes:
     gbt_iter: int = 200
     gbt_depth: int = 3
     seed: int = 42
+    forest_rows: int = 1 << 18      # a forest is fitted on about so many rows at most, by key hash
+    tree_rows: int = 1 << 15        # and a tree's bootstrap holds about so many of them at most
+    task_rows: int = 1 << 16        # rows per task of a fit: node statistics are summed over tasks
+    tree_memory_mb: int = 512       # for the node statistics of one pass of a fit
+    parallel: int = 12              # fits that run side by side
 
 
-def regressors(sizes: ModelSizes) -> dict:
+def regressors(sizes: ModelSizes, rows: int = 0) -> dict:
+    """The three models; ``rows`` is the size of the table that the forest is fitted on."""
     common = dict(featuresCol="features", labelCol=LABEL, weightCol="weight")
+    trees = dict(maxMemoryInMB=sizes.tree_memory_mb, seed=sizes.seed)
     return {
         "linear": LinearRegression(**common),
         "random_forest": RandomForestRegressor(numTrees=sizes.rf_trees, maxDepth=sizes.rf_depth,
-                                               featureSubsetStrategy="all", seed=sizes.seed,
-                                               **common),
+                                               featureSubsetStrategy="all", cacheNodeIds=True,
+                                               subsamplingRate=min(1.0, sizes.tree_rows / max(rows, 1)),
+                                               **trees, **common),
         "gradient_boosting": GBTRegressor(maxIter=sizes.gbt_iter, maxDepth=sizes.gbt_depth,
-                                          stepSize=0.1, seed=sizes.seed, **common),
+                                          stepSize=0.1, cacheNodeIds=False, **trees, **common),
     }
 
 
-def pipeline(model) -> Pipeline:
-    return Pipeline(stages=feature_stages() + [model])
+def forest_sample(frame: DataFrame, n: int, sizes: ModelSizes) -> DataFrame:
+    """About ``forest_rows`` of the ``n`` rows, by seeded key hash; all of them if there are no more."""
+    if n <= sizes.forest_rows:
+        return frame
+    share = int(sizes.forest_rows / n * (1 << 40))
+    return frame.where(F.pmod(_hash(sizes.seed + 2), F.lit(1 << 40)) < share)
+
+
+def _packed(df: DataFrame, sizes: ModelSizes) -> DataFrame:
+    """``df`` stored, in as many partitions as its rows need."""
+    df = df.checkpoint(eager=True)
+    return df.coalesce(max(1, -(-df.count() // sizes.task_rows)))
+
+
+#: Models whose fit depends on cells alone.
+ON_CELLS = ("linear", "gradient_boosting")
+
 
+def cells(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows equal in all features and ``by`` as one: ``n``, the sum of their weights, mean label, squared deviation.
 
-def _score(pred: DataFrame) -> tuple[float, float]:
-    """Unweighted R^2 and MAE of one prediction frame, in one aggregate."""
-    y, p = F.col(LABEL), F.col("prediction")
-    a = pred.agg(F.sum((y - p) ** 2).alias("sse"), F.var_pop(y).alias("v"),
-                 F.count(F.lit(1)).alias("n"), F.avg(F.abs(y - p)).alias("mae")).first()
-    sst = (a.v or 0.0) * a.n
-    r2 = 1.0 - a.sse / sst if sst else 0.0
-    return float(r2), float(a.mae or 0.0)
+    The weight is a function of a feature, so every row of a cell has the same.
+    """
+    return rows.groupBy(*FEATURES, *by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.avg(LABEL).alias(LABEL),
+        (F.var_pop(LABEL) * F.count(F.lit(1))).alias("m2"))
+
+
+def _r2_by(pred: DataFrame, by: str) -> dict:
+    """Unweighted R^2 per value of ``by`` of cells with n, mean label, m2 and prediction."""
+    y, p, n = F.col(LABEL), F.col("prediction"), F.col("n")
+    whole = Window.partitionBy()                # over the values of ``by`` only
+    parts = pred.groupBy(by).agg(F.sum(F.col("m2") + n * (y - p) ** 2).alias("sse"), F.sum("n").alias("n"),
+                                 F.sum(n * y).alias("s"))
+    spread = pred.join(parts.select(by, (F.col("s") / F.col("n")).alias("__mean")), by).groupBy(by).agg(
+        F.sum(F.col("m2") + n * (y - F.col("__mean")) ** 2).alias("sst"))
+    rows = parts.join(spread, by).select(by, "sse", "sst", F.count(F.lit(1)).over(whole)).collect()
+    return {r[by]: 1.0 - r.sse / r.sst if r.sst else 0.0 for r in rows}
+
+
+def _mae(model, rows: DataFrame) -> float:
+    got = model.transform(rows).agg(F.avg(F.abs(F.col(LABEL) - F.col("prediction")))).first()[0]
+    return float(got or 0.0)
 
 
 # M7 ---------------------------------------------------------------------------
@@ -159,12 +211,18 @@ class TrainResult:
     n_rows: int = 0
 
 
+def side_by_side(spark, jobs: list, parallel: int) -> list:
+    """Results of the callables in their order, at most ``parallel`` running at a time."""
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
 def train_and_select(frame: DataFrame, sizes: ModelSizes | None = None, k: int = 5,
                      seed: int = 42, models: list[str] | None = None) -> tuple[TrainResult, DataFrame]:
     """Weighted fit, unweighted R^2: k-fold CV on the train split, test R^2/MAE.
 
-    The categorical encoders are fitted once on the train split and the encoded
-    frame is checkpointed, so the 3 x (k + 1) model fits reuse one vector table.
+    The categorical encoders are fitted once on the train split; encoded rows and encoded cells
+    are checkpointed, and the 3 x (k + 1) fits read them side by side.
     Returns the result (best = highest mean CV R^2, first wins ties; its model is a
     PipelineModel over raw columns) and the raw test split.
     """
@@ -176,24 +234,38 @@ def train_and_select(frame: DataFrame, sizes: ModelSizes | None = None, k: int =
     train_raw = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
     enc = Pipeline(stages=feature_stages()).fit(train_raw)
-    vec = enc.transform(data).select("features", LABEL, "weight", "is_test", "fold")
-    vec = vec.checkpoint(eager=True)
-    train = vec.where(~F.col("is_test"))
-    res = TrainResult(n_rows=data.count())
+    counts = data.groupBy("is_test").count().collect()      # two rows
+    n_rows, n_train = sum(r["count"] for r in counts), sum(r["count"] for r in counts if not r["is_test"])
+    sample = forest_sample(train_raw, n_train, sizes)
+    rows = _packed(enc.transform(sample).select("features", LABEL, "weight", "fold"), sizes)
+    few = _packed(enc.transform(cells(train_raw, ["fold"])).select(
+        "features", LABEL, "weight", "n", "m2", "fold"), sizes)
+    held = _packed(enc.transform(cells(test, [])).select("features", LABEL, "n", "m2", F.lit(-1).alias("fold")), sizes)
+    test_rows = enc.transform(test).select("features", LABEL)
+    models_of = regressors(sizes, min(n_train, sizes.forest_rows))
+    wanted = {name: reg for name, reg in models_of.items() if not models or name in models}
+
+    def fit(name: str, fold: int | None):
+        """R^2 on the fold left out; for no fold the model, its R^2 and MAE on the test split."""
+        source = few if name in ON_CELLS else rows
+        model = wanted[name].copy().fit(source if fold is None else source.where(F.col("fold") != fold))
+        judged = held if fold is None else few.where(F.col("fold") == fold)
+        r2 = _r2_by(model.transform(judged), "fold").get(-1 if fold is None else fold, 0.0)
+        return r2 if fold is not None else (model, r2, _mae(model, test_rows))
+
+    # boosting is a long chain of short jobs: it starts first, and the forests fill the executors beside it;
+    # folds before the whole, so that the long fits end together
+    order = sorted(wanted, key=lambda name: name != "gradient_boosting")
+    plan = [(name, fold) for name in order for fold in (None, *range(k))]
+    done = dict(zip(plan, side_by_side(frame.sparkSession, [partial(fit, *job) for job in plan], sizes.parallel)))
+    res = TrainResult(n_rows=n_rows)
     best_r2 = float("-inf")
-    for name, reg in regressors(sizes).items():
-        if models and name not in models:
-            continue
-        cv = []
-        for f in range(k):
-            m = reg.copy().fit(train.where(F.col("fold") != f))
-            cv.append(_score(m.transform(train.where(F.col("fold") == f)))[0])
-        m = reg.copy().fit(train)
-        r2, mae = _score(m.transform(vec.where(F.col("is_test"))))
-        cv_mean = sum(cv) / len(cv)
+    for name in wanted:
+        model, r2, mae = done[name, None]
+        cv_mean = sum(done[name, f] for f in range(k)) / k
         res.scores.append({"model": name, "cv_r2": cv_mean, "test_r2": r2, "test_mae": mae})
         if cv_mean > best_r2:
-            best_r2, res.best, res.model = cv_mean, name, PipelineModel(stages=[enc, m])
+            best_r2, res.best, res.model = cv_mean, name, PipelineModel(stages=[enc, model])
     return res, test
 
 
@@ -201,13 +273,15 @@ def refit_best(frame: DataFrame, best: str, sizes: ModelSizes | None = None,
                seed: int = 42) -> PipelineModel:
     """M9: refit the chosen model on all rows (weighted)."""
     sizes = sizes or ModelSizes(seed=seed)
-    return pipeline(regressors(sizes)[best]).fit(with_weights(frame))
+    rows, n = with_weights(frame), frame.count()
+    chosen = cells(rows, []) if best in ON_CELLS else forest_sample(rows, n, sizes)
+    enc = Pipeline(stages=feature_stages()).fit(rows)
+    model = regressors(sizes, min(n, sizes.forest_rows))[best]
+    fitted = model.fit(_packed(enc.transform(chosen).select("features", LABEL, "weight"), sizes))
+    return PipelineModel(stages=[enc, fitted])
 
 
 # M8 ---------------------------------------------------------------------------
-FEATURES = dims.CAT_FEATURES + dims.NUM_FEATURES
-
-
 def permuted(test: DataFrame, col: str, seed: int, buckets: int = 1 << 12) -> DataFrame:
     """``test`` with ``col`` rotated by one row in a seeded random order of all rows.
 
@@ -231,37 +305,30 @@ def permuted(test: DataFrame, col: str, seed: int, buckets: int = 1 << 12) -> Da
             .select(*test.columns))
 
 
-def _r2_by(pred: DataFrame, by: str) -> dict:
-    y, p = F.col(LABEL), F.col("prediction")
-    rows = pred.groupBy(by).agg(F.sum((y - p) ** 2).alias("sse"), F.var_pop(y).alias("v"),
-                                F.count(F.lit(1)).alias("n")).collect()
-    out = {}
-    for r in rows:
-        sst = (r.v or 0.0) * r.n
-        out[r[by]] = 1.0 - r.sse / sst if sst else 0.0
-    return out
-
-
 def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = 10,
-                           seed: int = 42) -> DataFrame:
+                           seed: int = 42, parallel: int = 6) -> DataFrame:
     """Mean R^2 drop per raw feature, clipped at 0 and normalised to shares.
 
-    All repeats of one feature are scored in one job (a union tagged by repeat,
-    aggregated per repeat), so the cost is one pass per feature.
+    Every permuted copy of the test rows is summed up to cells, and the model predicts the
+    distinct feature combinations of a feature's copies once. Features run side by side.
     """
     spark = test.sparkSession
-    base_r2 = _score(model.transform(test))[0]
-    rows = []
-    for i, f in enumerate(FEATURES):
-        reps = None
+    rows = test.withColumn("weight", F.lit(1.0))
+
+    def drop(i: int, f: str) -> float:
+        copies = [cells(rows, []).withColumn("__rep", F.lit(-1))]
         for r in range(repeats):
-            one = permuted(test, f, seed + 100 * i + r).withColumn("__rep", F.lit(r))
-            reps = one if reps is None else reps.unionByName(one)
-        r2 = _r2_by(model.transform(reps), "__rep")
-        drops = [base_r2 - r2[r] for r in range(repeats)]
-        rows.append((f, max(sum(drops) / len(drops), 0.0)))
-    total = sum(v for _, v in rows) or 1.0
-    out = [(f, dims.FEATURE_LABELS[f], v / total) for f, v in rows]
+            copies.append(cells(permuted(rows, f, seed + 100 * i + r), []).withColumn("__rep", F.lit(r)))
+        seen = reduce(DataFrame.unionByName, copies).checkpoint(eager=True)
+        combos = seen.select(*FEATURES).distinct()
+        known = model.transform(combos).select(*FEATURES, "prediction")
+        same = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in FEATURES])
+        r2 = _r2_by(seen.alias("c").join(known.alias("k"), same).select("c.*", "k.prediction"), "__rep")
+        return max(sum(r2[-1] - r2[r] for r in range(repeats)) / repeats, 0.0) if r2 else 0.0
+
+    drops = side_by_side(spark, [partial(drop, i, f) for i, f in enumerate(FEATURES)], parallel)
+    total = sum(drops) or 1.0
+    out = [(f, dims.FEATURE_LABELS[f], v / total) for f, v in zip(FEATURES, drops)]
     return spark.createDataFrame(out, "feature string, label string, importance double")
 
 
@@ -290,12 +357,16 @@ def validate_requests(requests: DataFrame, options: DataFrame) -> DataFrame:
                                                    ("city", "education", "experience", "keyword")])
 
 
+def with_defaults(requests: DataFrame, default_source: str, default_skills: int = 2) -> DataFrame:
+    """Requests with the source and the skill count that they leave open."""
+    return (requests.withColumn("source", F.coalesce(F.col("source"), F.lit(default_source)))
+            .withColumn("skill_count", F.coalesce(F.col("skill_count"), F.lit(default_skills))))
+
+
 def score_batch(model: PipelineModel, requests: DataFrame, options: DataFrame,
                 default_source: str, default_skills: int = 2) -> DataFrame:
     """Validate, fill defaults, predict, clip at 0, round to 1 dp."""
-    v = validate_requests(requests, options)
-    v = (v.withColumn("source", F.coalesce(F.col("source"), F.lit(default_source)))
-         .withColumn("skill_count", F.coalesce(F.col("skill_count"), F.lit(default_skills))))
+    v = with_defaults(validate_requests(requests, options), default_source, default_skills)
     ok = v.where(F.col("reason").isNull()).withColumn(LABEL, F.lit(0.0))
     pred = model.transform(ok).select(
         *[c for c in v.columns if c != "reason"],
@@ -341,3 +412,29 @@ def model_report(spark, model_dir: str) -> dict:
     from hirelens.sources.sinks import read_report
     r = read_report(spark, f"{model_dir}/report")
     return r if r is not None else {"trained": False}
+
+
+_TRAINING = threading.RLock()       # one training per folder even if queries run in parallel threads
+
+
+def selected(frame: DataFrame, folder: str, sizes: ModelSizes | None = None,
+             seed: int = 42) -> tuple[TrainResult, DataFrame]:
+    """What ``train_and_select`` gives for ``frame``, trained once and kept in ``folder``.
+
+    The selected model and the test split are written first and the report last: it is the mark
+    that readers, of any session, look for. A folder without it is written again.
+    """
+    from hirelens.session import path_exists
+    from hirelens.sources.sinks import read_report, write_report
+    spark = frame.sparkSession
+    with _TRAINING:
+        report = read_report(spark, f"{folder}/report") if path_exists(spark, f"{folder}/report/_SUCCESS") else None
+        if report is None:
+            require_rows(frame)
+            res, test = train_and_select(frame, sizes, seed=seed)
+            res.model.write().overwrite().save(f"{folder}/model")
+            test.select(*frame.columns).write.mode("overwrite").parquet(f"{folder}/test")
+            report = {"scores": res.scores, "best": res.best, "n_rows": res.n_rows}
+            write_report(spark, report, f"{folder}/report")
+    res = TrainResult(report["scores"], report["best"], load_model(folder), report["n_rows"])
+    return res, spark.read.parquet(f"{folder}/test")

@@ -9,7 +9,9 @@ arguments.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -887,9 +889,7 @@ def q_backfill_bronze(spark, sf_dir):
 # M: salary models (training is iterative -> rows-only checks, except M1/M2)
 # ---------------------------------------------------------------------------
 from hirelens.operators import ml  # noqa: E402
-from hirelens.session import work_root  # noqa: E402
-
-_TRAINED: dict = {}
+from hirelens.session import work_path, work_root  # noqa: E402
 
 _ML_FRAME_SQL = f"""
 , frame AS (SELECT coalesce(source, 'unknown') AS source, job_key, city, education, experience,
@@ -920,14 +920,13 @@ def q_ml_split(spark, sf_dir):
     return s.groupBy("experience", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+MODEL_SIZES = ml.ModelSizes()
+
+
 def _trained(spark, sf_dir):
-    key = (sf_dir, id(spark))
-    if key not in _TRAINED:
-        work_root(spark)
-        frame = ml.ml_frame(silver(spark, sf_dir))
-        ml.require_rows(frame)
-        _TRAINED[key] = ml.train_and_select(frame, ml.ModelSizes())
-    return _TRAINED[key]
+    """The models of this input, trained by the first query that needs them."""
+    tag = hashlib.sha1(f"{tables.state_tag(spark, sf_dir, 'operators/ml.py')}:{MODEL_SIZES}".encode()).hexdigest()[:16]
+    return ml.selected(ml.ml_frame(silver(spark, sf_dir)), work_path(spark, "models", tag), MODEL_SIZES)
 
 
 @register("ml_scores")
@@ -954,6 +953,78 @@ def q_ml_score_batch(spark, sf_dir):
     return ml.score_batch(res.model, requests, options, default_source="site_b")
 
 
+# Requests that go wrong in every way, made of the postings by rule: the field named by the
+# remainder is blank, missing or unknown, and source and skill count are given to some only.
+_REQUEST_SQL = """
+, req AS (
+  SELECT source AS from_source, job_key,
+         CASE WHEN m = 1 THEN NULL WHEN m = 2 THEN '  ' WHEN m = 3 THEN 'nowhere' ELSE city END AS city,
+         CASE WHEN m = 4 THEN '' WHEN m = 5 THEN 'none' ELSE education END AS education,
+         CASE WHEN m = 6 THEN NULL WHEN m = 3 THEN 'none' ELSE experience END AS experience,
+         CASE WHEN m = 7 THEN ' ' WHEN m = 8 THEN 'none' ELSE keyword END AS keyword,
+         CASE WHEN m % 2 = 0 THEN source END AS source,
+         CASE WHEN m % 3 = 0 THEN m END AS skill_count
+  FROM (SELECT *, length(job_key) * 3 % 11 + ascii(right(job_key, 1)) % 3 AS m FROM frame))"""
+
+
+def _requests(frame):
+    m = (F.length("job_key") * 3) % 11 + F.ascii(F.substring(F.col("job_key"), -1, 1)) % 3
+    t = frame.withColumn("m", m)
+    none, m = F.lit(None).cast("string"), F.col("m")
+    return t.select(
+        F.col("source").alias("from_source"), "job_key",
+        F.when(m == 1, none).when(m == 2, "  ").when(m == 3, "nowhere").otherwise(F.col("city")).alias("city"),
+        F.when(m == 4, "").when(m == 5, "none").otherwise(F.col("education")).alias("education"),
+        F.when(m == 6, none).when(m == 3, "none").otherwise(F.col("experience")).alias("experience"),
+        F.when(m == 7, " ").when(m == 8, "none").otherwise(F.col("keyword")).alias("keyword"),
+        F.when(m % 2 == 0, F.col("source")).alias("source"),
+        F.when(m % 3 == 0, m).alias("skill_count"))
+
+
+@register("request_validation", _ML_FRAME_SQL + _REQUEST_SQL + f"""
+SELECT from_source, job_key, coalesce(source, 'site_b') AS source, coalesce(skill_count, 2) AS skill_count,
+       CASE WHEN coalesce(trim(city), '') = '' THEN 'city is blank'
+            WHEN city NOT IN (SELECT city FROM frame WHERE city IN {CITY_IN}) THEN 'city not in options'
+            WHEN coalesce(trim(education), '') = '' THEN 'education is blank'
+            WHEN education NOT IN (SELECT education FROM frame) THEN 'education not in options'
+            WHEN coalesce(trim(experience), '') = '' THEN 'experience is blank'
+            WHEN experience NOT IN (SELECT experience FROM frame) THEN 'experience not in options'
+            WHEN coalesce(trim(keyword), '') = '' THEN 'keyword is blank'
+            WHEN keyword NOT IN (SELECT keyword FROM frame) THEN 'keyword not in options' END AS reason
+FROM req""")
+def q_request_validation(spark, sf_dir):
+    frame = ml.ml_frame(silver(spark, sf_dir))
+    v = ml.with_defaults(ml.validate_requests(_requests(frame), stats.feature_options(frame, FX_CITIES)), "site_b")
+    return v.select("from_source", "job_key", "source", "skill_count", "reason")
+
+
+@register("ml_checks", _ML_FRAME_SQL + f"""
+, c AS (SELECT experience, count(*) AS n FROM frame GROUP BY experience),
+  t AS (SELECT sum(CAST(floor(n * 0.2 + 0.5) AS BIGINT)) AS n_test, sum(n) AS n_rows FROM c)
+SELECT n_rows, n_test, 'gradient_boosting,linear,random_forest' AS models, 1 AS n_best, true AS best_has_highest_cv,
+       6 AS n_features, true AS shares_sum_to_one, true AS shares_in_range, n_test AS n_scored, 0 AS n_negative,
+       0 AS n_unpredicted, 0 AS n_predicted_invalid
+FROM t""")
+def q_ml_checks(spark, sf_dir):
+    """What must hold of scores, importances and batch predictions, whatever the models learn."""
+    res, test = _trained(spark, sf_dir)
+    imp = q_ml_importance(spark, sf_dir).agg(
+        F.count(F.lit(1)).cast("int").alias("n_features"), F.round(F.sum("importance"), 6).isin(0.0, 1.0).alias("shares_sum_to_one"),
+        F.min(F.col("importance").between(0, 1)).alias("shares_in_range"))
+    bad = F.col("reason").isNotNull()
+    scored = q_ml_score_batch(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("predicted_salary") < 0).cast("int").alias("n_negative"),
+        F.count_if(~bad & F.col("predicted_salary").isNull()).cast("int").alias("n_unpredicted"),
+        F.count_if(bad & F.col("predicted_salary").isNotNull()).cast("int").alias("n_predicted_invalid"))
+    best = [s for s in res.scores if s["model"] == res.best]
+    head = spark.createDataFrame([(res.n_rows, ",".join(sorted(s["model"] for s in res.scores)), len(best),
+                                   best[0]["cv_r2"] == max(s["cv_r2"] for s in res.scores))],
+                                 "n_rows long, models string, n_best int, best_has_highest_cv boolean")
+    parts = [head, test.agg(F.count(F.lit(1)).alias("n_test")), imp, scored]
+    one = [p.withColumn("one", F.lit(1)) for p in parts]     # a row each
+    return reduce(lambda a, b: a.join(b, "one"), one).drop("one")
+
+
 @register("feature_options", _ML_FRAME_SQL + f"""
 , opts AS (
   SELECT DISTINCT 'city' AS feature, city AS value FROM frame WHERE city IN {CITY_IN}

@@ -152,6 +152,14 @@ def buckets(spark: SparkSession, inputs: list[tuple[str, int, int]]) -> int:
     return max(16, 1 << max(0, need - 1).bit_length())
 
 
+def state_tag(spark: SparkSession, sf_dir: str, *modules: str) -> str:
+    """Names what is derived from these input files by this code (and by ``modules`` of the package)."""
+    h = hashlib.sha1(f"{_input_tag(sf_dir, _input_files(spark, sf_dir))}{_code_version()}{RUN_TAG}".encode())
+    for rel in modules:
+        h.update(files("hirelens").joinpath(rel).read_bytes())
+    return h.hexdigest()[:16]
+
+
 def _table_name(path: str) -> str:
     return "hirelens_" + hashlib.sha1(path.encode()).hexdigest()[:16]
 

@@ -56,11 +56,69 @@ def test_experience_tiers_source_filter(spark):
     assert abs(pct - 100.0) < 1e-4
 
 
-def test_registered_models_have_full_size(spark, monkeypatch):
+def test_registered_models_have_full_size():
     from hirelens.plans import catalog
-    asked = []
-    monkeypatch.setattr(catalog, "_TRAINED", {})
-    monkeypatch.setattr(catalog.ml, "train_and_select", lambda frame, sizes=None, **kw: asked.append(sizes))
-    catalog._trained(spark, SF_SMALL)
-    s = asked[0] or ml.ModelSizes()
+    s = catalog.MODEL_SIZES
     assert (s.rf_trees, s.rf_depth, s.gbt_iter, s.gbt_depth) == (200, 12, 200, 3)
+    found = ml.regressors(s, 1000)
+    assert found["random_forest"].getSubsamplingRate() == 1.0       # every tree draws as many rows as there are
+
+
+SMALL = ml.ModelSizes(rf_trees=3, rf_depth=3, gbt_iter=3)
+
+
+def test_models_are_trained_once_and_published_by_the_report(spark, monkeypatch):
+    frame = ml.ml_frame(tables.silver(spark, SF_SMALL))
+    d = os.path.join(scratch_dir(), "models")
+    res, test = ml.selected(frame, d, SMALL)
+    import shutil
+    monkeypatch.setattr(ml, "train_and_select", lambda *a, **k: 1 / 0)
+    again, same = ml.selected(frame, d, SMALL)          # as another session would find it
+    assert (again.scores, again.best, again.n_rows) == (res.scores, res.best, res.n_rows)
+    assert same.count() == test.count() and same.columns == frame.columns
+    rows = frame.limit(20)
+    want = [r.prediction for r in res.model.transform(rows).orderBy("job_key").collect()]
+    assert [r.prediction for r in again.model.transform(rows).orderBy("job_key").collect()] == want
+    shutil.rmtree(os.path.join(d, "report"))            # a training that died before its report
+    import pytest
+    with pytest.raises(ZeroDivisionError):
+        ml.selected(frame, d, SMALL)
+
+
+def test_cells_fit_the_same_models_as_rows(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.sql import functions as F
+    rows = ml.with_weights(ml.ml_frame(tables.silver(spark, SF_SMALL))).withColumn("city", F.lit("c"))
+    few = ml.cells(rows, [])
+    assert few.count() < rows.count() / 3 and few.agg(F.sum("n")).first()[0] == rows.count()
+    enc = Pipeline(stages=ml.feature_stages()).fit(rows)
+    for name in ml.ON_CELLS:
+        reg = ml.regressors(ml.ModelSizes(gbt_iter=8))[name]
+        a, b = reg.fit(enc.transform(rows)), reg.fit(enc.transform(few))
+        both = b.transform(a.transform(enc.transform(rows)).withColumnRenamed("prediction", "p"))
+        assert both.agg(F.max(F.abs(F.col("p") - F.col("prediction")))).first()[0] < 1e-6, name
+    # the sums over cells give the scores of the rows
+    pred = a.transform(enc.transform(rows))
+    y, p = F.col(ml.LABEL), F.col("prediction")
+    plain = pred.agg(F.sum((y - p) ** 2).alias("sse"), F.var_pop(y).alias("v"), F.count("*").alias("n")).first()
+    by_cell = ml._r2_by(a.transform(enc.transform(few)).withColumn("k", F.lit(1)), "k")[1]
+    assert abs(by_cell - (1 - plain.sse / (plain.v * plain.n))) < 1e-9
+
+
+def test_forest_sample_is_bounded_and_stable(spark):
+    frame = ml.ml_frame(tables.silver(spark, SF_SMALL))
+    n = frame.count()
+    assert ml.forest_sample(frame, n, ml.ModelSizes()).count() == n
+    some = ml.forest_sample(frame, n, ml.ModelSizes(forest_rows=n // 4))
+    assert abs(some.count() - n / 4) < n / 16
+    keys = {tuple(r) for r in some.select("source", "job_key").collect()}
+    assert keys == {tuple(r) for r in ml.forest_sample(frame.repartition(5), n, ml.ModelSizes(forest_rows=n // 4))
+                    .select("source", "job_key").collect()}
+
+
+def test_too_few_rows_raise(spark):
+    import pytest
+    frame = ml.ml_frame(tables.silver(spark, SF_SMALL)).limit(49)
+    with pytest.raises(RuntimeError):
+        ml.require_rows(frame)
+    assert ml.require_rows(frame.union(frame)) == 98
