@@ -6,14 +6,15 @@
 
 Tables come either from stored Parquet folders (``--silver``/``--bronze``) or
 are built from the driver tables (``--sf-dir``). Destructive jobs preview by
-default and write new snapshots (``DIR/silver``, ``DIR/bronze``) with
-``--apply``; the input snapshot is never modified.
+default and write a new version of both tables below ``DIR`` with
+``--apply``; earlier versions and the input are never modified.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 
 from pyspark.sql import DataFrame
@@ -34,17 +35,37 @@ def _tables(spark, a) -> tuple[DataFrame, DataFrame]:
     return tables.silver(spark, a.sf_dir), tables.bronze(spark, a.sf_dir)
 
 
-def _show(title: str, df: DataFrame) -> None:
-    """Print every row of a report (one row per group, or a sample of its own length)."""
-    print(f"== {title}")
-    df.show(max(1, df.count()), truncate=False)
+#: Lines of a report that are printed; the whole report goes to --reports.
+LINES = 200
+
+
+class Reports:
+    """Prints the first lines of every report and, if a folder is given, writes it there whole.
+
+    A written report is computed once: its lines are read back from the folder.
+    """
+
+    def __init__(self, folder: str | None):
+        self.folder = folder
+
+    def __call__(self, title: str, df: DataFrame) -> None:
+        print(f"== {title}")
+        if self.folder:
+            path = f"{self.folder}/{re.sub(r'[^a-z0-9]+', '-', title.lower()).strip('-')}"
+            df.write.mode("overwrite").json(path)
+            df = df.sparkSession.read.schema(df.schema).json(path)
+        rows = df.limit(LINES + 1).collect()
+        text = df.sparkSession.createDataFrame(rows[:LINES], df.schema)
+        text.show(max(1, len(rows)), truncate=False)
+        if len(rows) > LINES:
+            print(f"only the first {LINES} lines are printed" + ("" if self.folder else "; --reports DIR writes all"))
 
 
 def _cities(a) -> list[str]:
     return a.cities.split(",") if a.cities else dims.CITIES
 
 
-def _cleanup(spark, a, doomed: DataFrame, silver, bronze) -> None:
+def _cleanup(a, _show: Reports, doomed: DataFrame, silver, bronze) -> None:
     from hirelens.operators import quality
     summary = quality.run_cleanup(silver, bronze, doomed, apply=a.apply, out=a.out)
     _show("deleted / kept" + (" (applied)" if a.apply else " (preview)"), summary)
@@ -57,6 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--silver", help="stored silver Parquet folder")
     ap.add_argument("--bronze", help="stored bronze Parquet folder")
     ap.add_argument("--master", default=None)
+    ap.add_argument("--reports", default=None, help=f"folder for whole reports ({LINES} lines are printed)")
     ap.add_argument("--cities", default=None, help="comma-separated whitelist")
     sub = ap.add_subparsers(dest="cmd", required=True)
     sub.add_parser("health-check")
@@ -90,6 +112,7 @@ def main(argv: list[str] | None = None) -> int:
     from hirelens.session import get_spark, work_root
     spark = get_spark(a.master)
     work_root(spark)
+    _show = Reports(a.reports)
     silver, bronze = _tables(spark, a)
     from hirelens.operators import ingest, inference, quality, skills, stats
     from hirelens.sources.sinks import write_snapshot
@@ -111,7 +134,7 @@ def main(argv: list[str] | None = None) -> int:
         _show("sample", quality.preview_sample(
             quality.intern_flagged(silver, a.source, words).where("flag")
             .select("source", "job_key", "city", "title", "salary_text"), 30))
-        _cleanup(spark, a, quality.doomed_intern(silver, a.source, words), silver, bronze)
+        _cleanup(a, _show, quality.doomed_intern(silver, a.source, words), silver, bronze)
     elif a.cmd == "clean-offlist":
         _show("off-list rows by source/city", quality.clean_offlist_report(silver, _cities(a))
               .orderBy(F.col("n").desc()))
@@ -129,10 +152,10 @@ def main(argv: list[str] | None = None) -> int:
                                                40, "value"))
         if a.out:
             quality.nontech_dump(silver, a.keyword, nontech=words).write.mode("overwrite").text(f"{a.out}/nontech")
-        _cleanup(spark, a, quality.doomed_nontech(silver, a.keyword, nontech=words), silver, bronze)
+        _cleanup(a, _show, quality.doomed_nontech(silver, a.keyword, nontech=words), silver, bronze)
     elif a.cmd == "clean-outlier":
         _show("rows above threshold", quality.clean_outlier_report(silver, bronze, a.threshold))
-        _cleanup(spark, a, quality.doomed_outlier(silver, a.threshold), silver, bronze)
+        _cleanup(a, _show, quality.doomed_outlier(silver, a.threshold), silver, bronze)
     elif a.cmd == "reclean":
         _show("fields that would change", ingest.reclean_diff(silver, bronze))
         _show("experience before / after", ingest.reclean_hist(silver, bronze))

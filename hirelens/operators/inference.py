@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelens import dims
-from hirelens.functions.dist import p_value
+from hirelens.functions.dist import f_tail, rho_p, t_two_sided
 from hirelens.functions.flags import d_label, eta_label, p_stars, rho_direction, rho_strength
 from hirelens.functions.levels import education_rank, experience_rank, order_index
 from hirelens.functions.tags import skill_count
@@ -49,34 +49,41 @@ def anova(silver: DataFrame, col: str, min_n: int = dims.MIN_GROUP_N) -> DataFra
 def anova_report(silver: DataFrame, col: str, min_n: int = dims.MIN_GROUP_N) -> DataFrame:
     """ANOVA with p-value (F tail) and the effect-size label."""
     a = anova(silver, col, min_n)
-    p = p_value(F.lit("F"), F.col("f_stat"), F.col("k") - 1, F.col("n_total") - F.col("k"))
+    p = f_tail(F.col("f_stat"), F.col("k") - 1, F.col("n_total") - F.col("k"))
     return a.withColumn("p_value", p).withColumn("stars", p_stars(F.col("p_value"))) \
             .withColumn("effect", eta_label(F.col("eta_sq")))
 
 
-def _pairs_for(silver: DataFrame, col: str, pairs, min_n: int) -> DataFrame:
-    spark = silver.sparkSession
-    g = group_moments(silver, col)
+def _pair_rows(silver: DataFrame, col: str, pairs, min_n: int) -> DataFrame:
+    """(a, b) and the moments of both groups, from one pass over the group table.
+
+    Given pairs become a literal list exploded over the groups, so a group's row goes to its pairs and
+    each pair picks its two sides by a conditional aggregate. Without pairs it is the group with the
+    highest median against the one with the lowest, among those of ``min_n`` rows (the name breaks ties).
+    """
+    g = group_moments(silver, col).withColumn("s", F.struct("n", "mean", "var", "median"))
     if pairs is None:
-        # highest vs lowest median among valid groups (name breaks ties)
-        valid = g.where(F.col("n") >= min_n)
-        p = valid.agg(F.max_by("grp", F.struct("median", "grp")).alias("a"),
-                      F.min_by("grp", F.struct("median", "grp")).alias("b")).where(
-            F.col("a").isNotNull())
+        place = F.struct("median", "grp")
+        both = g.where(F.col("n") >= min_n).agg(
+            F.max_by("grp", place).alias("a"), F.min_by("grp", place).alias("b"),
+            F.max_by("s", place).alias("sa"), F.min_by("s", place).alias("sb")).where(F.col("a").isNotNull())
     else:
-        p = spark.createDataFrame(pairs, "a string, b string")
-    ga = g.select(*[F.col(c).alias(f"{c}_a") for c in g.columns])
-    gb = g.select(*[F.col(c).alias(f"{c}_b") for c in g.columns])
-    # group statistics: one row per group, but the number of groups is data-driven,
-    # so the join strategy is left to AQE (it broadcasts when the measured side is small)
-    return (p.join(ga, p.a == ga.grp_a, "left")
-            .join(gb, p.b == gb.grp_b, "left"))
+        wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                           for i, (a, b) in enumerate(pairs)])
+        sides = g.select("grp", "s", F.explode(wanted).alias("p"))
+        found = sides.groupBy("p.i").agg(*[F.max(F.when(F.col("grp") == F.col(f"p.{x}"), F.col("s"))).alias(f"s{x}")
+                                           for x in "ab"])
+        listed = silver.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
+                                                     "i int, a string, b string")
+        both = listed.join(found, "i", "left")          # a pair without rows stays, as skipped
+    return both.select("a", "b", *[F.col(f"s{x}.{c}").alias(f"{c}_{x}")
+                                   for x in "ab" for c in ("n", "mean", "var", "median")])
 
 
 def posthoc_pairs(silver: DataFrame, col: str, pairs=None,
                   min_n: int = dims.MIN_GROUP_N) -> DataFrame:
     """Welch t and Cohen's d for each pair; 'skipped' when a side has n < min_n."""
-    j = _pairs_for(silver, col, pairs, min_n)
+    j = _pair_rows(silver, col, pairs, min_n)
     na, nb = F.col("n_a"), F.col("n_b")
     va, vb = F.col("var_a"), F.col("var_b")
     ok = na.isNotNull() & nb.isNotNull() & (na >= min_n) & (nb >= min_n)
@@ -98,20 +105,34 @@ def posthoc_pairs(silver: DataFrame, col: str, pairs=None,
 
 def posthoc_report(silver: DataFrame, col: str, pairs=None, min_n: int = dims.MIN_GROUP_N):
     r = posthoc_pairs(silver, col, pairs, min_n)
-    p = p_value(F.lit("t"), F.col("t_stat"), F.col("df"), F.lit(0.0))
+    p = t_two_sided(F.col("t_stat"), F.col("df"))
     return (r.withColumn("p_value", p).withColumn("stars", p_stars(F.col("p_value")))
             .withColumn("effect", d_label(F.col("cohens_d"))))
 
 
 # Spearman ---------------------------------------------------------------------
 
+#: Ranges that ranks are counted in side by side.
+RANK_RANGES = 256
+
+
 def rank_table(cells: DataFrame, col: str, out: str) -> DataFrame:
-    """(value, average 1-based rank) for ``col`` of rows counted in ``__n``: counts per distinct
-    value, then a running sum over the ordered distinct values -- never a window over the rows."""
+    """(value, average 1-based rank) for ``col`` of rows counted in ``__n``.
+
+    Distinct values are counted, dealt into at most RANK_RANGES ranges at their own quantiles and
+    summed up in order within each; a table of one row per range says what lies before it.
+    """
     counts = cells.groupBy(col).agg(F.sum("__n").alias("__c"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        col, (F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2.0).alias(out))
+    shares = [i / RANK_RANGES for i in range(1, RANK_RANGES)]
+    splits = counts.agg(F.percentile_approx(col, shares, 100 * RANK_RANGES)).scalar()
+    ranged = counts.withColumn("__s", splits).withColumn(
+        "__b", F.size(F.filter("__s", lambda s: s < F.col(col)))).drop("__s")
+    totals = ranged.groupBy("__b").agg(F.sum("__c").alias("__t"))
+    lower = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)    # RANK_RANGES rows at most
+    before = totals.select("__b", F.coalesce(F.sum("__t").over(lower), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__w", F.coalesce(F.sum("__c").over(within), F.lit(0))).join(before, "__b")
+    return placed.select(col, (F.col("__before") + F.col("__w") + (F.col("__c") + 1) / 2.0).alias(out))
 
 
 def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -196,4 +217,4 @@ def spearman_exp_salary(silver: DataFrame, min_n: int = dims.MIN_GROUP_N) -> Dat
 
 def spearman_report(silver: DataFrame, min_n: int = dims.MIN_GROUP_N) -> DataFrame:
     r = spearman_exp_salary(silver, min_n)
-    return r.withColumn("p_value", p_value(F.lit("rho"), F.col("rho"), F.col("n"), F.lit(0.0)))
+    return r.withColumn("p_value", rho_p(F.col("rho"), F.col("n")))

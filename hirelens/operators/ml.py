@@ -138,8 +138,8 @@ class ModelSizes:
     forest_rows: int = 1 << 18      # a forest is fitted on about so many rows at most, by key hash
     tree_rows: int = 1 << 15        # and a tree's bootstrap holds about so many of them at most
     task_rows: int = 1 << 16        # rows per task of a fit: node statistics are summed over tasks
-    tree_memory_mb: int = 512       # for the node statistics of one pass of a fit
-    parallel: int = 12              # fits that run side by side
+    tree_memory_mb: int = 128       # for the node statistics of one pass of a fit
+    parallel: int = 6               # fits that run side by side
 
 
 def regressors(sizes: ModelSizes, rows: int = 0) -> dict:
@@ -253,10 +253,8 @@ def train_and_select(frame: DataFrame, sizes: ModelSizes | None = None, k: int =
         r2 = _r2_by(model.transform(judged), "fold").get(-1 if fold is None else fold, 0.0)
         return r2 if fold is not None else (model, r2, _mae(model, test_rows))
 
-    # boosting is a long chain of short jobs: it starts first, and the forests fill the executors beside it;
-    # folds before the whole, so that the long fits end together
-    order = sorted(wanted, key=lambda name: name != "gradient_boosting")
-    plan = [(name, fold) for name in order for fold in (None, *range(k))]
+    # boosting is a long chain of short jobs and a forest keeps the executors busy: they take turns
+    plan = [(name, fold) for fold in (None, *range(k)) for name in reversed(wanted)]
     done = dict(zip(plan, side_by_side(frame.sparkSession, [partial(fit, *job) for job in plan], sizes.parallel)))
     res = TrainResult(n_rows=n_rows)
     best_r2 = float("-inf")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelens import dims
-from hirelens.functions.flags import in_whitelist, intern_title_flag, nontech_flag
+from hirelens.functions.flags import in_whitelist, nontech_flag
 from hirelens.functions.levels import blank_label
 from hirelens.operators.stats import mean, med
 from hirelens.functions.text import ustrip
@@ -203,7 +203,9 @@ def clean_outlier_report(silver: DataFrame, bronze: DataFrame, threshold: float
     """Rows with salary_avg above the threshold, with how many bronze rows share the key."""
     hits = silver.where(F.col("salary_avg") > threshold).select(
         *KEYS, "city", "title", "salary_text", F.col("salary_avg").cast("double").alias("salary_avg"))
-    b = bronze.select(*KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("raw_hits"))
+    # the few hit keys thin out bronze before anything of it is counted
+    b = (bronze.select(*KEYS).join(hits.select(*KEYS).distinct(), KEYS, "left_semi")
+         .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("raw_hits")))
     return (hits.join(b, KEYS, "left")
             .withColumn("raw_hits", F.coalesce(F.col("raw_hits"), F.lit(0)))
             .orderBy(F.col("salary_avg").desc(), *KEYS))

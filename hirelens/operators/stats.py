@@ -133,23 +133,53 @@ def salary_by_source(silver: DataFrame) -> DataFrame:
 
 
 # A11 --------------------------------------------------------------------------
-EDU_COLUMNS = [("博士", "pct_doctor"), ("硕士", "pct_master"), ("本科", "pct_bachelor"),
-               ("大专", "pct_college"), ("高中及以下", "pct_highschool"), ("不限", "pct_any")]
+def every_pair(rows: DataFrame, cols: DataFrame, slots: int = 16) -> DataFrame:
+    """All combinations of two small tables: ``cols`` is dealt to slots, ``rows`` goes to each of them."""
+    spread = rows.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    dealt = cols.withColumn("__slot", F.pmod(F.xxhash64(*cols.columns), F.lit(slots)).cast("int"))
+    return spread.join(dealt, "__slot").drop("__slot")
+
+
+def grid(cells: DataFrame, row: str, col: str, configured: list[str], fill: dict) -> DataFrame:
+    """Long form of a matrix: every ``row`` with every ``col`` label that is seen at all.
+
+    ``fill`` gives the values of empty cells. ``ord`` is the label's place: configured labels in their
+    order, then the others by name. ``cells`` has one row per seen cell and is read three times.
+    """
+    rows, labels = cells.select(row).distinct(), cells.select(col).distinct()
+    known = order_index(F.col(col), configured)
+    extra = F.when(known.isNull(), F.lit(len(configured)) + F.dense_rank().over(
+        Window.partitionBy(known.isNull()).orderBy(col)) - 1)       # over the distinct labels
+    labels = labels.withColumn("ord", F.coalesce(known, extra).cast("int"))
+    return every_pair(rows, labels).join(cells, [row, col], "left").fillna(fill)
+
+
+EDU_COLUMNS = dict(zip(dims.EDU_ORDER, ("pct_doctor", "pct_master", "pct_bachelor",
+                                        "pct_college", "pct_highschool", "pct_any")))
 
 
 def education_by_source(silver: DataFrame) -> DataFrame:
-    """Row-percent matrix source x education (fixed education order, missing = 0).
+    """Row-percent matrix source x education over the labels that the cleaner emits (missing = 0).
 
     One grouped pass with conditional counts: no pivot discovery job, no grid join.
-    The cleaner only emits these six labels, so the matrix is complete.
+    ``education_grid`` is the form for tables with other labels.
     """
     base = silver.where(F.col("source").isNotNull() & F.col("education").isNotNull())
     total = F.count(F.lit(1))
     cols = [pct(F.count_if(F.col("education") == lab), total).alias(name)
-            for lab, name in EDU_COLUMNS]
+            for lab, name in EDU_COLUMNS.items()]
     return base.groupBy("source").agg(total.alias("n"), *cols)
 
 
+def education_grid(silver: DataFrame) -> DataFrame:
+    """Long row-percent matrix source x education, whatever labels the table holds."""
+    base = silver.where(F.col("source").isNotNull() & F.col("education").isNotNull())
+    counts = base.groupBy("source", "education").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("source"))           # over a source's labels
+    cells = counts.withColumn("pct", pct(F.col("n"), total))
+    return grid(cells, "source", "education", dims.EDU_ORDER, {"n": 0, "pct": 0.0})
+
+
 # A12 --------------------------------------------------------------------------
 def salary_by_source_keyword(silver: DataFrame, keywords: list[str]) -> DataFrame:
     """Long form of the source x keyword mean-salary matrix; an empty cell has a NULL mean and n 0."""

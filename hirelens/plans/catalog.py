@@ -553,7 +553,7 @@ def q_spearman_matrix(spark, sf_dir):
 _EXP_IDX = {k: i for i, k in enumerate(dims.EXP_ORDER)}
 
 
-@register("spearman_exp_salary", f"""
+_EXP_SALARY_SQL = f"""
 , rows_ AS (SELECT {_case_map(O.ustrip('experience'), _EXP_IDX)} AS x, salary_avg AS y FROM silver
             WHERE salary_avg IS NOT NULL AND {O.ustrip('experience')} IN {O.in_list(dims.EXP_ORDER)}),
   r AS (SELECT {_rank_sql('x')} AS rx, {_rank_sql('y')} AS ry FROM rows_),
@@ -562,34 +562,75 @@ SELECT n, CASE WHEN n >= 30 THEN round(rho, 6) + 0.0 END AS rho,
   CASE WHEN n >= 30 THEN CASE WHEN rho > 0 THEN '递增' ELSE '递减' END END AS direction,
   CASE WHEN n >= 30 THEN CASE WHEN abs(rho) >= 0.5 THEN '强' WHEN abs(rho) >= 0.3 THEN '中' ELSE '弱' END END
     AS strength
-FROM a""")
+FROM a"""
+
+
+@register("spearman_exp_salary", _EXP_SALARY_SQL)
 def q_spearman_exp_salary(spark, sf_dir):
     return inference.spearman_exp_salary(silver(spark, sf_dir))
 
 
-@register("anova_pvalues")
+# p-values: the oracle integrates the densities numerically (Simpson's rule over a grid that
+# reaches 60 beyond the statistic, where nothing is left of the tails here)
+_GRID = """
+, grid AS (SELECT i, CASE WHEN i = 0 OR i = 30000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 0.002 / 3 AS w
+           FROM range(0, 30001) r(i))"""
+
+
+def _tail_sql(stat: str, log_density: str) -> str:
+    """Integral of a density of x from ``stat`` on, for the row ``st``."""
+    return (f"(SELECT sum(w * exp({log_density})) FROM (SELECT w, {stat} + i * 0.002 AS x FROM grid) "
+            f"WHERE {stat} IS NOT NULL)")
+
+
+_F_TAIL = _tail_sql("f_stat", """lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2) + d1 / 2 * ln(d1 / d2)
+  + (d1 / 2 - 1) * ln(greatest(x, 1e-300)) - (d1 + d2) / 2 * ln(1 + d1 * x / d2)""")
+_T_TAIL = _tail_sql("abs_t", """ln(2) + lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2
+  - (df + 1) / 2 * ln(1 + x * x / df)""")
+_STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars"
+
+
+def _each_factor_sql(sqls: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {sql.strip().removeprefix(',')})" for sql in sqls)
+
+
+def _rounded_p(df):
+    return df.withColumn("p_value", F.round("p_value", 6))
+
+
+@register("anova_pvalues", _GRID + f"""
+, st AS (SELECT *, (k - 1)::DOUBLE AS d1, (n_total - k)::DOUBLE AS d2
+         FROM ({_each_factor_sql([_anova_sql(c) for c in ("city", "education", "experience")])})),
+  ps AS (SELECT *, {_F_TAIL} AS p FROM st)
+SELECT factor, k, n_total, f_stat, eta_sq, round(p, 6) + 0.0 AS p_value, {_STARS},
+       CASE WHEN eta_sq >= 0.14 THEN '大' WHEN eta_sq >= 0.06 THEN '中' WHEN eta_sq >= 0.01 THEN '小' ELSE '极小' END AS effect
+FROM ps""")
 def q_anova_pvalues(spark, sf_dir):
     s = silver(spark, sf_dir)
-    out = None
-    for col in ("city", "education", "experience"):
-        r = inference.anova_report(s, col)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return _rounded_p(reduce(DataFrame.unionByName,
+                             [inference.anova_report(s, c) for c in ("city", "education", "experience")]))
 
 
-@register("posthoc_pvalues")
+@register("posthoc_pvalues", _GRID + f"""
+, st AS (SELECT *, abs(t_stat) AS abs_t FROM ({_each_factor_sql([_posthoc_sql(c, p) for c, p in _POSTHOC.items()])})),
+  ps AS (SELECT *, {_T_TAIL} AS p FROM st)
+SELECT * EXCLUDE (abs_t, p), round(p, 6) + 0.0 AS p_value, {_STARS},
+       CASE WHEN abs(cohens_d) >= 0.8 THEN '大' WHEN abs(cohens_d) >= 0.5 THEN '中'
+            WHEN abs(cohens_d) >= 0.2 THEN '小' ELSE '极小' END AS effect
+FROM ps""")
 def q_posthoc_pvalues(spark, sf_dir):
     s = silver(spark, sf_dir)
-    out = None
-    for col, pairs in _POSTHOC.items():
-        r = inference.posthoc_report(s, col, pairs)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return _rounded_p(reduce(DataFrame.unionByName,
+                             [inference.posthoc_report(s, c, p) for c, p in _POSTHOC.items()]))
 
 
-@register("spearman_pvalue")
+@register("spearman_pvalue", _GRID + f"""
+, st AS (SELECT *, (n - 2)::DOUBLE AS df, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS abs_t
+         FROM ({_each_factor_sql([_EXP_SALARY_SQL])})),
+  ps AS (SELECT *, {_T_TAIL} AS p FROM st)
+SELECT * EXCLUDE (df, abs_t, p), round(p, 6) + 0.0 AS p_value FROM ps""")
 def q_spearman_pvalue(spark, sf_dir):
-    return inference.spearman_report(silver(spark, sf_dir))
+    return _rounded_p(inference.spearman_report(silver(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------

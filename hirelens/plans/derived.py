@@ -15,7 +15,7 @@ from hirelens import dims
 from hirelens.functions.flags import make_job_key, url_job_id
 from hirelens.functions.salary import with_salary
 from hirelens.functions.tags import normalize_tag, with_skills
-from hirelens.operators import extract, ingest, quality
+from hirelens.operators import extract, ingest, quality, stats
 from hirelens.plans import catalog as C
 from hirelens.plans import oracle as O
 from hirelens.plans.catalog import bronze, register, silver
@@ -368,3 +368,36 @@ SELECT count_if(salary_avg > {C.FX_OUTLIER}) AS gt_threshold,
 FROM dirty WHERE salary_avg IS NOT NULL""")
 def q_hc_salary_dirty(spark, sf_dir):
     return quality.hc_salary(_dirty_silver(spark, sf_dir), C.FX_OUTLIER)
+
+
+# Labels beyond the cleaner's six, one of them in one source only -----------------
+_MORE_LABELS = f"""
+, labelled AS (SELECT source, CASE WHEN {LINE_SQL} = '2' AND source = 'site_a' THEN 'MBA'
+                                   WHEN {LINE_SQL} = '3' THEN 'EMBA'
+                                   WHEN education IN ('博士', '不限') THEN NULL ELSE education END AS education FROM silver),
+  counts AS (SELECT source, education, count(*) AS n FROM labelled
+             WHERE source IS NOT NULL AND education IS NOT NULL GROUP BY source, education),
+  labels AS (SELECT education, row_number() OVER (PARTITION BY known IS NULL ORDER BY education) - 1 AS r, known
+             FROM (SELECT DISTINCT education, list_position({dims.EDU_ORDER}, education) - 1 AS known FROM counts))
+SELECT s.source, l.education, coalesce(l.known, {len(dims.EDU_ORDER)} + l.r) AS ord, coalesce(c.n, 0) AS n,
+       round(coalesce(c.n, 0) * 100.0 / s.total, 6) AS pct
+FROM (SELECT source, sum(n) AS total FROM counts GROUP BY source) s CROSS JOIN labels l
+LEFT JOIN counts c ON c.source = s.source AND c.education = l.education"""
+
+
+@register("education_grid", _MORE_LABELS)
+def q_education_grid(spark, sf_dir):
+    edu = F.col("education")
+    label = (F.when(_line(2) & (F.col("source") == "site_a"), "MBA").when(_line(3), "EMBA")
+             .when(~edu.isin("博士", "不限"), edu))
+    return stats.education_grid(silver(spark, sf_dir).withColumn("education", label))
+
+
+# I6, I7 applied: the rows of the rewritten tables ---------------------------------------
+@register("reclean_rows", _OLD_RECLEAN.replace("SELECT s.experience", "SELECT s.source, s.job_key, s.experience") + """
+SELECT source, job_key, new_experience AS experience, new_education AS education, new_tags AS tags, new_tags AS raw_tags
+FROM r""")
+def q_reclean_rows(spark, sf_dir):
+    s, b = ingest.reclean_apply(_old_silver(spark, sf_dir), bronze(spark, sf_dir))
+    raw = b.select("source", "job_key", F.col("tags").alias("raw_tags"))
+    return s.select("source", "job_key", "experience", "education", "tags").join(raw, ["source", "job_key"])

@@ -6,12 +6,14 @@ Writers go to a caller-given (shared) folder; nothing is collected to the driver
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens import dims
 from hirelens.session import path_exists
+from hirelens.sources.tables import register_bucketed, table_name
 
 
 def export_frame(silver: DataFrame) -> DataFrame:
@@ -64,23 +66,56 @@ def display_round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 
 # I5 / D5 ------------------------------------------------------------------------
-COMPLETE = "_COMPLETE"
+POINTER = "CURRENT"
+SNAPSHOT_TABLES = ("silver", "bronze")
 
 
-def write_snapshot(out: str, silver: DataFrame, bronze: DataFrame) -> None:
-    """Both tables below ``out``, all or nothing: a mark is written last, a folder without it
-    is no snapshot (a rerun writes it again), and one with it is never changed."""
+def _jvm_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole: written aside, then renamed over what is there."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    aside = _jvm_path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = aside.getFileSystem(sc._jsc.hadoopConfiguration()).create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = sc._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), sc._jsc.hadoopConfiguration())
+    context.rename(aside, _jvm_path(spark, path), over)
+
+
+def write_snapshot(out: str, silver: DataFrame, bronze: DataFrame, buckets: int | None = None) -> str:
+    """Both tables as a new version below ``out``, all or nothing; the version's name.
+
+    The tables keep the bucket layout of the stored ones, so key joins between
+    them need no shuffle. A pointer file is replaced last, by one rename: readers see the version before
+    until then, and that version stays as it is. ``buckets`` is by default the number of
+    shuffle partitions, 16 at least.
+    """
     spark = silver.sparkSession
-    if path_exists(spark, f"{out}/{COMPLETE}"):
-        raise FileExistsError(f"{out} holds a complete snapshot; give a new folder")
-    for name, table in (("silver", silver), ("bronze", bronze)):
-        table.write.mode("overwrite").partitionBy("source").parquet(f"{out}/{name}")
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{COMPLETE}")
-    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark).close()
+    n = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    version = f"v-{uuid.uuid4().hex}"
+    for name, table in zip(SNAPSHOT_TABLES, (silver, bronze)):
+        path = f"{out}/{version}/{name}"
+        (table.repartition(n, "source", "job_key").write.mode("overwrite").format("parquet")
+         .bucketBy(n, "source", "job_key").option("path", path).saveAsTable(table_name(path)))
+    _put(spark, f"{out}/{POINTER}", json.dumps({"version": version, "buckets": n}))
+    return version
 
 
 def read_snapshot(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """(silver, bronze) of a complete snapshot; ValueError for a folder without the mark."""
-    if not path_exists(spark, f"{out}/{COMPLETE}"):
+    """(silver, bronze) of the version that the pointer names; ValueError for a folder without one."""
+    if not path_exists(spark, f"{out}/{POINTER}"):
         raise ValueError(f"{out} holds no complete snapshot")
-    return spark.read.parquet(f"{out}/silver"), spark.read.parquet(f"{out}/bronze")
+    current = json.loads(spark.read.text(f"{out}/{POINTER}").first().value)
+    found = []
+    for name in SNAPSHOT_TABLES:
+        path = f"{out}/{current['version']}/{name}"
+        if not spark.catalog.tableExists(table_name(path)):
+            register_bucketed(spark, table_name(path), path, current["buckets"])
+        found.append(spark.table(table_name(path)))
+    return found[0], found[1]

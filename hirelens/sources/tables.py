@@ -160,11 +160,11 @@ def state_tag(spark: SparkSession, sf_dir: str, *modules: str) -> str:
     return h.hexdigest()[:16]
 
 
-def _table_name(path: str) -> str:
+def table_name(path: str) -> str:
     return "hirelens_" + hashlib.sha1(path.encode()).hexdigest()[:16]
 
 
-def _register(spark: SparkSession, name: str, path: str, n: int) -> None:
+def register_bucketed(spark: SparkSession, name: str, path: str, n: int) -> None:
     """Register an existing bucketed folder in this session's catalog."""
     schema = spark.read.parquet(path).schema
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -186,14 +186,14 @@ def _stored(spark: SparkSession, sf_dir: str, kind: str, build,
     inputs = _input_files(spark, sf_dir)
     n = buckets(spark, inputs)
     path = work_path(spark, f"{kind}-{_input_tag(sf_dir, inputs)}-{_code_version()}-b{n}{RUN_TAG}")
-    name = _table_name(path)
+    name = table_name(path)
     with _LOCK:
         if path not in _BUILT:
             if not path_exists(spark, path + "/_SUCCESS"):
                 _build(spark, build, prepartitioned, name, path, n)
             _BUILT.add(path)
         if not spark.catalog.tableExists(name):   # built earlier, or by another session
-            _register(spark, name, path, n)
+            register_bucketed(spark, name, path, n)
     return spark.table(name)
 
 

@@ -13,7 +13,7 @@ from hirelens.sources import tables
 
 def test_changed_input_by_uri_is_read_again(spark, tmp_path):
     for name in tables.INPUTS:
-        shutil.copy(f"{SF_SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{SF_SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
     uri = f"file://{tmp_path}"
     before = tables.silver(spark, uri).count()
     lines = pq.read_table(tmp_path / "lineitem.parquet")
