@@ -247,7 +247,10 @@ def candidates(nodes: DataFrame, percent: int = PERCENT, miss: float = MISS) ->
         links = _forest(run.num_rows, lambda at, rest: survivors(sigs[rest], sigs[at], percent, miss), sides)
         return [(int(nodes[a]), int(nodes[b])) for a, b in links]
 
-    return map_arrow(dealt, lambda it: _in_runs(it, 3, handle), LINKS)
+    out = staged(map_arrow(dealt, lambda it: _in_runs(it, 3, handle), LINKS), "minhash-near")
+    for t in (keys, shared):
+        drop_staged(t)
+    return out
 
 
 def _same(held: list[np.ndarray], mine: np.ndarray, percent: int) -> np.ndarray:
@@ -280,7 +283,8 @@ def verified(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
 
     texts = docs.select(F.col(id_col).cast(id_type).alias("_id"), F.col(text_col).alias("_text"),
                         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
-    wanted = groups.select("node", "id", "th")
+    # a merge join at every size: adaptive skew handling splits a text with very many rows
+    wanted = groups.select("node", "id", "th").hint("merge")
     same = (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("id"))
     whole = map_arrow(texts.join(wanted, same).select("node", "_text"), run, schema)
     whole = whole.groupBy("node").agg(F.first("hashes").alias("hashes"))    # of rows equal in id and text
@@ -319,7 +323,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("row"), F.first("n").alias("n"),
         F.first("sig").alias("sig"), F.first("keys").alias("keys"))
         .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
-    near = staged(candidates(nodes, percent, miss), "minhash-near")
+    near = candidates(nodes, percent, miss)
     rough = components(near)
     groups = staged(nodes.join(rough, "node").select("node", "root", "n", "sig", "row.id", "row.th"), "minhash-groups")
     links = staged(verified(groups, docs, id_col, text_col, shingle, percent, miss), "minhash-links")
