@@ -14,18 +14,21 @@ in the whole corpus and the end of the last. Files are written under a temporary
 and renamed, so a task that runs again replaces its own files with the same bytes.
 Readers map the files into memory.
 
-Encoding cuts a text before every single space between two other characters (a token
+Encoding takes the strings of the tokenizer's added tokens out of a text first, as the library
+does, then cuts before every single space between two other characters (a token
 always starts there), and looks the pieces up in a cache of ids. Pieces not yet known
 go through the vectorised pre-tokeniser and the library's merge model.
 
 Defined cases: a null text is empty and has the end id only; null ids come first;
-repeated ids stand in order of their text; no rows give no files; other columns are
-not read.
+repeated ids stand in order of the first HEAD_CHARS characters of their text, null first, then of its
+hash; a text of any length is one document; no rows give no files; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 import zlib
 from array import array
@@ -42,9 +45,12 @@ from hirelens.llm import bpe
 from hirelens.llm.common import batches, map_arrow, staged
 from hirelens.session import work_path
 
-#: Entries of the two caches of a Python worker; a full cache starts anew.
-PIECES = 300_000
-WORDS = 250_000
+#: Characters of a text that order rows with the same id.
+HEAD_CHARS = 64
+#: Entries of the caches of a Python worker. Full, the pieces start anew and the words become
+#: the older ones, which are kept until the words are full again.
+PIECES = 100_000
+WORDS = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -67,15 +73,25 @@ class Encoder:
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}       # of what follows a single space
+        self.older: dict[str, bytes] = {}       # the words before these
+        held = tok.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in held.values()):
+            raise ValueError("added tokens that take white space or whole words are not supported")
+        self.added = {t.content: array(self.code, [i]).tobytes() for i, t in held.items()}
+        longest = sorted(self.added, key=len, reverse=True)     # of those that start at one place
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")")
+
+    def _merged(self, p: str) -> bytes:
+        if p.isascii() and p[1:].isalpha() and p[0] == " ":
+            letters = self.letters[0x20] + p[1:]        # printable ASCII stands for itself
+        else:
+            letters = p.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
-            if p.isascii() and p[1:].isalpha() and p[0] == " ":
-                letters = self.letters[0x20] + p[1:]    # printable ASCII stands for itself
-            else:
-                letters = p.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            got = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+            got = self._merged(p)
             if len(p) <= bpe.CACHED_CHARS:
                 if len(self.pieces) > PIECES:
                     self.pieces.clear()
@@ -85,28 +101,40 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [b"".join(map(self._piece, pieces)) for pieces in bpe.slices(texts)]
 
+    def _word(self, p: str) -> bytes:
+        """Ids of a space and the letters ``p``, which are one piece."""
+        got = self.words.get(p) or self.older.get(p)
+        if got is None:
+            got = self._merged(f" {p}")
+        self.words[p] = got
+        return got
+
     def _learn(self, words: set[str]) -> set[str]:
         """Cache the ids of words after a space; returns those that must not be cut off.
 
         A piece next to more white space belongs to it: its text is encoded as a whole.
         """
-        known, piece, rest, unsafe = self.words, self._piece, [], set()
+        known, older, word, rest, unsafe = self.words, self.older, self._word, [], set()
         for p in words:
-            if p.isalpha():                             # letters only are one piece with their space
-                known[p] = piece(f" {p}")
+            got = older.get(p)
+            if got is not None:
+                known[p] = got
+            elif p.isalpha():
+                word(p)
             elif not p or p[0].isspace() or p[-1].isspace():
                 unsafe.add(p)
             elif p[-1] in ".,|" and p[:-1].isalpha():
-                known[p] = piece(f" {p[:-1]}") + piece(p[-1])
+                known[p] = word(p[:-1]) + self._piece(p[-1])
             else:
                 rest.append(p)
         known.update(zip(rest, self._whole([f" {p}" for p in rest])))
         return unsafe
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
+        if len(self.words) > WORDS:
+            self.older, self.words = self.words, {}     # what is still in use comes back from there
         words = self.words
-        if len(words) > WORDS:
-            words.clear()
         cut = [t.split(" ") for t in texts]
         new: set[str] = set()
         for parts in cut:
@@ -122,6 +150,14 @@ class Encoder:
         return [as_one[i] if i in as_one else heads[i] + b"".join(map(ids_of, parts[1:]))
                 for i, parts in enumerate(cut)]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts. The strings of added tokens are cut out first; each is its own id."""
+        if not self.added or not any(a in t for a in self.added for t in texts):
+            return self._plain(texts)
+        cut = [self.at_added.split(t) for t in texts]           # text, added token, text, ...
+        plain = iter(self._plain([x for parts in cut for x in parts[::2]]))
+        return [b"".join(self.added[x] if i % 2 else next(plain) for i, x in enumerate(parts)) for parts in cut]
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -158,7 +194,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
     spark = docs.sparkSession
     folder = folder or work_path(spark, "llm", f"tokens-{uuid.uuid4().hex}")
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ordered = source.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    head, tie = F.substring("_text", 1, HEAD_CHARS), F.monotonically_increasing_id()
+    ordered = source.withColumns({"_head": head, "_hash": F.xxhash64("_text"), "_tie": tie})
+    keys = ["_id", "_head", "_hash", "_tie"]        # rows equal in id and text spread over parts as well
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_id", "_text")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("docs", T.LongType()),
                            T.StructField("tokens", T.LongType())])
 
@@ -214,7 +253,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
 
 
 def _each_part(manifest: DataFrame) -> DataFrame:
-    return manifest.repartition(max(1, manifest.count()), "part")
+    """One part per task, as far as ranges of the part numbers allow."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "part")
 
 
 def read_back(spark: SparkSession, folder: str, manifest: DataFrame, tokenizer_path: str,
