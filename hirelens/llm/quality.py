@@ -145,16 +145,21 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 
 
 
-def choose(measured: DataFrame, good_ids: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one cutoff column per rule; null: the rule is off there)."""
+def certify(measured: DataFrame, good_ids: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, trials, needed, cut): the cutoff certified for a rule in a stratum, null if none is.
+
+    A good document is one trial of its stratum, whatever the number of its rows; it counts as
+    rejected if one of them is. ``needed`` trials without a rejection would certify the loosest cutoff.
+    """
     good = measured.join(good_ids, measured["id"] == good_ids["gid"], "left_semi").where("NOT base_failed")
-    steps = []
+    over = []
     for name, value, loose, strict in RULES:
         v = F.expr(f"double({value})")
         # how many cutoffs, from the strictest one, reject the document
-        n_over = sum((v > F.lit(c)).cast("int") for c in cutoffs(loose, strict))
-        steps.append(F.struct(F.lit(name).alias("rule"), n_over.alias("over")))
-    per = (good.select("stratum", F.explode(F.array(*steps)).alias("s"))
+        over.append(F.max(sum((v > F.lit(c)).cast("int") for c in cutoffs(loose, strict))).alias(name))
+    trials = good.groupBy("stratum", "id").agg(*over)
+    steps = [F.struct(F.lit(name).alias("rule"), F.col(name).alias("over")) for name, *_ in RULES]
+    per = (trials.select("stratum", F.explode(F.array(*steps)).alias("s"))
            .groupBy("stratum", "s.rule", "s.over").agg(F.count("*").alias("docs")))
     per = staged(per, "risk-counts")
     whole = Window.partitionBy("stratum", "rule")
@@ -176,12 +181,25 @@ def choose(measured: DataFrame, good_ids: DataFrame, risk: float = RISK, delta:
 
     tested = grid.withColumn("ok", p_value("k", "n") <= level)
     first_bad = tested.groupBy("stratum", "rule").agg(
-        F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(STEPS)).alias("bad"))
+        F.max("n").alias("trials"), F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(STEPS)).alias("bad"))
     cuts = F.create_map(*[x for name, _, loose, strict in RULES
                           for x in (F.lit(name), F.array(*map(F.lit, cutoffs(loose, strict))))])
     cut = F.when(F.col("bad") > 0, F.element_at(F.element_at(cuts, F.col("rule")), F.col("bad")))
-    return staged(first_bad.withColumn("cut", cut).groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == name, F.col("cut"))).alias(f"cut_{name}") for name, *_ in RULES]), "cutoffs")
+    needed = math.ceil(math.log(level) / math.log1p(-alpha))
+    return staged(first_bad.select("stratum", "rule", "trials", F.lit(needed).cast("long").alias("needed"),
+                                   cut.alias("cut")), "cutoffs")
+
+
+def choose(measured: DataFrame, good_ids: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, one cutoff column per rule; null: the rule is off there)."""
+    return certify(measured, good_ids, risk, delta).groupBy("stratum").agg(
+        *[F.max(F.when(F.col("rule") == name, F.col("cut"))).alias(f"cut_{name}") for name, *_ in RULES])
+
+
+def good_documents(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(gid): documents all of whose labels say that they are good."""
+    return (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+            .groupBy(F.col(id_col).alias("gid")).agg(F.min(label_col).alias("q")).where("q > 0").select("gid"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -189,8 +207,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           delta: float = DELTA) -> DataFrame:
     """(id, COUNTS, base_failed, kept, broken): ``broken`` names the rules that rejected a text."""
     measured = staged(measure(docs, id_col, text_col, stratum_col), "measured")
-    good = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-            .groupBy(F.col(id_col).alias("gid")).agg(F.min(label_col).alias("q")).where("q > 0").select("gid"))
+    good = good_documents(labels, id_col, label_col)
     cuts = choose(measured, good, risk, delta).withColumnRenamed("stratum", "_s")
     values = [F.expr(f"double({value})") for _, value, _, _ in RULES]
     over = F.array(*[F.when(v > F.col(f"cut_{name}"), F.lit(name)) for (name, *_), v in zip(RULES, values)])
