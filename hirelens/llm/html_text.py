@@ -4,11 +4,14 @@ A small tree builder turns a page into elements, with the tags that HTML implies
 block ends an open paragraph; list items, table rows, cells, options and definitions
 end their siblings; an end tag closes what is open inside it; stray end tags and
 unclosed elements do no harm. Elements that are not shown (head matter, scripts,
-styles, templates, ``hidden``, ``display:none``, ``visibility:hidden``) leave nothing. The
+styles, templates, ``hidden``, ``display:none``) leave nothing. ``visibility`` is handed down:
+hidden text leaves its place (lines, list numbers, cells) empty, and a visible element inside a
+hidden one is shown. The
 renderer emits all other text: white space collapses except in ``pre``, blocks
 start lines, paragraphs and headings stand apart by an empty line, list items are
 indented under bullets or numbers, and the cells of a table are aligned in columns. A cell
-is rendered like a page of its own, and its lines stand beside those of its neighbours. A
+is rendered like a page of its own, and its lines stand beside those of its neighbours; lines
+longer than CELL_WIDTH are wrapped. Cells span columns and reserve theirs in the rows they span. A
 table of one column, or one with a table, heading or section inside, arranges the page: its
 cells follow each other as blocks. In an aligned table, captions and what stands outside
 cells come before the rows, as in a browser.
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import html
 import re
-from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,8 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*\"|'[^']*')*+)>
 ROUGH = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 OPAQUE = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z-]+)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,15 +73,29 @@ HEAD_ONLY = frozenset("meta link title style script base noscript template head"
 #: What makes a table one that arranges blocks.
 LAYOUT = frozenset("table h1 h2 h3 h4 h5 h6 article section main nav header footer aside blockquote figure fieldset "
                    "hr".split())
-WIDEST_PAD = 40             # a cell wider than this does not widen its column
+#: Elements that ``visibility:collapse`` takes out of a table; elsewhere it hides.
+COLLAPSING = frozenset("tr tbody thead tfoot col colgroup".split())
+CELL_WIDTH = 100            # characters of a line in an aligned cell
+MOST_COLUMNS, MOST_ROWS = 1000, 65534       # what HTML allows a cell to span (fixed values)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "unseen", "attrs")
+    __slots__ = ("tag", "kids", "unseen", "attrs", "shown")
 
-    def __init__(self, tag: str, attrs: str = ""):
+    def __init__(self, tag: str, attrs: str = "", shown: bool = True):
+        """``shown``: whether the parent's text is visible, unless the element says otherwise."""
         self.tag, self.attrs, self.kids = tag, attrs, []
         self.unseen = tag in HIDDEN or bool(attrs) and _unseen(tag, attrs)
+        self.shown = shown
+        if attrs and "isib" in attrs.lower():
+            said = VISIBILITY.findall(attribute(attrs, "style") or "")
+            how = said[-1].lower() if said else "inherit"
+            if how == "collapse" and tag in COLLAPSING:
+                self.unseen = True
+            elif how in ("hidden", "collapse"):
+                self.shown = False
+            elif how in ("visible", "initial"):
+                self.shown = True
 
 
 def attribute(attrs: str, name: str) -> str | None:
@@ -138,7 +155,8 @@ def build(page: str) -> Node:
             text = page[pos:lt]
             if stack[-1].tag == "head" and text.strip():
                 cut(len(stack) - 1)
-            stack[-1].kids.append(html.unescape(text) if "&" in text else text)
+            if stack[-1].shown:
+                stack[-1].kids.append(html.unescape(text) if "&" in text else text)
             pos = lt
             continue
         m = pos < last and (TAG.match(page, pos) or ROUGH.match(page, pos))
@@ -147,7 +165,8 @@ def build(page: str) -> Node:
             if m:
                 pos = m.end()
             else:                                       # a lone < is text
-                stack[-1].kids.append("<")
+                if stack[-1].shown:
+                    stack[-1].kids.append("<")
                 pos += 1
             continue
         pos = m.end()
@@ -171,12 +190,12 @@ def build(page: str) -> Node:
         rule = ENDS.get(tag)
         if rule:
             end(*rule)
-        node = Node(tag, m[3])
+        node = Node(tag, m[3], stack[-1].shown)
         stack[-1].kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
             stop = close.start() if close else n
-            if not node.unseen:
+            if not node.unseen and node.shown:
                 inner = page[pos:stop]
                 node.kids.append(html.unescape(inner) if tag == "textarea" else inner)
             pos = close.end() if close else n
@@ -251,13 +270,21 @@ def is_layout(table: Node) -> bool:
     return False
 
 
-def table_parts(table: Node) -> tuple[list, list[list[Node | None]]]:
-    """Captions (and what is outside cells) and the cells of every row; None where one spans."""
+def span_of(cell: Node, name: str, most: int, least: int = 1) -> int:
+    """A cell's colspan or rowspan; 1 if it is missing or no number."""
+    value = attribute(cell.attrs, name) if name in cell.attrs.lower() else None
+    number = re.match(r"\s*\+?(\d{1,9})", value) if value else None
+    return min(int(number[1]), most) if number and int(number[1]) >= least else 1
+
+
+def table_parts(table: Node) -> tuple[list, list[tuple[int, list[Node]]]]:
+    """Captions (and what is outside cells), and the rows: a number of their section, and their cells."""
     loose: list = []
-    rows: list[list[Node | None]] = []
-    stack: list[tuple] = [(k, None) for k in reversed(table.kids)]
+    rows: list[tuple[int, list[Node]]] = []
+    sections = 0
+    stack: list[tuple] = [(k, None, 0) for k in reversed(table.kids)]
     while stack:
-        x, row = stack.pop()
+        x, row, section = stack.pop()
         if isinstance(x, str):
             if x.strip():
                 loose.append(x)
@@ -266,33 +293,81 @@ def table_parts(table: Node) -> tuple[list, list[list[Node | None]]]:
         elif x.tag in ("td", "th"):
             if row is None:
                 row = []
-                rows.append(row)
-            span = attribute(x.attrs, "colspan") if "colspan" in x.attrs.lower() else None
+                rows.append((section, row))
             row.append(x)
-            row += [None] * (min(int(span), 100) - 1 if span and span.isascii() and span.isdigit() and int(span) else 0)
         elif x.tag == "tr":
             row = []
-            rows.append(row)
-            stack += [(k, row) for k in reversed(x.kids)]
+            rows.append((section, row))
+            stack += [(k, row, section) for k in reversed(x.kids)]
         elif x.tag in ("tbody", "thead", "tfoot", "form"):
-            stack += [(k, row) for k in reversed(x.kids)]
+            sections += x.tag != "form"
+            stack += [(k, row, sections if x.tag != "form" else section) for k in reversed(x.kids)]
         else:
             loose.append(x)
-    return loose, [r for r in rows if r]
-
-
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of rows whose cells are lists of lines."""
+    return loose, rows
+
+
+def placed(rows: list[tuple[int, list[Node]]]) -> list[list[tuple[int, int, Node]]]:
+    """(first column, columns, cell) of every row; a cell takes the first columns that no cell above reserves."""
+    out = []
+    reserved: dict[int, int] = {}                       # column: rows still to come of a cell above
+    last = None
+    for section, cells in rows:
+        if section != last:
+            reserved, last = {}, section                # a cell ends with its section
+        at, here, new = 0, [], {}
+        for cell in cells:
+            while at in reserved:
+                at += 1
+            wide = span_of(cell, "colspan", MOST_COLUMNS)
+            tall = span_of(cell, "rowspan", MOST_ROWS, least=0) or MOST_ROWS
+            here.append((at, wide, cell))
+            new |= {c: tall for c in range(at, at + wide) if tall > 1} if tall > 1 else {}
+            at += wide
+        reserved = {c: n - 1 for c, n in (reserved | new).items() if n > 1}
+        out.append(here)
+    return out
+
+
+def wrapped(line: str) -> list[str]:
+    """A line in pieces of at most CELL_WIDTH characters, cut at a blank where there is one."""
+    out = []
+    while len(line) > CELL_WIDTH:
+        cut = line.rfind(" ", 1, CELL_WIDTH + 1)
+        if cut <= 0 or not line[:cut].strip():
+            cut = CELL_WIDTH
+        out.append(line[:cut].rstrip(" "))
+        line = line[cut:].lstrip(" ")
+    return [*out, line] if line or not out else out
+
+
+def aligned(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Lines of rows of (first column, columns, lines): every column as wide as its widest line."""
     for row in rows:
-        while row and not row[-1]:
-            row.pop()
-    rows = [row for row in rows if row]
-    widths = [0] * max(map(len, rows), default=0)
+        while row and not row[-1][2]:
+            row.pop()                                   # empty cells at the end of a row leave nothing
+    widths: dict[int, int] = {}
+    for wanted in (False, True):                        # cells of one column first, then what spans several
+        for row in rows:
+            for at, wide, lines in row:
+                need = max(map(len, lines), default=0)
+                if wide == 1 and not wanted:
+                    widths[at] = max(widths.get(at, 0), need)
+                elif wide > 1 and wanted:
+                    have = sum(widths.get(c, 0) for c in range(at, at + wide)) + 3 * (wide - 1)
+                    if need > have:
+                        widths[at + wide - 1] = widths.get(at + wide - 1, 0) + need - have
+    out = []
     for row in rows:
-        for i, cell in enumerate(row):
-            widths[i] = max(widths[i], *(len(line) for line in cell if len(line) <= WIDEST_PAD), 0)
-    return [" | ".join(line.ljust(w) for line, w in zip(lines, widths)).rstrip(" ")
-            for row in rows for lines in zip_longest(*row, fillvalue="")]
+        for i in range(max((len(lines) for *_, lines in row), default=0)):
+            parts, column = [], 0
+            for at, wide, lines in row:
+                parts += [" " * widths.get(c, 0) for c in range(column, at)]
+                room = sum(widths.get(c, 0) for c in range(at, at + wide)) + 3 * (wide - 1)
+                parts.append((lines[i] if i < len(lines) else "").ljust(room))
+                column = at + wide
+            out.append(" | ".join(parts).rstrip(" "))
+    return out
 
 
 def render(roots: list, pre: int = 0) -> str:
@@ -331,19 +406,21 @@ def render(roots: list, pre: int = 0) -> str:
             continue
         if tag == "img":
             alt = attribute(x.attrs, "alt") if "alt" in x.attrs.lower() else None
-            if alt:
+            if alt and x.shown:
                 out.text(f" {alt} ")
             continue
         if tag in BLOCKS:
             out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and counters) else 1)
         if tag == "table" and not is_layout(x):
             loose, rows = table_parts(x)
-            if max(map(len, rows), default=0) > 1:      # no cell holds a table: no deeper call
+            grid = placed(rows)
+            if any(at + wide > 1 for row in grid for at, wide, _ in row):   # no cell holds a table: no deeper call
                 for line in render(loose, pre).split("\n") if loose else ():
                     out.block(1)
                     out.lines(line)
-                texts = [[render(c.kids, pre) if c else "" for c in row] for row in rows]
-                for line in aligned([[t.split("\n") if t else [] for t in row] for row in texts]):
+                cells = [[(at, wide, render(c.kids, pre)) for at, wide, c in row] for row in grid]
+                for line in aligned([[(at, wide, [w for x in t.split("\n") for w in wrapped(x)] if t else [])
+                                      for at, wide, t in row] for row in cells]):
                     out.block(1)
                     out.lines(line)
                 out.block(2)
