@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelens.session import work_path
@@ -46,6 +47,27 @@ def drop_staged(df: DataFrame) -> None:
         jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def coded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ... and what they were: no name of a plan clashes with those."""
+    codes = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*codes.values()), codes
+
+
+def decoded(df: DataFrame, codes: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(code).alias(c) for c, code in codes.items()])
+
+
+def one_of_each(df: DataFrame, keys: list[str], codes: dict[str, str], apart: list[str]) -> DataFrame:
+    """Of the rows of ``df`` equal in ``keys`` the one whose other columns hash lowest.
+
+    The columns ``apart`` are equal in such rows and not hashed. Combines before the shuffle.
+    """
+    others = [c for c in codes.values() if c not in apart]
+    place = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    row = F.min_by(F.struct(*codes.values()), place).alias("row")
+    return df.groupBy(*keys).agg(row).select("row.*", *[k for k in keys if k not in codes.values()])
+
+
 def batches(it: Iterator[pa.RecordBatch], text: str | None = None,
             rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows, cut earlier once ``text`` holds GROUP_CHARS bytes.

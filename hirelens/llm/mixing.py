@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import staged
+from hirelens.llm.common import coded, decoded, one_of_each, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -143,21 +143,20 @@ def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
            **params) -> DataFrame:
     """The mixed rows of ``docs`` themselves, each as often as the mix takes it.
 
-    Of rows equal in id, source and text one stands for all, as often as all are taken.
+    Of rows equal in id, source and text the one whose other columns hash lowest stands for
+    all, as often as all are taken. Columns may have any names.
     """
-    names = {c.lower() for c in docs.columns}
-    th, n = "mix_text_hash", "mix_copies"
-    while th in names or n in names:
-        th, n = th + "_", n + "_"
-    got = mix(docs, id_col, text_col, source_col, **params).where("copies > 0")
-    got = got.groupBy(F.col(id_col).alias("_mid"), F.col("src").alias("_msrc"), F.col("th").alias("_mth")).agg(
-        F.sum("copies").alias(n))
-    keyed = docs.withColumn(th, F.md5(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates(
-        [id_col, source_col, th])
-    same = (keyed[id_col].eqNullSafe(F.col("_mid")) & keyed[source_col].eqNullSafe(F.col("_msrc"))
-            & (F.col(th) == F.col("_mth")))
-    return (keyed.join(got, same).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
-            .select(*[keyed[c] for c in docs.columns]))
+    rows, codes = coded(docs)
+    id_code, text, source = codes[id_col], codes[text_col], codes[source_col]
+    got = mix(rows, id_code, text, source, **params).where("copies > 0")
+    got = got.groupBy(F.col(id_code).alias("_mid"), F.col("src").alias("_msrc"), F.col("th").alias("_mth")).agg(
+        F.sum("copies").alias("copies"))
+    keyed = rows.withColumn("digest", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    keyed = one_of_each(keyed, [id_code, source, "digest"], codes, [id_code, source, text])
+    same = (F.col(id_code).eqNullSafe(F.col("_mid")) & F.col(source).eqNullSafe(F.col("_msrc"))
+            & (F.col("digest") == F.col("_mth")))
+    repeated = keyed.join(got, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return decoded(repeated, codes)
 
 
 #: The same rules in DuckDB: the order is sorted as a whole there.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.llm.common import batches, map_arrow, staged
+from hirelens.llm.common import batches, coded, decoded, map_arrow, one_of_each, staged
 from hirelens.llm.components import components
 
 SEGMENTS = 8
@@ -242,19 +242,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row with the smallest id.
 
-    Rows that share that id stand in order of their text's hash, and rows equal in
-    both are one; a group without any id keeps the first by hash.
+    Rows that share that id stand in order of their text's hash, and of rows equal in
+    both the one whose other columns hash lowest stays; a group without any id keeps the first by hash.
+    Columns may have any names.
     """
-    digest = "near_text_hash"
-    while digest in docs.columns:
-        digest += "_"
-    marked = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    groups = near_groups(marked, id_col, text_col, shingle, max_bits, keep=(digest,))
-    first = staged(groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("g"))
-                   .agg(F.min(digest).alias("any_hash"),
-                        F.min(F.when(F.col(id_col) == F.col("component_id"), F.col(digest))).alias("own_hash")), "first")
-    keepers = first.select(F.col("component_id").alias("_id"),
-                           F.coalesce("own_hash", "any_hash").alias("_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(digest) == F.col("_hash"))
+    rows, codes = coded(docs)
+    id_code, text = codes[id_col], codes[text_col]
+    marked = rows.withColumn("digest", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    groups = near_groups(marked, id_code, text, shingle, max_bits, keep=("digest",))
+    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")).agg(
+        F.min("digest").alias("any_hash"),
+        F.min(F.when(F.col(id_code) == F.col("component_id"), F.col("digest"))).alias("own_hash"))
+    keepers = staged(first.select(F.col("component_id").alias("_id"),
+                                  F.coalesce("own_hash", "any_hash").alias("_hash")).distinct(), "keepers")
+    same = F.col(id_code).eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_hash"))
     kept = marked.join(keepers, same, "left_semi")
-    return kept.dropDuplicates([id_col, digest]).select(*docs.columns)
+    return decoded(one_of_each(kept, [id_code, "digest"], codes, [id_code, text]), codes)

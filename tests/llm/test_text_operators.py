@@ -57,12 +57,26 @@ def test_bpe_rows(spark):
 
 def test_token_encoder_equals_the_library(odd_texts):
     lib = Tokenizer.from_file(JSON)
-    lib.encode_special_tokens = True
     enc = token_files.Encoder(JSON)
+    rng = random.Random(9)
+    end = "<|endoftext|>"
+    odd_texts = odd_texts + [end, f"x {end} y", f"a{end}b", f" {end}{end}\n x", f"hello  {end}  x", "<|endoftext|", end[1:] + end]
+    odd_texts += ["".join(rng.choice([t[:40], t[-40:], end, " ", "\n"]) for _ in range(rng.randint(1, 9))) for t in odd_texts[:300]]
     for text, got, want in zip(odd_texts, enc.encode(odd_texts), lib.encode_batch(odd_texts, add_special_tokens=False)):
         assert np.frombuffer(got, enc.dtype).tolist() == want.ids, repr(text)
 
 
+def test_token_encoder_forgets_and_finds_again(odd_texts, monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS", 40)
+    monkeypatch.setattr(token_files, "PIECES", 20)
+    enc, lib = token_files.Encoder(JSON), Tokenizer.from_file(JSON)
+    for _ in range(2):
+        for i in range(0, len(odd_texts), 7):
+            some = odd_texts[i:i + 7]
+            want = lib.encode_batch(some, add_special_tokens=False)
+            assert [np.frombuffer(g, enc.dtype).tolist() for g in enc.encode(some)] == [w.ids for w in want]
+
+
 def test_token_files_read_back(spark):
     rng = random.Random(3)
     rows = [(i if i % 7 else None, rng.choice([None, "", "x y", "long text " * rng.randint(1, 300)])) for i in range(60)]
@@ -71,7 +85,8 @@ def test_token_files_read_back(spark):
     got = token_files.read_back(spark, folder, manifest, JSON, d.schema["doc_id"].dataType).collect()
     lib = Tokenizer.from_file(JSON)
     at, want = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    code = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "")[:64], code[r[1]])):
         ids = np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -82,6 +97,25 @@ def test_token_files_read_back(spark):
     assert token_files.read_back(spark, folder, manifest, JSON, d.schema["doc_id"].dataType).count() == 0
 
 
+def test_token_files_of_a_hot_id_and_clashing_names(spark):
+    same = "equal text"
+    rows = [(None if i % 3 else i, same if i % 2 else f"text {i}", "a", "b", "c") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id string, _text string, part string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder, manifest = token_files.write(d, JSON, 2)
+        parts = manifest.collect()
+        assert max(p.docs for p in parts) < 2 * 3000 / len(parts)       # two thirds of the rows have no id
+        got = token_files.read_back(spark, folder, manifest, JSON, d.schema["doc_id"].dataType).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lib = Tokenizer.from_file(JSON)
+    size = {t: len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in {r[1] for r in rows}}
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((r[0] or -1, size[r[1]]) for r in rows)
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in ordered] == [sum(r.n_tokens for r in ordered[:k]) for k in range(len(ordered))]
+
+
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
@@ -113,6 +147,28 @@ def test_binomial_cdf_is_exact():
             assert quality.binomial_cdf(k, n, p) == pytest.approx(want, rel=1e-9, abs=1e-300)
 
 
+def test_repeated_rows_are_one_trial(spark):
+    rows = [(i, " ".join(f"word{j}" for j in range(40)), "en") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    many = d.crossJoin(spark.range(20).select(F.col("id").alias("_s")))
+    for docs in (d, many):
+        measured = quality.measure(docs, "doc_id", "text", "lang")
+        got = quality.certify(measured, quality.good_documents(lab)).collect()
+        assert len(got) == len(quality.RULES)
+        assert all(r.cut is None and r.trials == 60 and r.needed > 60 for r in got)
+    assert quality.judge(d.limit(0), lab).count() == 0
+    names = many.withColumnsRenamed({"_s": "stratum"}).withColumn("gid", F.lit(1)).withColumn("kept", F.lit(1))
+    assert quality.judge(names, lab).count() == 1200
+
+
+def test_needed_trials_certify_and_one_less_does_not():
+    level, alpha = 0.05 / 5, quality.RISK / len(quality.RULES)
+    from math import ceil, log, log1p
+    n = ceil(log(level) / log1p(-alpha))
+    assert quality.binomial_cdf(0, n, alpha) <= level < quality.binomial_cdf(0, n - 1, alpha)
+
+
 def test_quality_cutoffs_against_brute_force(spark):
     rng = random.Random(5)
     rows, labels = [], []
@@ -202,6 +258,77 @@ def test_html_cells_keep_their_blocks(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a | b\n  | c"),
+    ("<table><tr><td colspan=2>title of all<td>z<tr><td>1<td>2<td>3</table>", "title of all | z\n1 | 2        | 3"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td>" + "w" * 60 + "<td>x<tr><td>a<td>y</table>", "w" * 60 + " | x\na" + " " * 60 + "| y"),
+    ("<table><tr><td>" + "ab " * 40 + "<td>x</table>", "ab " * 33 + "| x\nab ab ab ab ab ab ab" + " " * 78 + " |"),
+    ("x<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p>y", "x\n\nyes\n\ny"),
+    ("<table><tr><td>a<td style='visibility:hidden'>b<td>c<tr><td>d<td>e<td>f</table>", "a |   | c\nd | e | f"),
+    ("<table><tr><td>a<td>b<tr style='visibility:collapse'><td>c<td>d<tr><td>e<td>f</table>", "a | b\ne | f"),
+    ("<ol><li>a<li style='visibility:hidden'>b<li>c</ol>", "1. a\n3. c"),
+])
+def test_html_spans_widths_and_visibility(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_html_tables_equal_a_plain_grid():
+    """Cell texts stand in the columns that marking a plain matrix cell by cell gives."""
+    rng = random.Random(11)
+    for _ in range(300):
+        n, taken, page, want = 0, set(), [], {}
+        rows = rng.randint(1, 6)
+        for r in range(rows):
+            page.append("<tr>")
+            for _ in range(rng.randint(1, 4)):
+                c = 0
+                while (r, c) in taken:
+                    c += 1
+                wide, tall = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3])
+                taken |= {(r + i, c + j) for i in range(tall) for j in range(wide)}
+                n += 1
+                want[f"c{n}." + "x" * rng.randint(0, 9)] = c
+                page.append(f"<td colspan={wide} rowspan={tall}>{list(want)[-1]}")
+        got = html_text.page_text("<table>" + "".join(page) + "</table>")
+        starts = {}                                     # where the text of a column begins
+        if max(want.values()) == 0:
+            continue
+        for line in got.split("\n"):
+            for word in re.finditer(r"c\d+\.x*", line):
+                starts.setdefault(want.pop(word[0]), set()).add(word.start())
+        assert not want and all(len(s) == 1 for s in starts.values())
+        order = [min(starts[c]) for c in sorted(starts)]
+        assert order == sorted(order) and len(set(order)) == len(order)
+
+
+def test_html_visibility_equals_plain_recursion():
+    rng = random.Random(12)
+
+    def tree(depth, shown):
+        page, words = [], []
+        for _ in range(rng.randint(1, 3)):
+            if depth and rng.random() < 0.7:
+                how = rng.choice(["", "hidden", "visible", "collapse", "inherit"])
+                inner, below = tree(depth - 1, {"hidden": False, "collapse": False, "visible": True}.get(how, shown))
+                page.append(f"<span style='color:red; visibility: {how}'>{inner}</span>" if how else f"<i>{inner}</i>")
+                words += below
+            else:
+                word = f"w{rng.randrange(10 ** 6)}"
+                page.append(f" {word} ")
+                words += [word] * shown
+        return "".join(page), words
+    for _ in range(200):
+        page, words = tree(5, True)
+        assert html_text.page_text(page).split() == words
+
+
+def test_html_empty_table_and_clashing_names(spark):
+    d = spark.createDataFrame([(1, "<p>x", "a", "b", "c")], "page_id long, html string, text string, _id string, _html string")
+    assert html_text.extract(d.limit(0)).collect() == []
+    assert [tuple(r) for r in html_text.extract(d).collect()] == [(1, "x")]
+
+
 def test_html_rows_and_hostile_markup(spark):
     d = spark.createDataFrame([(1, None, "t"), (2, "<p>x", "t"), (2, "<p>x", "t")], "page_id long, html string, text string")
     assert [r.text for r in html_text.extract(d).collect()] == [None, "x", "x"]
