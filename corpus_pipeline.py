@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.llm import bpe, mixing, simhash, substring, toxicity
-from hirelens.llm.common import read, staged
+from hirelens.llm.common import coded, decoded, drop_staged, read, staged
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A document goes if its toxicity is at least this.
@@ -27,8 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row goes or stays by its own text, also where rows share an id or have none.
     """
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), usable=~toxicity.held_out())
-    scored = toxicity.score(docs, model, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    return scored.where(F.col("score") < TOXIC).select(*docs.columns)
+    rows, codes = coded(docs)                   # columns may have any names
+    id_code, text = codes["doc_id"], codes["text"]
+    scored = toxicity.score(rows, model, id_code, text, keep=[c for c in codes.values() if c not in (id_code, text)])
+    return decoded(scored.where(F.col("score") < TOXIC), codes)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +65,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_staged(before)                     # no later stage reads it
     return docs
