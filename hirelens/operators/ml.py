@@ -139,7 +139,7 @@ class ModelSizes:
     tree_rows: int = 1 << 15        # and a tree's bootstrap holds about so many of them at most
     task_rows: int = 1 << 16        # rows per task of a fit: node statistics are summed over tasks
     tree_memory_mb: int = 128       # for the node statistics of one pass of a fit
-    parallel: int = 6               # fits that run side by side
+    parallel: int = 6               # fits that run side by side at most, each in FIT_MB of the driver's heap
 
 
 def regressors(sizes: ModelSizes, rows: int = 0) -> dict:
@@ -171,6 +171,16 @@ def _packed(df: DataFrame, sizes: ModelSizes) -> DataFrame:
     return df.coalesce(max(1, -(-df.count() // sizes.task_rows)))
 
 
+#: Heap of the driver that a fit may take: the trees it grows and, in local mode, its tasks.
+FIT_MB = 600
+
+
+def at_once(spark, most: int) -> int:
+    """How many fits run side by side: ``most``, or two at least if the driver's heap is small."""
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() >> 20
+    return max(2, min(most, heap // FIT_MB))
+
+
 #: Models whose fit depends on cells alone.
 ON_CELLS = ("linear", "gradient_boosting")
 
@@ -255,7 +265,7 @@ def train_and_select(frame: DataFrame, sizes: ModelSizes | None = None, k: int =
 
     # boosting is a long chain of short jobs and a forest keeps the executors busy: they take turns
     plan = [(name, fold) for fold in (None, *range(k)) for name in reversed(wanted)]
-    done = dict(zip(plan, side_by_side(frame.sparkSession, [partial(fit, *job) for job in plan], sizes.parallel)))
+    done = dict(zip(plan, side_by_side(frame.sparkSession, [partial(fit, *job) for job in plan], at_once(frame.sparkSession, sizes.parallel))))
     res = TrainResult(n_rows=n_rows)
     best_r2 = float("-inf")
     for name in wanted:

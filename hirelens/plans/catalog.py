@@ -121,7 +121,7 @@ def q_salary_by_source(spark, sf_dir):
 
 _EDU_PCT = ",\n".join(
     f"  {O.pct6(f'count_if(education = {chr(39)}{lab}{chr(39)})', 'count(*)')} AS {name}"
-    for lab, name in stats.EDU_COLUMNS)
+    for lab, name in stats.EDU_COLUMNS.items())
 
 
 @register("education_by_source", f"""
