@@ -69,7 +69,7 @@ def _wide_cents(i: int) -> Column:
 
 
 def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
-    """Add salary_min/max/avg (decimal(12,2)) through staged projections.
+    """Add salary_min/max/avg (decimal(20,2)) through staged projections.
 
     Every intermediate is a column used more than once by the next stage, so
     Catalyst keeps the stages apart instead of inlining (and re-evaluating) the

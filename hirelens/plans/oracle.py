@@ -1,8 +1,8 @@
 """Independent DuckDB SQL for the correctness gate.
 
 Every statement recomputes bronze and silver from the driver tables with its
-own SQL (integer-cent arithmetic for salaries), so it shares no code path
-with the Spark plans. Conventions: averages/shares exact half-up to 6 dp,
+own SQL (integer-cent arithmetic for salaries). It shares the fixed vocabularies, the blank
+characters and the regex escaping with the Spark plans, and no other code. Conventions: averages/shares exact half-up to 6 dp,
 medians over doubles rounded to 6 dp, top-k ordered by value desc then name.
 """
 
