@@ -1,21 +1,27 @@
 """Incremental ingest as Structured Streaming.
 
-Landing files are read with ``readStream``; every micro-batch gets its keys (C7), is
-deduplicated inside the batch (I1) and inserted, raw and cleaned (I3), only for keys
-the table in question does not hold yet (I2), through ``foreachBatch``.
+Landing files are read with ``readStream``; rows get their keys (C7), and a keyed state says
+whether a key was written by an earlier batch (I2). A new key's first row in the order of the rows (I1) goes
+on, is cleaned (I3) and written to both tables through ``foreachBatch``.
 
-Exactly-once: batch ``N`` writes its rows to ``<table>/batch_id=N`` with
-overwrite and only compares against batches ``< N``, so a replayed batch
-(after a failure) rewrites the same rows instead of duplicating or losing them.
+The work of a batch depends on its own rows alone: the state is looked up by key in Spark's state
+store (RocksDB, so it need not fit in memory, and is checkpointed with the stream), and nothing of
+the tables is read. Exactly-once: batch ``N`` writes its rows to ``<table>/batch_id=N`` with
+overwrite; a replayed batch starts from the state before it and rewrites the same rows in both tables.
+
+``upsert_batch`` is the writer for tables that others fill too: it compares a batch with
+the keys of the table itself.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hirelens.operators.ingest import KEYS, bronze_from_raw, dedupe_first, keyed, silver_from_bronze
 from hirelens.session import path_exists, work_path
@@ -70,12 +76,56 @@ def upsert_batch(base: str):
     return run
 
 
+def first_writes(cards: DataFrame, order: tuple[str, ...] = ("ord1", "ord2")) -> DataFrame:
+    """The first row, in ``order`` (nulls first), of every key that no earlier batch of the stream had.
+
+    A key's rows of a batch pass by frame by frame, one row is held.
+    """
+    cards = keyed(cards)
+
+    def first(key, frames, state: GroupState):
+        new, best = not state.exists, None
+        for frame in frames:
+            if new:
+                held = frame if best is None else pd.concat([best, frame])
+                best = held.sort_values(list(order), na_position="first", kind="stable").head(1)
+        if best is not None:
+            state.update((True,))
+            yield best[cards_columns]
+
+    cards_columns = cards.columns
+    return cards.groupBy(*KEYS).applyInPandasWithState(
+        first, cards.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_batch(base: str):
+    """Writer of the new rows of one micro-batch into the tables below ``base``."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        fresh = bronze_from_raw(batch).persist()
+        for name, clean in TARGETS.items():
+            clean(fresh).write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
+        fresh.unpersist()
+    return run
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_ingest_stream(spark: SparkSession, landing: str, base: str, checkpoint: str,
-                      files_per_batch: int = 1) -> dict[str, DataFrame]:
+                      files_per_batch: int = 1, write=write_batch) -> dict[str, DataFrame]:
     stream = (spark.readStream.schema(EVENT_SCHEMA)
               .option("maxFilesPerTrigger", files_per_batch).parquet(landing))
-    q = (event_cards(stream).writeStream.foreachBatch(upsert_batch(base))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)                # a query keeps the setting it starts with
+    try:
+        q = (first_writes(event_cards(stream)).writeStream.foreachBatch(write(base))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     q.awaitTermination()
     return {name: spark.read.parquet(f"{base}/{name}") for name in TARGETS}
 
