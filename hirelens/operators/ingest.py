@@ -207,6 +207,26 @@ def resalary_samples(silver: DataFrame, n: int = 15) -> DataFrame:
             .orderBy(*KEYS).limit(n))
 
 
+# Change tables (I6, I7): what an apply would write, one row per key and field
+def _changes(rows: DataFrame, fields: dict[str, tuple]) -> DataFrame:
+    """(source, job_key, field, old, new) of the ``fields`` (name -> old and new Column) that differ."""
+    told = F.array(*[F.struct(F.lit(name).alias("field"), old.cast("string").alias("old"), new.cast("string").alias("new"))
+                     for name, (old, new) in fields.items()])
+    differ = F.filter(told, lambda c: ~c["old"].eqNullSafe(c["new"]))
+    return rows.select(*KEYS, F.explode(differ).alias("c")).select(*KEYS, "c.*")
+
+
+def reclean_changes(silver: DataFrame, bronze: DataFrame) -> DataFrame:
+    """I6 as a change table of silver."""
+    return _changes(recleaned(silver, bronze),
+                    {f: (F.col(f), F.col(f"new_{f}")) for f in ("experience", "education", "tags")})
+
+
+def resalary_changes(silver: DataFrame) -> DataFrame:
+    """I7 as a change table of silver."""
+    return _changes(_reparsed(silver), {c: (F.col(f"old_{c}"), F.col(c)) for c in SALARY_COLS})
+
+
 def commit_batch(rows: DataFrame, table_path: str, batch_id: int) -> None:
     """All-or-nothing append of one batch as its own ``batch_id=N`` partition.
 

@@ -401,3 +401,10 @@ def q_reclean_rows(spark, sf_dir):
     s, b = ingest.reclean_apply(_old_silver(spark, sf_dir), bronze(spark, sf_dir))
     raw = b.select("source", "job_key", F.col("tags").alias("raw_tags"))
     return s.select("source", "job_key", "experience", "education", "tags").join(raw, ["source", "job_key"])
+
+
+@register("reclean_changes", _OLD_RECLEAN.replace("SELECT s.experience", "SELECT s.source, s.job_key, s.experience") + " UNION ALL ".join(f"""
+SELECT source, job_key, '{f}' AS field, {f} AS old, new_{f} AS new FROM r WHERE {f} IS DISTINCT FROM new_{f}"""
+    for f in ("experience", "education", "tags")))
+def q_reclean_changes(spark, sf_dir):
+    return ingest.reclean_changes(_old_silver(spark, sf_dir), bronze(spark, sf_dir))

@@ -119,3 +119,50 @@ def read_snapshot(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
             register_bucketed(spark, table_name(path), path, current["buckets"])
         found.append(spark.table(table_name(path)))
     return found[0], found[1]
+
+
+# Change tables merged into a table whose folders are key ranges --------------
+BUCKET = "bucket"
+
+
+def write_by_key(df: DataFrame, path: str, buckets: int, keys: tuple[str, ...] = ("source", "job_key")) -> None:
+    """``df`` with one folder per key hash, so that a merge can rewrite some of them."""
+    dealt = df.withColumn(BUCKET, F.pmod(F.hash(*keys), F.lit(buckets)))
+    dealt.repartition(buckets, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    _put(df.sparkSession, f"{path}.buckets", str(buckets))
+
+
+def read_by_key(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def merge_changes(changes: DataFrame, path: str, keys: tuple[str, ...] = ("source", "job_key")) -> str:
+    """Merge (keys, field, new) rows into a table of ``write_by_key``; the folder of the change table.
+
+    The changes are stored first. Only folders that hold a changed key are read and rewritten
+    (dynamic partition overwrite: their new files replace the old ones when all are written). The merge of a
+    stored change table gives the same rows however often it runs, so one that died is run again.
+    """
+    spark = changes.sparkSession
+    n = int(spark.read.text(f"{path}.buckets").first().value)
+    log = f"{path}.changes/{uuid.uuid4().hex}"
+    changes.select(*keys, "field", "new", F.pmod(F.hash(*keys), F.lit(n)).alias(BUCKET)).write.parquet(log)
+    replay_changes(spark, log, path, keys)
+    return log
+
+
+def replay_changes(spark: SparkSession, log: str, path: str, keys: tuple[str, ...] = ("source", "job_key")) -> None:
+    stored = spark.read.parquet(log)
+    touched = [r[BUCKET] for r in stored.select(BUCKET).distinct().collect()]      # one number per folder at most
+    if not touched:
+        return
+    table = spark.read.parquet(path)
+    per_key = stored.groupBy(*keys).agg(                # at most one entry per field
+        F.map_from_entries(F.collect_set(F.struct("field", "new"))).alias("__new"))
+    joined = table.where(F.col(BUCKET).isin(touched)).join(per_key, list(keys), "left")
+    said = F.coalesce(F.map_keys("__new"), F.array().cast("array<string>"))
+    cols = [F.when(F.array_contains(said, f.name), F.col("__new")[f.name].cast(f.dataType))
+            .otherwise(F.col(f.name)).alias(f.name) if f.name not in (*keys, BUCKET) else F.col(f.name)
+            for f in table.schema.fields]
+    (joined.select(*cols).repartition(len(touched), BUCKET).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
