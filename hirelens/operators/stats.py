@@ -147,10 +147,11 @@ def grid(cells: DataFrame, row: str, col: str, configured: list[str], fill: dict
     order, then the others by name. ``cells`` has one row per seen cell and is read three times.
     """
     rows, labels = cells.select(row).distinct(), cells.select(col).distinct()
-    known = order_index(F.col(col), configured)
-    extra = F.when(known.isNull(), F.lit(len(configured)) + F.dense_rank().over(
-        Window.partitionBy(known.isNull()).orderBy(col)) - 1)       # over the distinct labels
-    labels = labels.withColumn("ord", F.coalesce(known, extra).cast("int"))
+    known = order_index(F.col(col), configured)     # one past the configured labels for all others
+    by_name = F.dense_rank().over(Window.partitionBy("__known").orderBy(col)) - 1     # over the distinct labels
+    extra = F.col("__known") == len(configured)
+    labels = labels.withColumn("__known", F.coalesce(known, F.lit(len(configured)))).withColumn(
+        "ord", (F.col("__known") + F.when(extra, by_name).otherwise(0)).cast("int")).drop("__known")
     return every_pair(rows, labels).join(cells, [row, col], "left").fillna(fill)
 
 
