@@ -17,7 +17,7 @@ first, then the queries in batches, and every batch leaves its best matches only
 
 Defined cases: vectors that are null, empty or zero or hold a null or non-finite
 component, and those of another length than most, take no part; null ids neither; a
-repeated id is one row for each of its vectors; ties go to the smaller id; with no
+repeated id is one row for each of its vectors; components may be as large or small as doubles are; ties go to the smaller id; with no
 vectors there are no rows. Other columns are not read.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.llm.common import map_arrow, staged
+from hirelens.llm.common import drop_staged, map_arrow, staged
 
 SAMPLE_ROWS = 20_000        # vectors the centroids are fitted on
 LIST_TARGET = 256           # vectors per centroid aimed at
@@ -161,6 +161,8 @@ class Centroids:
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    # by a power of two, so nothing is rounded: squares of the largest components stay within doubles
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -297,6 +299,8 @@ def neighbours(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_
                          + [T.StructField("score", T.DoubleType())])
     near = map_arrow(dealt, _match(top + 1), found)
     near = staged(near.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score")), "near")
+    for t in (stored, sizes):
+        drop_staged(t)
     # every distinct vector counts with its ids; ties are told apart by id below
     some = near.withColumn("r", F.rank().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score")))).where(
         F.col("r") <= top + 1)
@@ -306,6 +310,8 @@ def neighbours(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     per = per.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
     answers = staged(per.groupBy(F.col("q1").alias("k1"), F.col("q2").alias("k2")).agg(
         F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")), "answers")
+    for t in (near, distinct):
+        drop_staged(t)
     own = wanted.join(answers, ["k1", "k2"]).select("id", F.slice(F.filter(
         "found", lambda x: x["vec_id"] != F.col("id")), 1, top).alias("found"))
     return own.select(F.col("id").alias("query_id"), F.posexplode("found").alias("at", "x")).select(

@@ -186,3 +186,14 @@ def test_toxic_rows_go_alone(spark, monkeypatch):
     assert out.columns == ["n_chars", "text", "source", "doc_id"]
     got = sorted((tuple(r) for r in out.select(*d.columns).collect()), key=str)
     assert got == sorted((r for r in rows if r[1] is None or "vile" not in r[1]), key=str)
+
+
+def test_vectors_of_extreme_size(spark):
+    """Squares of the components are beyond doubles, or vanish; the cosines are those of the directions."""
+    v = {0: [1e200, 1e200], 1: [1e200, 0.0], 2: [1e-200, 1e-200], 3: [1e-320, 0.0], 4: [3.0, 4.0]}
+    rows = [(i, x, "a", "b", 1) for i, x in v.items()]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, vector string, k1 int")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.neighbours(d, F.col("id") >= 0).collect()}
+    unit = {i: np.array(x) / max(x) / np.linalg.norm(np.array(x) / max(x)) for i, x in v.items()}
+    assert got.keys() == {(a, b) for a in v for b in v if a != b}
+    assert all(abs(s - unit[a] @ unit[b]) < 1e-15 for (a, b), s in got.items())
