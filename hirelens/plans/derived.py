@@ -15,7 +15,7 @@ from hirelens import dims
 from hirelens.functions.flags import make_job_key, url_job_id
 from hirelens.functions.salary import with_salary
 from hirelens.functions.tags import normalize_tag, with_skills
-from hirelens.operators import extract, ingest, quality, stats
+from hirelens.operators import dictionary, extract, ingest, quality, stats
 from hirelens.plans import catalog as C
 from hirelens.plans import oracle as O
 from hirelens.plans.catalog import bronze, register, silver
@@ -408,3 +408,25 @@ SELECT source, job_key, '{f}' AS field, {f} AS old, new_{f} AS new FROM r WHERE
     for f in ("experience", "education", "tags")))
 def q_reclean_changes(spark, sf_dir):
     return ingest.reclean_changes(_old_silver(spark, sf_dir), bronze(spark, sf_dir))
+
+
+# C5, C6 with a dictionary from the data: every benchmark item's first word and first two words
+_TERMS = """
+, heads AS (SELECT regexp_extract(lower(text), '^[^ ]+') AS w1, regexp_extract(lower(text), '^[^ ]+ [^ ]+') AS w2 FROM benchmark),
+  terms AS (SELECT DISTINCT t FROM (SELECT w1 AS t FROM heads UNION ALL SELECT w2 FROM heads) WHERE t <> ''),
+  low AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text <> ''),
+  runs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '[a-z]+')) AS w FROM low)
+SELECT doc_id, t AS term FROM runs JOIN terms ON w = t WHERE regexp_full_match(t, '[a-z]+')
+UNION ALL
+SELECT DISTINCT doc_id, terms.t FROM low JOIN terms ON contains(low.t, terms.t)
+WHERE NOT regexp_full_match(terms.t, '[a-z]+')"""
+
+
+@register("dictionary_terms", _TERMS)
+def q_dictionary_terms(spark, sf_dir):
+    low = F.lower("text")
+    heads = tables.table(spark, sf_dir, "benchmark").select(F.explode(F.array(
+        F.regexp_extract(low, "^[^ ]+", 0), F.regexp_extract(low, "^[^ ]+ [^ ]+", 0))).alias("alias"))
+    found = dictionary.hits(tables.table(spark, sf_dir, "documents"), heads.withColumn("canonical", F.col("alias")),
+                            "doc_id", "text")
+    return found.withColumnRenamed("canonical", "term")
