@@ -135,7 +135,7 @@ class ModelSizes:
     gbt_iter: int = 200
     gbt_depth: int = 3
     seed: int = 42
-    forest_rows: int = 1 << 18      # a forest is fitted on about so many rows at most, by key hash
+    forest_rows: int = 1 << 17      # a forest is fitted on about so many rows at most, by key hash
     tree_rows: int = 1 << 15        # and a tree's bootstrap holds about so many of them at most
     task_rows: int = 1 << 16        # rows per task of a fit: node statistics are summed over tasks
     tree_memory_mb: int = 128       # for the node statistics of one pass of a fit
