@@ -18,6 +18,7 @@ from hirelens.functions.levels import education_rank, experience_rank, order_ind
 from hirelens.functions.tags import skill_count
 from hirelens.functions.text import ustrip
 from hirelens.operators.stats import group_values
+from hirelens.session import work_root
 
 
 def group_moments(silver: DataFrame, col: str) -> DataFrame:
@@ -122,7 +123,8 @@ def rank_table(cells: DataFrame, col: str, out: str) -> DataFrame:
     Distinct values are counted, dealt into at most RANK_RANGES ranges at their own quantiles and
     summed up in order within each; a table of one row per range says what lies before it.
     """
-    counts = cells.groupBy(col).agg(F.sum("__n").alias("__c"))
+    # stored, or the test for the range, a filter on the key, is pushed below the aggregate to every row
+    counts = cells.groupBy(col).agg(F.sum("__n").alias("__c")).checkpoint()
     shares = [i / RANK_RANGES for i in range(1, RANK_RANGES)]
     splits = counts.agg(F.percentile_approx(col, shares, 100 * RANK_RANGES)).scalar()
     ranged = counts.withColumn("__s", splits).withColumn(
@@ -139,9 +141,11 @@ def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
     """Distinct combinations of ``cols`` with their row count ``__n`` and ``r_<col>`` of every column.
 
     Rows are collapsed by one aggregate that combines map-side; ranks are joined to the
-    combinations, so a value that most rows share is one key of few rows.
+    combinations, so a value that most rows share is one key of few rows. The combinations are
+    stored: the rows are read once, not once per rank table and range.
     """
-    cells = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    work_root(df.sparkSession)
+    cells = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).checkpoint()
     out = cells
     for c in cols:
         out = out.join(rank_table(cells, c, f"r_{c}"), c, "inner")
