@@ -19,6 +19,8 @@ from hirelens.dims import WORK_DAYS_PER_MONTH
 from hirelens.functions.text import ustrip
 
 NUM_UNIT = r"(\d+\.?\d*)\s*([Kk千万wW]?)"
+UNITS = ("K", "k", "千", "万", "w", "W")
+BLANKS = " \t\n\x0b\f\r"          # what \s matches
 MONTHS_SUFFIX = r"[·xX*,，/、](\d{1,2})薪"
 NUM_TYPE = "decimal(28,8)"
 OUT_TYPE = "decimal(20,2)"
@@ -37,7 +39,7 @@ def _months(t: Column) -> Column:
     goes through Spark's exception path and costs microseconds per row.
     """
     m = F.regexp_extract(t, MONTHS_SUFFIX, 1)
-    return F.coalesce(F.when(m != "", m.try_cast("int")), F.lit(12))
+    return F.coalesce(F.when(t.contains("薪"), F.when(m != "", m.try_cast("int"))), F.lit(12))
 
 
 # Integer-cent arithmetic: a usual number (at most 8 characters, 4 decimals) is carried
@@ -54,12 +56,16 @@ _CENTS = {
 
 
 _USUAL = "length({n}) <= 8 AND (instr({n}, '.') = 0 OR length({n}) - instr({n}, '.') <= 4)"
+#: A usual number without its point, times ten for every decimal that it lacks.
+_TEN_THOUSANDTHS = """CASE WHEN {usual} THEN CASE WHEN instr({n}, '.') = 0 THEN cast({n} as bigint) * 10000
+  ELSE cast(replace({n}, '.', '') as bigint) * element_at(array(10000, 1000, 100, 10, 1), length({n}) - instr({n}, '.') + 1)
+  END END"""
 _ROUNDED = "round({x} * {u} * {m} / cast(12 as decimal(2,0)), 2) * 100"
 
 
 def _wide_cents(i: int) -> Column:
     """Cents of number ``i`` in decimal arithmetic; NULL beyond what a long holds."""
-    x = f"try_cast(get(__nums, {i}) as {NUM_TYPE})"
+    x = f"try_cast(__m{i} as {NUM_TYPE})"
     u = f"cast(if(__u{i} in ('万', 'w', 'W'), 10, 1) as decimal(2,0))"
     one = "cast(1 as decimal(2,0))"
     day = f"round({x} * cast({WORK_DAYS_PER_MONTH} / 10 as decimal(4,3)), 0)"
@@ -79,10 +85,9 @@ def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
     """
     t, d = F.col("__t"), F.col("__d")
     st = df.withColumn("__t", compact(F.col(text_col)))
-    st = st.withColumn("__d", F.regexp_replace(t, MONTHS_SUFFIX, ""))
+    st = st.withColumn("__d", F.when(t.contains("薪"), F.regexp_replace(t, MONTHS_SUFFIX, "")).otherwise(t))
     st = st.withColumns({
-        "__nums": F.regexp_extract_all(d, F.lit(NUM_UNIT), F.lit(1)),
-        "__units": F.regexp_extract_all(d, F.lit(NUM_UNIT), F.lit(2)),
+        "__hits": F.regexp_extract_all(d, F.lit(NUM_UNIT), F.lit(0)),
         "__months": _months(t),
         # 0 = month, 1 = day, 2 = year
         "__period": F.when(t.contains("/天") | t.contains("/日"), F.lit(1))
@@ -92,18 +97,15 @@ def with_salary(df: DataFrame, text_col: str = "salary_text") -> DataFrame:
                    .otherwise(F.lit("")),
         "__open": t.contains("以上") | t.contains("+"),
     })
-    nums, units = F.col("__nums"), F.col("__units")
-
-    def units_of(i: int) -> Column:
-        c, n = F.get(nums, i), f"get(__nums, {i})"
-        return F.when(F.expr(_USUAL.format(n=n)), (c.try_cast("decimal(12,4)") * F.lit(10000)).cast("bigint"))
-
-    st = st.withColumns({
-        "__n": F.size(nums),
-        "__x0": units_of(0), "__x1": units_of(1),
-        "__u0": F.coalesce(F.when(F.get(units, 0) != "", F.get(units, 0)), F.col("__fill")),
-        "__u1": F.coalesce(F.when(F.get(units, 1) != "", F.get(units, 1)), F.col("__fill")),
-    })
+    # a hit is a number, perhaps blanks, perhaps a unit: the first two are taken apart
+    st = st.withColumns({"__n": F.size("__hits"), "__h0": F.get(F.col("__hits"), 0), "__h1": F.get(F.col("__hits"), 1)})
+    for i in (0, 1):
+        hit = F.col(f"__h{i}")
+        st = st.withColumn(f"__e{i}", F.when(F.right(hit, F.lit(1)).isin(*UNITS), F.right(hit, F.lit(1))))
+    st = st.withColumns({f"__m{i}": F.btrim(F.when(F.col(f"__e{i}").isNull(), F.col(f"__h{i}")).otherwise(
+        F.substr(F.col(f"__h{i}"), F.lit(1), F.length(f"__h{i}") - 1)), F.lit(BLANKS)) for i in (0, 1)})
+    st = st.withColumns({f"__x{i}": F.expr(_TEN_THOUSANDTHS.format(n=f"__m{i}", usual=_USUAL.format(n=f"__m{i}")))
+                         for i in (0, 1)} | {f"__u{i}": F.coalesce(F.col(f"__e{i}"), F.col("__fill")) for i in (0, 1)})
     st = st.withColumns({
         f"__y{i}": F.when(F.col(f"__u{i}").isin("万", "w", "W"), F.col(f"__x{i}") * 10)
                     .otherwise(F.col(f"__x{i}")) for i in (0, 1)})

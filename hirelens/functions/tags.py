@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens import dims
-from hirelens.functions.text import WS_CLASS, ustrip
+from hirelens.functions.text import WS_CHARS, WS_CLASS, ustrip
 
 # Separators: the fixed punctuation set plus any Unicode blank.
 TAG_SPLIT = "[" + dims.TAG_SEPARATORS.replace("|", "\\|") + WS_CLASS + "]+"
+SEPARATORS = dims.TAG_SEPARATORS + WS_CHARS
 
 
 def tag_array(text: Column) -> Column:
     """Split a raw tag text into non-blank parts (array<string>, never null).
 
     Parts cannot contain a blank (blanks are separators), so dropping empty
-    strings is all the per-part clean-up needed: no lambda.
+    strings is all the per-part clean-up needed: no lambda. Every separator becomes
+    a comma first, so the text is split at a plain character.
     """
-    return F.array_remove(F.split(ustrip(F.coalesce(text, F.lit(""))), TAG_SPLIT), "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SEPARATORS, "," * len(SEPARATORS)), ","), "")
 
 
 def split_tags(text: Column) -> Column:

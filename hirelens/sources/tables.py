@@ -113,8 +113,10 @@ def _code_version() -> str:
 
 
 INPUTS = ("lineitem", "orders", "customer", "nation", "region", "part")
-#: Input bytes per bucket: a bucket of the stored tables is about one task's work.
-BUCKET_BYTES = 128 << 20
+#: Input bytes per bucket: a bucket of the stored tables is about one task's work (up to a million
+#: rows, some 500 MB once decoded), so that sorting and joining it needs no spill.
+BUCKET_BYTES = 8 << 20
+MAX_BUCKETS = 1 << 20
 
 
 def _input_files(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
@@ -144,12 +146,12 @@ RUN_TAG = ""
 
 def buckets(spark: SparkSession, inputs: list[tuple[str, int, int]]) -> int:
     """Bucket count of the stored tables: ``spark.hirelens.buckets`` or, where unset, the
-    power of two (16 at least) that gives a bucket about BUCKET_BYTES of input."""
+    power of two (16 at least, MAX_BUCKETS at most) that gives a bucket about BUCKET_BYTES of input."""
     given = spark.conf.get("spark.hirelens.buckets", None)
     if given:
         return int(given)
     need = -(-sum(size for _, size, _ in inputs) // BUCKET_BYTES)
-    return max(16, 1 << max(0, need - 1).bit_length())
+    return max(16, min(MAX_BUCKETS, 1 << max(0, need - 1).bit_length()))
 
 
 def state_tag(spark: SparkSession, sf_dir: str, *modules: str) -> str:
@@ -179,7 +181,7 @@ def _stored(spark: SparkSession, sf_dir: str, kind: str, build,
     Bronze and silver share the bucket spec, so joins and aggregations on the key
     (re-clean, backfill, deletes, duplicate audit) read both sides co-partitioned
     and need no shuffle. The rows are hash-partitioned with the same Murmur3 hash
-    the bucketing uses, so every write task emits exactly one file per bucket.
+    the bucketing uses, so every write task emits one file of one bucket.
     The table is registered in the session catalog over the shared folder, and
     re-registered from the folder by a new session.
     """
@@ -198,18 +200,32 @@ def _stored(spark: SparkSession, sf_dir: str, kind: str, build,
 
 
 def _build(spark: SparkSession, build, prepartitioned: bool, name: str, path: str, n: int) -> None:
-    """Write the table; a prepartitioned one is read bucket by bucket, so the automatic
-    choice of a plain scan is off while it is written (the caller holds the lock)."""
-    conf = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-    old = spark.conf.get(conf, "true")
-    if prepartitioned:
-        spark.conf.set(conf, "false")
+    """Write the table (the caller holds the lock).
+
+    The aggregate that dedupes bronze leaves the rows hashed by the bucket columns. With a
+    multiple of ``n`` shuffle partitions, none of them coalesced, a partition holds rows of one
+    bucket only, so the rows are written from there and not shuffled once more. A prepartitioned table is
+    read bucket by bucket, so the automatic choice of a plain scan is off. Either way a
+    task writes to one bucket: concurrent writers spare it the sort by bucket. The cleaning as one
+    generated method is beyond what the JVM compiles (8,000 bytes); the limit makes it several.
+    """
+    given = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    wanted = {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+              "spark.sql.maxConcurrentOutputFileWriters": "4",
+              "spark.sql.adaptive.coalescePartitions.enabled": "false",
+              "spark.sql.codegen.hugeMethodLimit": "8000",
+              "spark.sql.sources.bucketing.maxBuckets": str(MAX_BUCKETS)}
+    if not prepartitioned:
+        wanted["spark.sql.shuffle.partitions"] = str(-(-given // n) * n)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        df = build() if prepartitioned else build().repartition(n, "source", "job_key")
-        (df.write.mode("overwrite").format("parquet").bucketBy(n, "source", "job_key")
+        (build().write.mode("overwrite").format("parquet").bucketBy(n, "source", "job_key")
          .option("path", path).saveAsTable(name))
     finally:
-        spark.conf.set(conf, old)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
