@@ -1,7 +1,7 @@
 """Incremental ingest as Structured Streaming.
 
-Landing files are read with ``readStream``; rows get their keys (C7), and a keyed state says
-whether a key was written by an earlier batch (I2). A new key's first row in the order of the rows (I1) goes
+Landing files are read with ``readStream``; rows get their keys (C7), and a keyed state, that of a streaming
+aggregate, says whether a key was written by an earlier batch (I2). A new key's first row in the order of the rows (I1) goes
 on, is cleaned (I3) and written to both tables through ``foreachBatch``.
 
 The work of a batch depends on its own rows alone: the state is looked up by key in Spark's state
@@ -17,11 +17,9 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hirelens.operators.ingest import KEYS, bronze_from_raw, dedupe_first, keyed, silver_from_bronze
 from hirelens.session import path_exists, work_path
@@ -53,7 +51,8 @@ def land_events(spark: SparkSession, sf_dir: str, landing: str, parts: int = 5)
     ordered = ev.repartitionByRange(parts, F.col("ts").asc_nulls_first()).withColumn("part", F.spark_partition_id())
     shared = ordered.persist()
     for part in range(parts):
-        shared.where(F.col("part") == part).drop("part").write.mode("append").parquet(landing)
+        # one partition, so one file: an empty file beside it would be a batch of its own
+        shared.where(F.col("part") == part).drop("part").repartition(1).write.mode("append").parquet(landing)
     shared.unpersist()
 
 
@@ -79,23 +78,17 @@ def upsert_batch(base: str):
 def first_writes(cards: DataFrame, order: tuple[str, ...] = ("ord1", "ord2")) -> DataFrame:
     """The first row, in ``order`` (nulls first), of every key that no earlier batch of the stream had.
 
-    A key's rows of a batch pass by frame by frame, one row is held.
+    A streaming aggregate: rows are combined before the shuffle, the state holds a row per key. All rows of a
+    batch carry the batch's time, which a replay keeps, so a key is new where its first
+    batch is also its last.
     """
     cards = keyed(cards)
-
-    def first(key, frames, state: GroupState):
-        new, best = not state.exists, None
-        for frame in frames:
-            if new:
-                held = frame if best is None else pd.concat([best, frame])
-                best = held.sort_values(list(order), na_position="first", kind="stable").head(1)
-        if best is not None:
-            state.update((True,))
-            yield best[cards_columns]
-
-    cards_columns = cards.columns
-    return cards.groupBy(*KEYS).applyInPandasWithState(
-        first, cards.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    others = [c for c in cards.columns if c not in (*KEYS, *order)]
+    at = F.current_timestamp()
+    first = cards.withColumn("__at", at).groupBy(*KEYS).agg(
+        F.min(F.struct("__at", *order, *others)).alias("__first"), F.max("__at").alias("__last"))
+    return (first.where(F.col("__first.__at") == F.col("__last"))
+            .select(*KEYS, "__first.*").select(*cards.columns))
 
 
 def write_batch(base: str):
@@ -119,7 +112,7 @@ def run_ingest_stream(spark: SparkSession, landing: str, base: str, checkpoint:
     before = spark.conf.get(STATE_STORE, None)
     spark.conf.set(STATE_STORE, ROCKSDB)                # a query keeps the setting it starts with
     try:
-        q = (first_writes(event_cards(stream)).writeStream.foreachBatch(write(base))
+        q = (first_writes(event_cards(stream)).writeStream.outputMode("update").foreachBatch(write(base))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     finally:
         if before is None:
