@@ -19,3 +19,52 @@ def test_ranks_read_the_rows_once_and_test_ranges_on_distinct_values(spark, buil
     # n_dropped alone reads the rows again; every rank table reads what is stored
     assert len(re.findall(r"LogicalRDD \[experience#\d+L?, education#\d+, tags", plan(made))) <= 1
     assert made.count() in (1, 16)
+
+
+def test_a_landing_file_per_part_and_no_python_in_the_stream(spark):
+    import datetime as dt
+    import os
+    from hirelens.session import scratch_dir
+    from hirelens.streaming import ingest_stream
+    base = scratch_dir()
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 9, "view", float(i), None) for i in range(50)]
+    spark.createDataFrame(rows, ingest_stream.EVENT_SCHEMA).write.parquet(f"{base}/events.parquet")
+    ingest_stream.land_events(spark, base, f"{base}/landing", parts=5)
+    assert len([f for f in os.listdir(f"{base}/landing") if f.endswith(".parquet")]) == 5
+    cards = ingest_stream.event_cards(spark.createDataFrame(rows, ingest_stream.EVENT_SCHEMA))
+    assert "InPandas" not in plan(ingest_stream.first_writes(cards))
+
+
+def test_references_are_matched_once(spark):
+    from pyspark.sql import functions as F
+    from hirelens.operators.extract import html_unescape
+    texts = ["a&amp;lt;b", "&#38;lt;", "&amp;#38;", "&#x26;amp;&quot;", "&#xD800;&#0;", "&#12345678;&nbsp", "&lt;&#65;&gt;&"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(html_unescape(F.col("t")).alias("u"))
+    assert [r.u for r in df.collect()] == ["a&lt;b", "&lt;", "&#38;", '&amp;"', "\ufffd\ufffd", "&#12345678;&nbsp", "<A>&"]
+    assert plan(df).count("regexp_extract(") == 1
+
+
+def test_spans_are_tested_once(spark):
+    from pyspark.sql import functions as F
+    from hirelens.operators.extract import classify_labels
+    df = spark.createDataFrame([(["本科", "硕士 1-3年", " 20-30K ", None],)], "s array<string>")
+    out = df.select(classify_labels(F.col("s")).alias("c"))
+    assert plan(out).count("RLIKE") + plan(out).count("Contains") <= 3
+    assert tuple(out.first().c) == ("本科", "20-30K", "硕士 1-3年")
+
+
+def test_stored_rows_are_shuffled_once_and_lie_in_one_bucket_a_task(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from hirelens.sources import tables
+    assert tables.buckets(spark, [("lineitem", 532 << 20, 0)]) == 128
+    monkeypatch.setattr(tables, "_input_files", lambda *_: [])
+    raw = spark.range(500).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("job_key"), F.col("id").alias("v"))
+    made = []
+
+    def build():
+        made.append(raw.groupBy("source", "job_key").agg(F.min(F.struct("v")).alias("v")))
+        return made[0]
+    got = tables._stored(spark, str(tmp_path), "probe", build)
+    files = [f.rsplit("_", 1)[1].split(".")[0] for f in got.inputFiles()]
+    assert got.count() == 500 and len(files) == len(set(files)) <= 16       # one file of one task per bucket
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
