@@ -23,16 +23,13 @@ GRAM = 3
 
 def grams(text: Column, n: int = GRAM) -> Column:
     """Distinct runs of ``n`` characters; shorter texts have none."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    runs = chars
-    for k in range(1, n):           # arrays side by side, so the time grows with the text alone
-        runs = F.zip_with(runs, F.slice(chars, k + 1, F.size(chars)), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.filter(runs, lambda g: g.isNotNull()))
+    # a look ahead at n characters, then one character on: a single pass, and the runs overlap
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
 
 
-def _pieces(text: Column) -> Column:
-    """All grams that an alias may be filed under: of GRAM characters, and shorter ones for short aliases."""
-    return F.flatten(F.array(*[grams(text, n) for n in range(1, GRAM + 1)]))
+def _pieces(text: Column, sizes: list[int]) -> Column:
+    """All grams of the given sizes, those that aliases are filed under."""
+    return F.flatten(F.array(*[grams(text, n) for n in sizes]))
 
 
 def hits(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,7 +55,8 @@ def hits(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str) -> Da
     sized = {n: F.when(size == n, grams(F.col("alias"), n)) for n in range(1, GRAM + 1)}
     filed = parts.select("alias", F.explode(F.coalesce(*sized.values())).alias("gram"))
     wanted = filed.select("gram").distinct()
-    seen = (whole.select("h1", "h2", F.explode(_pieces(F.col("blob"))).alias("gram"))
+    sizes = sorted(r[0] for r in parts.select(size).distinct().collect()) or [GRAM]    # GRAM numbers at most
+    seen = (whole.select("h1", "h2", F.explode(_pieces(F.col("blob"), sizes)).alias("gram"))
             .join(wanted, "gram", "left_semi").checkpoint())
     texts_with = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (filed.join(texts_with, "gram", "left").groupBy("alias")

@@ -66,3 +66,12 @@ def test_grams(spark):
     df = spark.createDataFrame([("abcab",), ("ab",), ("",)], "t string")
     got = [sorted(r.g) for r in df.select(dictionary.grams(F.col("t")).alias("g")).collect()]
     assert got == [["abc", "bca", "cab"], [], []]
+
+
+def test_grams_are_characters_and_only_needed_sizes_are_made(spark):
+    df = spark.createDataFrame([("a😀b😀\nc",)], "t string")
+    got = {n: df.select(F.sort_array(dictionary.grams(F.col("t"), n))).first()[0] for n in (1, 2, 3)}
+    chars = list("a😀b😀\nc")
+    assert all(sorted(set("".join(chars[i:i + n]) for i in range(len(chars) - n + 1))) == sorted(got[n]) for n in got)
+    pieces = df.select(dictionary._pieces(F.col("t"), [2])).first()[0]
+    assert sorted(pieces) == sorted(got[2])
