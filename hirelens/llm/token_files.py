@@ -71,9 +71,12 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.code = {2: "H", 4: "I"}[self.width]
         self.letters = {i: c for i, c in enumerate(byte_letters())}
+        self.space = self.letters[0x20]
+        self.coded = [i.to_bytes(self.width, "little") for i in range(max(tok.get_vocab().values()) + 1)]
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}       # of what follows a single space
         self.older: dict[str, bytes] = {}       # the words before these
+        self.tails = {p: self._merged(p) for p in ".,|"}
         held = tok.get_added_tokens_decoder()
         if any(t.single_word or t.lstrip or t.rstrip for t in held.values()):
             raise ValueError("added tokens that take white space or whole words are not supported")
@@ -82,11 +85,12 @@ class Encoder:
         self.at_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")")
 
     def _merged(self, p: str) -> bytes:
-        if p.isascii() and p[1:].isalpha() and p[0] == " ":
-            letters = self.letters[0x20] + p[1:]        # printable ASCII stands for itself
+        if p.isascii() and p[0] == " " and p[1:].isalpha():
+            letters = self.space + p[1:]                # printable ASCII stands for itself
         else:
             letters = p.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.model.tokenize(letters)])
 
     def _piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
@@ -101,32 +105,34 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [b"".join(map(self._piece, pieces)) for pieces in bpe.slices(texts)]
 
-    def _word(self, p: str) -> bytes:
-        """Ids of a space and the letters ``p``, which are one piece."""
-        got = self.words.get(p) or self.older.get(p)
-        if got is None:
-            got = self._merged(f" {p}")
-        self.words[p] = got
-        return got
-
     def _learn(self, words: set[str]) -> set[str]:
         """Cache the ids of words after a space; returns those that must not be cut off.
 
         A piece next to more white space belongs to it: its text is encoded as a whole.
         """
-        known, older, word, rest, unsafe = self.words, self.older, self._word, [], set()
+        known, older, merged, tails = self.words, self.older, self._merged, self.tails
+        rest, unsafe = [], set()
         for p in words:
-            got = older.get(p)
-            if got is not None:
-                known[p] = got
-            elif p.isalpha():
-                word(p)
-            elif not p or p[0].isspace() or p[-1].isspace():
-                unsafe.add(p)
-            elif p[-1] in ".,|" and p[:-1].isalpha():
-                known[p] = word(p[:-1]) + self._piece(p[-1])
-            else:
-                rest.append(p)
+            got = older.get(p) if older else None
+            if got is None:
+                if p.isalpha():
+                    got = known.get(p)          # a word before a mark may have brought it
+                    if got is None:
+                        got = merged(f" {p}")
+                elif not p or p[0].isspace() or p[-1].isspace():
+                    unsafe.add(p)
+                    continue
+                elif p[-1] in tails and p[:-1].isalpha():
+                    w = p[:-1]                  # letters after a space are one piece, the mark another
+                    got = known.get(w) or older.get(w)
+                    if got is None:
+                        got = merged(f" {w}")
+                    known[w] = got
+                    got += tails[p[-1]]
+                else:
+                    rest.append(p)
+                    continue
+            known[p] = got
         known.update(zip(rest, self._whole([f" {p}" for p in rest])))
         return unsafe
 
