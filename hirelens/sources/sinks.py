@@ -93,17 +93,19 @@ def write_snapshot(out: str, silver: DataFrame, bronze: DataFrame, buckets: int
 
     The tables keep the bucket layout of the stored ones, so key joins between
     them need no shuffle. A pointer file is replaced last, by one rename: readers see the version before
-    until then, and that version stays as it is. ``buckets`` is by default the number of
+    until then, and that version stays as it is. A table's versions are partitions of its folder: read plainly, it
+    shows all of them, told apart by the column ``version``. ``buckets`` is by default the number of
     shuffle partitions, 16 at least.
     """
     spark = silver.sparkSession
     n = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     version = f"v-{uuid.uuid4().hex}"
+    folders = {name: f"{name}/version={version}" for name in SNAPSHOT_TABLES}
     for name, table in zip(SNAPSHOT_TABLES, (silver, bronze)):
-        path = f"{out}/{version}/{name}"
+        path = f"{out}/{folders[name]}"
         (table.repartition(n, "source", "job_key").write.mode("overwrite").format("parquet")
          .bucketBy(n, "source", "job_key").option("path", path).saveAsTable(table_name(path)))
-    _put(spark, f"{out}/{POINTER}", json.dumps({"version": version, "buckets": n}))
+    _put(spark, f"{out}/{POINTER}", json.dumps({"version": version, "buckets": n, "folders": folders}))
     return version
 
 
@@ -114,7 +116,8 @@ def read_snapshot(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     current = json.loads(spark.read.text(f"{out}/{POINTER}").first().value)
     found = []
     for name in SNAPSHOT_TABLES:
-        path = f"{out}/{current['version']}/{name}"
+        folders = current.get("folders", {})        # without them: as they were laid out before
+        path = f"{out}/{folders.get(name, current['version'] + '/' + name)}"
         if not spark.catalog.tableExists(table_name(path)):
             register_bucketed(spark, table_name(path), path, current["buckets"])
         found.append(spark.table(table_name(path)))

@@ -87,3 +87,19 @@ def test_cli_offlist_drops_raw_rows_without_a_silver_row(spark):
 def test_cli_needs_bronze_beside_silver(spark):
     with pytest.raises(SystemExit):
         cli.main(["--silver", "s", "health-check"])
+
+
+def test_versions_are_partitions_and_old_layouts_stay_readable(spark):
+    import json
+    from hirelens.sources import sinks
+    out = os.path.join(scratch_dir(), "snap")
+    one, two = (spark.createDataFrame([("a", str(i)) for i in range(n)], "source string, job_key string") for n in (1, 2))
+    first, second = sinks.write_snapshot(out, one, two, buckets=2), sinks.write_snapshot(out, two, one, buckets=2)
+    assert [t.count() for t in sinks.read_snapshot(spark, out)] == [2, 1]
+    plain = spark.read.parquet(os.path.join(out, "silver")).groupBy("version").count()
+    assert {r["version"]: r["count"] for r in plain.collect()} == {first: 1, second: 2}
+    old = os.path.join(scratch_dir(), "old")
+    for name in sinks.SNAPSHOT_TABLES:
+        os.renames(os.path.join(out, name, f"version={first}"), os.path.join(old, first, name))
+    sinks._put(spark, os.path.join(old, sinks.POINTER), json.dumps({"version": first, "buckets": 2}))
+    assert [t.count() for t in sinks.read_snapshot(spark, old)] == [1, 2]
