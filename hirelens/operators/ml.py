@@ -10,7 +10,7 @@
   they are fitted on cells, whose number is bounded by the combinations of the categories; forests draw
   their bootstrap from the rows. A fitted model predicts every cell once, and scores and
   importances are sums over cells;
-* the fits (folds x models) are independent jobs over stored tables and run side by side;
+* the fits (folds x models, a large forest in parts) are independent jobs over stored tables and run side by side;
 * permutation importance rotates a column by one row in a seeded random order of all
   test rows, found side by side in hash ranges.
 """
@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,8 +138,10 @@ class ModelSizes:
     forest_rows: int = 1 << 17      # a forest is fitted on about so many rows at most, by key hash
     tree_rows: int = 1 << 15        # and a tree's bootstrap holds about so many of them at most
     task_rows: int = 1 << 16        # rows per task of a fit: node statistics are summed over tasks
+    part_trees: int = 50            # trees of a forest that are fitted in one job
+    part_rows: int = 1 << 13        # but a forest of fewer rows than this per part is not split so far
     tree_memory_mb: int = 128       # for the node statistics of one pass of a fit
-    parallel: int = 6               # fits that run side by side at most, each in FIT_MB of the driver's heap
+    parallel: int = 6               # fits of a kind that run side by side at most
 
 
 def regressors(sizes: ModelSizes, rows: int = 0) -> dict:
@@ -165,20 +167,56 @@ def forest_sample(frame: DataFrame, n: int, sizes: ModelSizes) -> DataFrame:
     return frame.where(F.pmod(_hash(sizes.seed + 2), F.lit(1 << 40)) < share)
 
 
+def dealt(frame: DataFrame, sizes: ModelSizes) -> DataFrame:
+    """With a seeded key hash ``deal``, by which ``fit_forest`` deals out rows."""
+    return frame.withColumn("deal", _hash(sizes.seed + 3))
+
+
 def _packed(df: DataFrame, sizes: ModelSizes) -> DataFrame:
     """``df`` stored, in as many partitions as its rows need."""
     df = df.checkpoint(eager=True)
     return df.coalesce(max(1, -(-df.count() // sizes.task_rows)))
 
 
-#: Heap of the driver that a fit may take: the trees it grows and, in local mode, its tasks.
-FIT_MB = 600
+#: Heap of the driver that part of a forest may take: the trees it grows and, in local mode, its tasks.
+PART_MB = 500
 
 
 def at_once(spark, most: int) -> int:
-    """How many fits run side by side: ``most``, or two at least if the driver's heap is small."""
+    """How many parts of forests grow side by side: ``most``, or two at least if the driver's heap is small."""
     heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() >> 20
-    return max(2, min(most, heap // FIT_MB))
+    return max(2, min(most, heap // PART_MB))
+
+
+def forest_parts(sizes: ModelSizes, rows: int) -> list[int]:
+    """Trees of the parts in which a forest over ``rows`` rows is fitted."""
+    n = max(1, min(-(-sizes.rf_trees // sizes.part_trees), rows // sizes.part_rows))
+    return [sizes.rf_trees // n + (i < sizes.rf_trees % n) for i in range(n)]
+
+
+def fit_forest(source: DataFrame, sizes: ModelSizes, rows: int, room: threading.Semaphore) -> PipelineModel:
+    """The forest over ``source``, grown in parts side by side as far as ``room`` lets them.
+
+    The cost of a tree goes with the rows that its bootstrap draws from, also those it leaves out. Where the
+    bootstraps are a fraction of the rows, the rows are dealt out by the column ``deal``, so that a part
+    draws as many of its own ones and the parts take all. The forest's prediction is the mean of its trees'.
+    """
+    trees = forest_parts(sizes, rows)
+    deals = max(1, min(len(trees), rows // sizes.tree_rows))
+    base = regressors(sizes, rows // deals)["random_forest"]
+
+    def grow(i: int):
+        own = source if deals == 1 else source.where(F.pmod("deal", F.lit(deals)) == i % deals)
+        part = base.copy({base.numTrees: trees[i], base.seed: sizes.seed + i,
+                          base.maxMemoryInMB: max(32, sizes.tree_memory_mb // len(trees))})
+        with room:
+            return part.fit(own.coalesce(1) if len(trees) > 1 else own).setPredictionCol(f"__p{i}")
+
+    grown = side_by_side(source.sparkSession, [partial(grow, i) for i in range(len(trees))], len(trees))
+    names = [f"__p{i}" for i in range(len(trees))]
+    mean = " + ".join(f"{p} * {n}" for p, n in zip(names, trees))
+    return PipelineModel(stages=[*grown, SQLTransformer(
+        statement=f"SELECT * EXCEPT ({', '.join(names)}), ({mean}) / {sizes.rf_trees} AS prediction FROM __THIS__")])
 
 
 #: Models whose fit depends on cells alone.
@@ -247,25 +285,33 @@ def train_and_select(frame: DataFrame, sizes: ModelSizes | None = None, k: int =
     counts = data.groupBy("is_test").count().collect()      # two rows
     n_rows, n_train = sum(r["count"] for r in counts), sum(r["count"] for r in counts if not r["is_test"])
     sample = forest_sample(train_raw, n_train, sizes)
-    rows = _packed(enc.transform(sample).select("features", LABEL, "weight", "fold"), sizes)
+    rows = _packed(enc.transform(dealt(sample, sizes)).select("features", LABEL, "weight", "fold", "deal"), sizes)
     few = _packed(enc.transform(cells(train_raw, ["fold"])).select(
         "features", LABEL, "weight", "n", "m2", "fold"), sizes)
     held = _packed(enc.transform(cells(test, [])).select("features", LABEL, "n", "m2", F.lit(-1).alias("fold")), sizes)
     test_rows = enc.transform(test).select("features", LABEL)
-    models_of = regressors(sizes, min(n_train, sizes.forest_rows))
-    wanted = {name: reg for name, reg in models_of.items() if not models or name in models}
+    forest_rows = min(n_train, sizes.forest_rows)
+    wanted = {name: reg for name, reg in regressors(sizes, forest_rows).items() if not models or name in models}
+    spark = frame.sparkSession
+    width = at_once(spark, sizes.parallel)
+    room = threading.BoundedSemaphore(width)
 
     def fit(name: str, fold: int | None):
         """R^2 on the fold left out; for no fold the model, its R^2 and MAE on the test split."""
         source = few if name in ON_CELLS else rows
-        model = wanted[name].copy().fit(source if fold is None else source.where(F.col("fold") != fold))
+        source = source if fold is None else source.where(F.col("fold") != fold)
+        model = wanted[name].copy().fit(source) if name in ON_CELLS else fit_forest(source, sizes, forest_rows, room)
         judged = held if fold is None else few.where(F.col("fold") == fold)
         r2 = _r2_by(model.transform(judged), "fold").get(-1 if fold is None else fold, 0.0)
         return r2 if fold is not None else (model, r2, _mae(model, test_rows))
 
-    # boosting is a long chain of short jobs and a forest keeps the executors busy: they take turns
+    # boosting is a long chain of short jobs and a forest keeps the executors busy: neither waits for the other.
+    # With room for it two forests at a time: the parts of the next one take the room that those of the last leave
     plan = [(name, fold) for fold in (None, *range(k)) for name in reversed(wanted)]
-    done = dict(zip(plan, side_by_side(frame.sparkSession, [partial(fit, *job) for job in plan], at_once(frame.sparkSession, sizes.parallel))))
+    kinds = [([job for job in plan if job[0] in ON_CELLS], min(sizes.parallel, 2 * width)),
+             ([job for job in plan if job[0] not in ON_CELLS], 2 if width > 3 else 1)]
+    found = side_by_side(spark, [partial(side_by_side, spark, [partial(fit, *job) for job in jobs], most) for jobs, most in kinds], 2)
+    done = {job: got for (jobs, _), results in zip(kinds, found) for job, got in zip(jobs, results)}
     res = TrainResult(n_rows=n_rows)
     best_r2 = float("-inf")
     for name in wanted:
@@ -282,10 +328,13 @@ def refit_best(frame: DataFrame, best: str, sizes: ModelSizes | None = None,
     """M9: refit the chosen model on all rows (weighted)."""
     sizes = sizes or ModelSizes(seed=seed)
     rows, n = with_weights(frame), frame.count()
-    chosen = cells(rows, []) if best in ON_CELLS else forest_sample(rows, n, sizes)
     enc = Pipeline(stages=feature_stages()).fit(rows)
-    model = regressors(sizes, min(n, sizes.forest_rows))[best]
-    fitted = model.fit(_packed(enc.transform(chosen).select("features", LABEL, "weight"), sizes))
+    if best in ON_CELLS:
+        fitted = regressors(sizes)[best].fit(_packed(enc.transform(cells(rows, [])).select("features", LABEL, "weight"), sizes))
+    else:
+        chosen = enc.transform(dealt(forest_sample(rows, n, sizes), sizes)).select("features", LABEL, "weight", "deal")
+        room = threading.BoundedSemaphore(at_once(frame.sparkSession, sizes.parallel))
+        fitted = fit_forest(_packed(chosen, sizes), sizes, min(n, sizes.forest_rows), room)
     return PipelineModel(stages=[enc, fitted])
 
 
@@ -298,36 +347,42 @@ def permuted(test: DataFrame, col: str, seed: int, buckets: int = 1 << 12) -> Da
     bucket takes the last value of the bucket before, from a table of one row per
     bucket. The permutation is the same for every number of buckets and rows per task.
     """
+    return permuted_copies(test, col, [seed], buckets).drop("__rep")
+
+
+def permuted_copies(test: DataFrame, col: str, seeds: list[int], buckets: int = 1 << 12) -> DataFrame:
+    """``permuted`` for each of the ``seeds`` in one pass; ``__rep`` is the seed's place in the list."""
     bits = buckets.bit_length() - 1
-    base = test.withColumn("__o", F.xxhash64(*[F.col(c) for c in KEYS], F.lit(seed * 7919 + 1)))
+    drawn = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(s * 7919 + 1).alias("salt")) for r, s in enumerate(seeds)])
+    base = test.select("*", F.explode(drawn).alias("__d")).withColumn("__rep", F.col("__d.rep"))
+    base = base.withColumn("__o", F.xxhash64(*[F.col(c) for c in KEYS], F.col("__d.salt"))).drop("__d")
     base = base.withColumn("__blk", F.shiftrightunsigned("__o", 64 - bits))
-    w = Window.partitionBy("__blk").orderBy("__o", *KEYS)
-    ends = base.groupBy("__blk").agg(F.max_by(col, F.struct("__o", *KEYS)).alias("__end"))
-    chain = Window.orderBy("__blk")          # at most ``buckets`` rows
+    place = ["__rep", "__blk"]
+    w = Window.partitionBy(*place).orderBy("__o", *KEYS)
+    ends = base.groupBy(*place).agg(F.max_by(col, F.struct("__o", *KEYS)).alias("__end"))
+    chain = Window.partitionBy("__rep").orderBy("__blk")        # at most ``buckets`` rows a copy
     before = F.when(F.row_number().over(chain) == 1,
-                    F.max_by("__end", "__blk").over(Window.partitionBy()))
-    ends = ends.select("__blk", before.otherwise(F.lag("__end").over(chain)).alias("__prev"))
+                    F.max_by("__end", "__blk").over(Window.partitionBy("__rep")))
+    ends = ends.select(*place, before.otherwise(F.lag("__end").over(chain)).alias("__prev"))
     turned = (base.withColumn("__lag", F.lag(col, 1).over(w))
-              .withColumn("__first", F.row_number().over(w) == 1).join(ends, "__blk"))
+              .withColumn("__first", F.row_number().over(w) == 1).join(ends, place))
     return (turned.withColumn(col, F.when(F.col("__first"), F.col("__prev")).otherwise(F.col("__lag")))
-            .select(*test.columns))
+            .select(*test.columns, "__rep"))
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = 10,
                            seed: int = 42, parallel: int = 6) -> DataFrame:
     """Mean R^2 drop per raw feature, clipped at 0 and normalised to shares.
 
-    Every permuted copy of the test rows is summed up to cells, and the model predicts the
+    The permuted copies of the test rows are made in one pass and summed up to cells, and the model predicts the
     distinct feature combinations of a feature's copies once. Features run side by side.
     """
     spark = test.sparkSession
     rows = test.withColumn("weight", F.lit(1.0))
 
     def drop(i: int, f: str) -> float:
-        copies = [cells(rows, []).withColumn("__rep", F.lit(-1))]
-        for r in range(repeats):
-            copies.append(cells(permuted(rows, f, seed + 100 * i + r), []).withColumn("__rep", F.lit(r)))
-        seen = reduce(DataFrame.unionByName, copies).checkpoint(eager=True)
+        copies = permuted_copies(rows, f, [seed + 100 * i + r for r in range(repeats)])
+        seen = cells(rows.withColumn("__rep", F.lit(-1)).unionByName(copies), ["__rep"]).checkpoint(eager=True)
         combos = seen.select(*FEATURES).distinct()
         known = model.transform(combos).select(*FEATURES, "prediction")
         same = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in FEATURES])

@@ -116,6 +116,39 @@ def test_forest_sample_is_bounded_and_stable(spark):
                     .select("source", "job_key").collect()}
 
 
+def test_forest_grows_in_parts_over_all_its_rows(spark):
+    import threading
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.linalg import Vectors
+    sizes = ml.ModelSizes(rf_trees=7, rf_depth=3, part_trees=3, part_rows=50, tree_rows=100)
+    assert ml.forest_parts(sizes, 400) == [3, 2, 2] and ml.forest_parts(sizes, 99) == [7]
+    assert sum(ml.forest_parts(ml.ModelSizes(), 1 << 17)) == 200
+    rows = [(Vectors.dense([float(i % 4), float(i % 3)]), float(i % 4), 1.0, i) for i in range(400)]
+    df = spark.createDataFrame(rows, ["features", ml.LABEL, "weight", "deal"])
+    model = ml.fit_forest(df, sizes, 400, threading.Semaphore(2))
+    parts = model.stages[:-1]
+    assert [p.getNumTrees for p in parts] == [3, 2, 2]
+    out = model.transform(df)
+    assert out.columns == [*df.columns, "prediction"]
+    row = out.first()
+    want = sum(p.predict(row.features) * p.getNumTrees for p in parts) / 7
+    assert abs(row.prediction - want) < 1e-9
+    d = os.path.join(scratch_dir(), "forest")
+    model.write().save(d)
+    again = PipelineModel.load(d).transform(df).first()
+    assert abs(again.prediction - want) < 1e-9
+
+
+def test_permuted_copies_are_the_single_permutations(spark):
+    frame = ml.ml_frame(tables.silver(spark, SF_SMALL))
+    both = ml.permuted_copies(frame, "city", [5, 9])
+    for r, seed in enumerate([5, 9]):
+        one = ml.permuted(frame, "city", seed)
+        got = both.where(both["__rep"] == r).drop("__rep")
+        assert got.exceptAll(one).count() == 0 and one.count() == got.count() == frame.count()
+    assert both.where("__rep = 0").drop("__rep").exceptAll(both.where("__rep = 1").drop("__rep")).count() > 0
+
+
 def test_too_few_rows_raise(spark):
     import pytest
     frame = ml.ml_frame(tables.silver(spark, SF_SMALL)).limit(49)
