@@ -69,8 +69,8 @@ def one_of_each(df: DataFrame, keys: list[str], codes: dict[str, str], apart: li
 
 
 def batches(it: Iterator[pa.RecordBatch], text: str | None = None,
-            rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows, cut earlier once ``text`` holds GROUP_CHARS bytes.
+            rows: int = 512, held_bytes: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, cut earlier once ``text`` holds ``held_bytes`` bytes.
 
     A slice always has a row, so a text longer than that is a slice of its own.
     """
@@ -83,7 +83,7 @@ def batches(it: Iterator[pa.RecordBatch], text: str | None = None,
         sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, n in enumerate(sizes):
-            if i > start and (held + n > GROUP_CHARS or i - start >= rows):
+            if i > start and (held + n > held_bytes or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(n)

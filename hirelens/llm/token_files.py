@@ -16,8 +16,9 @@ Readers map the files into memory.
 
 Encoding takes the strings of the tokenizer's added tokens out of a text first, as the library
 does, then cuts before every single space between two other characters (a token
-always starts there), and looks the pieces up in a cache of ids. Pieces not yet known
-go through the vectorised pre-tokeniser and the library's merge model.
+always starts there). The words of a group of texts are numbered (Arrow's dictionary encoding), each distinct
+one is looked up in a cache of ids once, and the texts' ids are gathered by those numbers. Words not yet
+known go through the vectorised pre-tokeniser and the library's merge model.
 
 Defined cases: a null text is empty and has the end id only; null ids come first;
 repeated ids stand in order of the first HEAD_CHARS characters of their text, null first, then of its
@@ -35,6 +36,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,6 +53,8 @@ HEAD_CHARS = 64
 #: the older ones, which are kept until the words are full again.
 PIECES = 100_000
 WORDS = 300_000
+#: Bytes of text whose words are numbered together.
+WORD_GROUP = 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -60,6 +64,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of whole texts as bytes, as the tokenizers library gives them for a byte-level BPE file."""
 
@@ -105,22 +113,24 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [b"".join(map(self._piece, pieces)) for pieces in bpe.slices(texts)]
 
-    def _learn(self, words: set[str]) -> set[str]:
-        """Cache the ids of words after a space; returns those that must not be cut off.
+    def _ids_of(self, words: list[str]) -> list[bytes | None]:
+        """Ids of distinct words after a space, from the cache or merged; None for those that must not be cut off.
 
         A piece next to more white space belongs to it: its text is encoded as a whole.
         """
+        if len(self.words) > WORDS:
+            self.older, self.words = self.words, {}     # what is still in use comes back from there
         known, older, merged, tails = self.words, self.older, self._merged, self.tails
-        rest, unsafe = [], set()
-        for p in words:
-            got = older.get(p) if older else None
+        out, rest = list(map(known.get, words)), []
+        for k in [k for k, got in enumerate(out) if got is None]:
+            p = words[k]
+            got = older.get(p)
             if got is None:
                 if p.isalpha():
                     got = known.get(p)          # a word before a mark may have brought it
                     if got is None:
                         got = merged(f" {p}")
                 elif not p or p[0].isspace() or p[-1].isspace():
-                    unsafe.add(p)
                     continue
                 elif p[-1] in tails and p[:-1].isalpha():
                     w = p[:-1]                  # letters after a space are one piece, the mark another
@@ -130,39 +140,75 @@ class Encoder:
                     known[w] = got
                     got += tails[p[-1]]
                 else:
-                    rest.append(p)
+                    rest.append(k)
                     continue
-            known[p] = got
-        known.update(zip(rest, self._whole([f" {p}" for p in rest])))
-        return unsafe
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without added tokens."""
-        if len(self.words) > WORDS:
-            self.older, self.words = self.words, {}     # what is still in use comes back from there
-        words = self.words
-        cut = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for parts in cut:
-            new.update(parts[1:])
-        new.difference_update(words)
-        unsafe = self._learn(new)
-        whole = [i for i, parts in enumerate(cut)
-                 if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()
-                                        or (unsafe and not unsafe.isdisjoint(parts[1:])))]
-        as_one = dict(zip(whole, self._whole([texts[i] for i in whole])))
-        heads = self._whole([parts[0] for parts in cut])
-        ids_of = words.__getitem__
-        return [as_one[i] if i in as_one else heads[i] + b"".join(map(ids_of, parts[1:]))
-                for i, parts in enumerate(cut)]
+            known[p] = out[k] = got
+        for k, got in zip(rest, self._whole([f" {words[k]}" for k in rest])):
+            known[words[k]] = out[k] = got
+        return out
+
+    def _with_added(self, text: str) -> bytes:
+        parts = self.at_added.split(text)               # text, added token, text, ...
+        plain = iter(self._whole(parts[::2]))
+        return b"".join(self.added[x] if i % 2 else next(plain) for i, x in enumerate(parts))
+
+    def gathered(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (no nulls) one after the other, each text's followed by ``end``, and how many are each text's."""
+        n = len(texts)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")              # never empty: what stands before the first space comes first
+        edges = cut.offsets.to_numpy().astype(np.int64)
+        edges -= edges[0]
+        first, words = edges[:-1], cut.flatten()
+        heads = _strings(words.take(pa.array(first)))
+        later = np.ones(len(words), bool)
+        later[first] = False
+        of_text = np.repeat(np.arange(n), np.diff(edges) - 1)
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        found = self._ids_of(_strings(coded.dictionary))
+        unsafe = np.fromiter((x is None for x in found), bool, len(found))
+
+        whole = np.zeros(n, bool)
+        whole[of_text[unsafe[number]]] = True
+        whole |= (np.diff(edges) > 1) & np.fromiter((not h or h[-1].isspace() for h in heads), bool, n)
+        added = np.zeros(n, bool)
+        for token in self.added:
+            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        starts: list[bytes] = [b""] * n                 # ids of the head, or of a text that is not cut
+        for at, encode in ((np.flatnonzero(added), lambda ts: [self._with_added(t) for t in ts]),
+                           (np.flatnonzero(whole & ~added), self._whole)):
+            for k, ids in zip(at.tolist(), encode(_strings(texts.take(pa.array(at))))):
+                starts[k] = ids
+        whole |= added
+        at = np.flatnonzero(~whole).tolist()
+        for k, ids in zip(at, self._whole([heads[k] for k in at])):
+            starts[k] = ids
+
+        # every text's entries: its start, its words unless the start is all of it, the end
+        entries = [*(x or b"" for x in found), *starts, end]
+        keep = ~whole[of_text]
+        number, of_text = number[keep].astype(np.int64), of_text[keep]
+        held = np.bincount(of_text, minlength=n)
+        place = np.cumsum(held + 2) - held - 2          # of every text's start
+        order = np.empty(len(number) + 2 * n, np.int64)
+        order[place] = len(found) + np.arange(n)
+        order[place + held + 1] = len(entries) - 1
+        order[np.arange(len(number)) + 2 * of_text + 1] = number
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // self.width
+        flat, begin = np.frombuffer(b"".join(entries), self.dtype), np.cumsum(sizes) - sizes
+        taken = sizes[order]
+        counts = np.add.reduceat(taken, place)
+        shift = np.repeat(begin[order] - (np.cumsum(taken) - taken), taken)
+        shift += np.arange(len(shift))
+        return flat[shift], counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. The strings of added tokens are cut out first; each is its own id."""
-        if not self.added or not any(a in t for a in self.added for t in texts):
-            return self._plain(texts)
-        cut = [self.at_added.split(t) for t in texts]           # text, added token, text, ...
-        plain = iter(self._plain([x for parts in cut for x in parts[::2]]))
-        return [b"".join(self.added[x] if i % 2 else next(plain) for i, x in enumerate(parts)) for parts in cut]
+        ids, counts = self.gathered(pa.array(texts, pa.large_string()))
+        data, ends = ids.tobytes(), (np.cumsum(counts) * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -214,14 +260,14 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
         counts, ids, tmp = [], [], None
         fs, where = pafs.FileSystem.from_uri(_part(folder, part, "bin"))
         out = None
-        for batch in batches(it, "_text"):
+        for batch in batches(it, "_text", rows=1 << 20, held_bytes=WORD_GROUP):
             if out is None:
                 fs.create_dir(where.rpartition("/")[0], recursive=True)
                 tmp = f"{where}.{uuid.uuid4().hex}.tmp"
                 out = fs.open_output_stream(tmp)
-            rows = [r + end for r in enc.encode([t or "" for t in batch.column(1).to_pylist()])]
-            out.write(b"".join(rows))
-            counts.append(np.array([len(r) // enc.width for r in rows], "<u8"))
+            tokens, sizes = enc.gathered(pc.fill_null(batch.column(1), ""), end)
+            out.write(tokens)
+            counts.append(sizes.astype("<u8"))
             ids.append(batch.column(0))
         if out is None:
             return

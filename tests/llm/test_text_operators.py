@@ -77,6 +77,26 @@ def test_token_encoder_forgets_and_finds_again(odd_texts, monkeypatch):
             assert [np.frombuffer(g, enc.dtype).tolist() for g in enc.encode(some)] == [w.ids for w in want]
 
 
+def test_token_encoder_looks_a_distinct_word_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+    enc, lib = token_files.Encoder(JSON), Tokenizer.from_file(JSON)
+    enc.words = Counted()
+    texts = ["one two three, four!! " * 500 + "end", "", " two", "three,", "a  two"] * 2
+    want = lib.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(g, enc.dtype).tolist() for g in enc.encode(texts)] == [w.ids for w in want]
+    assert enc.words.asked < 40
+
+
 def test_token_files_read_back(spark):
     rng = random.Random(3)
     rows = [(i if i % 7 else None, rng.choice([None, "", "x y", "long text " * rng.randint(1, 300)])) for i in range(60)]
