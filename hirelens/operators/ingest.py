@@ -152,15 +152,22 @@ def reclean_hist(silver: DataFrame, bronze: DataFrame) -> DataFrame:
 
 
 def reclean_apply(silver: DataFrame, bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """I6 apply: new silver (re-cleaned fields) and bronze with tags synced."""
-    r = recleaned(silver, bronze).select(*KEYS, "new_experience", "new_education", "new_tags")
-    s = (silver.join(r, KEYS, "left")
-         .withColumn("experience", F.coalesce(F.col("new_experience"), F.col("experience")))
+    """I6 apply: new silver (re-cleaned fields) and bronze with tags synced.
+
+    Each table is joined once with the other's columns that it needs and cleaned where it
+    stands: a task sorts two tables per result, not a third that was joined before.
+    """
+    raw = bronze.select(*KEYS, F.col("experience").alias("raw_experience"), F.col("education").alias("raw_education"),
+                        F.col("title").alias("raw_title"), F.lit(True).alias("__found"))
+    s = with_levels(silver.join(raw, KEYS, "left"), "raw_experience", "raw_education", "new_experience", "new_education")
+    s = with_skills(s, ["raw_title"], "new_tags")
+    s = (s.withColumn("experience", F.coalesce(F.col("new_experience"), F.col("experience")))
          .withColumn("education", F.coalesce(F.col("new_education"), F.col("education")))
-         .withColumn("tags", F.coalesce(F.col("new_tags"), F.col("tags")))
-         .drop("new_experience", "new_education", "new_tags"))
-    b = (bronze.join(r.select(*KEYS, "new_tags"), KEYS, "left")
-         .withColumn("tags", F.coalesce(F.col("new_tags"), F.col("tags"))).drop("new_tags"))
+         .withColumn("tags", F.when(F.col("__found"), F.col("new_tags")).otherwise(F.col("tags")))
+         .select(*silver.columns))
+    b = with_skills(bronze.join(silver.select(*KEYS, F.lit(True).alias("__found")), KEYS, "left"), ["title"], "new_tags")
+    b = (b.withColumn("tags", F.when(F.col("__found"), F.col("new_tags")).otherwise(F.col("tags")))
+         .select(*bronze.columns))
     return s, b
 
 

@@ -68,3 +68,19 @@ def test_stored_rows_are_shuffled_once_and_lie_in_one_bucket_a_task(spark, tmp_p
     files = [f.rsplit("_", 1)[1].split(".")[0] for f in got.inputFiles()]
     assert got.count() == 500 and len(files) == len(set(files)) <= 16       # one file of one task per bucket
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+
+
+def test_reclean_joins_each_table_once(spark):
+    from hirelens.operators import ingest
+    silver = spark.createDataFrame([("a", "1", "x", "y", "t"), ("a", "2", "x", "y", "t"), ("a", None, "x", "y", None)],
+                                   "source string, job_key string, experience string, education string, tags string")
+    bronze = spark.createDataFrame([("a", "1", "1-3年", None, "Python dev", "old"), ("a", "3", None, None, "Python", "own"),
+                                    ("a", None, "1-3年", "本科", "Python", None)],
+                                   "source string, job_key string, experience string, education string, title string, tags string")
+    s, b = ingest.reclean_apply(silver, bronze)
+    assert [len(re.findall(r"\bJoin\b", plan(x))) for x in (s, b)] == [1, 1]
+    assert s.columns == silver.columns and b.columns == bronze.columns
+    assert {tuple(r) for r in s.collect()} == {
+        ("a", "1", "1-3年", "y", "Python"), ("a", "2", "x", "y", "t"), ("a", None, "x", "y", None)}
+    assert {(r.job_key, r.title, r.tags) for r in b.collect()} == {
+        ("1", "Python dev", "Python"), ("3", "Python", "own"), (None, "Python", None)}
