@@ -87,7 +87,9 @@ def stratified_split(frame: DataFrame, strata: str = "experience", test_frac: fl
 
     The last chosen row of each stratum is located from (stratum, hash-bucket) counts
     (a table bounded by strata x buckets); only the rows of that one bucket are ranked.
-    Every row then compares itself with the cut of its stratum: no join on the keys.
+    Every row then compares itself with the cut of its stratum: no join on the keys. Buckets and
+    cuts are a row per stratum, so they are sent to the rows; shuffled by stratum, all rows
+    would meet in as many tasks as there are strata.
     """
     rows = frame.withColumn("__h", _hash(seed))
     rows = rows.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
@@ -101,11 +103,11 @@ def stratified_split(frame: DataFrame, strata: str = "experience", test_frac: fl
         strata, "__b", (F.col("__k") - F.col("__before")).alias("__take"))
     rank = F.row_number().over(stratum.orderBy("__h", *KEYS))
     place = ["__b", "__h", *KEYS]
-    cuts = (rows.join(last, [strata, "__b"]).withColumn("__r", rank)
+    cuts = (rows.join(F.broadcast(last), [strata, "__b"]).withColumn("__r", rank)
             .where(F.col("__r") == F.col("__take"))
             .select(strata, F.struct(*place).alias("__cut")))
     chosen = F.coalesce(F.struct(*place) <= F.col("__cut"), F.lit(False))
-    return rows.join(cuts, strata, "left").select(*frame.columns, chosen.alias("is_test"))
+    return rows.join(F.broadcast(cuts), strata, "left").select(*frame.columns, chosen.alias("is_test"))
 
 
 def fold_ids(frame: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

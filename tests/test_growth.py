@@ -70,6 +70,20 @@ def test_stored_rows_are_shuffled_once_and_lie_in_one_bucket_a_task(spark, tmp_p
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
 
 
+def test_split_sends_the_cuts_to_the_rows(spark):
+    from hirelens.operators import ml
+    rows = [("a" if i % 3 else None, f"k{i}", ["1-3年", "5-10年"][i % 2]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "source string, job_key string, experience string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as for tables beyond it
+    try:
+        split = ml.stratified_split(frame, buckets=16)
+        assert "SortMergeJoin" not in executed(split)
+        assert sorted((r.experience, r["count"]) for r in split.where("is_test").groupBy("experience").count().collect()) == [
+            ("1-3年", 20), ("5-10年", 20)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_reclean_joins_each_table_once(spark):
     from hirelens.operators import ingest
     silver = spark.createDataFrame([("a", "1", "x", "y", "t"), ("a", "2", "x", "y", "t"), ("a", None, "x", "y", None)],
