@@ -88,15 +88,19 @@ def silver_from_raw(raw: DataFrame) -> DataFrame:
 
 
 def ingest_batch(raw: DataFrame, bronze: DataFrame, silver: DataFrame,
-                 order=("ord1", "ord2")) -> tuple[DataFrame, DataFrame]:
+                 order=("ord1", "ord2"), stored=None) -> tuple[DataFrame, DataFrame]:
     """I2 (+I1): rows of one batch that are new to bronze and to silver, separately.
 
     A key present in bronze but missing in silver is still written to silver.
-    Returns (bronze_new, silver_new); the caller appends them atomically.
+    Returns (bronze_new, silver_new); the caller appends them atomically. ``stored``, if
+    given, writes the deduplicated batch (DataFrame -> DataFrame), so that both results read
+    it instead of making it.
     """
     batch = dedupe_first(keyed(raw) if "url" in raw.columns else with_defaults(raw),
                          KEYS, order)
-    b_new = bronze_from_raw(batch).join(bronze.select(*KEYS), KEYS, "left_anti")
+    if stored is not None:
+        batch = stored(batch)
+    b_new = bronze_from_raw(batch.join(bronze.select(*KEYS), KEYS, "left_anti"))
     s_new = silver_from_raw(batch.join(silver.select(*KEYS), KEYS, "left_anti"))
     return b_new, s_new
 

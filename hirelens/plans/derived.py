@@ -65,7 +65,8 @@ WHERE {LINE_SQL} = '3' OR NOT EXISTS (SELECT 1 FROM silver b WHERE b.crawled_at
 def q_insert_rows(spark, sf_dir):
     """The earlier silver also lacks line 3: such rows are in bronze and new to silver."""
     b, s = ingest.ingest_batch(tables.postings_raw(spark, sf_dir), tables.bronze_snapshot(spark, sf_dir),
-                               tables.silver_snapshot(spark, sf_dir).where(~_line(3)))
+                               tables.silver_snapshot(spark, sf_dir).where(~_line(3)),
+                               stored=lambda batch: tables.stored_batch(spark, sf_dir, batch))
     cols = ["source", "job_key", "title", "city", "education", "experience", "tags"]
     return (b.select(F.lit("raw_job").alias("tbl"), *cols, F.lit(None).cast("double").alias("salary_avg"))
             .unionByName(s.select(F.lit("job").alias("tbl"), *cols, F.col("salary_avg").cast("double"))))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
@@ -247,6 +248,20 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "silver", lambda: silver_from_bronze(b), prepartitioned=True)
 
 
+def stored_batch(spark: SparkSession, sf_dir: str, batch: DataFrame) -> DataFrame:
+    """One batch's rows, written in the buckets of bronze and silver of the same input.
+
+    Its key joins with them need no shuffle. Like theirs, the shuffles before it are not coalesced: a
+    dedupe sorts the whole rows on both sides of its shuffle, which a few large partitions would spill.
+    """
+    n = buckets(spark, _input_files(spark, sf_dir))
+    path = work_path(spark, f"batch-{uuid.uuid4().hex}")
+    name = table_name(path)
+    with _LOCK:
+        _build(spark, lambda: batch, False, name, path, n)
+    return spark.table(name)
+
+
 def bronze_snapshot(spark: SparkSession, sf_dir: str, cutoff: str = SNAPSHOT_CUTOFF) -> DataFrame:
     """Bronze as stored by an earlier crawl (rows crawled before ``cutoff``)."""
     return bronze(spark, sf_dir).where(F.col("crawled_at") < F.lit(cutoff).cast("timestamp_ntz"))

@@ -70,6 +70,10 @@ def test_stored_rows_are_shuffled_once_and_lie_in_one_bucket_a_task(spark, tmp_p
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
 
 
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_sends_the_cuts_to_the_rows(spark):
     from hirelens.operators import ml
     rows = [("a" if i % 3 else None, f"k{i}", ["1-3年", "5-10年"][i % 2]) for i in range(200)]
@@ -98,3 +102,15 @@ def test_reclean_joins_each_table_once(spark):
         ("a", "1", "1-3年", "y", "Python"), ("a", "2", "x", "y", "t"), ("a", None, "x", "y", None)}
     assert {(r.job_key, r.title, r.tags) for r in b.collect()} == {
         ("1", "Python dev", "Python"), ("3", "Python", "own"), (None, "Python", None)}
+
+
+def test_a_batch_is_made_once_and_lies_in_the_buckets(spark):
+    import __spark_entry__
+    from conftest import SF_SMALL
+    rows = __spark_entry__.queries()["insert_rows"](spark, SF_SMALL)
+    assert "l_orderkey" not in plan(rows)                               # both halves read the stored batch
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange hashpartitioning" not in executed(__spark_entry__.queries()["insert_rows"](spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
