@@ -6,11 +6,11 @@
 * the split is exact per stratum and deterministic: rows are ordered by a
   seeded key hash inside their stratum, found through hash-bucket counts;
 * rows equal in all features are one weighted **cell** (weight, mean and squared deviation of the
-  label). Least squares and squared-loss boosting depend on nothing else, so
+  label). Least squares, trees and squared-loss boosting depend on nothing else, so
   they are fitted on cells, whose number is bounded by the combinations of the categories; forests draw
-  their bootstrap from the rows. A fitted model predicts every cell once, and scores and
-  importances are sums over cells;
-* the fits (folds x models, a large forest in parts) are independent jobs over stored tables and run side by side;
+  the bootstrap of each tree from all rows, counted by cell and label. A fitted model predicts every cell once, and
+  scores and importances are sums over cells;
+* the fits (folds x models, some trees of a forest at a time) are independent jobs over stored tables and run side by side;
 * permutation importance rotates a column by one row in a seeded random order of all
   test rows, found side by side in hash ranges.
 """
@@ -18,7 +18,6 @@
 from __future__ import annotations
 
 import threading
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial, reduce
 
@@ -27,13 +26,15 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from hirelens import dims
 from hirelens.functions.tags import skill_count
+from hirelens.operators import trees
+from hirelens.operators.trees import side_by_side
 
 KEYS = ["source", "job_key"]
 LABEL = "salary_avg"
+GBT_STEP = 0.1
 
 
 # M1 ---------------------------------------------------------------------------
@@ -137,17 +138,17 @@ class ModelSizes:
     gbt_iter: int = 200
     gbt_depth: int = 3
     seed: int = 42
-    forest_rows: int = 1 << 17      # a forest is fitted on about so many rows at most, by key hash
-    tree_rows: int = 1 << 15        # and a tree's bootstrap holds about so many of them at most
-    task_rows: int = 1 << 16        # rows per task of a fit: node statistics are summed over tasks
-    part_trees: int = 50            # trees of a forest that are fitted in one job
-    part_rows: int = 1 << 13        # but a forest of fewer rows than this per part is not split so far
-    tree_memory_mb: int = 128       # for the node statistics of one pass of a fit
-    parallel: int = 6               # fits of a kind that run side by side at most
+    forest_rows: int = 1 << 17      # of forest_sample alone; training takes all rows
+    tree_rows: int = 1 << 15        # of fit_forest and of regressors that are told their rows, not of training
+    task_rows: int = 1 << 16        # rows per task of a linear fit
+    part_trees: int = 50            # of fit_forest alone, as part_rows
+    part_rows: int = 1 << 13
+    tree_memory_mb: int = 128       # for the node statistics of one pass of a fit by Spark ML
+    parallel: int = 6               # linear fits that run side by side at most
 
 
 def regressors(sizes: ModelSizes, rows: int = 0) -> dict:
-    """The three models; ``rows`` is the size of the table that the forest is fitted on."""
+    """The three models; ``rows``, if given, makes a forest of Spark ML draw ``tree_rows`` of them per tree."""
     common = dict(featuresCol="features", labelCol=LABEL, weightCol="weight")
     trees = dict(maxMemoryInMB=sizes.tree_memory_mb, seed=sizes.seed)
     return {
@@ -157,70 +158,16 @@ def regressors(sizes: ModelSizes, rows: int = 0) -> dict:
                                                subsamplingRate=min(1.0, sizes.tree_rows / max(rows, 1)),
                                                **trees, **common),
         "gradient_boosting": GBTRegressor(maxIter=sizes.gbt_iter, maxDepth=sizes.gbt_depth,
-                                          stepSize=0.1, cacheNodeIds=False, **trees, **common),
+                                          stepSize=GBT_STEP, cacheNodeIds=False, **trees, **common),
     }
 
 
-def forest_sample(frame: DataFrame, n: int, sizes: ModelSizes) -> DataFrame:
-    """About ``forest_rows`` of the ``n`` rows, by seeded key hash; all of them if there are no more."""
-    if n <= sizes.forest_rows:
-        return frame
-    share = int(sizes.forest_rows / n * (1 << 40))
-    return frame.where(F.pmod(_hash(sizes.seed + 2), F.lit(1 << 40)) < share)
-
-
-def dealt(frame: DataFrame, sizes: ModelSizes) -> DataFrame:
-    """With a seeded key hash ``deal``, by which ``fit_forest`` deals out rows."""
-    return frame.withColumn("deal", _hash(sizes.seed + 3))
-
-
 def _packed(df: DataFrame, sizes: ModelSizes) -> DataFrame:
     """``df`` stored, in as many partitions as its rows need."""
     df = df.checkpoint(eager=True)
     return df.coalesce(max(1, -(-df.count() // sizes.task_rows)))
 
 
-#: Heap of the driver that part of a forest may take: the trees it grows and, in local mode, its tasks.
-PART_MB = 500
-
-
-def at_once(spark, most: int) -> int:
-    """How many parts of forests grow side by side: ``most``, or two at least if the driver's heap is small."""
-    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() >> 20
-    return max(2, min(most, heap // PART_MB))
-
-
-def forest_parts(sizes: ModelSizes, rows: int) -> list[int]:
-    """Trees of the parts in which a forest over ``rows`` rows is fitted."""
-    n = max(1, min(-(-sizes.rf_trees // sizes.part_trees), rows // sizes.part_rows))
-    return [sizes.rf_trees // n + (i < sizes.rf_trees % n) for i in range(n)]
-
-
-def fit_forest(source: DataFrame, sizes: ModelSizes, rows: int, room: threading.Semaphore) -> PipelineModel:
-    """The forest over ``source``, grown in parts side by side as far as ``room`` lets them.
-
-    The cost of a tree goes with the rows that its bootstrap draws from, also those it leaves out. Where the
-    bootstraps are a fraction of the rows, the rows are dealt out by the column ``deal``, so that a part
-    draws as many of its own ones and the parts take all. The forest's prediction is the mean of its trees'.
-    """
-    trees = forest_parts(sizes, rows)
-    deals = max(1, min(len(trees), rows // sizes.tree_rows))
-    base = regressors(sizes, rows // deals)["random_forest"]
-
-    def grow(i: int):
-        own = source if deals == 1 else source.where(F.pmod("deal", F.lit(deals)) == i % deals)
-        part = base.copy({base.numTrees: trees[i], base.seed: sizes.seed + i,
-                          base.maxMemoryInMB: max(32, sizes.tree_memory_mb // len(trees))})
-        with room:
-            return part.fit(own.coalesce(1) if len(trees) > 1 else own).setPredictionCol(f"__p{i}")
-
-    grown = side_by_side(source.sparkSession, [partial(grow, i) for i in range(len(trees))], len(trees))
-    names = [f"__p{i}" for i in range(len(trees))]
-    mean = " + ".join(f"{p} * {n}" for p, n in zip(names, trees))
-    return PipelineModel(stages=[*grown, SQLTransformer(
-        statement=f"SELECT * EXCEPT ({', '.join(names)}), ({mean}) / {sizes.rf_trees} AS prediction FROM __THIS__")])
-
-
 #: Models whose fit depends on cells alone.
 ON_CELLS = ("linear", "gradient_boosting")
 
@@ -247,11 +194,6 @@ def _r2_by(pred: DataFrame, by: str) -> dict:
     return {r[by]: 1.0 - r.sse / r.sst if r.sst else 0.0 for r in rows}
 
 
-def _mae(model, rows: DataFrame) -> float:
-    got = model.transform(rows).agg(F.avg(F.abs(F.col(LABEL) - F.col("prediction")))).first()[0]
-    return float(got or 0.0)
-
-
 # M7 ---------------------------------------------------------------------------
 @dataclass
 class TrainResult:
@@ -261,83 +203,125 @@ class TrainResult:
     n_rows: int = 0
 
 
-def side_by_side(spark, jobs: list, parallel: int) -> list:
-    """Results of the callables in their order, at most ``parallel`` running at a time."""
-    with ThreadPoolExecutor(max(1, parallel)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+def _counted(data: DataFrame, enc: PipelineModel, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``data`` (features, weight, label, fold; -1 is the test split) as groups and cells, both stored.
+
+    Cells: the combinations of features, numbered, encoded, with the weight of their rows and whether the train
+    split has them. Groups: rows equal in cell, fold and label, counted, with a hash of their own.
+    """
+    alike = data.groupBy(*FEATURES, "fold", F.col(LABEL).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")).checkpoint(eager=True)
+    combos = alike.groupBy(*FEATURES).agg(F.max("weight").alias("weight"), F.max(F.col("fold") >= 0).alias("known"))
+    number = F.row_number().over(Window.orderBy(*FEATURES)) - 1     # of combinations of categories, not of rows
+    few = enc.transform(combos.withColumn("cell", number)).checkpoint(eager=True)
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in FEATURES])
+    groups = alike.alias("a").join(few.alias("c"), same).select(
+        "c.cell", "a.fold", "a.label", "a.n",
+        F.xxhash64(*[F.col(f"a.{c}") for c in FEATURES], "a.fold", "a.label", F.lit(seed + 3)).alias("id"))
+    return groups.checkpoint(eager=True), few
+
+
+def _layout(few: DataFrame) -> trees.Layout:
+    """The cells' encoded columns on the driver: a few numbers per combination of categories."""
+    got = few.select("cell", "weight", "known", *[f"{c}_ix" for c in dims.CAT_FEATURES], *dims.NUM_FEATURES).toArrow()
+    col = {name: got.column(name).to_numpy()[got.column("cell").to_numpy().argsort()] for name in got.column_names}
+    # a category takes a slot, and one more is kept for those that training has not seen
+    sizes = [few.schema[f"{c}_oh"].metadata["ml_attr"]["num_attrs"] for c in dims.CAT_FEATURES]
+    return trees.layout([col[f"{c}_ix"].astype(int) for c in dims.CAT_FEATURES], sizes,
+                        [col[c].astype(float) for c in dims.NUM_FEATURES], col["known"], col["weight"])
+
+
+def _linear_input(groups: DataFrame, few: DataFrame) -> DataFrame:
+    """Encoded cells of the train split per fold: rows, their mean label and the sum of their weights."""
+    per = groups.groupBy("cell", "fold").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("label")) / F.sum("n")).alias(LABEL))
+    return per.join(few, "cell").select("features", LABEL, "fold", (F.col("n") * F.col("weight")).alias("weight"))
+
+
+def _fits(groups: DataFrame, few: DataFrame, sizes: ModelSizes, k: int, fits: list[int],
+          wanted: dict, folder: str) -> tuple[DataFrame, dict]:
+    """Predictions (model, fit, cell, value) of every fit of the ``wanted`` models, and per model what makes its fit -1."""
+    spark = groups.sparkSession
+    train = groups.where(F.col("fold") >= 0)
+    lay = _layout(few)
+
+    def grown():
+        names = [name for name in wanted if name != "linear"]
+        return trees.fit_all(train, lay, sizes, GBT_STEP, k, fits, names, folder) if names else None
+
+    def lines():
+        if "linear" not in wanted:
+            return []
+        source = _packed(_linear_input(train, few), sizes)
+        return side_by_side(spark, [partial(wanted["linear"].copy().fit, source.where(F.col("fold") != f)) for f in fits],
+                            sizes.parallel)
+
+    table, linear = side_by_side(spark, [grown, lines], 2)
+    size = len(few.select("features").first()[0])
+    made, parts = {}, []
+    if table is not None:
+        parts.append(table.where(F.col("cell").isNotNull()).groupBy("model", "fit", "cell").agg(F.sum("value").alias("value")))
+        for name, count in (("random_forest", sizes.rf_trees), ("gradient_boosting", sizes.gbt_iter)):
+            if name in wanted:
+                made[name] = partial(trees.spark_model, table, name, wanted[name], size, count, GBT_STEP, folder)
+    for f, model in zip(fits, linear):
+        parts.append(model.transform(few).select(F.lit("linear").alias("model"), F.lit(f).alias("fit"), "cell",
+                                                 F.col("prediction").alias("value")))
+        if f < 0:
+            made["linear"] = partial(lambda m: m, model)
+    return reduce(DataFrame.union, parts), made
 
 
 def train_and_select(frame: DataFrame, sizes: ModelSizes | None = None, k: int = 5,
                      seed: int = 42, models: list[str] | None = None) -> tuple[TrainResult, DataFrame]:
     """Weighted fit, unweighted R^2: k-fold CV on the train split, test R^2/MAE.
 
-    The categorical encoders are fitted once on the train split; encoded rows and encoded cells
-    are checkpointed, and the 3 x (k + 1) fits read them side by side.
+    Every model learns from all rows of the train split (but for the fold left out), counted by features, fold and
+    label. The categorical encoders are fitted once on the train split; the forests' trees, the boosted
+    series and the linear fits are made side by side.
     Returns the result (best = highest mean CV R^2, first wins ties; its model is a
     PipelineModel over raw columns) and the raw test split.
     """
-    from hirelens.session import work_root
-    work_root(frame.sparkSession)            # reliable checkpoints go to the shared folder
+    from hirelens.session import work_path
+    folder = work_path(frame.sparkSession, "models", "parts")     # reliable checkpoints go to the shared folder, too
     sizes = sizes or ModelSizes(seed=seed)
     data = fold_ids(stratified_split(with_weights(frame), seed=seed), k, seed)
-    data = data.checkpoint(eager=True)       # cut lineage: many fits reuse this frame
-    train_raw = data.where(~F.col("is_test"))
-    test = data.where(F.col("is_test"))
-    enc = Pipeline(stages=feature_stages()).fit(train_raw)
-    counts = data.groupBy("is_test").count().collect()      # two rows
-    n_rows, n_train = sum(r["count"] for r in counts), sum(r["count"] for r in counts if not r["is_test"])
-    sample = forest_sample(train_raw, n_train, sizes)
-    rows = _packed(enc.transform(dealt(sample, sizes)).select("features", LABEL, "weight", "fold", "deal"), sizes)
-    few = _packed(enc.transform(cells(train_raw, ["fold"])).select(
-        "features", LABEL, "weight", "n", "m2", "fold"), sizes)
-    held = _packed(enc.transform(cells(test, [])).select("features", LABEL, "n", "m2", F.lit(-1).alias("fold")), sizes)
-    test_rows = enc.transform(test).select("features", LABEL)
-    forest_rows = min(n_train, sizes.forest_rows)
-    wanted = {name: reg for name, reg in regressors(sizes, forest_rows).items() if not models or name in models}
-    spark = frame.sparkSession
-    width = at_once(spark, sizes.parallel)
-    room = threading.BoundedSemaphore(width)
-
-    def fit(name: str, fold: int | None):
-        """R^2 on the fold left out; for no fold the model, its R^2 and MAE on the test split."""
-        source = few if name in ON_CELLS else rows
-        source = source if fold is None else source.where(F.col("fold") != fold)
-        model = wanted[name].copy().fit(source) if name in ON_CELLS else fit_forest(source, sizes, forest_rows, room)
-        judged = held if fold is None else few.where(F.col("fold") == fold)
-        r2 = _r2_by(model.transform(judged), "fold").get(-1 if fold is None else fold, 0.0)
-        return r2 if fold is not None else (model, r2, _mae(model, test_rows))
-
-    # boosting is a long chain of short jobs and a forest keeps the executors busy: neither waits for the other.
-    # With room for it two forests at a time: the parts of the next one take the room that those of the last leave
-    plan = [(name, fold) for fold in (None, *range(k)) for name in reversed(wanted)]
-    kinds = [([job for job in plan if job[0] in ON_CELLS], min(sizes.parallel, 2 * width)),
-             ([job for job in plan if job[0] not in ON_CELLS], 2 if width > 3 else 1)]
-    found = side_by_side(spark, [partial(side_by_side, spark, [partial(fit, *job) for job in jobs], most) for jobs, most in kinds], 2)
-    done = {job: got for (jobs, _), results in zip(kinds, found) for job, got in zip(jobs, results)}
-    res = TrainResult(n_rows=n_rows)
+    data = data.checkpoint(eager=True)       # cut lineage: encoders, groups and the test split read this frame
+    enc = Pipeline(stages=feature_stages()).fit(data.where(~F.col("is_test")))
+    placed = data.withColumn("fold", F.when(F.col("is_test"), -1).otherwise(F.col("fold")))
+    groups, few = _counted(placed, enc, seed)
+    wanted = {name: reg for name, reg in regressors(sizes).items() if not models or name in models}
+    predicted, made = _fits(groups, few, sizes, k, [-1, *range(k)], wanted, folder)
+
+    # a fit is judged on the rows that it has not seen: fit -1 on the test split, which is "fold" -1
+    judged = groups.join(predicted.withColumnRenamed("fit", "fold"), ["cell", "fold"]).select(
+        F.concat_ws(":", "model", "fold").alias("by"), "n", F.col("label").alias(LABEL), F.lit(0.0).alias("m2"),
+        F.col("value").alias("prediction")).checkpoint(eager=True)
+    r2 = _r2_by(judged, "by")
+    off = F.sum(F.col("n") * F.abs(F.col(LABEL) - F.col("prediction"))) / F.sum("n")
+    mae = {r["by"]: r["mae"] for r in judged.where(F.col("by").endswith(":-1")).groupBy("by").agg(off.alias("mae")).collect()}
+    res = TrainResult(n_rows=groups.agg(F.sum("n")).first()[0])
     best_r2 = float("-inf")
     for name in wanted:
-        model, r2, mae = done[name, None]
-        cv_mean = sum(done[name, f] for f in range(k)) / k
-        res.scores.append({"model": name, "cv_r2": cv_mean, "test_r2": r2, "test_mae": mae})
+        cv_mean = sum(r2.get(f"{name}:{f}", 0.0) for f in range(k)) / k
+        res.scores.append({"model": name, "cv_r2": cv_mean, "test_r2": r2.get(f"{name}:-1", 0.0),
+                           "test_mae": float(mae.get(f"{name}:-1") or 0.0)})
         if cv_mean > best_r2:
-            best_r2, res.best, res.model = cv_mean, name, PipelineModel(stages=[enc, model])
-    return res, test
+            best_r2, res.best = cv_mean, name
+    res.model = PipelineModel(stages=[enc, made[res.best]()])
+    return res, data.where(F.col("is_test"))
 
 
 def refit_best(frame: DataFrame, best: str, sizes: ModelSizes | None = None,
                seed: int = 42) -> PipelineModel:
     """M9: refit the chosen model on all rows (weighted)."""
+    from hirelens.session import work_path
+    folder = work_path(frame.sparkSession, "models", "parts")
     sizes = sizes or ModelSizes(seed=seed)
-    rows, n = with_weights(frame), frame.count()
+    rows = with_weights(frame).withColumn("fold", F.lit(0))
     enc = Pipeline(stages=feature_stages()).fit(rows)
-    if best in ON_CELLS:
-        fitted = regressors(sizes)[best].fit(_packed(enc.transform(cells(rows, [])).select("features", LABEL, "weight"), sizes))
-    else:
-        chosen = enc.transform(dealt(forest_sample(rows, n, sizes), sizes)).select("features", LABEL, "weight", "deal")
-        room = threading.BoundedSemaphore(at_once(frame.sparkSession, sizes.parallel))
-        fitted = fit_forest(_packed(chosen, sizes), sizes, min(n, sizes.forest_rows), room)
-    return PipelineModel(stages=[enc, fitted])
+    groups, few = _counted(rows, enc, seed)
+    _, made = _fits(groups, few, sizes, 1, [-1], {best: regressors(sizes)[best]}, folder)
+    return PipelineModel(stages=[enc, made[best]()])
 
 
 # M8 ---------------------------------------------------------------------------
@@ -503,3 +487,45 @@ def selected(frame: DataFrame, folder: str, sizes: ModelSizes | None = None,
             write_report(spark, report, f"{folder}/report")
     res = TrainResult(report["scores"], report["best"], load_model(folder), report["n_rows"])
     return res, spark.read.parquet(f"{folder}/test")
+
+
+# Forests of Spark ML over a part of the rows ----------------------------------------
+# No query and no training uses these three: there every tree draws from all rows (``trees``). They stay for callers of their own,
+# as ``forest_rows``, ``tree_rows``, ``part_trees`` and ``part_rows`` of ModelSizes do.
+def forest_sample(frame: DataFrame, n: int, sizes: ModelSizes) -> DataFrame:
+    """About ``forest_rows`` of the ``n`` rows, by seeded key hash; all of them if there are no more."""
+    if n <= sizes.forest_rows:
+        return frame
+    share = int(sizes.forest_rows / n * (1 << 40))
+    return frame.where(F.pmod(_hash(sizes.seed + 2), F.lit(1 << 40)) < share)
+
+
+def forest_parts(sizes: ModelSizes, rows: int) -> list[int]:
+    """Trees of the parts in which a forest over ``rows`` rows is fitted."""
+    n = max(1, min(-(-sizes.rf_trees // sizes.part_trees), rows // sizes.part_rows))
+    return [sizes.rf_trees // n + (i < sizes.rf_trees % n) for i in range(n)]
+
+
+def fit_forest(source: DataFrame, sizes: ModelSizes, rows: int, room: threading.Semaphore) -> PipelineModel:
+    """The forest over ``source``, grown in parts side by side as far as ``room`` lets them.
+
+    The cost of a tree goes with the rows that its bootstrap draws from, also those it leaves out. Where the
+    bootstraps are a fraction of the rows, the rows are dealt out by the column ``deal``, so that a part
+    draws as many of its own ones and the parts take all. The forest's prediction is the mean of its trees'.
+    """
+    trees = forest_parts(sizes, rows)
+    deals = max(1, min(len(trees), rows // sizes.tree_rows))
+    base = regressors(sizes, rows // deals)["random_forest"]
+
+    def grow(i: int):
+        own = source if deals == 1 else source.where(F.pmod("deal", F.lit(deals)) == i % deals)
+        part = base.copy({base.numTrees: trees[i], base.seed: sizes.seed + i,
+                          base.maxMemoryInMB: max(32, sizes.tree_memory_mb // len(trees))})
+        with room:
+            return part.fit(own.coalesce(1) if len(trees) > 1 else own).setPredictionCol(f"__p{i}")
+
+    grown = side_by_side(source.sparkSession, [partial(grow, i) for i in range(len(trees))], len(trees))
+    names = [f"__p{i}" for i in range(len(trees))]
+    mean = " + ".join(f"{p} * {n}" for p, n in zip(names, trees))
+    return PipelineModel(stages=[*grown, SQLTransformer(
+        statement=f"SELECT * EXCEPT ({', '.join(names)}), ({mean}) / {sizes.rf_trees} AS prediction FROM __THIS__")])

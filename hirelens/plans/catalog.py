@@ -966,7 +966,7 @@ MODEL_SIZES = ml.ModelSizes()
 
 def _trained(spark, sf_dir):
     """The models of this input, trained by the first query that needs them."""
-    tag = hashlib.sha1(f"{tables.state_tag(spark, sf_dir, 'operators/ml.py')}:{MODEL_SIZES}".encode()).hexdigest()[:16]
+    tag = hashlib.sha1(f"{tables.state_tag(spark, sf_dir, 'operators/ml.py', 'operators/trees.py')}:{MODEL_SIZES}".encode()).hexdigest()[:16]
     return ml.selected(ml.ml_frame(silver(spark, sf_dir)), work_path(spark, "models", tag), MODEL_SIZES)
 
 
