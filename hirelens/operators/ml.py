@@ -20,6 +20,7 @@ from __future__ import annotations
 import threading
 from dataclasses import dataclass, field
 from functools import partial, reduce
+from math import prod
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -338,44 +339,69 @@ def permuted(test: DataFrame, col: str, seed: int, buckets: int = 1 << 12) -> Da
 
 def permuted_copies(test: DataFrame, col: str, seeds: list[int], buckets: int = 1 << 12) -> DataFrame:
     """``permuted`` for each of the ``seeds`` in one pass; ``__rep`` is the seed's place in the list."""
-    bits = buckets.bit_length() - 1
     drawn = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(s * 7919 + 1).alias("salt")) for r, s in enumerate(seeds)])
     base = test.select("*", F.explode(drawn).alias("__d")).withColumn("__rep", F.col("__d.rep"))
     base = base.withColumn("__o", F.xxhash64(*[F.col(c) for c in KEYS], F.col("__d.salt"))).drop("__d")
+    return rotated(base, col, KEYS, buckets).withColumn(col, F.col("__turned")).select(*test.columns, "__rep")
+
+
+def rotated(base: DataFrame, value: str, ties: list[str], buckets: int) -> DataFrame:
+    """Per ``__rep`` the ``value`` of the row before, as ``__turned``, in the order of the unsigned ``__o`` and ``ties``."""
+    bits = buckets.bit_length() - 1
     base = base.withColumn("__blk", F.shiftrightunsigned("__o", 64 - bits))
     place = ["__rep", "__blk"]
-    w = Window.partitionBy(*place).orderBy("__o", *KEYS)
-    ends = base.groupBy(*place).agg(F.max_by(col, F.struct("__o", *KEYS)).alias("__end"))
+    w = Window.partitionBy(*place).orderBy("__o", *ties)
+    ends = base.groupBy(*place).agg(F.max_by(value, F.struct("__o", *ties)).alias("__end"))
     chain = Window.partitionBy("__rep").orderBy("__blk")        # at most ``buckets`` rows a copy
     before = F.when(F.row_number().over(chain) == 1,
                     F.max_by("__end", "__blk").over(Window.partitionBy("__rep")))
     ends = ends.select(*place, before.otherwise(F.lag("__end").over(chain)).alias("__prev"))
-    turned = (base.withColumn("__lag", F.lag(col, 1).over(w))
+    turned = (base.withColumn("__lag", F.lag(value, 1).over(w))
               .withColumn("__first", F.row_number().over(w) == 1).join(ends, place))
-    return (turned.withColumn(col, F.when(F.col("__first"), F.col("__prev")).otherwise(F.col("__lag")))
-            .select(*test.columns, "__rep"))
+    return turned.withColumn("__turned", F.when(F.col("__first"), F.col("__prev")).otherwise(F.col("__lag")))
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = 10,
-                           seed: int = 42, parallel: int = 6) -> DataFrame:
+                           seed: int = 42, buckets: int = 1 << 8) -> DataFrame:
     """Mean R^2 drop per raw feature, clipped at 0 and normalised to shares.
 
-    The permuted copies of the test rows are made in one pass and summed up to cells, and the model predicts the
-    distinct feature combinations of a feature's copies once. Features run side by side.
+    A row's features are one number, with a digit per feature. The permuted copies for all features are made in one
+    pass, in which a row is that number, its label and a digit; they are summed up to cells, and the model predicts
+    each distinct feature combination of them once.
     """
     spark = test.sparkSession
-    rows = test.withColumn("weight", F.lit(1.0))
-
-    def drop(i: int, f: str) -> float:
-        copies = permuted_copies(rows, f, [seed + 100 * i + r for r in range(repeats)])
-        seen = cells(rows.withColumn("__rep", F.lit(-1)).unionByName(copies), ["__rep"]).checkpoint(eager=True)
-        combos = seen.select(*FEATURES).distinct()
-        known = model.transform(combos).select(*FEATURES, "prediction")
-        same = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in FEATURES])
-        r2 = _r2_by(seen.alias("c").join(known.alias("k"), same).select("c.*", "k.prediction"), "__rep")
-        return max(sum(r2[-1] - r2[r] for r in range(repeats)) / repeats, 0.0) if r2 else 0.0
-
-    drops = side_by_side(spark, [partial(drop, i, f) for i, f in enumerate(FEATURES)], parallel)
+    # the categories, on the driver as the options of the model report are; 0 stands for a missing one
+    seen = test.agg(*[F.sort_array(F.collect_set(f)).alias(f) for f in FEATURES]).first().asDict()
+    lists = {f: F.array(*[F.lit(v) for v in seen[f]]).cast(f"array<{test.schema[f].dataType.simpleString()}>") for f in FEATURES}
+    sizes = [len(seen[f]) + 1 for f in FEATURES]
+    unit = [prod(sizes[i + 1:]) for i in range(len(FEATURES))]
+
+    def digit(i: int):
+        return F.expr(f"(__cell div {unit[i]}) % {sizes[i]}")
+
+    number = reduce(lambda a, b: a + b, [F.coalesce(F.array_position(lists[f], F.col(f)), F.lit(0)) * F.lit(unit[i])
+                                         for i, f in enumerate(FEATURES)])
+    rows = test.select(*KEYS, number.alias("__cell"), LABEL)
+    digits = F.array(*[digit(i) for i in range(len(FEATURES))])
+    copies = [(i * repeats + r, i, (seed + 100 * i + r) * 7919 + 1) for i in range(len(FEATURES)) for r in range(repeats)]
+    drawn = F.array(*[F.struct(F.lit(c).alias("rep"), F.lit(i).alias("i"), F.lit(salt).alias("salt")) for c, i, salt in copies])
+    base = rows.select("*", F.explode(drawn).alias("__d")).select(
+        F.col("__d.rep").alias("__rep"), F.col("__d.i").alias("__i"), "__cell", LABEL,
+        F.xxhash64(*[F.col(c) for c in KEYS], F.col("__d.salt")).alias("__o"), digits[F.col("__d.i")].alias("__digit"))
+    # rows equal in hash, cell and label may change places
+    moved = rotated(base, "__digit", ["__cell", LABEL], buckets)
+    units = F.array(*[F.lit(u).cast("long") for u in unit])
+    moved = moved.select("__rep", (F.col("__cell") + (F.col("__turned") - F.col("__digit")) * units[F.col("__i")]).alias("__cell"), LABEL)
+    per = moved.unionByName(rows.select(F.lit(-1).alias("__rep"), "__cell", LABEL)).groupBy("__rep", "__cell").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias(LABEL), (F.var_pop(LABEL) * F.count(F.lit(1))).alias("m2"))
+    per = per.checkpoint(eager=True)
+    combos = per.select("__cell").distinct().select(
+        "__cell", *[F.when(digit(i) > 0, F.get(lists[f], (digit(i) - 1).cast("int"))).alias(f)
+                    for i, f in enumerate(FEATURES)])
+    known = model.transform(combos).select("__cell", "prediction")
+    r2 = _r2_by(per.join(known, "__cell"), "__rep")
+    drops = [max(sum(r2[-1] - r2[i * repeats + r] for r in range(repeats)) / repeats, 0.0) if r2 else 0.0
+             for i in range(len(FEATURES))]
     total = sum(drops) or 1.0
     out = [(f, dims.FEATURE_LABELS[f], v / total) for f, v in zip(FEATURES, drops)]
     return spark.createDataFrame(out, "feature string, label string, importance double")

@@ -106,3 +106,22 @@ def test_draws_are_poisson():
     mixed = np.resize([1, 7, 5000], len(ids))
     u = trees.uniform(ids, 42, 3)
     assert (trees.poisson(u, mixed)[1::3] == trees.poisson(u[1::3], mixed[1::3])).all()
+
+
+def test_importance_is_the_drop_of_r2_over_single_permutations(spark):
+    """Also of rows whose features are missing."""
+    frame = ml.ml_frame(tables.silver(spark, SF_SMALL))
+    res, test = ml.train_and_select(frame, ml.ModelSizes(rf_trees=2, rf_depth=4, gbt_iter=2), k=2, models=["random_forest"])
+    test = test.withColumn("city", F.when(F.col("skill_count") >= 0, F.col("city"))).withColumn(
+        "keyword", F.when(F.length("job_key") % 3 > 0, F.col("keyword"))).cache()
+    y, p = F.col(ml.LABEL), F.col("prediction")
+
+    def r2(rows):
+        got = res.model.transform(rows).agg(F.sum((y - p) ** 2).alias("sse"), (F.var_pop(y) * F.count("*")).alias("sst")).first()
+        return 1 - got.sse / got.sst
+
+    drops = [max(sum(r2(test) - r2(ml.permuted(test, f, 7 + 100 * i + r)) for r in range(2)) / 2, 0.0)
+             for i, f in enumerate(ml.FEATURES)]
+    for buckets in (4, 1 << 8):
+        got = {r.feature: r.importance for r in ml.permutation_importance(res.model, test, 2, 7, buckets=buckets).collect()}
+        assert all(abs(got[f] - d / (sum(drops) or 1.0)) < 1e-9 for f, d in zip(ml.FEATURES, drops))
